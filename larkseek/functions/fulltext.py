@@ -42,7 +42,7 @@ def _last_pos(entries: Column) -> Column:
 
 def concat_vectors(left: Column, right: Column) -> Column:
     """Join two vectors; positions on the right continue after the last one on the left."""
-    return F.array_sort(F.concat(left, _shifted(right, _last_pos(left))))
+    return F.sort_array(F.concat(left, _shifted(right, _last_pos(left))))
 
 
 def tsvector_of(parts: Sequence[tuple[Column, str]]) -> Column:
@@ -51,7 +51,7 @@ def tsvector_of(parts: Sequence[tuple[Column, str]]) -> Column:
     for lex, label in parts:
         e = _entries(lex, label)
         out = e if out is None else F.concat(out, _shifted(e, _last_pos(out)))
-    return F.array_sort(out)
+    return F.sort_array(out)
 
 
 def tsvector(parts: Sequence[tuple[Column | str, str]]) -> Column:
@@ -88,7 +88,7 @@ def with_query_terms(queries: DataFrame, mode: str = "simple", reference_compat:
         lexed = queries.withColumn("_w", stem_words(lexemes("norm")))
     else:
         raise ValueError(f"unknown text mode {mode!r}")
-    terms = F.array_sort(F.array_distinct(F.filter("_w", lambda t: t.isNotNull())))
+    terms = F.sort_array(F.array_distinct(F.filter("_w", lambda t: t.isNotNull())))
     if reference_compat:
         terms = F.when(has_operator_chars("norm"), F.array().cast("array<string>")).otherwise(terms)
     return lexed.withColumn("terms", terms).drop("_w")

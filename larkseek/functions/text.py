@@ -26,13 +26,18 @@ def control_trim(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~has_text(c)
+
+
+def has_text(c: Column | str) -> Column:
+    """True when the text holds a character that is not white space."""
+    return F.coalesce(as_col(c).rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
 
 
 def blank_to_null(c: Column | str) -> Column:
     """Null for blank text, otherwise the text unchanged."""
     c = as_col(c)
-    return F.when(~is_blank(c), c)
+    return F.when(has_text(c), c)
 
 
 def empty_to_null(c: Column | str) -> Column:
@@ -84,7 +89,7 @@ def contains_like(text: Column, term: Column) -> Column:
     Plain terms take the cheaper substring test.
     """
     pattern = like_pattern(F.concat(F.lit("%"), term, F.lit("%")))
-    return F.when(has_wildcard(term), text.like(pattern)).otherwise(F.contains(text, term))
+    return F.when(has_wildcard(term), F.like(text, pattern)).otherwise(F.contains(text, term))
 
 
 def sql_literal_like(text: Column, term: str, prefix: bool = False, escape_wildcards: bool = False) -> Column:
@@ -94,7 +99,7 @@ def sql_literal_like(text: Column, term: str, prefix: bool = False, escape_wildc
         return text.startswith(term) if prefix else text.contains(term)
     if escape_wildcards:
         return text.startswith(term) if prefix else text.contains(term)
-    return text.like(like_pattern(F.lit(term + "%" if prefix else "%" + term + "%")))
+    return F.like(text, like_pattern(F.lit(term + "%" if prefix else "%" + term + "%")))
 
 
 def entity_key(tenant: Column | str, entity_id: Column | str) -> Column:

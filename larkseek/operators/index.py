@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.functions.text import blank_to_null, is_blank
+from larkseek.functions.text import blank_to_null, has_text
 from larkseek.operators.reads import live_rows
 from larkseek.schemas import ITEM_KEY
 
 
 def item_rows(df: DataFrame, entity: str, title: str, subtitle: Column | None = None, id_col: str = "id") -> DataFrame:
     """Project rows of one entity to the search-item columns."""
-    sub = F.lit(None).cast("string") if subtitle is None else blank_to_null(subtitle)
-    return df.where(~is_blank(title)).select(
+    sub = F.lit(None).cast("string") if subtitle is None else subtitle
+    return df.where(has_text(title)).select(
         "tenant_id", F.lit(entity).alias("entity_type"), F.col(id_col).alias("entity_id"),
         F.col(title).alias("title"), sub.alias("subtitle"))
 
@@ -23,10 +23,10 @@ def build_items(contacts: DataFrame, listings: DataFrame, transactions: DataFram
 
     A plain union of narrow projections: no shuffle, one scan per table.
     """
-    mls_tail = F.concat(F.coalesce(blank_to_null("subtitle"), F.lit("")), F.coalesce(blank_to_null("mls_id"), F.lit("")))
-    out = (item_rows(live_rows(contacts), "CONTACT", "full_name", F.col("label"))
+    mls_tail = F.nullif(F.concat(*[F.when(has_text(c), F.col(c)).otherwise("") for c in ("subtitle", "mls_id")]), F.lit(""))
+    out = (item_rows(live_rows(contacts), "CONTACT", "full_name", blank_to_null("label"))
            .unionByName(item_rows(live_rows(listings), "LISTING", "title", mls_tail))
-           .unionByName(item_rows(live_rows(transactions), "TRANSACTION", "title", F.col("subtitle"))))
+           .unionByName(item_rows(live_rows(transactions), "TRANSACTION", "title", blank_to_null("subtitle"))))
     for o in others:
         out = out.unionByName(o)
     return out

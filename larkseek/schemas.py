@@ -1,9 +1,8 @@
-"""Explicit schemas of the entity tables, the outbox, the search items and the event records."""
+"""Explicit schemas (as DDL text, which every reader accepts) of the entity tables, the outbox, the
+search items and the event records, and the fixed names around them."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Entity types of the search table, their hit id prefixes and typed id fields, in
 # the order the grouped answer lists them.
 ENTITY_TYPES = ("CONTACT", "LISTING", "REFERRAL", "TRANSACTION", "PRODUCT", "MAILING")
@@ -21,21 +20,17 @@ TOPICS = {
 ITEM_KEY = ["tenant_id", "entity_type", "entity_id"]
 
 
-def _fields(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 _AUDIT = "version bigint, created_at timestamp, updated_at timestamp, deleted_at timestamp"
-CONTACTS = _fields(f"id string, tenant_id string, full_name string, email string, phone string, label string, {_AUDIT}")
-LISTINGS = _fields("id string, tenant_id string, title string, subtitle string, mls_id string, "
+CONTACTS = (f"id string, tenant_id string, full_name string, email string, phone string, label string, {_AUDIT}")
+LISTINGS = ("id string, tenant_id string, title string, subtitle string, mls_id string, "
                    f"price decimal(19,2), currency string, contact_id string, {_AUDIT}")
-TRANSACTIONS = _fields("id string, tenant_id string, title string, subtitle string, total decimal(19,2), "
+TRANSACTIONS = ("id string, tenant_id string, title string, subtitle string, total decimal(19,2), "
                        f"currency string, status string, visible boolean, contact_id string, listing_id string, {_AUDIT}")
-OUTBOX = _fields("id bigint, tenant_id string, aggregate_type string, aggregate_id string, type string, "
+OUTBOX = ("id bigint, tenant_id string, aggregate_type string, aggregate_id string, type string, "
                  "payload string, occurred_at timestamp, published boolean, published_at timestamp")
-SEARCH_ITEMS = _fields("tenant_id string, entity_type string, entity_id string, title string, subtitle string")
-EVENT_RECORD = _fields("topic string, partition int, offset bigint, key string, value string")
-EVENT_JSON = _fields("type string, tenantId string, contactId string, listingId string, transactionId string, "
+SEARCH_ITEMS = ("tenant_id string, entity_type string, entity_id string, title string, subtitle string")
+EVENT_RECORD = ("topic string, partition int, offset bigint, key string, value string")
+EVENT_JSON = ("type string, tenantId string, contactId string, listingId string, transactionId string, "
                      "title string, subtitle string, mlsId string, visible boolean, version bigint, occurredAt string")
-QUERIES = _fields("query_id bigint, tenant_id string, q string, limit_per_group int")
-QUERY_LOG = _fields("ts timestamp, tenant_id string, result string, latency_ms double, q string")
+QUERIES = ("query_id bigint, tenant_id string, q string, limit_per_group int")
+QUERY_LOG = ("ts timestamp, tenant_id string, result string, latency_ms double, q string")
