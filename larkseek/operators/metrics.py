@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkseek.functions.text import mask_pii
@@ -15,18 +17,42 @@ def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("tenant_id", "result").agg(F.count("*").alias("requests"))
 
 
-def latency_slo(log: DataFrame, exact: bool = False) -> DataFrame:
-    """Count, sum, cumulative bucket counts and p95/p99 per tenant and result.
+def latency_slo(log: DataFrame) -> DataFrame:
+    """Count, cumulative objective buckets and sketch p95/p99 per tenant and result.
 
-    The sketch percentile merges before the shuffle and has a bounded state whatever the size of a
-    tenant; ``exact=True`` keeps every distinct latency of a group and is for small logs.
+    All aggregates merge before the shuffle and have a bounded state whatever the size of a tenant.
     """
-    pick = F.percentile if exact else F.percentile_approx
     return log.groupBy("tenant_id", "result").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("latency_ms") <= b).alias(f"le_{b}") for b in SLO_MS],
         F.max("latency_ms").alias("max_ms"),
-        pick("latency_ms", F.lit(0.95)).alias("p95_ms"), pick("latency_ms", F.lit(0.99)).alias("p99_ms"))
+        F.percentile_approx("latency_ms", F.lit(0.95)).alias("p95_ms"),
+        F.percentile_approx("latency_ms", F.lit(0.99)).alias("p99_ms"))
+
+
+def latency_percentiles(log: DataFrame, points: Sequence[float] = (0.95, 0.99)) -> DataFrame:
+    """Exact nearest-rank percentiles per tenant and result.
+
+    A histogram of whole milliseconds (one row per group and millisecond, small whatever the log)
+    locates the millisecond of each rank; only rows of those milliseconds are then counted by value
+    and ranked. No group is sorted as a whole.
+    """
+    group = ["tenant_id", "result"]
+    ms = F.floor("latency_ms").alias("ms")
+    hist = log.groupBy(*group, ms).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*group)
+    run = hist.select(*group, "ms", "c", F.sum("c").over(w).alias("n"),
+                      F.sum("c").over(w.orderBy("ms")).alias("upto"))
+    wanted = run.select(*group, "ms", "c", "n", "upto", F.explode(F.array(*map(F.lit, points))).alias("p"))
+    rank = F.greatest(F.ceil(F.round(F.col("p") * F.col("n"), 9)), F.lit(1))
+    spots = (wanted.withColumn("rank", rank).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+             .select(*group, "ms", "p", "n", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("inner_rank")))
+    values = log.withColumn("ms", F.floor("latency_ms")).groupBy(*group, "ms", "latency_ms").agg(F.count("*").alias("c"))
+    inside = values.join(spots, [*group, "ms"])
+    w2 = Window.partitionBy(*group, "p").orderBy("latency_ms")
+    found = inside.withColumn("upto", F.sum("c").over(w2)).where(F.col("upto") >= F.col("inner_rank"))
+    return found.groupBy(*group, "n").agg(
+        *[F.min(F.when(F.col("p") == p, F.col("latency_ms"))).alias(f"p{round(p * 100)}_ms") for p in points])
 
 
 def masked_log(log: DataFrame) -> DataFrame:
