@@ -13,157 +13,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkseek.functions.english import stem_words
-from larkseek.functions.text import as_col, words
 
 # The default weight of each label, and the constant of the single-term sum.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 PI_SQUARED_OVER_SIX = 1.64493406685
 
+# Fixed value: characters with a meaning in full-text query syntax.
+OPERATOR_CHARS = "[&|!():'\\\\<*]"
 
-def lexemes(text: Column | str) -> Column:
-    """Lower-cased words in text order (the simple configuration)."""
-    return words(F.coalesce(as_col(text), F.lit("")))
 
+def lexemes_sql(text: str) -> str:
+    """SQL for the lower-cased words of a text, in text order (the simple configuration)."""
+    return f"regexp_extract_all(lower(coalesce({text}, '')), r'[\\p{{L}}\\p{{N}}]+', 0)"
 
-def _entries(lex: Column, label: str) -> Column:
-    numbered = F.transform(lex, lambda w, i: F.struct(
-        w.alias("lexeme"), (i + 1).cast("int").alias("pos"), F.lit(label).alias("weight")))
-    return F.filter(numbered, lambda e: e["lexeme"].isNotNull())
 
+def _vector_sql(parts: Sequence[tuple[str, str]]) -> str:
+    """SQL for the vector of labelled word-array columns. A null word keeps its position but has no
+    entry; positions of a part continue after the last entry of the parts before it."""
+    pieces, shift = [], "0"
+    for words, label in parts:
+        pieces.append(f"filter(transform({words}, (w, i) -> named_struct('lexeme', w, 'pos', int(i + 1 + {shift}), "
+                      f"'weight', '{label}')), e -> e.lexeme is not null)")
+        last = f"coalesce(array_max(transform({words}, (w, i) -> if(w is null, 0, i + 1))), 0)"
+        shift = last if shift == "0" else f"if({last} > 0, {last} + {shift}, {shift})"
+    return f"sort_array(concat({', '.join(pieces)}))"
 
-def _shifted(entries: Column, by: Column) -> Column:
-    return F.transform(entries, lambda e: F.struct(
-        e["lexeme"].alias("lexeme"), (e["pos"] + by).cast("int").alias("pos"), e["weight"].alias("weight")))
 
+def tsvector(parts: Sequence[tuple[str, str]]) -> Column:
+    """Simple-mode vector of labelled text columns, e.g. ``[("title", "A"), ("subtitle", "B")]``."""
+    return F.expr(_vector_sql([(lexemes_sql(text), label) for text, label in parts]))
 
-def _last_pos(entries: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(entries, lambda e: e["pos"])), F.lit(0))
 
+def concat_vectors(left: str, right: str) -> Column:
+    """Join two vector columns; positions on the right continue after the last one on the left."""
+    return F.expr(f"sort_array(concat({left}, transform({right}, e -> named_struct('lexeme', e.lexeme, 'pos', "
+                  f"int(e.pos + coalesce(array_max(transform({left}, x -> x.pos)), 0)), 'weight', e.weight))))")
 
-def concat_vectors(left: Column, right: Column) -> Column:
-    """Join two vectors; positions on the right continue after the last one on the left."""
-    return F.sort_array(F.concat(left, _shifted(right, _last_pos(left))))
 
-
-def tsvector_of(parts: Sequence[tuple[Column, str]]) -> Column:
-    """Vector of labelled word arrays; a null word keeps its position but has no entry."""
-    out = None
-    for lex, label in parts:
-        e = _entries(lex, label)
-        out = e if out is None else F.concat(out, _shifted(e, _last_pos(out)))
-    return F.sort_array(out)
-
-
-def tsvector(parts: Sequence[tuple[Column | str, str]]) -> Column:
-    """Simple-mode vector of labelled texts, e.g. ``[("title", "A"), ("subtitle", "B")]``."""
-    return tsvector_of([(lexemes(text), label) for text, label in parts])
-
-
-def listing_search_vector(title: Column | str = "title", subtitle: Column | str = "subtitle",
-                          mls_id: Column | str = "mls_id") -> Column:
+def listing_search_vector(title: str = "title", subtitle: str = "subtitle", mls_id: str = "mls_id") -> Column:
     """Vector of a listing row: title A, subtitle B, MLS id A, always in simple mode."""
     return tsvector([(title, "A"), (subtitle, "B"), (mls_id, "A")])
 
 
+def _with_words(df: DataFrame, mode: str, **texts: str) -> DataFrame:
+    """Add word arrays of text columns; english mode stems them and nulls stop words."""
+    out = df.selectExpr("*", *[f"{lexemes_sql(t)} as {name}" for name, t in texts.items()])
+    if mode == "english":
+        for name in texts:
+            out = out.withColumn(name, stem_words(F.col(name)))
+    elif mode != "simple":
+        raise ValueError(f"unknown text mode {mode!r}")
+    return out
+
+
 def with_item_tsv(items: DataFrame, mode: str = "simple") -> DataFrame:
     """Add the ``tsv`` of a search item: title A, subtitle B."""
-    if mode == "simple":
-        return items.withColumn("tsv", tsvector([("title", "A"), ("subtitle", "B")]))
-    if mode != "english":
-        raise ValueError(f"unknown text mode {mode!r}")
-    stemmed = items.withColumn("_t", stem_words(lexemes("title"))).withColumn("_s", stem_words(lexemes("subtitle")))
-    return stemmed.withColumn("tsv", tsvector_of([(F.col("_t"), "A"), (F.col("_s"), "B")])).drop("_t", "_s")
+    words = _with_words(items, mode, _t="title", _s="subtitle")
+    return words.selectExpr("*", f"{_vector_sql([('_t', 'A'), ('_s', 'B')])} as tsv").drop("_t", "_s")
 
 
 def with_query_terms(queries: DataFrame, mode: str = "simple", reference_compat: bool = False) -> DataFrame:
     """Add ``terms``, the distinct sorted prefix terms of ``norm``.
 
     Tokens go through the same word splitting and normalisation as indexed text, so operator
-    characters in user text vanish. With ``reference_compat`` a query holding such characters has
-    no terms at all (there it is a syntax error that ends in an empty answer).
+    characters in user text vanish. With ``reference_compat`` a long query holding such characters
+    is dropped (there it is a syntax error that ends in an empty answer).
     """
-    if mode == "simple":
-        lexed = queries.withColumn("_w", lexemes("norm"))
-    elif mode == "english":
-        lexed = queries.withColumn("_w", stem_words(lexemes("norm")))
-    else:
-        raise ValueError(f"unknown text mode {mode!r}")
-    terms = F.sort_array(F.array_distinct(F.filter("_w", lambda t: t.isNotNull())))
+    out = queries
     if reference_compat:
-        terms = F.when(has_operator_chars("norm"), F.array().cast("array<string>")).otherwise(terms)
-    return lexed.withColumn("terms", terms).drop("_w")
+        out = out.where((F.length("norm") <= 2) | ~F.col("norm").rlike(OPERATOR_CHARS))
+    words = _with_words(out, mode, _w="norm")
+    return words.selectExpr("*", "sort_array(array_distinct(filter(_w, t -> t is not null))) as terms").drop("_w")
 
 
-def has_operator_chars(norm: Column | str) -> Column:
-    return as_col(norm).rlike("[&|!():'\\\\<*]")
+def lexeme_line_sql(tsv: str = "tsv") -> str:
+    """SQL for all lexemes in one string, each after a blank: prefix tests become substring tests."""
+    return f"concat(' ', array_join(transform({tsv}, e -> e.lexeme), ' '))"
 
 
-def lexeme_line(tsv: Column | str) -> Column:
-    """All lexemes in one string, each after a blank: prefix tests become substring tests."""
-    return F.concat(F.lit(" "), F.array_join(F.transform(as_col(tsv), lambda e: e["lexeme"]), " "))
+def matches_all_sql(line: str = "lexeme_line", terms: str = "terms") -> str:
+    """SQL: every term is a prefix of some lexeme; no terms match nothing."""
+    return f"(size({terms}) > 0 and forall({terms}, t -> contains({line}, concat(' ', t))))"
 
 
-def matches_all(line: Column, terms: Column) -> Column:
-    """Every term is a prefix of some lexeme; no terms match nothing."""
-    return (F.size(terms) > 0) & F.forall(terms, lambda t: F.contains(line, F.concat(F.lit(" "), t)))
+def _weight_sql(label: str) -> str:
+    whens = " ".join(f"when '{k}' then {v}D" for k, v in LABEL_WEIGHTS.items())
+    return f"(case {label} {whens} end)"
 
 
-def weight_value(label: Column) -> Column:
-    out = F.lit(LABEL_WEIGHTS["D"])
-    for k in ("C", "B", "A"):
-        out = F.when(label == k, F.lit(LABEL_WEIGHTS[k])).otherwise(out)
-    return out
+def term_hits_sql(tsv: str = "tsv", terms: str = "terms") -> str:
+    """SQL: per term, its matching entries as (lexeme, pos, w), sorted by lexeme and position."""
+    return (f"transform({terms}, t -> transform(filter({tsv}, e -> startswith(e.lexeme, t)), "
+            f"e -> named_struct('lexeme', e.lexeme, 'pos', e.pos, 'w', {_weight_sql('e.weight')})))")
 
 
-def _single_term_rank(hits: Column) -> Column:
-    """Sum over matched lexemes of (best weight + decayed rest); ``hits`` is sorted by lexeme, pos."""
-    zero = F.struct(F.lit("").alias("lexeme"), F.lit(0.0).alias("j"), F.lit(0.0).alias("decayed"),
-                    F.lit(0.0).alias("best"), F.lit(0.0).alias("best_j"), F.lit(0.0).alias("total"))
+def _single_term_sql(hits: str) -> str:
+    """Sum over matched lexemes of (best weight + decayed rest)."""
+    closed = f"if(a.j > 0, (a.best + a.decayed - a.best / (a.best_j * a.best_j)) / {PI_SQUARED_OVER_SIX}D, 0D)"
+    same = "(a.j > 0 and a.lexeme = e.lexeme)"
+    j = f"if({same}, a.j + 1D, 1D)"
+    better = f"(not {same} or e.w > a.best)"
+    return f"""aggregate({hits},
+        named_struct('lexeme', '', 'j', 0D, 'decayed', 0D, 'best', 0D, 'best_j', 0D, 'total', 0D),
+        (a, e) -> named_struct('lexeme', e.lexeme, 'j', {j},
+            'decayed', if({same}, a.decayed, 0D) + e.w / ({j} * {j}),
+            'best', if({better}, e.w, a.best), 'best_j', if({better}, {j}, a.best_j),
+            'total', if({same}, a.total, a.total + {closed})),
+        a -> a.total + {closed})"""
 
-    def closed(a: Column) -> Column:
-        return F.when(a["j"] > 0, (a["best"] + a["decayed"] - a["best"] / (a["best_j"] * a["best_j"]))
-                      / F.lit(PI_SQUARED_OVER_SIX)).otherwise(F.lit(0.0))
 
-    def step(a: Column, e: Column) -> Column:
-        w = weight_value(e["weight"])
-        same = (a["j"] > 0) & (a["lexeme"] == e["lexeme"])
-        j = F.when(same, a["j"] + 1).otherwise(F.lit(1.0))
-        better = ~same | (w > a["best"])
-        return F.struct(
-            e["lexeme"].alias("lexeme"), j.alias("j"),
-            (F.when(same, a["decayed"]).otherwise(F.lit(0.0)) + w / (j * j)).alias("decayed"),
-            F.when(better, w).otherwise(a["best"]).alias("best"),
-            F.when(better, j).otherwise(a["best_j"]).alias("best_j"),
-            F.when(same, a["total"]).otherwise(a["total"] + closed(a)).alias("total"))
-
-    return F.aggregate(hits, zero, step, lambda a: a["total"] + closed(a))
+def _pairwise_sql(hits: str) -> str:
+    """1 - prod(1 - c) over position pairs of two different terms. Of the earlier term only the
+    positions of its last matching lexeme count."""
+    last = f"transform({hits}, h -> filter(h, e -> e.lexeme = element_at(h, -1).lexeme))"
+    d = "double(abs(p.pos - q.pos))"
+    c = f"if(p.pos = q.pos, 0D, sqrt(p.w * q.w * if({d} > 100, 1e-30D, 1D / (1.005D + 0.05D * exp({d} / 1.5D - 2D)))))"
+    return f"""1D - aggregate(sequence(1, size({hits}) - 1), 1D,
+        (acc, k) -> acc * aggregate(flatten(slice({last}, 1, k)), 1D,
+            (x, p) -> x * aggregate({hits}[k], 1D, (y, q) -> y * (1D - {c}))))"""
 
 
-def _pair_value(p: Column, q: Column) -> Column:
-    d = F.abs(p["pos"] - q["pos"]).cast("double")
-    near = F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2.0)))
-    return F.when(d > 0, F.sqrt(weight_value(p["weight"]) * weight_value(q["weight"]) * near)).otherwise(F.lit(0.0))
+def rank_sql(hits: str) -> str:
+    """SQL for the rank of AND-ed prefix terms, given their hits; 0 when nothing matches."""
+    return (f"(case when coalesce(size({hits}), 0) = 0 then 0D when size({hits}) = 1 then {_single_term_sql(hits + '[0]')} "
+            f"else {_pairwise_sql(hits)} end)")
 
 
-def _pairwise_rank(per_term: Column) -> Column:
-    """1 - prod(1 - c) over position pairs of two different terms. Of the earlier term only the
-    positions of its last matching lexeme count, as in the reference ranking."""
-    last = F.transform(per_term, lambda hits: F.filter(
-        hits, lambda e: e["lexeme"] == F.element_at(hits, -1)["lexeme"]))
-    miss = F.aggregate(
-        F.sequence(F.lit(1), F.size(per_term) - 1), F.lit(1.0),
-        lambda acc, k: acc * F.aggregate(
-            F.flatten(F.slice(last, F.lit(1), k)), F.lit(1.0),
-            lambda inner, p: inner * F.aggregate(
-                F.element_at(per_term, (k + 1).cast("int")), F.lit(1.0),
-                lambda x, q: x * (1.0 - _pair_value(p, q)))))
-    return 1.0 - miss
-
-
-def ts_rank(tsv: Column | str, terms: Column | str) -> Column:
-    """Rank of a vector for AND-ed prefix terms; 0 when nothing matches."""
-    tsv, terms = as_col(tsv), as_col(terms)
-    per_term = F.transform(terms, lambda t: F.filter(tsv, lambda e: F.startswith(e["lexeme"], t)))
-    return (F.when(F.size(terms) == 0, F.lit(0.0))
-            .when(F.size(terms) == 1, _single_term_rank(F.element_at(per_term, 1)))
-            .otherwise(_pairwise_rank(per_term)))
+def with_ts_rank(df: DataFrame, tsv: str = "tsv", terms: str = "terms", name: str = "rank") -> DataFrame:
+    """Add the rank of a vector for AND-ed prefix terms."""
+    return (df.selectExpr("*", f"{term_hits_sql(tsv, terms)} as _hits")
+            .selectExpr("*", f"{rank_sql('_hits')} as {name}").drop("_hits"))

@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkseek.functions.text import as_col, control_trim
 
+def parse(json: str) -> Column:
+    """VARIANT of the text column, null when it is not JSON."""
+    return F.expr(f"try_parse_json({json})")
 
-def parse(json: Column | str) -> Column:
-    """VARIANT of the text, null when it is not JSON."""
-    return F.try_parse_json(as_col(json))
 
+def _kind(v: str, field: str) -> str:
+    return f"schema_of_variant(try_variant_get({v}, '$.{field}', 'variant'))"
 
-def _kind(v: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
+def text_sql(v: str, field: str) -> str:
+    """SQL: missing, null, object and array give an empty text; scalars give their text without
+    surrounding characters up to U+0020."""
+    text = f"try_variant_get({v}, '$.{field}', 'string')"
+    scalar = f"if({_kind(v, field)} rlike '^(OBJECT|ARRAY)', '', {text})"
+    return f"coalesce(regexp_replace({scalar}, r'^[\\x00-\\x20]+|[\\x00-\\x20]+$', ''), '')"
 
-def text_field(v: Column | str, field: str) -> Column:
-    """Missing, null, object and array give an empty text; scalars give their trimmed text."""
-    v = as_col(v)
-    kind = _kind(v, field)
-    scalar = kind.isNotNull() & ~kind.rlike("^(OBJECT|ARRAY)")
-    text = F.when(scalar, F.try_variant_get(v, f"$.{field}", "string"))
-    return control_trim(F.coalesce(text, F.lit("")))
 
-
-def bool_field(v: Column | str, field: str, missing: bool = False) -> Column:
-    """JSON true, the text "true" or a non-zero number are true; a missing or null field is
+def bool_sql(v: str, field: str, missing: bool = False) -> str:
+    """SQL: JSON true, the text "true" or a non-zero number are true; a missing or null field is
     ``missing``; anything else is false."""
-    v = as_col(v)
-    kind = _kind(v, field)
-    text = F.try_variant_get(v, f"$.{field}", "string")
-    value = (F.when(kind == "BOOLEAN", text == "true")
-             .when(kind == "STRING", F.trim(text) == "true")
-             .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double") != 0)
-             .otherwise(F.lit(False)))
-    return F.when(kind.isNull() | (kind == "VOID"), F.lit(missing)).otherwise(F.coalesce(value, F.lit(False)))
+    text, kind = f"try_variant_get({v}, '$.{field}', 'string')", _kind(v, field)
+    return (f"coalesce(case when coalesce({kind}, 'VOID') = 'VOID' then {str(missing).lower()} "
+            f"when {kind} in ('BOOLEAN', 'STRING') then trim({text}) = 'true' "
+            f"when {kind} rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' then try_cast({text} as double) <> 0 "
+            f"else false end, false)")
+
+
+def text_field(v: str, field: str) -> Column:
+    return F.expr(text_sql(v, field))
+
+
+def bool_field(v: str, field: str, missing: bool = False) -> Column:
+    return F.expr(bool_sql(v, field, missing))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters counted as white space by Unicode-aware strip / blank tests
@@ -63,11 +63,6 @@ def prefix_tsquery(tokens: Column | str) -> Column:
     return F.array_join(F.transform(as_col(tokens), lambda t: F.concat(t, F.lit(":*"))), " & ")
 
 
-def words(c: Column | str) -> Column:
-    """Lower-cased runs of letters and digits, in text order."""
-    return F.regexp_extract_all(F.lower(as_col(c)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-
-
 def like_pattern(pattern: Column | str) -> Column:
     """Drop escapes in front of ordinary characters, which Spark's LIKE rejects but which are
     harmless elsewhere; escapes of ``% _ \\`` stay."""
@@ -79,17 +74,25 @@ def escape_like(term: Column | str) -> Column:
     return F.regexp_replace(as_col(term), "([%_\\\\])", "\\\\$1")
 
 
-def has_wildcard(term: Column | str) -> Column:
-    return as_col(term).rlike("[%_\\\\]")
+def with_like_columns(queries: DataFrame, term: str = "term") -> DataFrame:
+    """Add ``pattern`` (``%term%``, wildcards in the term stay wildcards) and ``is_wild``."""
+    return (queries.withColumn("pattern", like_pattern(F.concat(F.lit("%"), F.col(term), F.lit("%"))))
+            .withColumn("is_wild", F.col(term).rlike("[%_\\\\]")))
+
+
+def contains_like_sql(text: str) -> str:
+    """SQL: ``text LIKE pattern``; plain terms take the cheaper substring test."""
+    return f"coalesce(if(is_wild, {text} like pattern, contains({text}, term)), false)"
 
 
-def contains_like(text: Column, term: Column) -> Column:
-    """``text LIKE '%' || term || '%'`` where wildcards in the term stay wildcards.
+def staged(df: DataFrame, *keep: str, **exprs: str) -> DataFrame:
+    """Compute SQL expressions once per row and hand them on as plain columns.
 
-    Plain terms take the cheaper substring test.
+    The one-row generator keeps the optimizer from copying the expressions into every later filter
+    and projection that mentions them.
     """
-    pattern = like_pattern(F.concat(F.lit("%"), term, F.lit("%")))
-    return F.when(has_wildcard(term), F.like(text, pattern)).otherwise(F.contains(text, term))
+    fields = ", ".join(f"{e} as {n}" for n, e in exprs.items())
+    return df.selectExpr(*keep, f"inline_outer(array(struct({fields})))")
 
 
 def sql_literal_like(text: Column, term: str, prefix: bool = False, escape_wildcards: bool = False) -> Column:

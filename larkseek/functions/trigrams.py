@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkseek.functions.text import as_col
-
 # A padded word carries two blanks on its left and one on its right, so these are the shapes a
 # three-character window can take inside one word; windows across two words match none of them.
 _GRAM = "(?=( {2}[^ ]| [^ ]{2}|[^ ]{3}|[^ ]{2} | [^ ] ))"
 
 
-def trigram_set(c: Column | str) -> Column:
-    """Distinct padded trigrams of the lower-cased words of a text; null for null."""
-    spaced = F.regexp_replace(F.lower(as_col(c)), "[^\\p{L}\\p{N}]+", "  ")
-    padded = F.concat(F.lit("  "), spaced, F.lit(" "))
-    return F.array_distinct(F.regexp_extract_all(padded, F.lit(_GRAM), F.lit(1)))
+def trigram_sql(text: str) -> str:
+    """SQL for the distinct padded trigrams of the lower-cased words of a text; null for null."""
+    return (f"array_distinct(regexp_extract_all(concat('  ', regexp_replace(lower({text}), "
+            f"r'[^\\p{{L}}\\p{{N}}]+', '  '), ' '), r'{_GRAM}', 1))")
+
+
+def jaccard_sql(a: str, b: str) -> str:
+    """SQL for |a∩b| / |a∪b| of two distinct-element array columns; null if either is null, 0 if
+    both are empty."""
+    common = f"size(array_intersect({a}, {b}))"
+    return (f"(case when {a} is null or {b} is null then null when size({a}) + size({b}) = 0 then 0D "
+            f"else {common} / double(size({a}) + size({b}) - {common}) end)")
 
 
-def jaccard(a: Column | str, b: Column | str) -> Column:
-    """|a∩b| / |a∪b| of two distinct-element arrays; null if either is null, 0 if both are empty."""
-    a, b = as_col(a), as_col(b)
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    union = F.size(a) + F.size(b) - common
-    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-            .when(union > 0, common / union).otherwise(F.lit(0.0)))
+def qgrams_sql(text: str, q: int) -> str:
+    """SQL for all distinct q-character windows of the text as it stands."""
+    return f"array_distinct(regexp_extract_all({text}, r'(?s)(?=(.{{{q}}}))', 1))"
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    return jaccard(trigram_set(a), trigram_set(b))
+def trigram_set(text: str) -> Column:
+    return F.expr(trigram_sql(text))
 
 
-def qgrams(c: Column | str, q: int) -> Column:
-    """All distinct q-character windows of the text as it stands."""
-    return F.array_distinct(F.regexp_extract_all(as_col(c), F.lit("(?s)(?=(.{%d}))" % q), F.lit(1)))
+def similarity(a: str, b: str) -> Column:
+    """Similarity of two text columns."""
+    return F.expr(jaccard_sql(trigram_sql(a), trigram_sql(b)))

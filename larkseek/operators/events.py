@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkseek.functions import json_fields as J
-from larkseek.functions.text import is_blank
+from larkseek.functions.text import SPACE_CLASS, staged
 from larkseek.schemas import TOPICS
 
 
@@ -29,13 +29,13 @@ KINDS = (
 )
 
 
-def _by_topic(pick) -> Column:
-    """One column out of a per-topic choice."""
-    out = None
-    for k in KINDS:
-        cond = F.col("topic") == TOPICS[k.entity]
-        out = F.when(cond, pick(k)) if out is None else out.when(cond, pick(k))
-    return out
+def _by_topic(pick) -> str:
+    """SQL for one value out of a per-topic choice."""
+    return "(case topic " + " ".join(f"when '{TOPICS[k.entity]}' then {pick(k)}" for k in KINDS) + " end)"
+
+
+_HANDLED = ", ".join(f"'{TOPICS[k.entity]}'" for k in KINDS)
+_TEXT = f"rlike r'[^{SPACE_CLASS}]'"
 
 
 def event_actions(records: DataFrame, visible_default: bool = False, accept_mls_snake: bool = False) -> DataFrame:
@@ -45,38 +45,33 @@ def event_actions(records: DataFrame, visible_default: bool = False, accept_mls_
     subtitle, version`` to the record coordinates. Checks run in the order tombstone, JSON, ids,
     type, visibility, title; an invisible create or update is a delete even with a blank title.
     """
-    parsed = records.where(F.col("topic").isin([TOPICS[k.entity] for k in KINDS])).withColumn("_v", J.parse("value"))
-    mls = J.text_field("_v", "mlsId")
+    place = [c for c in ("topic", "partition", "offset") if c in records.columns]
+    mls = J.text_sql("v", "mlsId")
     if accept_mls_snake:
-        mls = F.when(mls == "", J.text_field("_v", "mls_id")).otherwise(mls)
-    fields = parsed.select(
-        *[c for c in ("topic", "partition", "offset") if c in records.columns],
-        F.col("value").isNull().alias("_null"), F.col("_v").isNull().alias("_bad"),
-        F.upper(J.text_field("_v", "type")).alias("event_type"),
-        _by_topic(lambda k: F.lit(k.entity)).alias("entity_type"),
-        J.text_field("_v", "tenantId").alias("tenant_id"),
-        _by_topic(lambda k: J.text_field("_v", k.id_key)).alias("entity_id"),
-        J.text_field("_v", "title").alias("title"), J.text_field("_v", "subtitle").alias("_sub"),
-        _by_topic(lambda k: mls if k.appends_mls else F.lit("")).alias("_mls"),
-        J.bool_field("_v", "visible", visible_default).alias("_visible"),
-        F.try_variant_get("_v", "$.version", "bigint").alias("version"))
-    verb = F.substring("event_type", F.length("entity_type") + 1, F.lit(100))
-    verb = F.when(F.startswith("event_type", F.col("entity_type")), verb)
-    writes = verb.isin("CREATED", "UPDATED")
-    reason = (F.when(F.col("_null"), "tombstone").when(F.col("_bad"), "bad_json")
-              .when(is_blank("tenant_id") | is_blank("entity_id"), "missing_ids")
-              .when(~F.coalesce(writes | (verb == "DELETED"), F.lit(False)), "unknown_type")
-              .when(writes & F.col("_visible") & is_blank("title"), "missing_title"))
-    subtitle = F.concat(*[F.when(is_blank(c), F.lit("")).otherwise(F.col(c)) for c in ("_sub", "_mls")])
-    out = fields.withColumn("skip_reason", reason).withColumn(
-        "action", F.when(F.col("skip_reason").isNotNull(), "SKIP")
-        .when(writes & F.col("_visible"), "UPSERT").otherwise("DELETE"))
-    upsert = F.col("action") == "UPSERT"
-    return out.select(
-        *[c for c in ("topic", "partition", "offset") if c in records.columns],
-        "entity_type", "tenant_id", "entity_id", "event_type", "action", "skip_reason",
-        F.when(upsert, F.col("title")).alias("title"),
-        F.when(upsert, F.nullif(subtitle, F.lit(""))).alias("subtitle"), "version")
+        mls = f"coalesce(nullif({mls}, ''), {J.text_sql('v', 'mls_id')})"
+    parsed = records.where(f"topic in ({_HANDLED})").selectExpr(
+        *place, "value is null as is_null", "try_parse_json(value) as v")
+    fields = staged(
+        parsed, *place, "is_null", "v is null as is_bad",
+        event_type=f"upper({J.text_sql('v', 'type')})", entity_type=_by_topic(lambda k: f"'{k.entity}'"),
+        tenant_id=J.text_sql("v", "tenantId"), entity_id=_by_topic(lambda k: J.text_sql("v", k.id_key)),
+        title=J.text_sql("v", "title"), sub=J.text_sql("v", "subtitle"),
+        mls=_by_topic(lambda k: mls if k.appends_mls else "''"), shown=J.bool_sql("v", "visible", visible_default),
+        version="try_variant_get(v, '$.version', 'bigint')")
+    writes = "event_type in (concat(entity_type, 'CREATED'), concat(entity_type, 'UPDATED'))"
+    judged = staged(
+        fields, *place, "entity_type", "tenant_id", "entity_id", "event_type", "title", "sub", "mls", "version",
+        writes=f"{writes} and shown",
+        skip_reason=f"""case when is_null then 'tombstone' when is_bad then 'bad_json'
+            when not (tenant_id {_TEXT} and entity_id {_TEXT}) then 'missing_ids'
+            when not ({writes} or event_type = concat(entity_type, 'DELETED')) then 'unknown_type'
+            when {writes} and shown and not title {_TEXT} then 'missing_title' end""")
+    upsert = "skip_reason is null and writes"
+    return judged.selectExpr(
+        *place, "entity_type", "tenant_id", "entity_id", "event_type",
+        "case when skip_reason is not null then 'SKIP' when writes then 'UPSERT' else 'DELETE' end as action",
+        "skip_reason", f"if({upsert}, title, null) as title",
+        f"if({upsert}, nullif(concat(if(sub {_TEXT}, sub, ''), if(mls {_TEXT}, mls, '')), ''), null) as subtitle", "version")
 
 
 def effective(actions: DataFrame) -> DataFrame:
@@ -89,13 +84,12 @@ def dead_letters(actions: DataFrame) -> DataFrame:
 
 def bulk_delete_actions(records: DataFrame) -> DataFrame:
     """Bulk-delete records (an array of ids, no type) as one DELETE action per id."""
-    v = records.withColumn("_v", J.parse("value"))
-    ids = _by_topic(lambda k: F.try_variant_get("_v", f"$.{k.bulk_key}", "array<string>"))
-    return (v.select(*[c for c in ("topic", "partition", "offset") if c in records.columns],
-                     _by_topic(lambda k: F.lit(k.entity)).alias("entity_type"),
-                     J.text_field("_v", "tenantId").alias("tenant_id"), F.explode(ids).alias("entity_id"))
-            .where(~is_blank("tenant_id") & ~is_blank("entity_id"))
-            .withColumn("action", F.lit("DELETE")))
+    place = [c for c in ("topic", "partition", "offset") if c in records.columns]
+    ids = _by_topic(lambda k: f"try_variant_get(v, '$.{k.bulk_key}', 'array<string>')")
+    rows = staged(records.selectExpr("topic", *[c for c in place if c != "topic"], "try_parse_json(value) as v"), *place,
+                  entity_type=_by_topic(lambda k: f"'{k.entity}'"), tenant_id=J.text_sql("v", "tenantId"), ids=ids)
+    return (rows.selectExpr(*place, "entity_type", "tenant_id", "explode_outer(ids) as entity_id")
+            .where(f"tenant_id {_TEXT} and entity_id {_TEXT}").selectExpr("*", "'DELETE' as action"))
 
 
 # ---- producing side -------------------------------------------------------------------------

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkseek.functions.fulltext import lexeme_line, matches_all, ts_rank, with_item_tsv, with_query_terms
-from larkseek.functions.text import contains_like, normalize_query
-from larkseek.functions.trigrams import jaccard, qgrams, trigram_set
+from larkseek.functions.fulltext import (lexeme_line_sql, matches_all_sql, rank_sql, term_hits_sql, with_item_tsv,
+                                         with_query_terms)
+from larkseek.functions.text import contains_like_sql, normalize_query, staged, with_like_columns
+from larkseek.functions.trigrams import jaccard_sql, qgrams_sql, trigram_sql
 from larkseek.schemas import ENTITY_TYPES, HIT_PREFIX
 
 # Candidate cap, short-query length, score weights.
@@ -30,15 +31,14 @@ def with_search_columns(items: DataFrame, mode: str = "simple") -> DataFrame:
     """
     if "probe_keys" in items.columns:
         return items
-    out = (with_item_tsv(items, mode)
-           .withColumn("title_lc", F.lower("title")).withColumn("subtitle_lc", F.lower("subtitle")))
-    texts = [F.col("title_lc"), F.coalesce("subtitle_lc", F.lit(""))]
-    keys = [F.array(F.lit(""))] + [qgrams(t, q) for t in texts for q in (1, 2, 3)]
+    sub = "coalesce(subtitle_lc, '')"
+    keys = ["array('')"] + [qgrams_sql(t, q) for t in ("title_lc", sub) for q in (1, 2, 3)]
     if mode == "english":
-        keys += [F.transform("tsv", lambda e, q=q: F.substring(e["lexeme"], 1, q)) for q in (1, 2, 3)]
-    return (out.withColumn("lexeme_line", lexeme_line("tsv"))
-            .withColumn("title_tg", trigram_set("title_lc")).withColumn("subtitle_tg", trigram_set("subtitle_lc"))
-            .withColumn("probe_keys", F.array_distinct(F.concat(*keys))))
+        keys += [f"transform(tsv, e -> substring(e.lexeme, 1, {q}))" for q in (1, 2, 3)]
+    out = with_item_tsv(items, mode).selectExpr("*", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc")
+    return staged(out, *items.columns, "title_lc", "subtitle_lc", "tsv",
+                  lexeme_line=lexeme_line_sql(), title_tg=trigram_sql("title_lc"), subtitle_tg=trigram_sql("subtitle_lc"),
+                  probe_keys=f"array_distinct(concat({', '.join(keys)}))")
 
 
 def distinct_queries(queries: DataFrame, mode: str = "simple", reference_compat: bool = False) -> DataFrame:
@@ -47,24 +47,19 @@ def distinct_queries(queries: DataFrame, mode: str = "simple", reference_compat:
     Type-ahead logs repeat themselves; equal queries are answered once and joined back later.
     """
     base = (queries.select("tenant_id", normalize_query("q").alias("norm"))
-            .where((F.col("norm") != "") & F.col("tenant_id").isNotNull()).distinct())
+            .where("norm <> '' and tenant_id is not null").distinct())
     out = (with_query_terms(base, mode, reference_compat)
-           .withColumn("term", F.lower("norm"))
-           .withColumn("is_short", F.length("norm") <= SHORT_LENGTH)
-           .withColumn("term_tg", trigram_set(F.lower("norm"))))
-    if reference_compat:
-        from larkseek.functions.fulltext import has_operator_chars
-        out = out.where(F.col("is_short") | ~has_operator_chars("norm"))
-    return out
+           .selectExpr("*", "lower(norm) as term", f"length(norm) <= {SHORT_LENGTH} as is_short",
+                       f"{trigram_sql('norm')} as term_tg"))
+    return with_like_columns(out)
 
 
 def like_match() -> Column:
-    return (F.coalesce(contains_like(F.col("title_lc"), F.col("term")), F.lit(False))
-            | F.coalesce(contains_like(F.col("subtitle_lc"), F.col("term")), F.lit(False)))
+    return F.expr(contains_like_sql("title_lc") + " or " + contains_like_sql("subtitle_lc"))
 
 
 def fts_match() -> Column:
-    return matches_all(F.col("lexeme_line"), F.col("terms"))
+    return F.expr(matches_all_sql())
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -78,19 +73,14 @@ def scored(pairs: DataFrame) -> DataFrame:
     Long queries: 0.9 rank + 0.3 title similarity. Short ones: 0.3 best similarity, rank 0. Scores
     are rounded to six digits, so the tie order never hangs on the last bit of a double.
     """
-    title, sub = jaccard("title_tg", "term_tg"), jaccard("subtitle_tg", "term_tg")
-    rank = F.when(F.col("is_short"), F.lit(0.0)).otherwise(ts_rank("tsv", "terms"))
-    return (pairs.withColumn("_title_sim", title)
-            .withColumn("trigram", F.round(F.greatest("_title_sim", sub), SCORE_DIGITS))
-            .withColumn("_best", F.greatest("_title_sim", sub))
-            .withColumn("_rank", rank)
-            .withColumn("fts_score", F.round("_rank", SCORE_DIGITS))
-            .withColumn("score", F.round(
-                F.when(F.col("is_short"), F.col("_best") * TRIGRAM_WEIGHT)
-                .otherwise(F.col("_rank") * RANK_WEIGHT + F.greatest(F.lit(0.0), F.col("_title_sim")) * TRIGRAM_WEIGHT),
-                SCORE_DIGITS))
-            .drop("_title_sim", "_best", "_rank"))
-
+    parts = pairs.selectExpr(
+        "*", f"{jaccard_sql('title_tg', 'term_tg')} as _title_sim", f"{jaccard_sql('subtitle_tg', 'term_tg')} as _sub_sim",
+        f"if(is_short, null, {term_hits_sql()}) as _hits")
+    ranked = parts.selectExpr("*", f"{rank_sql('_hits')} as _rank")
+    return ranked.selectExpr(
+        "*", f"round(greatest(_title_sim, _sub_sim), {SCORE_DIGITS}) as trigram", f"round(_rank, {SCORE_DIGITS}) as fts_score",
+        f"round(if(is_short, greatest(_title_sim, _sub_sim) * {TRIGRAM_WEIGHT}D, _rank * {RANK_WEIGHT}D + "
+        f"greatest(0D, _title_sim) * {TRIGRAM_WEIGHT}D), {SCORE_DIGITS}) as score").drop("_title_sim", "_sub_sim", "_hits", "_rank")
 
 
 def _order() -> list[Column]:
@@ -143,28 +133,14 @@ def hits_by_type(hits: DataFrame, keys: Sequence[str] = QUERY_KEY) -> DataFrame:
                     F.transform("_o", lambda e: e["entity_id"]).alias("entity_ids")))
 
 
-def hit_id(entity_type: str = "entity_type", entity_id: str = "entity_id") -> Column:
-    prefix = None
-    for t in ENTITY_TYPES:
-        c = F.col(entity_type) == t
-        prefix = F.when(c, HIT_PREFIX[t]) if prefix is None else prefix.when(c, HIT_PREFIX[t])
-    return F.concat(prefix, F.col(entity_id))
-
-
-def _hit_struct(entity: str) -> Column:
-    cols = [F.col("type_rank"), hit_id().alias("id"), F.col("title"),
-            F.nullif("subtitle", F.lit("")).alias("subtitle"), F.col("norm_score").cast("float").alias("score"),
-            F.col("entity_id").alias(f"{entity.lower()}Id")]
-    if entity == "LISTING":
-        cols.append(F.lit(None).cast("string").alias("mlsId"))
-    return F.struct(*cols)
+def _hit_sql(entity: str) -> str:
+    mls = ", cast(null as string) as mlsId" if entity == "LISTING" else ""
+    return (f"sort_array(collect_list(if(entity_type = '{entity}', struct(type_rank, "
+            f"concat('{HIT_PREFIX[entity]}', entity_id) as id, title, nullif(subtitle, '') as subtitle, "
+            f"float(norm_score) as score, entity_id as {entity.lower()}Id{mls}), null))) as {entity.lower()}")
 
 
 def grouped_hits(ranked: DataFrame, keys: Sequence[str] = QUERY_KEY) -> DataFrame:
     """One row per query with six hit arrays in rank order. ``ranked`` comes from
     :func:`topn_per_type`, which bounds every array."""
-    aggs = []
-    for t in ENTITY_TYPES:
-        rows = F.sort_array(F.collect_list(F.when(F.col("entity_type") == t, _hit_struct(t))))
-        aggs.append(rows.alias(t.lower()))
-    return ranked.groupBy(*keys).agg(*aggs)
+    return ranked.groupBy(*keys).agg(*[F.expr(_hit_sql(t)) for t in ENTITY_TYPES])

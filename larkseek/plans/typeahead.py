@@ -7,10 +7,10 @@ verified exactly. Nothing pairs all queries with all items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.functions.trigrams import qgrams
+from larkseek.functions.trigrams import qgrams_sql
 from larkseek.operators import ranking as R
 from larkseek.operators.reads import group_limit
 from larkseek.functions.text import normalize_query
@@ -30,12 +30,12 @@ def gram_stats(items: DataFrame, mode: str = "simple") -> DataFrame:
             .groupBy("tenant_id", "key").agg(F.count("*").alias("n_items")))
 
 
-def _windows(parts: Column) -> Column:
-    """Windows of the longest usable size (3, 2, 1) found in the parts; the empty key if none."""
-    def of(q: int) -> Column:
-        return F.array_distinct(F.flatten(F.transform(parts, lambda p: qgrams(p, q))))
-    return (F.when(F.size(of(3)) > 0, of(3)).when(F.size(of(2)) > 0, of(2))
-            .when(F.size(of(1)) > 0, of(1)).otherwise(F.array(F.lit(""))))
+def _windows(parts: str) -> str:
+    """SQL for the windows of the longest usable size (3, 2, 1) in the parts; the empty key if none."""
+    def of(q: int) -> str:
+        return f"array_distinct(flatten(transform({parts}, p -> {qgrams_sql('p', q)})))"
+    longest = f"coalesce(array_max(transform({parts}, p -> length(p))), 0)"
+    return f"case when {longest} >= 3 then {of(3)} when {longest} = 2 then {of(2)} when {longest} = 1 then {of(1)} else array('') end"
 
 
 def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str = "simple") -> DataFrame:
@@ -46,36 +46,29 @@ def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str =
     implies every window of each term (in english mode: the head of each term). One shared window
     serves both branches; only when there is none are two probes needed.
     """
-    literal = _windows(F.split("term", "\\\\.|[%_\\\\]"))
-    heads = F.transform("terms", lambda t: F.substring(t, 1, 3)) if mode == "english" else None
-    fts = _windows(F.col("terms")) if heads is None else F.array_distinct(heads)
-    q = (queries.withColumn("_like", literal)
-         .withColumn("_fts", F.when(~F.col("is_short") & (F.size("terms") > 0), fts))
-         .withColumn("_both", F.array_intersect("_like", "_fts")))
-    single = F.col("_fts").isNull() | (F.size("_both") > 0)
-    q = q.withColumn("_first", F.when(F.col("_fts").isNull(), F.col("_like"))
-                     .when(F.size("_both") > 0, F.col("_both")).otherwise(F.col("_like"))) \
-         .withColumn("_second", F.when(~single, F.col("_fts")))
+    fts = "array_distinct(transform(terms, t -> substring(t, 1, 3)))" if mode == "english" else _windows("terms")
+    q = queries.selectExpr("*", r"split(term, r'\\.|[%_\\]') as _literals").selectExpr(
+        "*", f"{_windows('_literals')} as _like", f"if(is_short or size(terms) = 0, null, {fts}) as _fts")
+    q = q.selectExpr("*", "array_intersect(_like, _fts) as _both").selectExpr(
+        "*", "if(_fts is null or size(_both) = 0, _like, _both) as _first",
+        "if(_fts is not null and size(_both) = 0, _fts, null) as _second")
     if stats is None:
         # Without counts take the last window: endings (digits of a number, a second word) tell
         # entities apart better than shared beginnings.
-        q = q.withColumn("_k1", F.element_at("_first", -1)).withColumn("_k2", F.element_at("_second", -1))
+        q = q.selectExpr("*", "element_at(_first, -1) as _k1", "element_at(_second, -1) as _k2")
     else:
         q = _rarest(q, stats)
-    probes = F.when(F.col("_k2").isNull(), F.array(F.struct(F.col("_k1").alias("key"), F.lit(None).cast("string").alias("skip_if")))) \
-        .otherwise(F.array(F.struct(F.col("_k1").alias("key"), F.lit(None).cast("string").alias("skip_if")),
-                           F.struct(F.col("_k2").alias("key"), F.col("_k1").alias("skip_if"))))
-    return (q.withColumn("_p", F.explode_outer(probes))
-            .select(*R.QUERY_KEY, "term", "terms", "is_short", "term_tg", "_p.key", "_p.skip_if"))
+    return q.selectExpr(
+        *R.QUERY_KEY, "term", "terms", "is_short", "term_tg", "pattern", "is_wild",
+        "inline_outer(filter(array(struct(_k1 as key, cast(null as string) as skip_if), struct(_k2 as key, _k1 as skip_if)), "
+        "p -> p.key is not null))")
 
 
 def _rarest(q: DataFrame, stats: DataFrame) -> DataFrame:
     """Pick the window with the fewest items for each slot; unknown windows count zero."""
-    options = (q.select(*R.QUERY_KEY, F.explode_outer(F.concat(
-                    F.transform("_first", lambda k: F.struct(F.lit(1).alias("slot"), k.alias("key"))),
-                    F.coalesce(F.transform("_second", lambda k: F.struct(F.lit(2).alias("slot"), k.alias("key"))),
-                               F.array().cast("array<struct<slot:int,key:string>>")))).alias("o"))
-               .select(*R.QUERY_KEY, "o.slot", "o.key"))
+    options = q.selectExpr(
+        *R.QUERY_KEY, "inline_outer(concat(transform(_first, k -> struct(1 as slot, k as key)), "
+        "coalesce(transform(_second, k -> struct(2 as slot, k as key)), array())))")
     counted = options.join(stats.select("tenant_id", "key", "n_items"), ["tenant_id", "key"], "left")
     cost = F.struct(F.coalesce("n_items", F.lit(0)), "key")
     best = counted.groupBy(*R.QUERY_KEY).agg(
@@ -142,15 +135,8 @@ def typeahead_batch(queries: DataFrame, items: DataFrame, **how) -> DataFrame:
                            group_limit(F.col("limit_per_group")).alias("n"))
     grouped = R.grouped_hits(ranked_hits(queries, items, **how))
     joined = asked.join(grouped, R.QUERY_KEY, "left")
-    cols = []
-    for t in ENTITY_TYPES:
-        name = t.lower()
-        hit_type = dict(grouped.dtypes)[name]
-        # each query takes its own number of hits from the shared answer
-        cols.append(F.slice(F.coalesce(F.col(name), F.array().cast(hit_type)), F.lit(1), F.col("n")).alias(name))
+    # each query takes its own number of hits from the shared answer
+    cols = [F.expr(f"slice(coalesce({t.lower()}, array()), 1, n) as {t.lower()}") for t in ENTITY_TYPES]
     out = joined.select("query_id", "tenant_id", "q", *cols)
-    some = None
-    for t in ENTITY_TYPES:
-        c = F.size(t.lower()) > 0
-        some = c if some is None else some | c
-    return out.withColumn("result", F.when(some, "ok").otherwise("empty"))
+    some = " or ".join(f"size({t.lower()}) > 0" for t in ENTITY_TYPES)
+    return out.selectExpr("*", f"if({some}, 'ok', 'empty') as result")
