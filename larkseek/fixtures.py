@@ -169,3 +169,46 @@ def customer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         (F.lit(10_000_000_000) + F.col("c_custkey")).alias("query_id"), _tenant("c_custkey").alias("tenant_id"),
         F.concat(F.lit("customer#"), F.substring("c_name", 10, 7)).alias("q"), F.lit(5).alias("limit_per_group"))
+
+
+def contact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes on contacts: good and stale updates, deletes, undeletes, bulk deletes, and inserts
+    (one per supplier, every tenth of them twice)."""
+    c = contacts(spark, sf_dir)
+    n = F.col("id").try_cast("long")
+    even = (n % 2 == 0).cast("long")
+    none = F.lit(None)
+
+    def step(k: int, op: str, cond: Column, expected: Column, name: Column = none, label: Column = none) -> DataFrame:
+        return c.where(cond).select(
+            (n * 10 + k).alias("seq"), F.lit(op).alias("op"), "tenant_id", "id", expected.cast("long").alias("expected_version"),
+            name.cast("string").alias("full_name"), F.when(name.isNotNull(), F.col("email")).alias("email"),
+            none.cast("string").alias("phone"), label.cast("string").alias("label"))
+
+    out = step(1, "update", n % 2 == 0, F.col("version"), F.concat("full_name", F.lit(" II")), F.lit("VIP"))
+    out = out.unionByName(step(2, "update", n % 4 == 0, F.col("version"), F.lit("lost")))
+    out = out.unionByName(step(3, "delete", n % 3 == 0, F.col("version") + even))
+    out = out.unionByName(step(4, "undelete", (n % 17 == 0) & (n % 5 == 0), F.col("version") + even))
+    out = out.unionByName(step(5, "bulk_delete", n % 13 == 0, none))
+    s = referrals(spark, sf_dir)
+    m = F.col("id").try_cast("long")
+    s = s.withColumn("twice", m % 10 == 0)
+    fresh = s.select("twice", (m * 10).alias("seq"), F.lit("insert").alias("op"), "tenant_id", F.concat(F.lit("s"), "id").alias("id"),
+                     none.cast("long").alias("expected_version"), F.col("title").alias("full_name"),
+                     F.lit("new@example.com").alias("email"), none.cast("string").alias("phone"), F.col("subtitle").alias("label"))
+    again = fresh.where("twice").withColumn("seq", F.col("seq") + 1)
+    return out.unionByName(fresh.drop("twice")).unionByName(again.drop("twice"))
+
+
+def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing updates: some keep the subtitle, some keep the price, some name a wrong version or lack
+    a required field; transactions of unsupported kind included."""
+    n = F.col("id").try_cast("long")
+    return listings(spark, sf_dir).select(
+        n.alias("seq"), F.when(n % 7 == 0, "undelete").otherwise("update").alias("op"), "tenant_id", "id",
+        F.when(n % 23 == 0, F.lit(None)).otherwise(F.col("version") + (n % 5 == 0).cast("long")).alias("expected_version"),
+        F.when(n % 29 != 0, F.concat("title", F.lit(" new"))).alias("title"),
+        F.when(n % 2 == 0, F.lit("fresh")).alias("subtitle"), "mls_id",
+        F.when(n % 3 != 0, F.col("price") + F.lit("0.005").cast("decimal(19,3)")).alias("price"),
+        F.when(n % 3 != 0, F.lit(" eur ")).alias("currency"),
+        F.when(n % 31 == 0, F.lit("nobody")).when(n % 2 == 0, F.col("contact_id")).alias("contact_id"))

@@ -17,6 +17,7 @@ from larkseek.functions import json_fields as J
 from larkseek.functions import text as T
 from larkseek.functions import trigrams as G
 from larkseek.functions.money import money, money_equal, money_text
+from larkseek.operators import changes as CH
 from larkseek.operators import events as EV
 from larkseek.operators import index as IX
 from larkseek.operators import metrics as ME
@@ -588,3 +589,85 @@ def english_vocabulary(s, d):
     both = docs.unionByName(X.table(s, d, "benchmark").select(F.col("text").alias("title"))).withColumn("subtitle", F.lit(None).cast("string"))
     return (FT.with_item_tsv(both, "english").select(F.explode("tsv").alias("e")).groupBy("e.lexeme")
             .agg(F.count("*").alias("n")))
+
+
+# ---- change sets ------------------------------------------------------------------------------
+
+def _now() -> Column:
+    return F.lit(X.DELETED).cast("timestamp")
+
+
+def _applied(s, d, *ops):
+    ch = X.contact_changes(s, d)
+    if ops:
+        ch = ch.where(F.col("op").isin(list(ops)))
+    return CH.apply_changes(X.contacts(s, d), ch, "CONTACT", _now())
+
+
+def _contact_state(df):
+    return df.select("tenant_id", "id", "full_name", "email", "phone", "label", "version",
+                     F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query
+def apply_insert(s, d):
+    return _contact_state(_applied(s, d, "insert").snapshot)
+
+
+@query
+def apply_update(s, d):
+    return _contact_state(_applied(s, d, "update").snapshot)
+
+
+@query
+def stale_writes(s, d):
+    """Every rejected change of the mixed change set with its reason."""
+    return _applied(s, d).rejected
+
+
+@query
+def apply_soft_delete(s, d):
+    return _contact_state(_applied(s, d, "delete").snapshot)
+
+
+@query
+def apply_undelete(s, d):
+    return _contact_state(_applied(s, d, "undelete").snapshot)
+
+
+@query
+def apply_bulk_delete(s, d):
+    """Affected rows per requested id, as the bulk delete reports them."""
+    out = _applied(s, d, "bulk_delete").outcomes
+    return out.select("tenant_id", "id", F.when(F.col("reject_reason").isNull(), 1).otherwise(0).cast("long").alias("affected"))
+
+
+@query
+def apply_mixed(s, d):
+    """Snapshot after all five kinds of changes, several per contact."""
+    return _contact_state(_applied(s, d).snapshot)
+
+
+@query
+def apply_listing_update(s, d):
+    """Listing updates keep the old value where none is given."""
+    r = CH.apply_changes(X.listings(s, d), X.listing_changes(s, d), "LISTING", _now())
+    return r.outcomes.select("id", "reject_reason", "title", "subtitle", dbl("price").alias("price"), "currency",
+                             "contact_id", "version")
+
+
+@query
+def validate_changes(s, d):
+    v = CH.validate_changes(X.listing_changes(s, d), "LISTING")
+    v = CH.validate_relations(v, "LISTING", X.contacts(s, d), X.listings(s, d))
+    return v.select("id", "op", "invalid", "bad_relation")
+
+
+@query
+def change_events(s, d):
+    """Events of the accepted changes, read back from the payload."""
+    ev = CH.change_events(_applied(s, d, "insert", "update", "delete").accepted, "CONTACT", _now())
+    v = ev.withColumn("v", J.parse("payload"))
+    return v.select("tenant_id", "aggregate_id", "type", J.text_field("v", "title").alias("title"),
+                    J.text_field("v", "subtitle").alias("subtitle"), J.bool_field("v", "visible").alias("visible"),
+                    F.expr("try_variant_get(v, '$.version', 'bigint')").alias("version"))

@@ -2,5 +2,5 @@
 
 
 def load_oracles() -> dict[str, str]:
-    from oracle import base, search, tables  # noqa: F401
+    from oracle import base, changes, search, tables  # noqa: F401
     return base.ORACLES
