@@ -110,7 +110,17 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact records from the event table: valid, invisible, blank, tombstone and malformed ones."""
+    return contact_records(table(spark, sf_dir, "events"))
+
+
+def contact_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as a file stream over the event table."""
+    schema = table(spark, sf_dir, "events").schema
+    return contact_records(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def contact_records(events: DataFrame) -> DataFrame:
+    """Contact records from event rows: valid, invisible, blank, tombstone and malformed ones."""
     e, u = F.col("event_id"), F.col("user_id")
     kind = (F.when(e % 103 == 0, F.lit("ContactMerged")).when(F.col("event_type") == "signup", F.lit("ContactCreated"))
             .when(F.col("event_type") == "error", F.lit("ContactDeleted")).otherwise(F.lit("contactUpdated")))
@@ -128,7 +138,7 @@ def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), visible, F.lit("}"))
     value = (F.when(e % 97 == 0, F.lit(None).cast("string"))
              .when(e % 101 == 0, F.concat(F.lit("{broken "), body)).otherwise(whole))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.lit("contact.events.v1").alias("topic"), (u % 6).cast("int").alias("partition"), e.alias("offset"),
         F.concat(tenant, F.lit(":"), u.cast("string")).alias("key"), value.alias("value"))
 

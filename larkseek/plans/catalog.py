@@ -6,6 +6,7 @@ compared with plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,11 @@ from larkseek.operators import reads as RD
 from larkseek.operators import relations as RL
 from larkseek.plans import typeahead as TA
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
+from larkseek.session import shared_dir
+from larkseek.sources.item_store import ItemStore
+from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
+from larkseek.streaming.index_stream import start_index_stream
+from larkseek.streaming.outbox_stream import start_outbox_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -671,3 +677,81 @@ def change_events(s, d):
     return v.select("tenant_id", "aggregate_id", "type", J.text_field("v", "title").alias("title"),
                     J.text_field("v", "subtitle").alias("subtitle"), J.bool_field("v", "visible").alias("visible"),
                     F.expr("try_variant_get(v, '$.version', 'bigint')").alias("version"))
+
+
+# ---- streams and replays ----------------------------------------------------------------------
+
+def _store(s, name: str) -> ItemStore:
+    return ItemStore(s, f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}")
+
+
+@query
+def index_stream(s, d):
+    """Stream all contact records into an empty store and read the resulting table."""
+    store = _store(s, "index").create()
+    start_index_stream(X.contact_event_stream(s, d), store, f"{store.path}/checkpoint", available_now=True).awaitTermination()
+    return store.current()
+
+
+@query
+def stream_dead_letters(s, d):
+    """Records the stream set aside."""
+    store = _store(s, "dead").create()
+    start_index_stream(X.contact_event_stream(s, d), store, f"{store.path}/checkpoint", available_now=True).awaitTermination()
+    return s.read.parquet(f"{store.path}/dead").select("offset", "skip_reason")
+
+
+def _replayed(s, d, name, plan):
+    """Item table after applying the records in the (batch number, slice) steps of ``plan``."""
+    store = _store(s, name).create(item_table(s, d))
+    records = X.contact_events(s, d)
+    span = records.agg(F.max("offset")).scalar()
+    for batch_id, k in plan:
+        part = records.where(F.floor(F.col("offset") * 4 / (span + 1)) == k)
+        store.append_batch(EV.event_actions(part), batch_id)
+    return store
+
+
+@query
+def stream_replay(s, d):
+    """Four consecutive batches over the full item table."""
+    return _replayed(s, d, "replay", [(0, 0), (1, 1), (2, 2), (3, 3)]).current()
+
+
+@query
+def replay_idempotent(s, d):
+    """Batches repeated under their number, then all of them again as new ones, with a compaction
+    in between: the same table."""
+    store = _replayed(s, d, "again", [(0, 0), (0, 0), (1, 1), (2, 2), (1, 1), (2, 2), (3, 3)])
+    store.compact()
+    store.append_batch(EV.event_actions(X.contact_events(s, d)), 4)
+    return store.current()
+
+
+@query
+def outbox_stream(s, d):
+    """Outbox rows published through the stream to topic files, read back by topic."""
+    base = f"{shared_dir(s)}/outbox-{uuid.uuid4().hex}"
+    outbox_table(s, d).write.parquet(f"{base}/table")
+    rows = s.readStream.schema(s.read.parquet(f"{base}/table").schema).parquet(f"{base}/table")
+    start_outbox_stream(rows, base, f"{base}/checkpoint", available_now=True).awaitTermination()
+    good = s.read.parquet(f"{base}/topics").select("id", "topic", "key")
+    bad = s.read.parquet(f"{base}/rejected").select("id", F.lit("rejected").alias("topic"), "key")
+    return good.unionByName(bad)
+
+
+@query
+def apply_actions(s, d):
+    """All contact events folded into the item table in one batch."""
+    return IX.apply_actions(item_table(s, d), EV.event_actions(X.contact_events(s, d)))
+
+
+@query
+def typeahead_layout(s, d):
+    """Queries answered from a written search layout with its window counts."""
+    path = f"{shared_dir(s)}/layout-{uuid.uuid4().hex}"
+    write_search_layout(item_table(s, d), path)
+    write_gram_stats(s, path)
+    r = TA.typeahead_batch(X.customer_queries(s, d), read_search_layout(s, path), stats=read_gram_stats(s, path))
+    return r.select("query_id", "tenant_id", "result",
+                    *[F.array_join(F.transform(t.lower(), lambda h: h["id"]), ",").alias(t.lower()) for t in ENTITY_TYPES])

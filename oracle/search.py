@@ -1,6 +1,6 @@
 """SQL twins of the text, score and type-ahead queries."""
 
-from oracle.base import WORD, jaccard, oracle, trigrams
+from oracle.base import CTES, WORD, jaccard, oracle, trigrams
 
 K = "tenant_id, norm, entity_type, entity_id"
 
@@ -58,9 +58,9 @@ group by 1, 2"""
 
 oracle("typeahead_batch", _answer(
     ", round(coalesce(max(ns) filter (entity_type = 'CONTACT'), -1.0), 4) best_contact"), "typed", "queries")
-for _name in ("typeahead_shuffled", "typeahead_with_stats"):
-    from oracle import base as _b
-    _saved = _b.CTES["queries"]
-    _b.CTES["queries"] = _b.CTES["customer_queries"]
+# the same answer for the customer queries: only the query CTE differs
+_saved = CTES["queries"]
+CTES["queries"] = CTES["customer_queries"]
+for _name in ("typeahead_shuffled", "typeahead_with_stats", "typeahead_layout"):
     oracle(_name, _answer(), "typed", "queries")
-    _b.CTES["queries"] = _saved
+CTES["queries"] = _saved

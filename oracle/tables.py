@@ -186,3 +186,16 @@ from (select *, row_number() over (partition by tenant_id, result order by laten
         count(*) over (partition by tenant_id, result) n from log) group by 1, 2""", "log")
 oracle("query_log_masked", """
 select event_id, '<email> or <phone>' as q from log""", "log")
+
+oracle("index_stream", f"select {IK}, title, subtitle from last where action = 'UPSERT'", "last")
+oracle("stream_dead_letters", """select event_id as "offset", skip_reason from ev where skip_reason is not null""", "ev")
+_FOLDED = f"""
+select {IK}, title, subtitle from items i where not exists (select 1 from last l
+  where l.tenant_id = i.tenant_id and l.entity_type = i.entity_type and l.entity_id = i.entity_id)
+union all select {IK}, title, subtitle from last where action = 'UPSERT'"""
+for _name in ("stream_replay", "replay_idempotent", "apply_actions"):
+    oracle(_name, _FOLDED, "items", "last")
+oracle("outbox_stream", """
+select id, case aggregate_type when 'CONTACT' then 'contact.events.v1' when 'LISTING' then 'listing.events.v1'
+    when 'TRANSACTION' then 'transaction.events.v1' else 'rejected' end topic, tenant_id || ':' || aggregate_id as key
+from outbox where not published""", "outbox")
