@@ -17,7 +17,7 @@ from larkseek.functions import fulltext as FT
 from larkseek.functions import json_fields as J
 from larkseek.functions import text as T
 from larkseek.functions import trigrams as G
-from larkseek.functions.money import money, money_equal, money_text
+from larkseek.functions import money as MO
 from larkseek.operators import changes as CH
 from larkseek.operators import events as EV
 from larkseek.operators import index as IX
@@ -403,13 +403,13 @@ def money_normalize(s, d):
 
 
 @query
-def money_equal_pairs(s, d):
+def money_equal(s, d):
     """Price as stored against the same price with one more decimal: equal after normalising?"""
-    a = X.listings(s, d).select("id", money("price", "currency").alias("a"))
-    b = X.listings_raw(s, d).select("id", money(F.col("price") - F.lit("0.005").cast("decimal(19,3)"), F.lit("USD")).alias("b"),
-                                    money("price", F.lit("USD")).alias("c"))
-    return a.join(b, "id").select("id", money_equal(F.col("a"), F.col("b")).alias("same"),
-                                  money_equal(F.col("a"), F.col("c")).alias("same_rounded"), money_text(F.col("c")).alias("txt"))
+    a = X.listings(s, d).select("id", MO.money("price", "currency").alias("a"))
+    b = X.listings_raw(s, d).select("id", MO.money(F.col("price") - F.lit("0.005").cast("decimal(19,3)"), F.lit("USD")).alias("b"),
+                                    MO.money("price", F.lit("USD")).alias("c"))
+    return a.join(b, "id").select("id", MO.money_equal(F.col("a"), F.col("b")).alias("same"),
+                                  MO.money_equal(F.col("a"), F.col("c")).alias("same_rounded"), MO.money_text(F.col("c")).alias("txt"))
 
 
 @query

@@ -14,7 +14,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if master:
         b = b.master(master)
     if shuffle_partitions:

@@ -169,7 +169,7 @@ select id, case when ok then round(price, 2)::double end amount, case when ok th
 from (select *, case when currency is null or trim(currency) = '' then 'USD' else currency end ccy,
         regexp_matches(case when currency is null or trim(currency) = '' then 'USD' else currency end, '^[A-Z]{3}$') ok from listings_raw)""",
        "listings_raw")
-oracle("money_equal_pairs", """
+oracle("money_equal", """
 select l.id, true as same, round(r.price, 2) = l.price as same_rounded, round(r.price, 2)::decimal(19,2)::varchar || ' USD' txt
 from listings l join listings_raw r on r.id = l.id""", "listings", "listings_raw")
 oracle("null_text", """
