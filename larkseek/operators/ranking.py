@@ -54,17 +54,15 @@ def distinct_queries(queries: DataFrame, mode: str = "simple", reference_compat:
     return with_like_columns(out)
 
 
-def like_match() -> Column:
-    return F.expr(contains_like_sql("title_lc") + " or " + contains_like_sql("subtitle_lc"))
-
-
-def fts_match() -> Column:
-    return F.expr(matches_all_sql())
-
-
 def verified(pairs: DataFrame) -> DataFrame:
-    """Keep the (query, item) pairs the query really matches."""
-    return pairs.where(like_match() | (~F.col("is_short") & fts_match()))
+    """Keep the (query, item) pairs the query really matches.
+
+    The substring test is staged, so that the filter stays above the candidate join: merged into
+    the join condition its lambda would take join and explode out of generated code.
+    """
+    like = f"{contains_like_sql('title_lc')} or {contains_like_sql('subtitle_lc')}"
+    tested = staged(pairs, *pairs.columns, is_like=like)
+    return tested.where(f"is_like or (not is_short and {matches_all_sql()})").drop("is_like")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
