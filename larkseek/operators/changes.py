@@ -151,7 +151,7 @@ def _several(rows: DataFrame, rules: EntityRules, like: DataFrame) -> DataFrame:
     defaults = {f: Decimal(v) if types[f].startswith("decimal") else v for f, v in rules.defaults.items()}
     fold = make_fold(list(rules.fields), set(rules.coalesced), defaults, rules.live_update, rules.can_undelete,
                      to_arrow_schema(like.schema))
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(fold, like.schema)
+    return rows.drop("_n").repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(fold, like.schema)
 
 
 def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Column) -> DataFrame:
@@ -159,16 +159,18 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
 
     Counting changes per key combines before the shuffle and carries the only change of a key along,
     so keys with one change, nearly all of them, never enter Python or a sort. Of the other keys,
-    guarded changes that no state of the row can satisfy (an expected version below the current one)
-    are rejected in parallel first; what remains is ordered by nature and streams key by key.
+    guarded changes that no state of the row can satisfy (an expected version below the current one,
+    or above what that many changes can reach) are rejected in parallel first; what remains is
+    ordered by nature and streams key by key.
     """
     rules = RULES[entity]
     ready = _prepared(changes, rules, now)
     one = F.struct(*[F.col(c) for c in ready.columns])
     per_key = ready.groupBy(*KEY).agg(F.count("*").alias("_n"), F.max_by(one, "seq").alias("_only"))
     single = _single(_with_current(per_key.where("_n = 1").select("_only.*"), current, rules), rules)
-    many = _with_current(ready.join(per_key.where("_n > 1").select(*KEY), KEY, "left_semi"), current, rules)
-    hopeless = "_exists and op in ('update', 'delete', 'undelete') and expected_version < cur_version"
+    many = _with_current(ready.join(per_key.where("_n > 1").select(*KEY, "_n"), KEY), current, rules)
+    hopeless = ("_exists and op in ('update', 'delete', 'undelete') "
+                "and (expected_version < cur_version or expected_version >= cur_version + _n)")
     lost = _single(many.where(hopeless), rules)
     rest = _several(many.where(f"not ({hopeless}) or expected_version is null"), rules, single)
     return single.unionByName(lost).unionByName(rest)

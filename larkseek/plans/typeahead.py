@@ -77,11 +77,12 @@ def _rarest(q: DataFrame, stats: DataFrame) -> DataFrame:
     return q.join(best, R.QUERY_KEY)
 
 
-def fits_broadcast(probes: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure the probe side (rows and text bytes) before deciding to broadcast it."""
-    width = F.lit(200) + 6 * F.octet_length("norm")
-    n, size = probes.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.sum("w")).first()
-    return n <= max_rows and (size or 0) <= max_bytes
+def fits_broadcast(queries: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure the distinct queries (at most two probes each, estimated bytes from their text) before
+    deciding to broadcast their probes. Counting stops just past the row bound."""
+    width = F.lit(400) + 40 * F.octet_length("norm")
+    n, size = queries.select(width.alias("w")).limit(max_rows // 2 + 1).agg(F.count("*"), F.sum("w")).first()
+    return 2 * n <= max_rows and 2 * (size or 0) <= max_bytes
 
 
 _ITEM_SEARCH = ["title", "subtitle", "title_lc", "subtitle_lc", "tsv", "lexeme_line", "title_tg", "subtitle_tg"]
@@ -109,9 +110,10 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool) -> Dat
 def matches(queries: DataFrame, items: DataFrame, stats: DataFrame | None = None, mode: str = "simple",
             broadcast: bool | None = None, reference_compat: bool = False) -> DataFrame:
     """All verified and scored (distinct query, item) pairs."""
-    probes = query_probes(R.distinct_queries(queries, mode, reference_compat), stats, mode)
+    asked = R.distinct_queries(queries, mode, reference_compat)
     if broadcast is None:
-        broadcast = fits_broadcast(probes)
+        broadcast = fits_broadcast(asked)
+    probes = query_probes(asked, stats, mode)
     pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast))
     return R.scored(pairs).select(
         *R.QUERY_KEY, "is_short", "entity_type", "entity_id", "title", "subtitle", "fts_score", "trigram", "score")

@@ -41,6 +41,10 @@ def write_kafka(routed: DataFrame, servers: str, **options: str) -> None:
 
 
 def write_topic_files(routed: DataFrame, path: str) -> None:
-    """The same as files, one folder per topic, each key's rows in id order."""
-    (routed.repartition("topic", "key").sortWithinPartitions("topic", "key", "id")
+    """The same as files, one folder per topic, each key's rows in id order.
+
+    Ranges over (topic, key, id) keep that order across files and still split a key that holds a
+    large share of the rows.
+    """
+    (routed.repartitionByRange("topic", "key", "id").sortWithinPartitions("topic", "key", "id")
      .write.mode("overwrite").partitionBy("topic").parquet(path))

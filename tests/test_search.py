@@ -130,10 +130,10 @@ def test_operator_characters(spark):
 
 
 def test_broadcast_needs_a_measured_size(items, queries):
-    probes = TA.query_probes(R.distinct_queries(queries))
-    assert TA.fits_broadcast(probes)
-    assert not TA.fits_broadcast(probes, max_rows=5)
-    assert not TA.fits_broadcast(probes, max_bytes=100)
+    asked = R.distinct_queries(queries)
+    assert TA.fits_broadcast(asked)
+    assert not TA.fits_broadcast(asked, max_rows=5)
+    assert not TA.fits_broadcast(asked, max_bytes=100)
 
 
 def test_argument_guards(spark):
