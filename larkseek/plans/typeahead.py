@@ -20,6 +20,8 @@ from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 16
+# Most distinct (tenant, window) pairs that are broadcast to thin out postings before a shuffle.
+KEY_ROWS = 500_000
 
 
 def gram_stats(items: DataFrame, mode: str = "simple") -> DataFrame:
@@ -88,12 +90,14 @@ def fits_broadcast(queries: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes
 _ITEM_SEARCH = ["title", "subtitle", "title_lc", "subtitle_lc", "tsv", "lexeme_line", "title_tg", "subtitle_tg"]
 
 
-def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool) -> DataFrame:
+def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_rows: int = KEY_ROWS) -> DataFrame:
     """(query, item) pairs that share a probe key, each pair once.
 
     Broadcast: one pass over the items, no shuffle of them. Otherwise slim (key, item id) postings
     are shuffled against the probes on a salted key, so that a window held by a large share of all
-    items spreads over many tasks, and the surviving pairs fetch their item by id.
+    items spreads over many tasks, and the surviving pairs fetch their item by id. Postings of
+    windows nobody asks for are dropped before that shuffle when the asked windows are few enough
+    to broadcast (there are far fewer windows than queries).
     """
     fresh = F.col("skip_if").isNull() | ~F.array_contains("probe_keys", F.col("skip_if"))
     if broadcast:
@@ -101,6 +105,9 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool) -> Dat
         return exploded.join(F.broadcast(probes), ["tenant_id", "key"]).where(fresh).drop("probe_keys", "key", "skip_if")
     salt = F.pmod(F.xxhash64("entity_id"), F.lit(JOIN_SALTS)).cast("int")
     postings = laid_items.select(*ITEM_KEY, salt.alias("_salt"), F.explode_outer("probe_keys").alias("key"))
+    asked = probes.select("tenant_id", "key").distinct()
+    if asked.limit(key_rows + 1).count() <= key_rows:
+        postings = postings.join(F.broadcast(asked), ["tenant_id", "key"], "left_semi")
     spread = probes.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     pairs = postings.join(spread, ["tenant_id", "key", "_salt"]).drop("key", "_salt")
     items = laid_items.select(*ITEM_KEY, *_ITEM_SEARCH, "probe_keys")

@@ -136,6 +136,14 @@ def test_broadcast_needs_a_measured_size(items, queries):
     assert not TA.fits_broadcast(asked, max_bytes=100)
 
 
+def test_shuffled_candidates_without_thinning(items, queries):
+    laid = R.with_search_columns(items[0])
+    probes = TA.query_probes(R.distinct_queries(queries))
+    cols = ["tenant_id", "norm", "entity_type", "entity_id"]
+    sets = [sorted(map(tuple, TA.candidates(probes, laid, b, k).select(*cols).collect())) for b, k in ((True, 0), (False, 0), (False, 10_000))]
+    assert sets[0] == sets[1] == sets[2] and len(sets[0]) == len(set(sets[0]))
+
+
 def test_argument_guards(spark):
     assert [RD.search_limit(x) for x in (None, 0, -1, 7, 100, 101)] == [20, 20, 20, 7, 100, 20]
     assert RD.page_bounds(-3, 500) == (0, 200) and RD.page_bounds(None, None) == (0, 50) and RD.page_bounds(5, 0) == (5, 1)
