@@ -150,8 +150,9 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("error")).when(F.col("event_type") == "view", F.lit("empty"))
         .otherwise(F.lit("ok")).alias("result"),
         (F.col("value") * 10).alias("latency_ms"),
-        F.concat(F.lit("find\tuser"), u.cast("string"), F.lit("@example.com or +48 600 100 "),
-                 F.lpad((u % 1000).cast("string"), 3, "0")).alias("q"))
+        F.concat(F.lit("find"), F.when(u % 2 == 0, F.lit("\t")).otherwise(F.lit(" ")), F.lit("user"), u.cast("string"),
+                 F.lit("@example.com or +48 600 100 "), F.lpad((u % 1000).cast("string"), 3, "0"),
+                 F.when(u % 7 == 0, F.lit(" " + "x" * 100)).otherwise(F.lit(""))).alias("q"))
 
 
 # The hand-written queries of the test set; every tenant asks each of them.

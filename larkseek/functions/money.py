@@ -33,6 +33,11 @@ def money_equal(a: Column, b: Column) -> Column:
     return (a["amount"] == b["amount"]) & a["currency"].eqNullSafe(b["currency"])
 
 
+def money_hash(m: Column) -> Column:
+    """Equal money values have equal hashes (the scale is fixed, so trailing zeros do not matter)."""
+    return F.xxhash64(m["amount"], m["currency"])
+
+
 def money_text(m: Column) -> Column:
     return F.concat_ws(" ", m["amount"].cast("string"), m["currency"])
 

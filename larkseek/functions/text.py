@@ -110,9 +110,19 @@ def entity_key(tenant: Column | str, entity_id: Column | str) -> Column:
     return F.concat(as_col(tenant), F.lit(":"), as_col(entity_id))
 
 
+# Fixed value: longest accepted query text.
+MAX_QUERY_LENGTH = 100
+
+
 def mask_pii(c: Column | str) -> Column:
-    """Mask e-mail addresses and phone-like digit runs, drop control characters, bound to 100
-    characters (the bound the query log is specified with)."""
+    """Mask e-mail addresses and phone-like digit runs and drop control characters."""
     clean = F.regexp_replace(as_col(c), "[\\x00-\\x1f\\x7f]", "")
     mail = F.regexp_replace(clean, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>")
-    return F.substring(F.regexp_replace(mail, "\\+?[0-9][0-9 -]{6,}[0-9]", "<phone>"), 1, 100)
+    return F.regexp_replace(mail, "\\+?[0-9][0-9 -]{6,}[0-9]", "<phone>")
+
+
+def query_reject_reason(c: Column | str) -> Column:
+    """Why a query text should not be accepted: control characters or too long; null when fine."""
+    c = as_col(c)
+    return (F.when(c.rlike("[\\x00-\\x1f\\x7f]"), "control_chars")
+            .when(F.length(c) > MAX_QUERY_LENGTH, "too_long"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkseek.functions.text import mask_pii
+from larkseek.functions.text import mask_pii, query_reject_reason
 
 # Latency objectives in milliseconds.
 SLO_MS = (100, 200, 400)
@@ -56,4 +56,5 @@ def latency_percentiles(log: DataFrame, points: Sequence[float] = (0.95, 0.99))
 
 
 def masked_log(log: DataFrame) -> DataFrame:
-    return log.withColumn("q", mask_pii("q"))
+    """Query log with personal data masked and the reason a text should have been refused."""
+    return log.withColumn("reject_reason", query_reject_reason("q")).withColumn("q", mask_pii("q"))

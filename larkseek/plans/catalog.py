@@ -409,7 +409,8 @@ def money_equal(s, d):
     b = X.listings_raw(s, d).select("id", MO.money(F.col("price") - F.lit("0.005").cast("decimal(19,3)"), F.lit("USD")).alias("b"),
                                     MO.money("price", F.lit("USD")).alias("c"))
     return a.join(b, "id").select("id", MO.money_equal(F.col("a"), F.col("b")).alias("same"),
-                                  MO.money_equal(F.col("a"), F.col("c")).alias("same_rounded"), MO.money_text(F.col("c")).alias("txt"))
+                                  MO.money_equal(F.col("a"), F.col("c")).alias("same_rounded"), MO.money_text(F.col("c")).alias("txt"),
+                                  (MO.money_hash(F.col("a")) == MO.money_hash(F.col("b"))).alias("same_hash"))
 
 
 @query
@@ -437,7 +438,7 @@ def latency_percentiles(s, d):
 
 @query
 def query_log_masked(s, d):
-    return ME.masked_log(X.query_log(s, d)).select("event_id", "q")
+    return ME.masked_log(X.query_log(s, d)).select("event_id", "q", "reject_reason")
 
 
 # ---- text and scores --------------------------------------------------------------------------

@@ -170,7 +170,7 @@ from (select *, case when currency is null or trim(currency) = '' then 'USD' els
         regexp_matches(case when currency is null or trim(currency) = '' then 'USD' else currency end, '^[A-Z]{3}$') ok from listings_raw)""",
        "listings_raw")
 oracle("money_equal", """
-select l.id, true as same, round(r.price, 2) = l.price as same_rounded, round(r.price, 2)::decimal(19,2)::varchar || ' USD' txt
+select l.id, true as same, round(r.price, 2) = l.price as same_rounded, round(r.price, 2)::decimal(19,2)::varchar || ' USD' txt, true same_hash
 from listings l join listings_raw r on r.id = l.id""", "listings", "listings_raw")
 oracle("null_text", """
 select id, case when trim(currency) <> '' then currency end blank_null, currency empty_null, coalesce(currency, '') or_empty,
@@ -185,7 +185,9 @@ select tenant_id, result, max(n) n, min(latency_ms) filter (rn >= ceil(round(0.9
 from (select *, row_number() over (partition by tenant_id, result order by latency_ms) rn,
         count(*) over (partition by tenant_id, result) n from log) group by 1, 2""", "log")
 oracle("query_log_masked", """
-select event_id, '<email> or <phone>' as q from log""", "log")
+select event_id, case when user_id % 2 = 0 then '' else 'find ' end || '<email> or <phone>'
+    || case when user_id % 7 = 0 then ' ' || repeat('x', 100) else '' end as q,
+  case when user_id % 2 = 0 then 'control_chars' when user_id % 7 = 0 then 'too_long' end reject_reason from log""", "log")
 
 oracle("index_stream", f"select {IK}, title, subtitle from last where action = 'UPSERT'", "last")
 oracle("stream_dead_letters", """select event_id as "offset", skip_reason from ev where skip_reason is not null""", "ev")
