@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkseek.llm import decontaminate, packing, token_counts
+from larkseek.llm import decontaminate, lm_score, packing, quality, quotes, sharding, simhash, token_counts, topk, toxicity
 from larkseek.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,17 +25,64 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good. Background: all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_documents(rows, quality.co_train(rows))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that every call does the whole work."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
 
 
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign codes of the embeddings; queries are the rows whose id is divisible by 50."""
+    rows = topk.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows, rows.where(F.col("id") % 50 == 0))
+
+
+@query
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ORACLES["op6_decontamination"] = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -53,3 +101,33 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+ORACLES["op5_lm_scoring"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AND doc_id IS NOT NULL AS target,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT r, target, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
+top AS (SELECT word FROM tok WHERE strlen(word) <= 64 GROUP BY word ORDER BY count(*) DESC, word LIMIT 65533),
+known AS (SELECT r, target, i, CASE WHEN t.word IS NULL THEN '?' ELSE t.word END AS word FROM tok LEFT JOIN top t USING (word)),
+seq AS (SELECT r, target, i, word FROM known UNION ALL SELECT r, target, len(w) + 1, '.' FROM d),
+pairs AS (SELECT r, target, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '.') AS h FROM seq),
+uni AS (SELECT word, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS b FROM seq GROUP BY word),
+alls AS (SELECT coalesce(sum(t), 0) AS nt, coalesce(sum(b), 0) AS nb, (SELECT count(*) FROM top) + 2 AS v FROM uni),
+bi AS (SELECT h, word, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS b FROM pairs GROUP BY h, word),
+loss AS (SELECT bi.h, bi.word, CAST(round((ln((bi.b + 4.0 * ((w.b + 1) / (nb + v))) / (c.b + 4.0)) - ln((bi.t + 4.0 * ((w.t + 1) / (nt + v))) / (c.t + 4.0))) * 1000000) AS BIGINT) AS diff
+  FROM bi JOIN uni w ON bi.word = w.word JOIN uni c ON bi.h = c.word, alls),
+sums AS (SELECT r, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(diff) AS BIGINT) AS loss_difference FROM pairs JOIN loss USING (h, word) GROUP BY r)
+SELECT doc_id, n_tokens, loss_difference, CAST(loss_difference AS DOUBLE) / (1000000 * n_tokens) AS score FROM d JOIN sums USING (r)"""
+
+ORACLES["op9_exact_top_k"] = """
+WITH codes AS (
+  SELECT vec_id AS id, list_transform(range(64), lambda i: coalesce(embedding[i + 1], 0) > 0) AS bits FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+pairs AS (
+  SELECT q.id AS query_id, r.id AS neighbour_id,
+    CAST(len(list_filter(range(64), lambda i: q.bits[i + 1] <> r.bits[i + 1])) AS INTEGER) AS distance
+  FROM codes q, codes r WHERE q.id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10"""
