@@ -5,9 +5,12 @@ embedding table. The embeddings of a window of words are averaged, and a linear
 tells the two classes apart; table and layer are trained together by gradient steps. A misspelling
 that was never seen shares n-gram vectors with the word it stands for.
 
-A document's score is the calibrated softmax of its most toxic window, over windows that cover the
-whole text, so one toxic passage is found in a text of any length. The average is linear, so after
-training every subword is one number, and a word the sum of its own.
+A document's score is the calibrated softmax of its most toxic window, over short windows that cover
+the whole text, so one toxic word is found in a text of any length. Training follows that: after a
+warm-up on all windows, a toxic document teaches by its ``TOXIC_WINDOWS`` most toxic windows (the
+others may be harmless) and a clean one by its ``CLEAN_WINDOWS`` most toxic. The average is linear,
+so after training every subword is one number, and a word the sum of its own. Words that repeat the
+word before them are skipped.
 
 The model is fitted on a bounded sample: at most ``docs_per_class`` labelled documents of each
 class, with at most ``windows_per_doc`` windows spread over each. A fifth of them calibrates.
@@ -25,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +36,13 @@ from pyspark.sql import functions as F
 from larkseek.llm.common import blocks, output_batch, slices, text_bytes
 
 DOCS_PER_CLASS = 2_500
-WINDOWS_PER_DOC = 8
-WINDOW, STRIDE = 32, 16
+WINDOWS_PER_DOC = 32
+WINDOW, STRIDE = 8, 4
 BUCKETS, DIMENSIONS = 1 << 18, 8
-EPOCHS, BATCH, RATE = 5, 256, 0.3
+STEPS, BATCH, RATE = 800, 256, 0.3
+TOXIC_WINDOWS, CLEAN_WINDOWS, PASSES = 2, 4, 2
+#: A subword of fewer sampled documents is not learned.
+SUBWORD_DOCS = 4
 THRESHOLD = 0.3
 CACHED_WORDS = 200_000
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -52,8 +59,13 @@ def subwords(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> Iterator[list[str]]:
+    """Lower-case words, without those that repeat the word before them."""
+    last = ""
     for b in blocks(text_bytes(text), SPACE):
-        yield b.decode("utf-8", "surrogatepass").lower().split()
+        words = b.decode("utf-8", "surrogatepass").lower().split()
+        if words:
+            yield [w for w, before in zip(words, [last, *words], strict=False) if w != before]
+            last = words[-1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,9 +75,10 @@ def held_out(doc_id: Column) -> Column:
 class Softmax:
     """Embedding table and linear layer, trained by Adagrad on windows."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, learned: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
+        self.learned = learned.astype(np.float32)[:, None]
+        self.table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32) * self.learned
         self.layer = rng.standard_normal((DIMENSIONS, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.seen = [np.full(BUCKETS, 1e-6, np.float32), np.full((DIMENSIONS, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)]
@@ -83,17 +96,31 @@ class Softmax:
         rows, which = np.unique(ids, return_inverse=True)
         grad = np.stack([np.bincount(which, back[of, d], len(rows)) for d in range(DIMENSIONS)], axis=1)
         self.seen[0][rows] += (grad ** 2).mean(axis=1)
-        self.table[rows] -= RATE * grad / np.sqrt(self.seen[0][rows])[:, None]
+        self.table[rows] -= RATE * grad / np.sqrt(self.seen[0][rows])[:, None] * self.learned[rows]
         for value, g, k in ((self.layer, mean.T @ p, 1), (self.bias, p.sum(axis=0), 2)):
             self.seen[k] += g ** 2
             value -= 0.3 * RATE * g / np.sqrt(self.seen[k])
 
-    def fit(self, windows: list[np.ndarray], toxic: np.ndarray) -> None:
-        for _ in range(EPOCHS):
-            order = self.rng.permutation(len(windows))
-            for at in range(0, len(order), BATCH):
-                some = order[at:at + BATCH]
-                self.step(np.concatenate([windows[i] for i in some]), np.array([len(windows[i]) for i in some]), toxic[some])
+    def _pass(self, windows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray) -> int:
+        order = self.rng.permutation(chosen)
+        for at in range(0, len(order), BATCH):
+            some = order[at:at + BATCH]
+            self.step(np.concatenate([windows[i] for i in some]), np.array([len(windows[i]) for i in some]), toxic[some])
+        return -(-len(order) // BATCH)
+
+    def odds(self, windows: list[np.ndarray]) -> np.ndarray:
+        weights, prior = self.weights()
+        return np.array([prior + weights[w].mean() for w in windows])
+
+    def fit(self, windows: list[np.ndarray], toxic: np.ndarray, doc: np.ndarray) -> None:
+        done = 0
+        while done < STEPS // 2:
+            done += self._pass(windows, toxic, np.arange(len(windows)))
+        while done < STEPS:
+            top = pd.DataFrame({"doc": doc, "toxic": toxic, "odds": self.odds(windows)}).sort_values("odds", ascending=False, kind="stable")
+            chosen = top.index[top.groupby("doc").cumcount() < np.where(top["toxic"] == 1, TOXIC_WINDOWS, CLEAN_WINDOWS)].to_numpy()
+            for _ in range(PASSES):
+                done += self._pass(windows, toxic, chosen)
 
     def weights(self) -> tuple[np.ndarray, float]:
         """(log-odds of each subword, log-odds of no words)."""
@@ -194,17 +221,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     windows = [np.array([i for w in text_.split() for i in subwords(w)], np.int32) for text_ in rows["words"]]
     toxic, doc = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
     spare = np.array([zlib.crc32(str(d).encode()) // 4 % 5 == 0 for d in doc])
-    model = Softmax()
     learned = np.flatnonzero(~spare) if len(set(toxic[~spare])) == 2 else np.arange(len(doc))
-    model.fit([windows[i] for i in learned], toxic[learned])
-    weights, prior = model.weights()
-    odds = np.array([prior + weights[w].mean() for w in windows])
-    rows = rows.assign(odds=odds)[spare] if len(set(toxic[spare])) == 2 else rows.assign(odds=odds)
+    held = np.zeros(BUCKETS, np.int32)
+    for _, own in pd.Series(learned).groupby(doc[learned]):
+        held[np.unique(np.concatenate([windows[i] for i in own]))] += 1
+    model = Softmax(held >= SUBWORD_DOCS)
+    model.fit([windows[i] for i in learned], toxic[learned], doc[learned])
+    rows = rows.assign(odds=model.odds(windows))
+    rows = rows[spare] if len(set(toxic[spare])) == 2 else rows
     best = rows.groupby("doc_id").agg(odds=("odds", "max"), toxic=("toxic", "max"))
     # the sample is balanced, the labels are not
     sampled = [min(n, docs_per_class) for n in numbers]
     weight = np.array([numbers[t] / sampled[t] for t in best["toxic"]])
     scale, shift = _calibrated(best["odds"].to_numpy(), best["toxic"].to_numpy(), weight / weight.mean())
+    weights, prior = model.weights()
     return Scorer(weights.astype(np.float64), prior, max(scale, 1e-3), shift)
 
 
