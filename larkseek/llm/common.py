@@ -54,6 +54,12 @@ def blocks(data: bytes, separator: re.Pattern[bytes], size: int = BLOCK_BYTES) -
         at = end
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{base}_{k}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Short row ranges of a batch; they bound the Python objects alive at a time."""
     for at in range(0, batch.num_rows, rows):

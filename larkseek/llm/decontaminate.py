@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, slices, text_bytes
+from larkseek.llm.common import ASCII_LOWER, blocks, free_name, output_batch, slices, text_bytes
 
 WINDOW = 13
 SLICE_WORDS = 400_000
@@ -114,6 +114,7 @@ def _scan(docs: DataFrame, text: str, finish: Callable, result: T.StructType | s
     Between the passes of a benchmark of several slices, two more columns carry flags and items.
     """
     spark, at = docs.sparkSession, docs.columns.index(text)
+    state = [(free_name(docs, "hit_words"), pa.binary(), T.BinaryType()), (free_name(docs, "hit_items"), pa.list_(pa.string()), T.ArrayType(T.StringType()))]
     sets = _window_sets(benchmark, item, item_text, window, slice_words)
     out, k, following = docs, 0, next(sets)
     while following is not None:
@@ -134,10 +135,10 @@ def _scan(docs: DataFrame, text: str, finish: Callable, result: T.StructType | s
                     if last:
                         yield finish(rows, flags, names)
                     else:
-                        schema = pa.schema([*rows.schema, pa.field("hit_words", pa.binary()), pa.field("hit_items", pa.list_(pa.string()))])
+                        schema = pa.schema([*rows.schema, *(pa.field(name, kind) for name, kind, _ in state)])
                         yield output_batch(schema, [*rows.columns, [np.packbits(f).tobytes() for f in flags], names])
 
-        between = T.StructType([*docs.schema.fields, T.StructField("hit_words", T.BinaryType()), T.StructField("hit_items", T.ArrayType(T.StringType()))])
+        between = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, _, kind in state)])
         out = out.mapInArrow(scan, result if following is None else between)
         k += 1
     return out

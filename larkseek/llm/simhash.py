@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, scratch, shuffle_partitions, slices, stored, text_bytes
+from larkseek.llm.common import ASCII_LOWER, blocks, free_name, output_batch, scratch, shuffle_partitions, slices, stored, text_bytes
 from larkseek.llm.components import components
 
 SHINGLE = 3
@@ -287,8 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (then the smallest
     fingerprint; one of its repeats)."""
-    spark, taken = docs.sparkSession, {c.lower() for c in docs.columns}
-    name = next(n for n in (f"fp_{k}" for k in range(len(taken) + 1)) if n not in taken)
+    spark, name = docs.sparkSession, free_name(docs, "fp")
     whole = stored(with_fingerprints(docs, text, name), scratch(spark, "documents-fp"))
     rows = whole.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"))
     first = rows.join(_classes(rows, radius, hot), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
