@@ -44,9 +44,9 @@ def test_unlabelled_documents_are_told_apart(spark):
 def test_views_exchange_pseudo_labels(spark):
     """With few labels, rounds of co-training change what the metadata view knows."""
     data = corpus(2, 600)
-    docs, labels = frames(spark, data, lambda i: i < 40)
+    docs, labels = frames(spark, data, lambda i: i < 150)
     rows = quality.features(docs, labels)
-    alone, taught = quality.co_train(rows, rounds=0), quality.co_train(rows, rounds=2)
+    alone, taught = quality.co_train(rows, rounds=0, confident=0.85), quality.co_train(rows, rounds=2, confident=0.85)
     k = quality.LANG_BUCKETS
     assert np.abs(alone.weights["metadata"][k:] - taught.weights["metadata"][k:]).max() > 0.1
     x = quality._views([r[1] for r in data], *([r[c] for r in data] for c in (2, 3, 4)))
