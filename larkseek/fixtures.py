@@ -176,10 +176,13 @@ def derived_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per customer: its segment and the last four digits of its number."""
+    """One query per customer: its whole name in lower case, or, as while it is typed, the name up to
+    its last letter or its last four."""
+    k, name = F.col("c_custkey"), F.lower("c_name")
+    typed = F.length(name) - F.when(k % 2 == 0, 0).when(k % 4 == 1, 1).otherwise(4)
     return table(spark, sf_dir, "customer").select(
         (F.lit(10_000_000_000) + F.col("c_custkey")).alias("query_id"), _tenant("c_custkey").alias("tenant_id"),
-        F.concat(F.lit("customer#"), F.substring("c_name", 10, 7)).alias("q"), F.lit(5).alias("limit_per_group"))
+        F.substring(name, F.lit(1), typed).alias("q"), F.lit(5).alias("limit_per_group"))
 
 
 def contact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

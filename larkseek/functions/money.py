@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from larkseek.functions.text import as_col, is_blank
 
 # The currency check and the default currency.
-CURRENCY_PATTERN = "^[A-Z]{3}$"
+CURRENCY_PATTERN = r"\A[A-Z]{3}\z"
 DEFAULT_CURRENCY = "USD"
 
 
+def rounded(amount: Column | str) -> Column:
+    """Two decimals, half up, rounded once from the decimal as it is given; amounts of other types
+    become decimals of 18 places first."""
+    c = as_col(amount)
+    return F.when(F.typeof(c).startswith("decimal"), F.round(c, 2).cast("decimal(19,2)")).otherwise(
+        F.round(c.cast("decimal(38,18)"), 2).cast("decimal(19,2)"))
+
+
 def money_amount(amount: Column | str) -> Column:
-    """Null to 0; more than two decimals round half up."""
-    return F.coalesce(F.round(as_col(amount).cast("decimal(38,9)"), 2), F.lit(0)).cast("decimal(19,2)")
+    """Null to 0; more than two decimals round half up (see :func:`rounded`)."""
+    return F.coalesce(rounded(amount), F.lit(0).cast("decimal(19,2)"))
 
 
 def valid_currency(currency: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from larkseek.functions.money import rounded, valid_currency
 from larkseek.functions.text import is_blank
 from larkseek.operators.change_fold import make_fold
 from larkseek.operators.events import bulk_delete_payload, outbox_rows
@@ -62,7 +63,8 @@ class ChangeResult:
 
 
 def validate_changes(changes: DataFrame, entity: str) -> DataFrame:
-    """Add ``invalid``: the first missing required field of an insert or update, or null."""
+    """Add ``invalid``: the first missing required field of an insert or update, or a currency that
+    is not three letters, or null."""
     rules = RULES[entity]
     reason = None
     for op, required in (("insert", rules.insert_required), ("update", rules.update_required)):
@@ -71,6 +73,9 @@ def validate_changes(changes: DataFrame, entity: str) -> DataFrame:
             missing = (F.col("op") == op) & (is_blank(c) if text else F.col(c).isNull())
             value = F.lit(f"missing_{c}")
             reason = F.when(missing, value) if reason is None else reason.when(missing, value)
+    if "currency" in rules.fields:
+        bad = F.col("op").isin("insert", "update") & ~valid_currency(F.upper(F.trim("currency")))
+        reason = F.when(bad, "invalid_currency") if reason is None else reason.when(bad, "invalid_currency")
     return changes.withColumn("invalid", reason)
 
 
@@ -104,7 +109,7 @@ def _prepared(changes: DataFrame, rules: EntityRules, now: Column) -> DataFrame:
     cols = [F.col(c) for c in ("seq", "op", *KEY, "expected_version")]
     for f in rules.fields:
         if f == rules.amount:
-            cols.append(F.round(F.col(f).cast("decimal(38,9)"), 2).cast("decimal(19,2)").alias(f))
+            cols.append(rounded(f).alias(f))
         elif f == "currency":
             cols.append(F.upper(F.trim(f)).alias(f))
         else:
@@ -158,10 +163,9 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     """One outcome row per change.
 
     Counting changes per key combines before the shuffle and carries the only change of a key along,
-    so keys with one change, nearly all of them, never enter Python or a sort. Of the other keys,
-    guarded changes that no state of the row can satisfy (an expected version below the current one,
-    or above what that many changes can reach) are rejected in parallel first; what remains is
-    ordered by nature and streams key by key.
+    so keys with one change, nearly all of them, never enter Python or a sort. The changes of other
+    keys are ordered by nature, as each meets the row that the one before it left; they stream key
+    by key, so every outcome, a rejected one too, shows the row as it stands then.
     """
     rules = RULES[entity]
     ready = _prepared(changes, rules, now)
@@ -169,11 +173,7 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     per_key = ready.groupBy(*KEY).agg(F.count("*").alias("_n"), F.max_by(one, "seq").alias("_only"))
     single = _single(_with_current(per_key.where("_n = 1").select("_only.*"), current, rules), rules)
     many = _with_current(ready.join(per_key.where("_n > 1").select(*KEY, "_n"), KEY), current, rules)
-    hopeless = ("_exists and op in ('update', 'delete', 'undelete') "
-                "and (expected_version < cur_version or expected_version >= cur_version + _n)")
-    lost = _single(many.where(hopeless), rules)
-    rest = _several(many.where(f"not ({hopeless}) or expected_version is null"), rules, single)
-    return single.unionByName(lost).unionByName(rest)
+    return single.unionByName(_several(many, rules, single))
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, entity: str, now: Column,

@@ -38,33 +38,46 @@ _HANDLED = ", ".join(f"'{TOPICS[k.entity]}'" for k in KINDS)
 _TEXT = f"rlike r'[^{SPACE_CLASS}]'"
 
 
+# Top-level fields of an event that are read.
+_FIELDS = ("type", "tenantId", "title", "subtitle", "mlsId", "mls_id", "visible", "version",
+           *(k.id_key for k in KINDS), *(k.bulk_key for k in KINDS))
+BULK_DELETE = "BULK_DELETE"
+
+
 def event_actions(records: DataFrame, visible_default: bool = False, accept_mls_snake: bool = False) -> DataFrame:
     """Classify event records of the handled topics.
 
     Adds ``entity_type, tenant_id, entity_id, action (UPSERT | DELETE | SKIP), skip_reason, title,
     subtitle, version`` to the record coordinates. Checks run in the order tombstone, JSON, ids,
     type, visibility, title; an invisible create or update is a delete even with a blank title.
+
+    A bulk-delete record (an array of ids, no type) yields one DELETE per id, with event type
+    ``BULK_DELETE``; blank ids and empty arrays are skips. Of a repeated key the last one counts.
     """
     place = [c for c in ("topic", "partition", "offset") if c in records.columns]
-    mls = J.text_sql("v", "mlsId")
+    mls = J.value_text("v.mlsId")
     if accept_mls_snake:
-        mls = f"coalesce(nullif({mls}, ''), {J.text_sql('v', 'mls_id')})"
-    parsed = records.where(f"topic in ({_HANDLED})").selectExpr(
-        *place, "value is null as is_null", "try_parse_json(value) as v")
+        mls = f"coalesce(nullif({mls}, ''), {J.value_text('v.mls_id')})"
+    parsed = staged(records.where(f"topic in ({_HANDLED})"), *place, is_null="value is null", is_bad=J.invalid_sql("value"),
+                    v=J.fields_sql("value", _FIELDS))
     fields = staged(
-        parsed, *place, "is_null", "v is null as is_bad",
-        event_type=f"upper({J.text_sql('v', 'type')})", entity_type=_by_topic(lambda k: f"'{k.entity}'"),
-        tenant_id=J.text_sql("v", "tenantId"), entity_id=_by_topic(lambda k: J.text_sql("v", k.id_key)),
-        title=J.text_sql("v", "title"), sub=J.text_sql("v", "subtitle"),
-        mls=_by_topic(lambda k: mls if k.appends_mls else "''"), shown=J.bool_sql("v", "visible", visible_default),
-        version="try_variant_get(v, '$.version', 'bigint')")
+        parsed, *place, "is_null", "is_bad",
+        event_type=f"upper({J.value_text('v.type')})", entity_type=_by_topic(lambda k: f"'{k.entity}'"),
+        tenant_id=J.value_text("v.tenantId"), one_id=_by_topic(lambda k: J.value_text(f"v.{k.id_key}")),
+        many_ids=_by_topic(lambda k: f"try_variant_get(v.{k.bulk_key}, '$', 'array<string>')"),
+        title=J.value_text("v.title"), sub=J.value_text("v.subtitle"),
+        mls=_by_topic(lambda k: mls if k.appends_mls else "''"), shown=J.value_bool("v.visible", visible_default),
+        version="try_variant_get(v.version, '$', 'bigint')")
+    bulk = "(event_type = '' and many_ids is not null)"
+    each = fields.selectExpr(*place, "is_null", "is_bad", f"if({bulk}, '{BULK_DELETE}', event_type) as event_type", "entity_type", "tenant_id",
+                             "title", "sub", "mls", "shown", "version", f"explode_outer(if({bulk}, many_ids, array(one_id))) as entity_id")
     writes = "event_type in (concat(entity_type, 'CREATED'), concat(entity_type, 'UPDATED'))"
     judged = staged(
-        fields, *place, "entity_type", "tenant_id", "entity_id", "event_type", "title", "sub", "mls", "version",
+        each, *place, "entity_type", "tenant_id", "entity_id", "event_type", "title", "sub", "mls", "version",
         writes=f"{writes} and shown",
         skip_reason=f"""case when is_null then 'tombstone' when is_bad then 'bad_json'
-            when not (tenant_id {_TEXT} and entity_id {_TEXT}) then 'missing_ids'
-            when not ({writes} or event_type = concat(entity_type, 'DELETED')) then 'unknown_type'
+            when not coalesce(tenant_id {_TEXT} and entity_id {_TEXT}, false) then 'missing_ids'
+            when not ({writes} or event_type in (concat(entity_type, 'DELETED'), '{BULK_DELETE}')) then 'unknown_type'
             when {writes} and shown and not title {_TEXT} then 'missing_title' end""")
     upsert = "skip_reason is null and writes"
     return judged.selectExpr(
@@ -83,13 +96,10 @@ def dead_letters(actions: DataFrame) -> DataFrame:
 
 
 def bulk_delete_actions(records: DataFrame) -> DataFrame:
-    """Bulk-delete records (an array of ids, no type) as one DELETE action per id."""
+    """The DELETE actions of bulk-delete records alone."""
     place = [c for c in ("topic", "partition", "offset") if c in records.columns]
-    ids = _by_topic(lambda k: f"try_variant_get(v, '$.{k.bulk_key}', 'array<string>')")
-    rows = staged(records.selectExpr("topic", *[c for c in place if c != "topic"], "try_parse_json(value) as v"), *place,
-                  entity_type=_by_topic(lambda k: f"'{k.entity}'"), tenant_id=J.text_sql("v", "tenantId"), ids=ids)
-    return (rows.selectExpr(*place, "entity_type", "tenant_id", "explode_outer(ids) as entity_id")
-            .where(f"tenant_id {_TEXT} and entity_id {_TEXT}").selectExpr("*", "'DELETE' as action"))
+    return (event_actions(records).where(f"event_type = '{BULK_DELETE}' and action = 'DELETE'")
+            .select(*place, "entity_type", "tenant_id", "entity_id", "action"))
 
 
 # ---- producing side -------------------------------------------------------------------------

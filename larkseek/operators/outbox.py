@@ -35,7 +35,7 @@ def route(outbox: DataFrame) -> DataFrame:
         "id", topic.alias("topic"),
         entity_key("tenant_id", F.coalesce("aggregate_id", F.lit("null"))).alias("key"),
         F.col("payload").alias("value"),
-        F.when(topic.isNull(), F.concat(F.lit("Unsupported aggregate_type: "), F.coalesce("aggregate_type", F.lit("null"))))
+        F.when(topic.isNull(), F.concat(F.lit("unsupported_type:"), F.coalesce("aggregate_type", F.lit("null"))))
         .alias("reject_reason"))
 
 

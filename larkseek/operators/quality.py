@@ -59,7 +59,6 @@ def total_backfill(df: DataFrame) -> DataFrame:
 
 
 def money_normalize(df: DataFrame, amount: str) -> DataFrame:
-    """Add ``money`` (null when quarantined) and ``money_reject``."""
+    """Add ``money`` (null when quarantined) and ``money_reject`` (null or ``invalid_currency``)."""
     return (df.withColumn("money", money(amount, "currency"))
-            .withColumn("money_reject", F.when(~valid_currency("currency"),
-                                               F.concat(F.lit("Invalid currency: "), F.col("currency")))))
+            .withColumn("money_reject", F.when(~valid_currency("currency"), F.lit("invalid_currency"))))

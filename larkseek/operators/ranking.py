@@ -44,7 +44,8 @@ def with_search_columns(items: DataFrame, mode: str = "simple") -> DataFrame:
 def distinct_queries(queries: DataFrame, mode: str = "simple", reference_compat: bool = False) -> DataFrame:
     """Distinct non-empty (tenant, normalised text) pairs with their parsed form.
 
-    Type-ahead logs repeat themselves; equal queries are answered once and joined back later.
+    Type-ahead logs repeat themselves; equal queries are answered once and joined back later. A
+    query without a tenant has no answer; :func:`typeahead_batch` reports it as ``no_tenant``.
     """
     base = (queries.select("tenant_id", normalize_query("q").alias("norm"))
             .where("norm <> '' and tenant_id is not null").distinct())

@@ -30,6 +30,7 @@ from larkseek.operators import relations as RL
 from larkseek.plans import typeahead as TA
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 from larkseek.session import shared_dir
+from larkseek.sources.event_log import file_records
 from larkseek.sources.item_store import ItemStore
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
 from larkseek.streaming.index_stream import start_index_stream
@@ -97,7 +98,8 @@ def outbox_table(s, d):
 
 @query
 def outbox_append(s, d):
-    """Events of all referral rows appended after the existing outbox rows."""
+    """Events of all referral rows appended after the existing outbox rows. New ids are unique
+    and growing but not dense, so they are shown by what they stand for."""
     at = F.lit(X.CREATED).cast("timestamp")
     fresh = X.referrals(s, d).select(
         "tenant_id", F.lit("REFERRAL").alias("aggregate_type"), F.col("id").alias("aggregate_id"),
@@ -105,9 +107,9 @@ def outbox_append(s, d):
         F.to_json(F.struct(F.lit("ReferralCreated").alias("type"), "title")).alias("payload"), at.alias("occurred_at"),
         F.lit(False).alias("published"), F.lit(None).cast("timestamp").alias("published_at"))
     out = OB.append(outbox_table(s, d), fresh, 1_000_000_000_000)
-    return out.groupBy("aggregate_type", "type", "published").agg(
-        F.count("*").alias("n"), F.sum(F.length("payload")).cast("long").alias("payload_chars"),
-        F.count_if(F.col("id") >= 1_000_000_000_000).alias("n_new"))
+    fresh_id = F.col("id") >= 1_000_000_000_000
+    return out.select(F.when(~fresh_id, F.col("id")).alias("id"), F.when(fresh_id, F.col("aggregate_id")).alias("new_for"), "tenant_id", "aggregate_type",
+                      "type", "payload", "published")
 
 
 @query
@@ -147,6 +149,20 @@ def _feed(s, d):
     return out
 
 
+def _bulk_feed(s, d):
+    """Bulk-delete records of all three topics, after every record of :func:`_feed`: they name each
+    eleventh row of the table, the contacts of them as users."""
+    at, out = F.lit(X.DELETED).cast("timestamp"), None
+    for df, entity in ((X.contacts(s, d), "CONTACT"), (X.listings(s, d), "LISTING"), (X.transactions(s, d), "TRANSACTION")):
+        ids = df.where(F.col("id").cast("long") % 11 == 0).select("tenant_id", "id")
+        ev = EV.bulk_delete_payload(entity, ids, at, rows_per_event=50)
+        rec = ev.select(OB.topic_of("aggregate_type").alias("topic"), F.lit(9).alias("partition"),
+                        (F.lit(10 ** 12) + F.pmod(F.xxhash64("payload"), F.lit(10 ** 9))).alias("offset"),
+                        F.lit(None).cast("string").alias("key"), F.col("payload").alias("value"))
+        out = rec if out is None else out.unionByName(rec)
+    return out
+
+
 @query
 def event_actions(s, d):
     """Effective actions of all three topics."""
@@ -156,8 +172,8 @@ def event_actions(s, d):
 
 @query
 def event_skips(s, d):
-    """Dead letters with their reason."""
-    return EV.dead_letters(EV.event_actions(X.contact_events(s, d))).select("topic", "offset", "skip_reason")
+    """Dead letters of all three topics with their reason."""
+    return EV.dead_letters(EV.event_actions(_feed(s, d))).select("topic", "offset", "skip_reason")
 
 
 @query
@@ -365,8 +381,16 @@ def null_checks(s, d):
 def duplicate_keys(s, d):
     mail = QU.clean_email(X.contacts_raw(s, d)).where(F.col("email").isNotNull())
     a = QU.duplicate_keys(mail, ["tenant_id", F.lower("email").alias("key")])
-    b = QU.duplicate_keys(X.listings(s, d), ["tenant_id", F.col("subtitle").alias("key")])
-    return a.withColumn("t", F.lit("contacts")).unionByName(b.withColumn("t", F.lit("listings")))
+    # every listing whose number ends in 8 takes the MLS id of the one four before it
+    n = F.col("id").cast("long")
+    mls = X.listings(s, d).withColumn("mls_id", F.when(n % 10 == 8, F.concat(F.lit("m"), n - 4)).otherwise(F.concat(F.lit("m"), n)))
+    b = QU.duplicate_keys(mls, ["tenant_id", F.col("mls_id").alias("key")])
+    # the items, and those of one type twice
+    items = item_table(s, d)
+    twice = items.unionByName(items.where("entity_type = 'REFERRAL'"))
+    c = QU.duplicate_keys(twice, ["tenant_id", F.concat_ws("/", "entity_type", "entity_id").alias("key")])
+    return (a.withColumn("t", F.lit("contacts")).unionByName(b.withColumn("t", F.lit("listings")))
+            .unionByName(c.withColumn("t", F.lit("items"))))
 
 
 @query
@@ -665,7 +689,9 @@ def apply_listing_update(s, d):
 
 @query
 def validate_changes(s, d):
-    v = CH.validate_changes(X.listing_changes(s, d), "LISTING")
+    n = F.col("id").cast("long")
+    changes = X.listing_changes(s, d).withColumn("currency", F.when(n % 41 == 0, "US1").when(n % 43 == 0, "usd\n").otherwise(F.col("currency")))
+    v = CH.validate_changes(changes, "LISTING")
     v = CH.validate_relations(v, "LISTING", X.contacts(s, d), X.listings(s, d))
     return v.select("id", "op", "invalid", "bad_relation")
 
@@ -686,20 +712,45 @@ def _store(s, name: str) -> ItemStore:
     return ItemStore(s, f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}")
 
 
+def _streamed(s, d, name: str, *parts: DataFrame, base: DataFrame | None = None) -> ItemStore:
+    """A store after one stream over record files, one part after the other."""
+    store = _store(s, name).create(base)
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{store.path}-in/{k}")
+        stream = file_records(s, f"{store.path}-in/{k}")
+        start_index_stream(stream, store, f"{store.path}/checkpoint-{k}", available_now=True).awaitTermination()
+    return store
+
+
 @query
 def index_stream(s, d):
-    """Stream all contact records into an empty store and read the resulting table."""
-    store = _store(s, "index").create()
-    start_index_stream(X.contact_event_stream(s, d), store, f"{store.path}/checkpoint", available_now=True).awaitTermination()
-    return store.current()
+    """Stream the records of all three topics into an empty store and read the resulting table."""
+    return _streamed(s, d, "index", _feed(s, d)).current()
 
 
 @query
 def stream_dead_letters(s, d):
-    """Records the stream set aside."""
-    store = _store(s, "dead").create()
-    start_index_stream(X.contact_event_stream(s, d), store, f"{store.path}/checkpoint", available_now=True).awaitTermination()
-    return s.read.parquet(f"{store.path}/dead").select("offset", "skip_reason")
+    """Records of all three topics that the stream set aside."""
+    store = _streamed(s, d, "dead", _feed(s, d).unionByName(_bulk_feed(s, d)))
+    return s.read.parquet(f"{store.path}/dead").select("topic", "offset", "skip_reason")
+
+
+@query
+def bulk_delete_indexed(s, d):
+    """Item table after a stream of events, then one of bulk deletes: their rows are gone."""
+    return _streamed(s, d, "bulk", _feed(s, d), _bulk_feed(s, d), base=item_table(s, d)).current()
+
+
+@query
+def stream_restart(s, d):
+    """Half of the records, compaction, then the rest through a stream with a new checkpoint, whose
+    batches count from zero again: the same table as without a restart."""
+    feed = _feed(s, d)
+    store = _streamed(s, d, "restart", feed.where("offset % 2 = 0"))
+    store.compact()
+    feed.where("offset % 2 = 1").write.parquet(f"{store.path}-in/rest")
+    start_index_stream(file_records(s, f"{store.path}-in/rest"), store, f"{store.path}/another", available_now=True).awaitTermination()
+    return store.current()
 
 
 def _replayed(s, d, name, plan):

@@ -138,7 +138,7 @@ def ranked_hits(queries: DataFrame, items: DataFrame, per_group: int | None = No
 def typeahead_batch(queries: DataFrame, items: DataFrame, **how) -> DataFrame:
     """Answer each row of ``queries(query_id, tenant_id, q, limit_per_group)`` with six hit arrays.
 
-    Empty queries and queries without hits get empty arrays. ``result`` is ok or empty.
+    Empty queries and queries without hits get empty arrays. ``result`` is ok or empty, or no_tenant for a query that names no tenant.
     """
     asked = queries.select("query_id", "tenant_id", "q", normalize_query("q").alias("norm"),
                            group_limit(F.col("limit_per_group")).alias("n"))
@@ -148,4 +148,4 @@ def typeahead_batch(queries: DataFrame, items: DataFrame, **how) -> DataFrame:
     cols = [F.expr(f"slice(coalesce({t.lower()}, array()), 1, n) as {t.lower()}") for t in ENTITY_TYPES]
     out = joined.select("query_id", "tenant_id", "q", *cols)
     some = " or ".join(f"size({t.lower()}) > 0" for t in ENTITY_TYPES)
-    return out.selectExpr("*", f"if({some}, 'ok', 'empty') as result")
+    return out.selectExpr("*", f"case when tenant_id is null then 'no_tenant' when {some} then 'ok' else 'empty' end as result")

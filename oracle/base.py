@@ -93,7 +93,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         split_part(p_name, ' ', 1) || ' ' || substr(split_part(p_name, ' ', 2), 1, 2), 5 from part group by 2, 3"""),
     "customer_queries": ([], """
       select 10000000000 + c_custkey query_id, 't' || (c_custkey % 4) tenant_id,
-        'customer#' || substr(c_name, 10, 7) q, 5 lim from customer"""),
+        substr(lower(c_name), 1, length(c_name) - case when c_custkey % 2 = 0 then 0 when c_custkey % 4 = 1 then 1 else 4 end) q, 5 lim from customer"""),
     "lex": (["items"], f"""
       select tenant_id, entity_type, entity_id, ws[i] lexeme, i pos, 'A' weight
         from (select *, regexp_extract_all(lower(title), '{WORD}') ws from items) x, unnest(range(1, len(ws) + 1)) u(i)

@@ -57,7 +57,8 @@ select id, case when n % 7 = 0 then 'unsupported_op' when n % 23 = 0 or n % 5 =
 from (select *, id::bigint n, not (id::bigint % 7 = 0 or id::bigint % 23 = 0 or id::bigint % 5 = 0 or deleted) ok from listings)""", "listings")
 oracle("validate_changes", """
 select id, op, case when op = 'update' and n % 29 = 0 then 'missing_title'
-    when op = 'update' and n % 23 = 0 then 'missing_expected_version' when op = 'update' and n % 3 = 0 then 'missing_price' end invalid,
+    when op = 'update' and n % 23 = 0 then 'missing_expected_version' when op = 'update' and n % 3 = 0 then 'missing_price'
+    when op = 'update' and (n % 41 = 0 or n % 43 = 0) then 'invalid_currency' end invalid,
   case when op = 'update' and n % 31 = 0 then 'contact_missing'
     when op = 'update' and n % 2 = 0 and not exists (select 1 from contacts c where c.tenant_id = l.tenant_id and c.id = l.contact_id and not c.deleted)
     then 'contact_missing' end bad_relation

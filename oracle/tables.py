@@ -11,18 +11,16 @@ union all select 'TRANSACTION', id, tenant_id, total::double, currency, version,
        "contacts", "listings", "transactions")
 _T = "'2024-01-01T00:00:00Z'"
 oracle("outbox_append", f"""
-select aggregate_type, "type", published, count(*) n, sum(length(payload))::bigint payload_chars,
-  count(*) filter (fresh) n_new from (
-  select case when id % 101 = 0 then 'CAMPAIGN' else aggregate_type end aggregate_type, "type", id % 3 = 0 as published, payload, false as fresh from (
-  select id::bigint * 4 id, 'CONTACT' aggregate_type, 'ContactUpdated' "type", '{{"type":"ContactUpdated","tenantId":"' || tenant_id || '","contactId":"' || id
+select id, null as new_for, tenant_id, case when id % 101 = 0 then 'CAMPAIGN' else aggregate_type end aggregate_type, "type", payload, id % 3 = 0 as published from (
+  select id::bigint * 4 id, tenant_id, 'CONTACT' aggregate_type, 'ContactUpdated' "type", '{{"type":"ContactUpdated","tenantId":"' || tenant_id || '","contactId":"' || id
     || '","title":"' || full_name || '","subtitle":"' || label || '","visible":true,"version":' || version || ',"occurredAt":"' || {_T} || '"}}' payload from contacts
-  union all select id::bigint * 4 + 1, 'LISTING', 'ListingCreated', '{{"type":"ListingCreated","tenantId":"' || tenant_id || '","listingId":"' || id
+  union all select id::bigint * 4 + 1, tenant_id, 'LISTING', 'ListingCreated', '{{"type":"ListingCreated","tenantId":"' || tenant_id || '","listingId":"' || id
     || '","mls_id":"' || mls_id || '","contactId":"' || contact_id || '","title":"' || title || '","subtitle":"' || subtitle
     || '","visible":true,"version":' || version || ',"occurredAt":"' || {_T} || '"}}' from listings
-  union all select id::bigint * 4 + 2, 'TRANSACTION', 'TransactionDeleted', '{{"type":"TransactionDeleted","tenantId":"' || tenant_id || '","transactionId":"' || id
+  union all select id::bigint * 4 + 2, tenant_id, 'TRANSACTION', 'TransactionDeleted', '{{"type":"TransactionDeleted","tenantId":"' || tenant_id || '","transactionId":"' || id
     || '","visible":false,"version":' || version || ',"occurredAt":"' || {_T} || '"}}' from transactions)
-  union all select 'REFERRAL', 'ReferralCreated', false, '{{"type":"ReferralCreated","title":"' || s_name || '"}}', true from supplier)
-group by 1, 2, 3""", "contacts", "listings", "transactions")
+union all select null, s_suppkey::varchar, 't' || (s_suppkey % 4), 'REFERRAL', 'ReferralCreated', '{{"type":"ReferralCreated","title":"' || s_name || '"}}', false from supplier""",
+       "contacts", "listings", "transactions")
 oracle("outbox_unpublished", """
 select id, tenant_id, aggregate_type, aggregate_id, "type" from outbox where not published order by id limit 500""", "outbox")
 oracle("outbox_mark_published", """
@@ -32,7 +30,7 @@ oracle("outbox_route", """
 select id, case aggregate_type when 'CONTACT' then 'contact.events.v1' when 'LISTING' then 'listing.events.v1'
     when 'TRANSACTION' then 'transaction.events.v1' end topic,
   tenant_id || ':' || aggregate_id as key,
-  case when aggregate_type = 'CAMPAIGN' then 'Unsupported aggregate_type: CAMPAIGN' end reject_reason from outbox""", "outbox")
+  case when aggregate_type = 'CAMPAIGN' then 'unsupported_type:CAMPAIGN' end reject_reason from outbox""", "outbox")
 oracle("search_items_build", f"select {IK}, title, subtitle from items", "items")
 oracle("event_actions", """
 select 'contact.events.v1' topic, event_id as "offset", entity_type, tenant_id, entity_id, action, title, subtitle, version from acts
@@ -151,7 +149,10 @@ union all select 'transactions', count(*), count(*) filter (total is null), coun
        "contacts_raw", "listings_raw", "transactions_raw")
 oracle("duplicate_keys", """
 select tenant_id, lower(trim(email)) as key, count(*) n, 'contacts' t from contacts_raw where email is not null group by 1, 2 having count(*) > 1
-union all select tenant_id, subtitle, count(*), 'listings' from listings group by 1, 2 having count(*) > 1""", "contacts_raw", "listings")
+union all select tenant_id, 'm' || (case when id::bigint % 10 = 8 then id::bigint - 4 else id::bigint end), count(*), 'listings'
+from listings group by 1, 2 having count(*) > 1
+union all select tenant_id, entity_type || '/' || entity_id, count(*) + count(*) filter (entity_type = 'REFERRAL'), 'items'
+from items group by tenant_id, entity_type, entity_id having count(*) + count(*) filter (entity_type = 'REFERRAL') > 1""", "contacts_raw", "listings", "items")
 oracle("clean_email", "select id, trim(email) email, trim(email) hard_trim from contacts_raw", "contacts_raw")
 oracle("backfill_mls", "select id, coalesce(mls_id, id) mls_id from listings_raw", "listings_raw")
 oracle("currency_normalize", """
@@ -165,7 +166,7 @@ select id, coalesce(total, amount, 0)::decimal(19,2)::double total, coalesce(sta
        "transactions_raw")
 oracle("money_normalize", """
 select id, case when ok then round(price, 2)::double end amount, case when ok then ccy end currency,
-  case when not ok then 'Invalid currency: ' || currency end money_reject
+  case when not ok then 'invalid_currency' end money_reject
 from (select *, case when currency is null or trim(currency) = '' then 'USD' else currency end ccy,
         regexp_matches(case when currency is null or trim(currency) = '' then 'USD' else currency end, '^[A-Z]{3}$') ok from listings_raw)""",
        "listings_raw")
@@ -189,8 +190,31 @@ select event_id, case when user_id % 2 = 0 then '' else 'find ' end || '<email>
     || case when user_id % 7 = 0 then ' ' || repeat('x', 100) else '' end as q,
   case when user_id % 2 = 0 then 'control_chars' when user_id % 7 = 0 then 'too_long' end reject_reason from log""", "log")
 
-oracle("index_stream", f"select {IK}, title, subtitle from last where action = 'UPSERT'", "last")
-oracle("stream_dead_letters", """select event_id as "offset", skip_reason from ev where skip_reason is not null""", "ev")
+# what all three topics say last: contact events, then one row per listing and transaction
+_ALL_LAST = """
+  select tenant_id, entity_type, entity_id, action, title, subtitle, event_id as "offset" from last
+  union all select tenant_id, 'LISTING', id, case when deleted then 'DELETE' else 'UPSERT' end, title,
+    subtitle || case when version = 0 then '' else mls_id end, id::bigint from listings
+  union all select tenant_id, 'TRANSACTION', id, case when deleted then 'DELETE' else 'UPSERT' end, title, subtitle, id::bigint from transactions"""
+oracle("index_stream", f"select {IK}, title, subtitle from ({_ALL_LAST}) where action = 'UPSERT'", "last", "listings", "transactions")
+# the odd records come after the even ones
+oracle("stream_restart", f"""
+select {IK}, title, subtitle from (
+  select tenant_id, entity_type, entity_id, action, title, subtitle from (
+    select * from acts qualify row_number() over (partition by tenant_id, entity_id order by event_id % 2 desc, event_id desc) = 1)
+  union all select {IK}, action, title, subtitle from ({_ALL_LAST}) where entity_type <> 'CONTACT')
+where action = 'UPSERT'""", "acts", "last", "listings", "transactions")
+oracle("stream_dead_letters", """select 'contact.events.v1' topic, event_id as "offset", skip_reason from ev where skip_reason is not null""", "ev")
+oracle("bulk_delete_indexed", f"""
+select {IK}, title, subtitle from (
+  select {IK}, title, subtitle from items i where not exists (select 1 from ({_ALL_LAST}) l
+    where l.tenant_id = i.tenant_id and l.entity_type = i.entity_type and l.entity_id = i.entity_id)
+  union all select {IK}, title, subtitle from ({_ALL_LAST}) where action = 'UPSERT') a
+where not exists (select 1 from (
+    select tenant_id, 'CONTACT' entity_type, id entity_id from contacts where id::bigint % 11 = 0
+    union all select tenant_id, 'LISTING', id from listings where id::bigint % 11 = 0
+    union all select tenant_id, 'TRANSACTION', id from transactions where id::bigint % 11 = 0) g
+  where g.tenant_id = a.tenant_id and g.entity_type = a.entity_type and g.entity_id = a.entity_id)""", "items", "last", "contacts", "listings", "transactions")
 _FOLDED = f"""
 select {IK}, title, subtitle from items i where not exists (select 1 from last l
   where l.tenant_id = i.tenant_id and l.entity_type = i.entity_type and l.entity_id = i.entity_id)

@@ -82,3 +82,26 @@ def test_bulk_delete_round_trip(spark):
     acts = EV.bulk_delete_actions(bulk.select(OB.topic_of("aggregate_type").alias("topic"), F.col("payload").alias("value")))
     assert {(r.tenant_id, r.entity_id) for r in acts.collect()} == {(r.tenant_id, r.id) for r in ids.collect()}
     assert bulk.first().type == "ListingsDeleted"
+
+
+def test_last_of_repeated_keys_counts_in_any_session(spark):
+    twice = ev()[:-1] + ', "title": "Ann", "visible": true}'
+    inner = ev(title=None)[:-1] + ', "other": {"a": 1, "a": 2}, "title": "Bo"}'
+    for allowed in ("false", "true"):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+        try:
+            assert classify(spark, [twice, inner, "{bad", '{"a":1,"a":']) == [
+                ("UPSERT", None, "Ann", None), ("UPSERT", None, "Bo", None), ("SKIP", "bad_json", None, None), ("SKIP", "bad_json", None, None)]
+        finally:
+            spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+
+
+def test_bulk_deletes_are_actions(spark):
+    rows = [(TOPICS["CONTACT"], 0, i, "k", v) for i, v in enumerate([
+        '{"tenantId":"t1","contactIds":["1","2"," "],"visible":false}', '{"tenantId":"t1","contactIds":[]}', '{"tenantId":" ","contactIds":["3"]}',
+        '{"tenantId":"t1","contactIds":"4"}', ev(contactIds=["5"])])]
+    out = EV.event_actions(spark.createDataFrame(rows, EVENT_RECORD)).collect()
+    got = sorted((r.offset, r.entity_id, r.event_type, r.action, r.skip_reason) for r in out if r.entity_id is not None)
+    assert got == [(0, " ", "BULK_DELETE", "SKIP", "missing_ids"), (0, "1", "BULK_DELETE", "DELETE", None), (0, "2", "BULK_DELETE", "DELETE", None),
+                   (2, "3", "BULK_DELETE", "SKIP", "missing_ids"), (3, "", "", "SKIP", "missing_ids"), (4, "7", "CONTACTCREATED", "UPSERT", None)]
+    assert [(r.action, r.skip_reason) for r in out if r.entity_id is None] == [("SKIP", "missing_ids")]

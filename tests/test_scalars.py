@@ -112,6 +112,12 @@ def test_money(spark):
         ((Decimal("0.00"), "USD"), True), ((Decimal("2.01"), "USD"), True), (None, False), ((Decimal("1.00"), "USD"), True), (None, False)]
 
 
+def test_money_rounds_once_and_matches_the_whole_currency(spark):
+    df = spark.createDataFrame([("0.00499999999999", "USD\n"), ("0.005", "USD")], "a string, c string")
+    got = df.select(M.money_amount(F.col("a").cast("decimal(20,14)")).alias("d"), M.money_amount("a").alias("s"), M.valid_currency("c").alias("ok")).collect()
+    assert [(str(r.d), str(r.s), r.ok) for r in got] == [("0.00", "0.00", False), ("0.01", "0.01", True)]
+
+
 def test_json_access(spark):
     v = '{"a":" x\\t","b":true,"c":{"z":1},"d":12,"e":"true","f":null,"g":1.5,"h":[1],"i":0,"k":"1","l":false}'
     df = spark.createDataFrame([(v,)], "v string").select(J.parse("v").alias("p"))

@@ -58,3 +58,41 @@ def test_gate(spark):
 
 def test_shared_dir_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def _actions(spark, *rows):
+    return spark.createDataFrame([("t", "CONTACT", *r, 0, i) for i, r in enumerate(rows)],
+                                 "tenant_id string, entity_type string, entity_id string, action string, title string, subtitle string, partition int, offset bigint")
+
+
+def test_batches_of_a_restarted_stream_are_kept(spark, tmp_path):
+    """Three batches, a compaction, then batch 0 of another stream, before and after its own compaction."""
+    store = ItemStore(spark, str(tmp_path / "store")).create()
+    for k in range(3):
+        assert store.append_batch(_actions(spark, (f"c{k}", "UPSERT", "x", None)), k, "one")
+    assert store.compact() == 2
+    assert store.append_batch(_actions(spark, ("new", "UPSERT", "y", None), ("c1", "DELETE", None, None)), 0, "two")
+    want = [("t", "CONTACT", "c0", "x", None), ("t", "CONTACT", "c2", "x", None), ("t", "CONTACT", "new", "y", None)]
+    assert rows(store.current()) == want
+    assert store.compact() == 3 and rows(store.current()) == want
+
+
+def test_batches_are_applied_once_or_refused(spark, tmp_path):
+    store = ItemStore(spark, str(tmp_path / "store")).create()
+    assert store.append_batch(_actions(spark, ("a", "UPSERT", "x", None)), 0)
+    assert not store.append_batch(_actions(spark, ("a", "UPSERT", "x", None)), 0)
+    with pytest.raises(ValueError, match="other changes"):
+        store.append_batch(_actions(spark, ("a", "UPSERT", "other", None)), 0)
+    with pytest.raises(ValueError, match="holds a store"):
+        ItemStore(spark, str(tmp_path / "store")).create()
+
+
+def test_half_written_batches_are_not_read(spark, tmp_path):
+    store = ItemStore(spark, str(tmp_path / "store")).create()
+    store.append_batch(_actions(spark, ("a", "UPSERT", "x", None)), 0)
+    # a folder whose writer died before the commit row
+    _actions(spark, ("b", "UPSERT", "y", None)).select("tenant_id", "entity_type", "entity_id", "title", "subtitle", "action") \
+        .write.parquet(f"{store.path}/delta/stream=main/batch_id=1")
+    assert rows(store.current()) == [("t", "CONTACT", "a", "x", None)] and store.compact() == 0
+    store.append_batch(_actions(spark, ("b", "UPSERT", "z", None)), 1)
+    assert rows(store.current()) == [("t", "CONTACT", "a", "x", None), ("t", "CONTACT", "b", "z", None)]
