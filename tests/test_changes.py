@@ -118,3 +118,11 @@ def test_relation_checks(spark):
                                 (5, "update", "u", "x", 0, "a", "1", None)], cols)
     got = {r.seq: r.bad_relation for r in CH.validate_relations(ch, "TRANSACTION", con, li).collect()}
     assert got == {1: None, 2: "contact_missing", 3: "listing_missing", 4: None, 5: "contact_missing"}
+
+
+def test_rejected_changes_show_the_row_as_it_stands(spark):
+    cur = spark.createDataFrame([("1", "t", "A", "e", None, "l", 5, T0, T0, None)], CONTACTS)
+    ch = spark.createDataFrame([(1, "update", "t", "1", 5, "B", None, None, None), (2, "update", "t", "1", 4, "C", None, None, None),
+                                (3, "update", "t", "1", 5, "D", None, None, None)], CHANGES)
+    got = {r.seq: (r.reject_reason, r.full_name, r.version) for r in CH.apply_changes(cur, ch, "CONTACT", now()).outcomes.collect()}
+    assert got == {1: (None, "B", 6), 2: ("stale_version", "B", 6), 3: ("stale_version", "B", 6)}
