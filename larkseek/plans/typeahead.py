@@ -126,13 +126,14 @@ def matches(queries: DataFrame, items: DataFrame, stats: DataFrame | None = None
         *R.QUERY_KEY, "is_short", "entity_type", "entity_id", "title", "subtitle", "fts_score", "trigram", "score")
 
 
-def ranked_hits(queries: DataFrame, items: DataFrame, per_group: int | None = None, **how) -> DataFrame:
-    """Capped, normalised and per-type ranked hits of every distinct query (flat rows).
+def ranked_hits(queries: DataFrame, items: DataFrame, per_group: int | None = None, cap: int = R.HARD_CAP, **how) -> DataFrame:
+    """Capped, normalised and per-type ranked hits of every distinct query (flat rows). ``cap`` is
+    the number of best candidates a query keeps before ranking per type.
 
     The windows after the cap share its partitioning, so the only shuffles are those of the cap.
     """
     top = per_group if per_group is not None else 50
-    return R.topn_per_type(R.normalize_scores(R.hard_cap(matches(queries, items, **how))), top)
+    return R.topn_per_type(R.normalize_scores(R.hard_cap(matches(queries, items, **how), cap)), top)
 
 
 def typeahead_batch(queries: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -30,7 +30,3 @@ OUTBOX = ("id bigint, tenant_id string, aggregate_type string, aggregate_id stri
                  "payload string, occurred_at timestamp, published boolean, published_at timestamp")
 SEARCH_ITEMS = ("tenant_id string, entity_type string, entity_id string, title string, subtitle string")
 EVENT_RECORD = ("topic string, partition int, offset bigint, key string, value string")
-EVENT_JSON = ("type string, tenantId string, contactId string, listingId string, transactionId string, "
-                     "title string, subtitle string, mlsId string, visible boolean, version bigint, occurredAt string")
-QUERIES = ("query_id bigint, tenant_id string, q string, limit_per_group int")
-QUERY_LOG = ("ts timestamp, tenant_id string, result string, latency_ms double, q string")

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from larkseek.operators.events import KINDS
 from larkseek.schemas import EVENT_RECORD, TOPICS
 
-# Consumer settings.
+# Fixed value: the consumer's group.
 GROUP = "search-indexer"
-RECORDS_PER_POLL = 500
 
 
 def kafka_records(spark: SparkSession, servers: str, starting: str = "latest",
