@@ -131,3 +131,43 @@ pairs AS (
   FROM codes q, codes r WHERE q.id % 50 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10"""
+
+ORACLES["op10_quotation_linking"] = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, rowid) - 1 AS message,
+    string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS ls, coalesce(text, '') AS text
+  FROM (SELECT row_number() OVER () AS rowid, * FROM conversations)),
+every AS (SELECT conv_id, message, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM raw),
+flagged AS (SELECT *, regexp_matches(line, '^\s{0,3}>') AS q,
+    regexp_matches(line, '^[^>]{1,200}\b(wrote|schrieb|écrit|escribió) ?:[ \t]*$') AS att FROM every),
+kept AS (SELECT * FROM (SELECT *, att AND coalesce(lead(q) OVER (PARTITION BY conv_id, message ORDER BY i), false) AS gone FROM flagged) WHERE NOT gone),
+body AS (SELECT conv_id, message, bool_or(q) AS quotes, trim(string_agg(line, chr(10) ORDER BY i) FILTER (NOT q), ' ' || chr(9) || chr(10) || chr(13)) AS own
+  FROM kept GROUP BY conv_id, message),
+marked AS (SELECT *, CASE WHEN q THEN regexp_extract(line, '^((?:\s{0,3}>)+)', 1) ELSE '' END AS mark FROM kept),
+said AS (SELECT conv_id, message, i, q, len(regexp_replace(mark, '[^>]', '', 'g')) AS depth,
+    trim(regexp_replace(lower(substr(line, len(mark) + 1)), '\s+', ' ', 'g')) AS t FROM marked),
+opens AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER w OR t = '' THEN 1 ELSE 0 END AS o FROM said
+  WINDOW w AS (PARTITION BY conv_id, message ORDER BY i)),
+runs AS (SELECT *, sum(o) OVER (PARTITION BY conv_id, message ORDER BY i) AS run FROM opens),
+units AS (SELECT conv_id, message, depth, t FROM runs WHERE t <> ''
+  UNION ALL SELECT conv_id, message, depth, string_agg(t, ' ' ORDER BY i) FROM runs WHERE t <> '' GROUP BY conv_id, message, depth, run),
+originals AS (SELECT conv_id, t, min(message) AS original FROM units WHERE depth = 0 GROUP BY conv_id, t),
+hits AS (SELECT u.conv_id, u.message, u.depth, len(u.t) AS chars, CASE WHEN o.original < u.message THEN o.original END AS original
+  FROM units u LEFT JOIN originals o ON u.conv_id IS NOT DISTINCT FROM o.conv_id AND u.t = o.t WHERE u.depth > 0),
+sums AS (SELECT conv_id, message, depth, original, sum(chars) AS chars, count(*) AS n FROM hits GROUP BY ALL),
+links AS (SELECT conv_id, message, CAST(sum(n) AS BIGINT) AS n_quotes, CAST(coalesce(sum(n) FILTER (original IS NOT NULL), 0) AS BIGINT) AS n_linked,
+    arg_max(original, row(-depth, chars, original)) FILTER (original IS NOT NULL) AS linked FROM sums GROUP BY conv_id, message),
+replies AS (SELECT r.conv_id, r.turn, r.role, r.message, r.text, l.linked, l.n_quotes, l.n_linked,
+    coalesce(l.linked, CASE WHEN r.message > 0 THEN r.message - 1 END) AS reply_to
+  FROM raw r LEFT JOIN links l ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.message = l.message),
+firsts AS (SELECT conv_id, reply_to, min(message) AS message FROM replies WHERE reply_to IS NOT NULL GROUP BY conv_id, reply_to),
+chains AS (
+  SELECT conv_id, message, message AS chain FROM replies r WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.message = r.message)
+  UNION ALL
+  SELECT c.conv_id, f.message, c.chain FROM chains c JOIN firsts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.reply_to = c.message)
+SELECT r.conv_id, r.turn, r.role, r.message, r.reply_to,
+  CASE WHEN r.linked IS NOT NULL THEN 'quote' WHEN r.message > 0 THEN 'previous' ELSE 'root' END AS link, c.chain,
+  row_number() OVER (PARTITION BY r.conv_id ORDER BY c.chain, r.message) - 1 AS position,
+  coalesce(r.n_quotes, 0) AS n_quotes, coalesce(r.n_linked, 0) AS n_linked, CASE WHEN b.quotes THEN coalesce(b.own, '') ELSE r.text END AS content
+FROM replies r JOIN chains c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.message = r.message
+  JOIN body b ON b.conv_id IS NOT DISTINCT FROM r.conv_id AND b.message = r.message"""

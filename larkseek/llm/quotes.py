@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkseek.llm.common import ranged, scratch, start_of_parts, stored
+from larkseek.llm.common import positions, scratch, stored
 
 BLOCK_MESSAGES = 256
 NEW_LINE = r"\r\n|\n|\r"
@@ -44,20 +44,6 @@ def _normal(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), {_sql(r'[\s]+')}, ' '))"
 
 
-def positions(df: DataFrame, key: str, order: list[str], name: str, label: str) -> DataFrame:
-    """``df`` with the 0-based place of each row in its ``key`` group. Groups are cut into ranges,
-    so a hot one is spread; only a group that began in an earlier range needs an offset, which is
-    at most one row per range."""
-    spark = df.sparkSession
-    rows = ranged(df, [F.col(c) for c in (key, *order)], scratch(spark, label), "part")
-    sizes = rows.groupBy("part", key).agg(F.count(F.lit(1)).alias("rows_here"))
-    begun = start_of_parts(sizes, [key], "part", {"rows_here": "rows_before"}).where("rows_before > 0")
-    w = Window.partitionBy("part", key).orderBy(*order)
-    return (rows.withColumn("nth_here", F.row_number().over(w)).join(F.broadcast(begun), ["part", key], "left")
-            .withColumn(name, F.col("nth_here") - 1 + F.coalesce("rows_before", F.lit(0)))
-            .drop("part", "nth_here", "rows_before"))
-
-
 def _messages(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), ATTRIBUTION, "")
     rows = conversations.select(F.col(conv).alias("conv_id"), F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("conv_key"),

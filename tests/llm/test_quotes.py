@@ -1,3 +1,5 @@
+import duckdb
+
 from larkseek.llm import quotes
 from larkseek.llm.common import table
 
@@ -81,3 +83,18 @@ def test_render_and_given_table(spark, sf):
     first = [r for r in source if r["conv_id"] == 0]
     assert "\n".join(c["chat"] for c in chats) == "\n".join(f"<|{r['role']}|>\n{r['text']}" for r in first)
     assert all(c["n_messages"] <= 2 for c in chats)
+
+
+def test_sql_twin_on_planted_quotes(spark):
+    """The SQL twin and the operator agree where there is something to link."""
+    from larkseek.llm.queries import ORACLES
+    data = [(1, 0, "user", "How do I sort a list?\n\nAnd how do I reverse it?"), (1, 1, "assistant", "Call sort on it.\nOr sorted."),
+            (1, 2, "user", "> And how   do I REVERSE it?\n\nThat is still open."), (1, 3, "assistant", "> Call sort on it.\n> Or sorted.\nThis was right.\n> no one\nFine."),
+            (1, 4, "user", "On Monday Ann wrote:\n> > Call sort on it.\n> This was right.\n\nThanks"), (2, 0, "user", "Hello"), (2, 1, None, None),
+            (3, 0, "user", ">said later"), (3, 1, "user", "said later"), (None, 0, "user", "a"), (None, 1, "user", " > a\r\nb")]
+    data += [(7, k, "user", (f"> line of {k - 3}\n" if k % 2 and k >= 3 else "") + f"line of {k}") for k in range(40)]
+    got = sorted((tuple(r) for r in quotes.reply_order(spark.createDataFrame(data, SCHEMA)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", data)
+    assert sorted(con.execute(ORACLES["op10_quotation_linking"]).fetchall(), key=repr) == got
