@@ -5,9 +5,11 @@ probes every segment at radius 0, then 1, and so on. After radius r in all segme
 m * (r + 1) - 1 differing bits was seen, for it must agree to r bits in some segment. A query ends as
 soon as its kth verified distance lies within that bound, so results are exact.
 
-Rows with equal codes are one entry with its k smallest ids. Candidates are verified inside the task
-that holds a block of segment values, and only k per query leave it: no pair rows are made. A value
-that very many codes share is dealt over slices, and its probes go to each slice.
+Rows with equal codes are one entry with its k smallest ids. The first bits of a segment value name a
+block, and one task holds it. A query visits the blocks that its radius reaches; the values there are
+probed and candidates verified inside the task, and only new ones within the query's bound (its kth
+distance so far) leave it, at most k: no pair rows and no rows per probe are made. A block with very
+many codes is dealt over slices, and its visitors go to each slice.
 
 Defined cases: a query finds itself; ties go by id; vectors that are null or hold a null have no code
 and are neither found nor answered; dimensions beyond 64 are not used and missing ones count as zero;
@@ -29,7 +31,7 @@ from larkseek.llm.common import scratch, shuffle_partitions, stored
 
 K = 10
 BITS = 64
-#: Index rows and probes that one group of a round may hold on average; a value with more codes is sliced.
+#: Index rows of one block on average; a block with more is sliced.
 GROUP_ROWS = 400_000
 FOUND = "q long, code long, distance int, least_id long, ids int"
 
@@ -49,18 +51,27 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _value(code: str, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(F.col(code), shift).bitwiseAND(F.lit((1 << width) - 1))
+def _value(code: str, shift: int, width: int) -> str:
+    return f"(shiftrightunsigned({code}, {shift}) & {(1 << width) - 1}L)"
 
 
-def _probes(cuts: list[tuple[int, int]], radius: int) -> Column:
-    """Array of (segment, value) of query code q with exactly ``radius`` bits of a segment changed."""
+def _entries(cuts: list[tuple[int, int]], prefix: int) -> Column:
+    """Array of (segment, prefix, low) of column code: a segment value's first ``prefix`` bits name
+    its block, the others its place there."""
+    return F.expr("array(" + ", ".join(
+        f"named_struct('segment', {s}, 'prefix', shiftright({_value('code', shift, w)}, {w - prefix}), 'low', {_value('code', shift, w)} & {(1 << (w - prefix)) - 1}L)"
+        for s, (shift, w) in enumerate(cuts)) + ")")
+
+
+def _visits(cuts: list[tuple[int, int]], prefix: int, radius: int) -> Column:
+    """Array of (segment, prefix, rest) of query code q: the blocks that hold values with exactly
+    ``radius`` changed bits, ``rest`` of them in the place."""
     parts = []
     for s, (shift, w) in enumerate(cuts):
-        if w >= radius:
-            masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(w), radius))
-            parts.append(f"transform(split('{masks}', ','), x -> named_struct('segment', {s}, 'value', "
-                         f"(shiftrightunsigned(q, {shift}) & {(1 << w) - 1}L) ^ cast(x as bigint)))")
+        for changed in range(max(0, radius - (w - prefix)), min(prefix, radius) + 1):
+            masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(prefix), changed))
+            parts.append(f"transform(split('{masks}', ','), x -> named_struct('segment', {s}, 'prefix', "
+                         f"shiftright({_value('q', shift, w)}, {w - prefix}) ^ cast(x as bigint), 'rest', {radius - changed}))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
@@ -70,33 +81,48 @@ def _nearest(group: pd.DataFrame, k: int) -> pd.DataFrame:
     return group[group.groupby("q").cumcount() < k]
 
 
-def _search_block(probes: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Verify the codes that stand under probed values; probes and index share one block."""
-    out = pd.DataFrame({"q": np.zeros(0, np.int64), "code": np.zeros(0, np.int64), "distance": np.zeros(0, np.int32),
-                        "least_id": np.zeros(0, np.int64), "ids": np.zeros(0, np.int32)})
-    if probes.empty or index.empty:
-        return out
-    index = index.sort_values(["segment", "value"], kind="stable")
-    probes = probes.sort_values("q", kind="stable")
-    place, inverse = np.unique(np.concatenate([index["value"].to_numpy() * BITS + index["segment"].to_numpy(),
-                                               probes["value"].to_numpy() * BITS + probes["segment"].to_numpy()]), return_inverse=True)
-    own = inverse[:len(index)]
-    order = np.argsort(own, kind="stable")
-    code, least, ids = (index[c].to_numpy()[order] for c in ("code", "least_id", "ids"))
-    low = np.searchsorted(own[order], inverse[len(index):], "left")
-    count = np.searchsorted(own[order], inverse[len(index):], "right") - low
-    q = probes["q"].to_numpy()
-    total, at = np.cumsum(count), 0
-    parts = []
-    while at < len(q):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, "right")))
-        n = count[at:stop]
-        which = np.repeat(np.arange(at, stop), n)
-        row = np.repeat(low[at:stop], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        d = np.bitwise_count((q[which] ^ code[row]).view(np.uint64)).astype(np.int32)
-        parts.append(_nearest(pd.DataFrame({"q": q[which], "code": code[row], "distance": d, "least_id": least[row], "ids": ids[row]}).drop_duplicates(["q", "code"]), k))
-        at = stop
-    return _nearest(pd.concat([out, *parts]).drop_duplicates(["q", "code"]), k)
+def _search_block(visits: pd.DataFrame, index: pd.DataFrame, k: int, cuts: list[tuple[int, int]], prefix: int, radius: int) -> pd.DataFrame:
+    """Probe the places of one block and verify the codes there.
+
+    A code is reported only where it is first met, in the order of radius and then segment, and only
+    if its distance is within the query's bound.
+    """
+    out = [pd.DataFrame({"q": np.zeros(0, np.int64), "code": np.zeros(0, np.int64), "distance": np.zeros(0, np.int32),
+                         "least_id": np.zeros(0, np.int64), "ids": np.zeros(0, np.int32)})]
+    if visits.empty or index.empty:
+        return out[0]
+    segment = int(index["segment"].iloc[0])
+    shift, width = cuts[segment]
+    bits = width - prefix
+    index = index.sort_values("low", kind="stable")
+    place, code, least, ids = (index[c].to_numpy() for c in ("low", "code", "least_id", "ids"))
+    for rest, group in visits.groupby("rest"):
+        masks = np.array([sum(1 << b for b in c) for c in combinations(range(bits), int(rest))], np.int64)
+        q_all, bound_all = group["q"].to_numpy(), group["bound"].to_numpy()
+        step = max(1, 500_000 // len(masks))
+        for at in range(0, len(q_all), step):
+            q, bound = q_all[at:at + step], bound_all[at:at + step]
+            own = (q.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
+            asked = (own[:, None] ^ masks[None, :]).ravel()
+            low = np.searchsorted(place, asked, "left")
+            count = np.searchsorted(place, asked, "right") - low
+            held = np.flatnonzero(count)
+            total, begin = np.cumsum(count[held]), 0
+            while begin < len(held):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 1_000_000, "right")))
+                n = count[held[begin:end]]
+                which = np.repeat(held[begin:end] // len(masks), n)
+                row = np.repeat(low[held[begin:end]], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                differ = (q[which] ^ code[row]).view(np.uint64)
+                distance = np.bitwise_count(differ).astype(np.int32)
+                first = distance <= bound[which]
+                for t, (s, w) in enumerate(cuts):
+                    here = np.bitwise_count((differ >> np.uint64(s)) & np.uint64((1 << w) - 1))
+                    first &= here > radius if t < segment else here >= radius
+                which, row = which[first], row[first]
+                out.append(_nearest(pd.DataFrame({"q": q[which], "code": code[row], "distance": distance[first], "least_id": least[row], "ids": ids[row]}), k))
+                begin = end
+    return _nearest(pd.concat(out), k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -108,41 +134,40 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, group_rows: int = GRO
                      .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), scratch(spark, "members"))
     n = members.count()
     cuts = segments(n)
-    width = max(w for _, w in cuts)
-    index = members.select("code", F.col("ids")[0].alias("least_id"), F.size("ids").alias("ids"), F.explode(F.array(*[
-        F.struct(F.lit(s).alias("segment"), _value("code", shift, w).alias("value")) for s, (shift, w) in enumerate(cuts)])).alias("e")
-    ).select("e.segment", "e.value", "code", "least_id", "ids")
-    crowded = stored(index.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("slices")).where("slices > 1"),
-                     scratch(spark, "crowded-values"))
+    prefix = min(math.ceil(math.log2(max(shuffle_partitions(spark) / len(cuts), n / group_rows, 1))), min(w for _, w in cuts))
+    index = members.select("code", F.col("ids")[0].alias("least_id"), F.size("ids").alias("ids"), F.explode(_entries(cuts, prefix)).alias("e")
+                           ).select("e.segment", "e.prefix", "e.low", "code", "least_id", "ids")
+    crowded = stored(index.groupBy("segment", "prefix").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("slices")).where("slices > 1"),
+                     scratch(spark, "crowded-blocks"))
     any_crowded = bool(crowded.limit(1).count())
 
     def sliced(df: DataFrame, each: bool) -> DataFrame:
         if not any_crowded:
             return df.withColumn("slice", F.lit(0))
-        df = df.join(crowded, ["segment", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        df = df.join(crowded, ["segment", "prefix"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
         slice_ = F.explode(F.expr("sequence(0, slices - 1)")) if each else F.pmod(F.xxhash64("code"), F.col("slices")).cast("int")
         return df.withColumn("slice", slice_).drop("slices")
 
+    def at_radius(radius: int):
+        return lambda visits, index: _search_block(visits, index, k, cuts, prefix, radius)
+
+    block = ["segment", "prefix", "slice"]
     index = stored(sliced(index, False), scratch(spark, "index"))
-    waiting = stored(queries.select(F.col("code").alias("q")).distinct(), scratch(spark, "queries"))
+    waiting = stored(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), scratch(spark, "queries"))
     best = spark.createDataFrame([], FOUND)
-    for radius in range(width + 1):
-        n_waiting = waiting.count()
-        if not n_waiting or not n:
+    near = Window.partitionBy("q").orderBy("distance", "least_id")
+    for radius in range(max(w for _, w in cuts) + 1):
+        if not n or not waiting.limit(1).count():
             break
-        probes_each = sum(math.comb(w, radius) for _, w in cuts)
-        blocks = max(shuffle_partitions(spark), math.ceil(max(n * len(cuts), n_waiting * probes_each) / group_rows))
-        block = F.pmod(F.xxhash64("segment", "value", "slice"), F.lit(blocks)).alias("block")
-        probes = sliced(waiting.select("q", F.explode(_probes(cuts, radius)).alias("e")).select("q", "e.segment", "e.value"), True)
-        found = (probes.select(block, "q", "segment", "value").groupBy("block")
-                 .cogroup(index.select(block, "segment", "value", "code", "least_id", "ids").groupBy("block"))
-                 .applyInPandas(lambda p, i: _search_block(p, i, k), FOUND))
-        near = Window.partitionBy("q").orderBy("distance", "least_id")
-        best = stored(best.unionByName(found).dropDuplicates(["q", "code"]).withColumn("nth", F.row_number().over(near))
-                      .where(F.col("nth") <= k).drop("nth"), scratch(spark, f"best-{radius}"))
+        visits = sliced(waiting.select("q", "bound", F.explode(_visits(cuts, prefix, radius)).alias("v")).select("q", "bound", "v.segment", "v.prefix", "v.rest"), True)
+
+        found = visits.groupBy(*block).cogroup(index.groupBy(*block)).applyInPandas(at_radius(radius), FOUND)
+        best = stored(best.unionByName(found).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k).drop("nth"), scratch(spark, f"best-{radius}"))
         proven = len(cuts) * (radius + 1) - 1
-        done = best.where(F.col("distance") <= proven).groupBy("q").agg(F.sum("ids").alias("ids")).where(F.col("ids") >= k)
-        waiting = stored(waiting.join(done, "q", "left_anti"), scratch(spark, f"waiting-{radius}"))
+        kth = (best.withColumn("upto", F.sum("ids").over(near.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") >= k)
+               .groupBy("q").agg(F.min("distance").alias("kth")))
+        waiting = stored(waiting.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > proven))
+                         .select("q", F.least("bound", F.coalesce("kth", F.lit(BITS))).alias("bound")), scratch(spark, f"waiting-{radius}"))
     order = Window.partitionBy("q").orderBy("distance", "id")
     answers = (best.join(members.select("code", F.col("ids").alias("members")), "code").select("q", "distance", F.explode("members").alias("id"))
                .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
