@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,10 @@ from larkseek.llm.common import blocks, output_batch, slices, text_bytes
 DOCS_PER_CLASS = 2_500
 WINDOWS_PER_DOC = 32
 WINDOW, STRIDE = 8, 4
-BUCKETS, DIMENSIONS = 1 << 18, 8
+BUCKET_BITS, DIMENSIONS = 18, 8
+BUCKETS = 1 << BUCKET_BITS
+GRAMS = (3, 4, 5)
+STEP, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 STEPS, BATCH, RATE = 800, 256, 0.3
 TOXIC_WINDOWS, CLEAN_WINDOWS, PASSES = 2, 4, 2
 #: A subword of fewer sampled documents is not learned.
@@ -50,12 +53,28 @@ EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCORE = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of the table for a word: the word and its n-grams, with outer punctuation removed."""
-    w = word.strip(EDGE) or word
-    b = f"<{w}>"
-    parts = [w, *(b[i:i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1))]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows, word numbers) of all subwords of ``words``: each word and its n-grams, with outer
+    punctuation removed. Polynomial hashes of code points, all words at once."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    framed = [f"<{w.strip(EDGE) or w}>" for w in words]
+    length = np.array([len(w) for w in framed], np.int64)
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(length) - length
+    owner = np.repeat(np.arange(len(words)), length)
+    at = np.arange(len(codes)) - start[owner]
+    left = length[owner] - at
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, STEP, np.uint64)), dtype=np.uint64)
+    hashes, owners, gram = [np.add.reduceat(codes * power[at], start)], [np.arange(len(words))], codes
+    for n in range(2, GRAMS[-1] + 1):
+        gram = gram[:-1] * STEP + codes[n - 1:]
+        if n in GRAMS:
+            inside = left[:len(gram)] >= n
+            hashes.append(gram[inside] + np.uint64(n))
+            owners.append(owner[:len(gram)][inside])
+    h = np.concatenate(hashes) * MIX
+    return (((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), np.concatenate(owners)
 
 
 def words_of(text: str | None) -> Iterator[list[str]]:
@@ -134,13 +153,14 @@ class _Words(dict):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        ids = subwords(word)
-        value = (float(self.weights[ids].sum()), len(ids))
-        if len(self) >= CACHED_WORDS:
+    def learn(self, words: Iterable[str]) -> None:
+        """Add the words that are not known yet, all at once."""
+        new = list({w for w in words if w not in self})
+        if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        self[word] = value
-        return value
+            new = list(set(words))
+        ids, owner = subwords(new)
+        self.update(zip(new, zip(np.bincount(owner, self.weights[ids], len(new)).tolist(), np.bincount(owner, minlength=len(new)).tolist(), strict=True), strict=True))
 
 
 class Scorer:
@@ -154,7 +174,10 @@ class Scorer:
 
     def log_odds(self, text: str | None, known: _Words) -> float:
         """Of the most toxic window. Windows of WINDOW words begin every STRIDE words."""
-        parts = [np.array([known[w] for w in words], np.float64).reshape(-1, 2) for words in words_of(text)]
+        parts = []
+        for words in words_of(text):
+            known.learn(words)
+            parts.append(np.array([known[w] for w in words], np.float64).reshape(-1, 2))
         values = np.concatenate(parts) if parts else np.zeros((0, 2))
         if not len(values):
             return self.prior
@@ -218,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if rows.empty or rows["toxic"].nunique() < 2:
         return Scorer(None, numbers[1] / max(sum(numbers), 1))
     rows = rows.sort_values(["doc_id", "words"], kind="stable").reset_index(drop=True)
-    windows = [np.array([i for w in text_.split() for i in subwords(w)], np.int32) for text_ in rows["words"]]
+    windows = [subwords(text_.split())[0] for text_ in rows["words"]]
     toxic, doc = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
     spare = np.array([zlib.crc32(str(d).encode()) // 4 % 5 == 0 for d in doc])
     learned = np.flatnonzero(~spare) if len(set(toxic[~spare])) == 2 else np.arange(len(doc))

@@ -79,7 +79,7 @@ def test_without_labels_or_with_one_class(spark):
 def test_windows_cover_the_whole_text():
     import numpy as np
     weights = np.zeros(toxicity.BUCKETS)
-    weights[toxicity.subwords("hit")] = 100
+    weights[toxicity.subwords(["hit"])[0]] = 100
     scorer = toxicity.Scorer(weights, -1.0)
     known = scorer.words()
     for n in (1, 7, 8, 9, 12, 13, 100, 101):
@@ -87,3 +87,15 @@ def test_windows_cover_the_whole_text():
         base = scorer.log_odds(" ".join(words), known)
         for k in range(n):
             assert scorer.log_odds(" ".join(words[:k] + ["hit"] + words[k + 1:]), known) > base
+
+
+def test_subwords_of_many_words_equal_those_of_each():
+    words = ["idiot", "idiott,", "a", "", "!!!", "Ünï", "x" * 300, "日本語"]
+    rows, owner = toxicity.subwords(words)
+    for k, w in enumerate(words):
+        alone, _ = toxicity.subwords([w])
+        assert sorted(rows[owner == k].tolist()) == sorted(alone.tolist())
+        n = len(w.strip(toxicity.EDGE) or w) + 2
+        assert len(alone) == 1 + sum(max(n - g + 1, 0) for g in toxicity.GRAMS)
+    assert len(set(toxicity.subwords(["idiot"])[0]) & set(toxicity.subwords(["idiott"])[0])) >= 8
+    assert len(toxicity.subwords([])[0]) == 0
