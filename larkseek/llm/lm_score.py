@@ -39,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, scratch, shuffle_partitions, slices, stored, text_bytes
+from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, positions, scratch, shuffle_partitions, slices, stored, text_bytes
 
 VOCABULARY = 65_533
 MAX_WORD = 64
 MU = 4.0
 MICRO = 1_000_000
 #: Bigram entries per bucket, tokens and documents per block.
-BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 2_000_000, 60_000
+BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 1_000_000, 60_000
 #: Target ids up to this number are broadcast to mark documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 UNKNOWN = 0
@@ -118,7 +118,10 @@ class Model:
 
 def fit_vocabulary(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     counts = stored(_word_counts(docs), scratch(docs.sparkSession, "word-counts"))
-    top = counts.where("word is not null and word <> ''").orderBy(F.desc("background"), "word").limit(vocabulary).collect()
+    # ranks by ranges: a top-k query would send this many rows of every task to the driver
+    known = counts.where("word is not null and word <> ''").select(F.lit(0).alias("all"), (-F.col("background")).alias("rarity"), "word", "target", "background")
+    ranked = positions(known, "all", ["rarity", "word"], "place", "word-ranks")
+    top = sorted(ranked.where(F.col("place") < vocabulary).select("place", "word", "target", "background").collect())
     total = counts.agg(*[F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col(c))), F.lit(0)) for c in ("target", "background")],
                        *[F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col(c))), F.lit(0)) for c in ("target", "background")]).first()
     target, background = [r["target"] for r in top], [r["background"] for r in top]
