@@ -31,12 +31,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, positions, scratch, shuffle_partitions, slices, stored, text_bytes
@@ -68,7 +69,20 @@ def marked(docs: DataFrame, target_ids: DataFrame, doc_id: str, text: str) -> Da
             .join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
 
 
-def _word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows per Arrow batch while the table jobs inside run: texts are long, and each batch
+    stands in the memory of the executor and of the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _word_counts(docs: DataFrame, held: int = 150_000) -> DataFrame:
     """(word, target, background) counts; null is the boundary, ``''`` a word beyond MAX_WORD."""
     schema = pa.schema([("word", pa.string()), ("target", pa.int64()), ("background", pa.int64())])
 
@@ -117,7 +131,8 @@ class Model:
 
 
 def fit_vocabulary(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    counts = stored(_word_counts(docs), scratch(docs.sparkSession, "word-counts"))
+    with short_batches(docs.sparkSession):
+        counts = stored(_word_counts(docs), scratch(docs.sparkSession, "word-counts"))
     # ranks by ranges: a top-k query would send this many rows of every task to the driver
     known = counts.where("word is not null and word <> ''").select(F.lit(0).alias("all"), (-F.col("background")).alias("rarity"), "word", "target", "background")
     ranked = positions(known, "all", ["rarity", "word"], "place", "word-ranks")
@@ -198,7 +213,8 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
     fitted = fit_vocabulary(known, vocabulary)
     model = spark.sparkContext.broadcast(fitted)
     buckets = max(shuffle_partitions(spark), math.ceil(fitted.tokens / BUCKET_ENTRIES))
-    rows = stored(_entries(known, model, buckets), scratch(spark, "bigram-entries"))
+    with short_batches(spark):
+        rows = stored(_entries(known, model, buckets), scratch(spark, "bigram-entries"))
 
     def in_bucket(group: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(d, ENTRY) for d in group["data"]]
