@@ -25,7 +25,7 @@ the smallest id, a component of null ids has component null; repeated rows stay
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -265,12 +265,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
     return found if crowded is None else found.unionByName(_met(stored(crowded, scratch(spark, "crowded"))))
 
 
-def _classes(rows: DataFrame, radius: int, hot: int) -> DataFrame:
+def _classes(rows: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, root, component_id) of every fingerprint in ``rows`` (doc_id, fp); root is the smallest
-    fingerprint of the component."""
+    fingerprint of the component. ``find`` makes the links of distinct fingerprints."""
     spark = rows.sparkSession
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), scratch(spark, "fingerprints"))
-    roots = stored(components(links(nodes, radius, hot)), scratch(spark, "roots"))
+    roots = stored(components(find(nodes)), scratch(spark, "roots"))
     rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), scratch(spark, "rooted"))
     smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), scratch(spark, "smallest"))
     return stored(rooted.join(smallest, "root").select("fp", "root", "component_id"), scratch(spark, "classes"))
@@ -280,19 +280,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stored(with_fingerprints(slim, "text", "fp").select("doc_id", "fp"), scratch(docs.sparkSession, "doc-fingerprints"))
-    return (rows.join(_classes(rows, radius, hot), "fp")
+    return (rows.join(_classes(rows, lambda nodes: links(nodes, radius, hot)), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (then the smallest
     fingerprint; one of its repeats)."""
-    spark, name = docs.sparkSession, free_name(docs, "fp")
-    whole = stored(with_fingerprints(docs, text, name), scratch(spark, "documents-fp"))
+    name = free_name(docs, "fp")
+    whole = stored(with_fingerprints(docs, text, name), scratch(docs.sparkSession, "documents-fp"))
+    return _first_rows(whole, doc_id, name, lambda nodes: links(nodes, radius, hot), docs.columns)
+
+
+def keep_first(whole: DataFrame, doc_id: str, name: str, found: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of one row of each component, where ``found`` links values of column ``name``."""
+    return _first_rows(whole, doc_id, name, lambda nodes: found, columns)
+
+
+def _first_rows(whole: DataFrame, doc_id: str, name: str, find: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    spark = whole.sparkSession
     rows = whole.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"))
-    first = rows.join(_classes(rows, radius, hot), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = rows.join(_classes(rows, find), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(first.groupBy("root").agg(F.min("fp").alias("kept_fp"), F.min("component_id").alias("kept_id"), F.count(F.lit(1)).alias("kept_rows")), scratch(spark, "kept"))
     out = whole.join(kept, whole[doc_id].eqNullSafe(kept["kept_id"]) & (whole[name] == kept["kept_fp"]), "left_semi")
     if kept.where("kept_rows > 1").limit(1).count():
         out = out.dropDuplicates([doc_id, name])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in columns])
