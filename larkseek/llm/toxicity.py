@@ -12,8 +12,11 @@ others may be harmless) and a clean one by its ``CLEAN_WINDOWS`` most toxic. The
 so after training every subword is one number, and a word the sum of its own. Words that repeat the
 word before them are skipped.
 
-The model is fitted on a bounded sample: at most ``docs_per_class`` labelled documents of each
-class, with at most ``windows_per_doc`` windows spread over each. A fifth of them calibrates.
+The model is fitted on a bounded sample of rows: at most ``docs_per_class`` labelled documents of
+each class, with every window of their whole texts. In the warm-up a document counts as at most
+``windows_per_doc`` windows: those of a longer one weigh less. Windows come to the driver in chunks,
+and the most toxic ones are chosen in tasks if there are more than one chunk of them. A fifth of the
+documents calibrates, by the maximum over the whole text as in scoring.
 Rows with crc32(id as text) % 4 = 2 are held out. Only the text is an input.
 
 Defined cases: null and empty texts score as a window of no words, the prior of the softmax; with
@@ -26,6 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.llm.common import blocks, output_batch, slices, text_bytes
+from larkseek.llm.common import blocks, output_batch, scratch, slices, stored, text_bytes
 
 DOCS_PER_CLASS = 2_500
 WINDOWS_PER_DOC = 32
+#: Training windows in the memory of the driver.
+CHUNK = 200_000
 WINDOW, STRIDE = 8, 4
 BUCKET_BITS, DIMENSIONS = 18, 8
 BUCKETS = 1 << BUCKET_BITS
@@ -103,14 +109,14 @@ class Softmax:
         self.seen = [np.full(BUCKETS, 1e-6, np.float32), np.full((DIMENSIONS, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)]
         self.rng = rng
 
-    def step(self, ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> None:
+    def step(self, ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
         n, of = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
         mean = np.add.reduceat(self.table[ids], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
         z = mean @ self.layer + self.bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), toxic] -= 1
-        p /= n
+        p *= weight[:, None] / n
         back = (p @ self.layer.T) / lengths[:, None]
         rows, which = np.unique(ids, return_inverse=True)
         grad = np.stack([np.bincount(which, back[of, d], len(rows)) for d in range(DIMENSIONS)], axis=1)
@@ -120,26 +126,26 @@ class Softmax:
             self.seen[k] += g ** 2
             value -= 0.3 * RATE * g / np.sqrt(self.seen[k])
 
-    def _pass(self, windows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray) -> int:
-        order = self.rng.permutation(chosen)
+    def one_pass(self, windows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, chosen: np.ndarray | None = None) -> int:
+        """Number of steps made."""
+        order = self.rng.permutation(np.arange(len(windows)) if chosen is None else chosen)
         for at in range(0, len(order), BATCH):
             some = order[at:at + BATCH]
-            self.step(np.concatenate([windows[i] for i in some]), np.array([len(windows[i]) for i in some]), toxic[some])
+            self.step(np.concatenate([windows[i] for i in some]), np.array([len(windows[i]) for i in some]), toxic[some], weight[some])
         return -(-len(order) // BATCH)
 
     def odds(self, windows: list[np.ndarray]) -> np.ndarray:
         weights, prior = self.weights()
         return np.array([prior + weights[w].mean() for w in windows])
 
-    def fit(self, windows: list[np.ndarray], toxic: np.ndarray, doc: np.ndarray) -> None:
-        done = 0
-        while done < STEPS // 2:
-            done += self._pass(windows, toxic, np.arange(len(windows)))
+    def teach(self, windows: list[np.ndarray], toxic: np.ndarray, doc: np.ndarray, done: int) -> None:
+        """The steps that are left, on the most toxic of these windows of each document."""
+        weight = np.ones(len(windows))
         while done < STEPS:
             top = pd.DataFrame({"doc": doc, "toxic": toxic, "odds": self.odds(windows)}).sort_values("odds", ascending=False, kind="stable")
             chosen = top.index[top.groupby("doc").cumcount() < np.where(top["toxic"] == 1, TOXIC_WINDOWS, CLEAN_WINDOWS)].to_numpy()
             for _ in range(PASSES):
-                done += self._pass(windows, toxic, chosen)
+                done += self.one_pass(windows, toxic, weight, chosen)
 
     def weights(self) -> tuple[np.ndarray, float]:
         """(log-odds of each subword, log-odds of no words)."""
@@ -205,22 +211,126 @@ def _sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return slim.join(F.broadcast(chosen), "doc_id"), [numbers.get(0, 0), numbers.get(1, 0)]
 
 
-def _training_windows(sample: DataFrame, windows_per_doc: int) -> DataFrame:
-    """(doc_id, toxic, words): windows spread evenly over each sampled document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.string())])
+def _all_words(text: str | None) -> list[str]:
+    return [w for some in words_of(text) for w in some]
+
+
+def _worded(sample: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, spare) of the documents that have words; ``spare`` ones calibrate."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32()), ("spare", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = [(d, t, y, zlib.crc32(str(d).encode()) // 4 % 5 == 0) for d, t, y in zip(*(c.to_pylist() for c in part.columns), strict=True) if any(words_of(t))]
+                yield output_batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4)
+
+    return stored(sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, spare boolean"), scratch(sample.sparkSession, "toxicity-sample"))
+
+
+def _learnable(learned: DataFrame) -> np.ndarray:
+    """Marks the subwords that at least SUBWORD_DOCS documents have."""
+    schema = pa.schema([("subword", pa.int32()), ("docs", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    total[np.unique(subwords(sorted(set(_all_words(text))))[0])] += 1
+        held = np.flatnonzero(total)
+        yield output_batch(schema, [held.astype(np.int32), total[held]])
+
+    out = np.zeros(BUCKETS, bool)
+    counts = learned.select("text").mapInArrow(run, "subword int, docs int").groupBy("subword").agg(F.sum("docs").alias("docs"))
+    out[counts.where(F.col("docs") >= SUBWORD_DOCS).select("subword").toPandas()["subword"].to_numpy(np.int64)] = True
+    return out
+
+
+def _windows(learned: DataFrame) -> DataFrame:
+    """(doc_id, toxic, k, n, words): all n windows of each document, side by side over its text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("k", pa.int64()), ("n", pa.int64()), ("words", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 16):
                 rows = []
                 for doc, text, toxic in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = [w for some in words_of(text) for w in some]
+                    words = _all_words(text)
                     n = -(-len(words) // WINDOW)
-                    for k in sorted({int(x) for x in np.linspace(0, n - 1, min(n, windows_per_doc))} if n else ()):
+                    rows += [(doc, toxic, k, n, " ".join(words[k * WINDOW:(k + 1) * WINDOW])) for k in range(n)]
+                yield output_batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5)
+
+    return learned.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, k long, n long, words string")
+
+
+def _most_toxic(learned: DataFrame, model: Softmax) -> pd.DataFrame:
+    """(doc_id, toxic, words) of the windows that teach, chosen among all of each document."""
+    shared = learned.sparkSession.sparkContext.broadcast(model.weights()[0].astype(np.float64))
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(shared.value)
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for doc, text, toxic in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    values, words = [], []
+                    for some in words_of(text):
+                        known.learn(some)
+                        values += [known[w] for w in some]
+                        words += some
+                    total = np.add.reduceat(np.array(values, np.float64), np.arange(0, len(values), WINDOW), axis=0)
+                    for k in np.argsort(-total[:, 0] / total[:, 1], kind="stable")[:TOXIC_WINDOWS if toxic else CLEAN_WINDOWS].tolist():
                         rows.append((doc, toxic, " ".join(words[k * WINDOW:(k + 1) * WINDOW])))
-                yield output_batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []])
+                yield output_batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 3)
+
+    out = learned.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, words string").toPandas()
+    return out.sort_values(["doc_id", "words"], kind="stable").reset_index(drop=True)
 
-    return sample.mapInArrow(run, "doc_id long, toxic int, words string")
+
+def _chunks(windows: DataFrame, windows_per_doc: int) -> Iterator[tuple]:
+    """(subwords, toxic, document, weight) of at most CHUNK windows at a time, in a mixed order that
+    is the same in every run."""
+    mixed = windows.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "words").toLocalIterator()
+    while some := list(islice(mixed, CHUNK)):
+        yield ([subwords(r["words"].split())[0] for r in some], np.array([r["toxic"] for r in some]), np.array([r["doc_id"] for r in some]),
+               np.array([min(1.0, windows_per_doc / r["n"]) for r in some]))
+
+
+def _train(learned: DataFrame, windows_per_doc: int) -> Softmax:
+    model, done = Softmax(_learnable(learned)), 0
+    windows = stored(_windows(learned), scratch(learned.sparkSession, "toxicity-windows"))
+    if windows.count() <= CHUNK:
+        own, toxic, doc, weight = next(_chunks(windows, windows_per_doc))
+        while done < STEPS // 2:
+            done += model.one_pass(own, toxic, weight)
+        model.teach(own, toxic, doc, done)
+        return model
+    while done < STEPS // 2:
+        for own, toxic, _, weight in _chunks(windows, windows_per_doc):
+            done += model.one_pass(own, toxic, weight)
+    done = STEPS // 2
+    while done < STEPS:
+        top = _most_toxic(learned, model)
+        own = [subwords(w.split())[0] for w in top["words"]]
+        for _ in range(PASSES):
+            done += model.one_pass(own, top["toxic"].to_numpy(), np.ones(len(own)))
+    return model
+
+
+def _whole_odds(sample: DataFrame, scorer: Scorer) -> pd.DataFrame:
+    """(doc_id, toxic, odds): what scoring sees of each document."""
+    shared = sample.sparkSession.sparkContext.broadcast(scorer)
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("odds", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.words()
+        for batch in batches:
+            for part in slices(batch):
+                yield output_batch(schema, [part.column(0), part.column(2), [shared.value.log_odds(t, known) for t in part.column(1).to_pylist()]])
+
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, odds double").toPandas()
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30) -> tuple[float, float]:
@@ -235,29 +345,20 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 3
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
         docs_per_class: int = DOCS_PER_CLASS, windows_per_doc: int = WINDOWS_PER_DOC) -> Scorer:
-    """Learn from the sample; at most 2 * docs_per_class * windows_per_doc short windows reach the driver."""
+    """Learn from the sample; at most CHUNK short windows are on the driver at a time."""
     sample, numbers = _sampled(docs, labels, doc_id, text, label, docs_per_class)
-    rows = _training_windows(sample, windows_per_doc).toPandas()
-    if rows.empty or rows["toxic"].nunique() < 2:
+    sample = _worded(sample)
+    have = {(r["toxic"], r["spare"]) for r in sample.select("toxic", "spare").distinct().collect()}
+    if len({toxic for toxic, _ in have}) < 2:
         return Scorer(None, numbers[1] / max(sum(numbers), 1))
-    rows = rows.sort_values(["doc_id", "words"], kind="stable").reset_index(drop=True)
-    windows = [subwords(text_.split())[0] for text_ in rows["words"]]
-    toxic, doc = rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()
-    spare = np.array([zlib.crc32(str(d).encode()) // 4 % 5 == 0 for d in doc])
-    learned = np.flatnonzero(~spare) if len(set(toxic[~spare])) == 2 else np.arange(len(doc))
-    held = np.zeros(BUCKETS, np.int32)
-    for _, own in pd.Series(learned).groupby(doc[learned]):
-        held[np.unique(np.concatenate([windows[i] for i in own]))] += 1
-    model = Softmax(held >= SUBWORD_DOCS)
-    model.fit([windows[i] for i in learned], toxic[learned], doc[learned])
-    rows = rows.assign(odds=model.odds(windows))
-    rows = rows[spare] if len(set(toxic[spare])) == 2 else rows
+    model = _train(sample.where("not spare") if {(0, False), (1, False)} <= have else sample, windows_per_doc)
+    weights, prior = model.weights()
+    rows = _whole_odds(sample.where("spare") if {(0, True), (1, True)} <= have else sample, Scorer(weights.astype(np.float64), prior))
     best = rows.groupby("doc_id").agg(odds=("odds", "max"), toxic=("toxic", "max"))
     # the sample is balanced, the labels are not
     sampled = [min(n, docs_per_class) for n in numbers]
     weight = np.array([numbers[t] / sampled[t] for t in best["toxic"]])
     scale, shift = _calibrated(best["odds"].to_numpy(), best["toxic"].to_numpy(), weight / weight.mean())
-    weights, prior = model.weights()
     return Scorer(weights.astype(np.float64), prior, max(scale, 1e-3), shift)
 
 

@@ -99,3 +99,50 @@ def test_subwords_of_many_words_equal_those_of_each():
         assert len(alone) == 1 + sum(max(n - g + 1, 0) for g in toxicity.GRAMS)
     assert len(set(toxicity.subwords(["idiot"])[0]) & set(toxicity.subwords(["idiott"])[0])) >= 8
     assert len(toxicity.subwords([])[0]) == 0
+
+
+def long_corpus(seed, n):
+    """Documents of 600 to 3 000 words; a toxic one has one passage of four toxic words."""
+    rng = random.Random(seed)
+    syllables = ["ta", "ne", "ro", "li", "mu", "ke", "so", "vi", "da", "pol", "ster", "ing"]
+    out = []
+    for k in range(n):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(600, 3000))]
+        if k % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.sample(BAD, 4)
+        out.append((k, " ".join(words), int(k % 3 == 0)))
+    return out
+
+
+def test_every_word_of_a_long_document_is_learned_from(spark):
+    docs, labels = frames(spark, [(k, " ".join(f"d{k}w{j}" for j in range(999)), k % 2) for k in range(1, 9)])
+    sample = toxicity._worded(toxicity._sampled(docs, labels, "doc_id", "text", "toxic", 100)[0])
+    seen = {}
+    for r in toxicity._windows(sample).collect():
+        seen.setdefault(r["doc_id"], set()).update(r["words"].split())
+    assert seen and all(len(v) == 999 for v in seen.values())
+
+
+def test_long_documents(spark, monkeypatch):
+    """One toxic passage anywhere in a long document; also with windows in chunks."""
+    data = long_corpus(1, 300)
+    docs, labels = frames(spark, data)
+    held = [r for r in data if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    for chunk in (toxicity.CHUNK, 20_000):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        scorer = toxicity.fit(docs, labels)
+        known = scorer.words()
+        wrong = [sum((scorer.score(t, known) >= toxicity.THRESHOLD) != y for _, t, y in held if y == c) for c in (0, 1)]
+        assert wrong[0] <= 0.1 * len(held) and wrong[1] <= 0.1 * len(held), (chunk, wrong, len(held))
+
+
+def test_calibration_sees_what_scoring_sees(spark, monkeypatch):
+    data = long_corpus(2, 120)
+    given = []
+    fitted = toxicity._calibrated
+    monkeypatch.setattr(toxicity, "_calibrated", lambda x, y, w: given.append((x, y)) or fitted(x, y, w))
+    scorer = toxicity.fit(*frames(spark, data))
+    known = scorer.words()
+    spare = [r for r in data if zlib.crc32(str(r[0]).encode()) % 4 != 2 and zlib.crc32(str(r[0]).encode()) // 4 % 5 == 0]
+    assert [round(x, 9) for x in given[0][0]] == [round(scorer.log_odds(t, known), 9) for _, t, _ in spare]
