@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,17 @@ for _k, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), b" ",
 TEXT_FEATURES = 10 + 8
 
 
+def line_counts(data: bytes) -> tuple[int, int]:
+    """Lines and distinct lines (by 64-bit digests), line by line, so that no list of the lines of a
+    very long text is made."""
+    seen, at, view = set(), 0, memoryview(data)
+    while (end := data.find(b"\n", at)) >= 0:
+        seen.add(xxhash.xxh64_intdigest(view[at:end]))
+        at = end + 1
+    seen.add(xxhash.xxh64_intdigest(view[at:]))
+    return data.count(b"\n") + 1, len(seen)
+
+
 def text_view(text: str | None) -> np.ndarray:
     """Content statistics; each is bounded or a logarithm."""
     data = text_bytes(text)
@@ -67,10 +79,10 @@ def text_view(text: str | None) -> np.ndarray:
         marks += sum(map(_marked, words))
         length += sum(map(len, words))
         previous = words[-1]
-    lines = data.split(b"\n") if len(data) <= 1 << 24 else []
+    lines, distinct_lines = line_counts(data)
     share = np.sqrt(kinds / max(len(data), 1))
     return np.concatenate([share, [math.log1p(n), 1.0 / (1 + n), min(length / max(n, 1), 40) / 10, min(distinct / max(parts, 1), 30) / 10,
-                                   math.sqrt(repeats / max(n, 1)), math.sqrt(marks / max(n, 1)), len(set(lines)) / max(len(lines), 1), math.log1p(len(lines))]])
+                                   math.sqrt(repeats / max(n, 1)), math.sqrt(marks / max(n, 1)), distinct_lines / lines, math.log1p(lines)]])
 
 
 def _marked(word: bytes) -> bool:

@@ -93,3 +93,11 @@ def test_missing_metadata_columns(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     rows = quality.features(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score_documents(rows, quality.co_train(rows)).collect()} == {1.0}
+
+
+def test_lines_of_texts_of_any_length():
+    """Distinct share and number of lines, also beyond 16 MiB."""
+    for text in (None, "", "\n", "a", "a\n", "a\nb\na", "\n\nÖl\n\n", "one line of text\n" * 3 + "another", "x" * 50 + "\n" + "some words here\nmore of them\n" * 700_000):
+        lines = (text or "").encode().split(b"\n")
+        assert quality.line_counts((text or "").encode()) == (len(lines), len(set(lines)))
+        assert np.allclose(quality.text_view(text)[-2:], [len(set(lines)) / len(lines), np.log1p(len(lines))])
