@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``. A stage works on all rows its predecessor kept. All but the last
 return the columns of ``documents`` as they came.
+
+Defined cases: each stage has those of its operator. Null ids and null or empty texts stay unless a
+classifier rejects them or they repeat; repeated rows are near duplicates; other columns pass
+through all stages but the last; without rows, or without labels, every stage runs and keeps all.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkseek.llm import decontaminate, near_copies, packing, quality, toxicity
+from larkseek.llm import decontaminate, packing, quality, simhash, toxicity
 from larkseek.llm.common import scratch, stored, table
 
 
@@ -27,8 +31,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity 0.8) stays."""
-    return near_copies.deduplicate(docs)
+    """One document of each group of near duplicates (fingerprints of three-word shingles, two bits) stays."""
+    return simhash.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
