@@ -5,7 +5,8 @@
 
 Each view has its own logistic model. Round 0 learns from the labels. In each further round, a model
 also learns from the documents without a label on which the *other* view was confident in the round
-before, with the other view's decision as a pseudo-label. Views are then calibrated on labelled
+before, with the other view's decision as a pseudo-label. A view keeps what a round taught it only if
+its loss on spare labels did not rise. Views are then calibrated on labelled
 documents that no model learned from, and combined: their calibrated log-odds add up, less the prior
 that both contain (the views are taken as independent given the class).
 
@@ -194,6 +195,22 @@ def _moved(b: np.ndarray, sums: dict[str, np.ndarray], name: str, ridge: float,
     return b - np.linalg.solve(sums[f"{name}-h"].reshape(d, d) + ridge * np.eye(d), sums[f"{name}-g"] + ridge * (b - centre))
 
 
+def _accepted(rows: DataFrame, before: dict[str, np.ndarray], after: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of each view, the weights after a round, or those before where the round raised the loss on
+    spare labels. Without spare labels of both classes nothing proves a round, and none is taken."""
+    def losses(x, label, spare):
+        at = spare & (label >= 0)
+        out = {"n": np.array([(at & (label == c)).sum() for c in (0, 1)])}
+        for v in VIEWS:
+            for when, w in (("before", before[v]), ("after", after[v])):
+                p = np.clip(_logistic(x[v][at] @ w), 1e-6, 1 - 1e-6)
+                out[f"{v}-{when}"] = -np.log(np.where(label[at] == 1, p, 1 - p)).sum()
+        return out
+
+    sums = _sums(rows, losses)
+    return {v: after[v] if sums["n"].all() and sums[f"{v}-after"] <= sums[f"{v}-before"] else before[v] for v in VIEWS}
+
+
 def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Models:
     """Fit both views on the output of :func:`features`."""
     m, other = Models(), {"text": "metadata", "metadata": "text"}
@@ -221,6 +238,8 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
 
             sums = _sums(rows, contribute)
             m.weights = {v: _moved(weights[v], sums, v, RIDGE) for v in VIEWS}
+        if lent is not None:
+            m.weights = _accepted(rows, lent, m.weights)
         lent = dict(m.weights)
     # calibrate on labels that no model saw, or on all where one class has none spare
     every = not counts[1] or not counts[3]

@@ -292,11 +292,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     return _first_rows(whole, doc_id, name, lambda nodes: links(nodes, radius, hot), docs.columns)
 
 
-def keep_first(whole: DataFrame, doc_id: str, name: str, found: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one row of each component, where ``found`` links values of column ``name``."""
-    return _first_rows(whole, doc_id, name, lambda nodes: found, columns)
-
-
 def _first_rows(whole: DataFrame, doc_id: str, name: str, find: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     spark = whole.sparkSession
     rows = whole.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"))

@@ -40,7 +40,7 @@ def test_run_takes_odd_rows(spark, tmp_path):
 
 def test_registered_queries_and_their_twins(spark, sf):
     from larkseek.llm.queries import ORACLES, QUERIES
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")} and "pipeline" in QUERIES
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")} and "pipeline" in QUERIES
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     con = connect(sf)
     for name, sql in ORACLES.items():

@@ -117,7 +117,8 @@ def test_skewed_bits_get_unequal_thresholds(spark):
     prints = sorted({rng.getrandbits(32) << 32 | (1 << rng.randrange(32)) for _ in range(3000)})
     df = spark.createDataFrame([(simhash._signed(f),) for f in prints], "fp long")
     parts = simhash.plan(df)
-    assert sum(t for _, t in parts) >= 2 - 4 + 1 and all(len(b) == len(set(b)) for b, _ in parts)
+    assert len({t for _, t in parts}) > 1 or len({len(b) for b, _ in parts}) > 1
+    assert sum(t + 1 for _, t in parts) >= 3 and all(len(b) == len(set(b)) for b, _ in parts)
     assert linked(spark, prints[:300]) == brute_groups(prints[:300])
 
 
@@ -138,6 +139,6 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     prints = [(i, brute_fingerprint(t)) for i, t in data]
     groups = brute_classes([(k, f) for k, (_, f) in enumerate(prints)])
     assert len(got) == len(set(groups))
-    # ids 1 and 2 are copies, 3 to 5 have no words
-    assert sorted((r["doc_id"] for r in got), key=repr) == sorted([1, 3, 6, 7, 8, None] + ([9] if groups[-1] == 9 else []), key=repr)
+    # ids 1 and 2 are copies, 3 to 5 have no words, 9 (in capitals, one more sign) is five bits away
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted([1, 3, 6, 7, 8, 9, None], key=repr)
     assert simhash.deduplicate(empty(spark)).collect() == []
