@@ -65,7 +65,7 @@ def run(docs):
     return rows(merkle.manifest(docs, found={"text": F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}))
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28, 730, 2200])
+@pytest.mark.parametrize("n", [1, 4, 28, 2200])
 def test_sizes_around_powers_and_blocks(spark, n):
     """One hot source and some of every size; ids with gaps, negative ones too."""
     rng = random.Random(n)
