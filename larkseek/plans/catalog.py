@@ -27,11 +27,13 @@ from larkseek.operators import quality as QU
 from larkseek.operators import ranking as RK
 from larkseek.operators import reads as RD
 from larkseek.operators import relations as RL
+from larkseek.plans import postings as PO
 from larkseek.plans import typeahead as TA
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 from larkseek.session import shared_dir
 from larkseek.sources.event_log import file_records
 from larkseek.sources.item_store import ItemStore
+from larkseek.sources.postings import END, Postings, read_postings, write_postings
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
 from larkseek.streaming.index_stream import start_index_stream
 from larkseek.streaming.outbox_stream import start_outbox_stream
@@ -606,6 +608,40 @@ def typeahead_with_stats(s, d):
                     *[F.array_join(F.transform(t.lower(), lambda h: h["id"]), ",").alias(t.lower()) for t in ENTITY_TYPES])
 
 
+def _postings(s, d) -> Postings:
+    path = f"{shared_dir(s)}/postings-{uuid.uuid4().hex}"
+    write_postings(item_table(s, d), path)
+    return read_postings(s, path)
+
+
+@query
+def typeahead_postings(s, d):
+    """Every query row answered from the written inverted index."""
+    r = TA.typeahead_batch(all_queries(s, d), None, postings=_postings(s, d))
+    return r.select("query_id", "tenant_id", "result",
+                    *[F.array_join(F.transform(t.lower(), lambda h: h["id"]), ",").alias(t.lower()) for t in ENTITY_TYPES],
+                    F.round(F.coalesce(F.array_max(F.transform("contact", lambda h: h["score"])), F.lit(-1.0)), 4).alias("best_contact"))
+
+
+@query
+def substring_candidates(s, d):
+    """Items that hold the query's text, from merged window lists."""
+    index = _postings(s, d)
+    asked = RK.distinct_queries(all_queries(s, d))
+    pairs = PO.substring_candidates(asked, index).join(index.items.select("item", "entity_type", "entity_id", "title_lc", "subtitle_lc"), "item")
+    return (pairs.join(asked.select(*RK.QUERY_KEY, "term", "pattern", "is_wild"), RK.QUERY_KEY)
+            .where(F.expr(f"{T.contains_like_sql('title_lc')} or {T.contains_like_sql('subtitle_lc')}")).select(*RK.QUERY_KEY, "entity_type", "entity_id"))
+
+
+@query
+def prefix_lexemes(s, d):
+    """Dictionary words and item counts of every prefix term of the queries."""
+    terms = RK.distinct_queries(all_queries(s, d)).where("not is_short").select("tenant_id", F.explode("terms").alias("term"))
+    found = PO.prefix_words(terms.select(F.concat("tenant_id", F.lit(END), "term").alias("prefix")).distinct(), _postings(s, d))
+    return found.select(F.split_part("prefix", F.lit(END), F.lit(1)).alias("tenant_id"), F.split_part("prefix", F.lit(END), F.lit(2)).alias("term"),
+                        F.split_part("word", F.lit(END), F.lit(2)).alias("lexeme"), big("n_items").alias("n_items"))
+
+
 @query
 def typeahead_english(s, d):
     """Stemmed, stop-worded matching (no SQL twin: stemming is not SQL)."""

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from larkseek.functions.trigrams import qgrams_sql
 from larkseek.operators import ranking as R
 from larkseek.operators.reads import group_limit
+from larkseek.plans.postings import candidate_pairs
 from larkseek.functions.text import normalize_query
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
+from larkseek.sources.postings import Postings
 
 # Largest probe side that is broadcast; beyond it the candidate join shuffles.
 BROADCAST_ROWS = 200_000
@@ -114,19 +116,23 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_ro
     return pairs.join(items, ITEM_KEY).where(fresh).drop("probe_keys", "skip_if")
 
 
-def matches(queries: DataFrame, items: DataFrame, stats: DataFrame | None = None, mode: str = "simple",
-            broadcast: bool | None = None, reference_compat: bool = False) -> DataFrame:
-    """All verified and scored (distinct query, item) pairs."""
+def matches(queries: DataFrame, items: DataFrame | None, stats: DataFrame | None = None, mode: str = "simple",
+            broadcast: bool | None = None, reference_compat: bool = False, postings: Postings | None = None) -> DataFrame:
+    """All verified and scored (distinct query, item) pairs. With ``postings`` candidates come from
+    the written index and ``items`` is not read."""
     asked = R.distinct_queries(queries, mode, reference_compat)
-    if broadcast is None:
-        broadcast = fits_broadcast(asked)
-    probes = query_probes(asked, stats, mode)
-    pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast))
+    if postings is not None:
+        pairs = R.verified(candidate_pairs(asked, postings))
+    else:
+        if broadcast is None:
+            broadcast = fits_broadcast(asked)
+        probes = query_probes(asked, stats, mode)
+        pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast))
     return R.scored(pairs).select(
         *R.QUERY_KEY, "is_short", "entity_type", "entity_id", "title", "subtitle", "fts_score", "trigram", "score")
 
 
-def ranked_hits(queries: DataFrame, items: DataFrame, per_group: int | None = None, cap: int = R.HARD_CAP, **how) -> DataFrame:
+def ranked_hits(queries: DataFrame, items: DataFrame | None, per_group: int | None = None, cap: int = R.HARD_CAP, **how) -> DataFrame:
     """Capped, normalised and per-type ranked hits of every distinct query (flat rows). ``cap`` is
     the number of best candidates a query keeps before ranking per type.
 
@@ -136,7 +142,7 @@ def ranked_hits(queries: DataFrame, items: DataFrame, per_group: int | None = No
     return R.topn_per_type(R.normalize_scores(R.hard_cap(matches(queries, items, **how), cap)), top)
 
 
-def typeahead_batch(queries: DataFrame, items: DataFrame, **how) -> DataFrame:
+def typeahead_batch(queries: DataFrame, items: DataFrame | None, **how) -> DataFrame:
     """Answer each row of ``queries(query_id, tenant_id, q, limit_per_group)`` with six hit arrays.
 
     Empty queries and queries without hits get empty arrays. ``result`` is ok or empty, or no_tenant for a query that names no tenant.

@@ -1,6 +1,6 @@
 """SQL twins of the text, score and type-ahead queries."""
 
-from oracle.base import CTES, WORD, jaccard, oracle, trigrams
+from oracle.base import CTES, ORACLES, WORD, jaccard, oracle, trigrams
 
 K = "tenant_id, norm, entity_type, entity_id"
 
@@ -58,6 +58,12 @@ group by 1, 2"""
 
 oracle("typeahead_batch", _answer(
     ", round(coalesce(max(ns) filter (entity_type = 'CONTACT'), -1.0), 4) best_contact"), "typed", "queries")
+ORACLES["typeahead_postings"] = ORACLES["typeahead_batch"]
+oracle("substring_candidates", f"select {K} from pairs where tl like '%' || term || '%' or sl like '%' || term || '%'", "pairs")
+oracle("prefix_lexemes", """
+select q.tenant_id, term, lexeme, count(distinct entity_type || '/' || entity_id) n_items
+from (select distinct tenant_id, unnest(terms) term from dq where not is_short) q join lex l on l.tenant_id = q.tenant_id and starts_with(lexeme, term)
+group by 1, 2, 3""", "dq", "lex")
 # the same answer for the customer queries: only the query CTE differs
 _saved = CTES["queries"]
 CTES["queries"] = CTES["customer_queries"]
