@@ -33,7 +33,7 @@ from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 from larkseek.session import shared_dir
 from larkseek.sources.event_log import file_records
 from larkseek.sources.item_store import ItemStore
-from larkseek.sources.postings import END, Postings, read_postings, write_postings
+from larkseek.sources.postings import END, Postings, read_postings, write_delta, write_postings
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
 from larkseek.streaming.index_stream import start_index_stream
 from larkseek.streaming.outbox_stream import start_outbox_stream
@@ -642,6 +642,35 @@ def prefix_lexemes(s, d):
                         F.split_part("word", F.lit(END), F.lit(2)).alias("lexeme"), big("n_items").alias("n_items"))
 
 
+def _postings_after_events(s, d) -> tuple[str, list[str]]:
+    """The index after the contact events in four batches; the second one is written twice."""
+    path = f"{shared_dir(s)}/postings-{uuid.uuid4().hex}"
+    write_postings(item_table(s, d), path)
+    done: list[str] = []
+    for k in range(4):
+        last = PO.materialized(IX.latest_actions(EV.event_actions(X.contact_events(s, d).where(F.col("offset") % 4 == k)), ["offset"]), "batch")
+        for _ in range(1 + (k == 1)):
+            write_delta(s, path, f"b{k}", done, last)
+        done.append(f"b{k}")
+    return path, done
+
+
+@query
+def layout_after_events(s, d):
+    """Dictionary of the written index after four batches of contact events."""
+    path, done = _postings_after_events(s, d)
+    words = read_postings(s, path, done).dictionary.groupBy("word").agg(F.sum("n_items").alias("n_items")).where("n_items <> 0")
+    return words.select(F.split_part("word", F.lit(END), F.lit(1)).alias("tenant_id"), F.split_part("word", F.lit(END), F.lit(2)).alias("lexeme"), "n_items")
+
+
+@query
+def postings_after_events(s, d):
+    """Hits of all queries from the written index after four batches of contact events."""
+    path, done = _postings_after_events(s, d)
+    return RK.hard_cap(TA.matches(all_queries(s, d), None, postings=read_postings(s, path, done))).select(
+        *RK.QUERY_KEY, "entity_type", "entity_id", "score", big("position").alias("position"))
+
+
 @query
 def typeahead_english(s, d):
     """Stemmed, stop-worded matching (no SQL twin: stemming is not SQL)."""

@@ -8,11 +8,11 @@ for the (query, item) pairs that are left, and verified exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkseek.operators import ranking as R
-from larkseek.sources.postings import END, Postings, gram_slab, materialized
+from larkseek.sources.postings import END, Postings, gram_slab, materialized, page_of
 
 #: Sorts after every text that begins with what stands before it.
 AFTER = "\U0010ffff"
@@ -20,28 +20,16 @@ AFTER = "\U0010ffff"
 MERGED, LONGER = 3, 8
 
 
-def page_of(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """``words`` (distinct column word) with ``page``, the last page whose first word is not
-    greater; null before the first page. Pages and words are merged in order, range by range."""
-    both = pages.select(F.col("first").alias("word"), F.lit(0).alias("asked"), "page").unionByName(
-        words.select("word", F.lit(1).alias("asked"), F.lit(None).cast("long").alias("page")))
-    merged = materialized(both.repartitionByRange("word", "asked").withColumn("part", F.spark_partition_id()), "page-merge")
-    # one row per range
-    last = merged.groupBy("part").agg(F.max("page").alias("last"))
-    carried = last.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    here = F.max("page").over(Window.partitionBy("part").orderBy("word", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    return (merged.withColumn("here", here).where("asked = 1").join(F.broadcast(carried), "part")
-            .select("word", F.coalesce("here", "carried").alias("page")))
-
-
 def prefix_words(prefixes: DataFrame, index: Postings) -> DataFrame:
-    """(prefix, word, n_items, slab): the dictionary words that begin with each distinct ``prefix``."""
+    """(prefix, word, n_items, slab): the dictionary words that begin with each distinct ``prefix``;
+    counts of all batches are added, and words that no item has any more are left out."""
     bounds = prefixes.select(F.col("prefix").alias("low"), F.concat("prefix", F.lit(AFTER)).alias("high"))
     placed = page_of(bounds.select(F.explode(F.array("low", "high")).alias("word")).distinct(), index.pages)
     ranges = (bounds.join(placed.select(F.col("word").alias("low"), F.col("page").alias("from_page")), "low")
-              .join(placed.select(F.col("word").alias("high"), F.col("page").alias("to_page")), "high").where("to_page is not null"))
-    wanted = ranges.select(F.col("low").alias("prefix"), F.explode(F.sequence(F.coalesce("from_page", F.lit(0)), "to_page")).alias("page"))
-    return index.dictionary.join(wanted, "page").where("startswith(word, prefix)").select("prefix", "word", "n_items", "slab")
+              .join(placed.select(F.col("word").alias("high"), F.col("page").alias("to_page")), "high"))
+    wanted = ranges.select(F.col("low").alias("prefix"), F.explode(F.sequence("from_page", "to_page")).alias("page"))
+    return (index.dictionary.join(wanted, "page").where("startswith(word, prefix)").groupBy("prefix", "word")
+            .agg(F.sum("n_items").alias("n_items"), F.max("slab").alias("slab")).where("n_items > 0"))
 
 
 def _asked_slabs(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -66,7 +54,7 @@ def substring_candidates(asked: DataFrame, index: Postings) -> DataFrame:
     from larkseek.plans.typeahead import _windows
     options = (asked.selectExpr(*R.QUERY_KEY, r"split(term, r'\\.|[%_\\]') as _literals").selectExpr(*R.QUERY_KEY, f"explode({_windows('_literals')}) as gram")
                .withColumn("word", F.concat("tenant_id", F.lit(END), "gram")))
-    counted = options.join(index.gram_counts, "word", "left").withColumn("n", F.coalesce("n_items", F.lit(0)))
+    counted = options.join(index.gram_counts, "word", "left").groupBy(*R.QUERY_KEY, "word").agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n"))
     # a query has at most as many windows as characters
     picked = counted.groupBy(*R.QUERY_KEY).agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("g")).selectExpr(
         *R.QUERY_KEY, f"filter(slice(g, 1, {MERGED}), x -> x.n <= {LONGER} * g[0].n) as g")

@@ -9,17 +9,24 @@
 Lexemes lie in folders by page range and grams in folders by hash; a batch of queries reads the
 folders its words stand in. Rows inside a file are sorted by word. A word that very many items have
 is spread over files by the rebalance before the write.
+
+A batch of changes is written as a delta beside the base: changed items get new numbers, the numbers
+they had are retracted, and counts are signed, so what is written follows the batch and not the
+table. Pages stay those of the base; a new word belongs to the page it would stand in. Readers name
+the batches they want; a batch written again replaces itself. A new full build ends the deltas.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkseek.operators.ranking import with_search_columns
+from larkseek.schemas import ITEM_KEY
 from larkseek.session import shared_dir
 
 PAGE_WORDS = 64
@@ -54,16 +61,44 @@ def gram_slab() -> Column:
     return F.pmod(F.xxhash64("word"), F.lit(SLABS)).cast("int")
 
 
+def page_of(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``words`` (distinct column word) with ``page``, the last page whose first word is not
+    greater, or the first. Pages and words are merged in order, range by range."""
+    both = pages.select(F.col("first").alias("word"), F.lit(0).alias("asked"), "page").unionByName(
+        words.select("word", F.lit(1).alias("asked"), F.lit(None).cast("long").alias("page")))
+    merged = materialized(both.repartitionByRange("word", "asked").withColumn("part", F.spark_partition_id()), "page-merge")
+    # one row per range
+    last = merged.groupBy("part").agg(F.max("page").alias("last"))
+    carried = last.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    here = F.max("page").over(Window.partitionBy("part").orderBy("word", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    return (merged.withColumn("here", here).where("asked = 1").join(F.broadcast(carried), "part")
+            .select("word", F.coalesce("here", "carried", F.lit(0)).alias("page")))
+
+
+def _entries(laid: DataFrame) -> DataFrame:
+    return laid.select("tenant_id", "item", F.explode("tsv").alias("e")).select(word(F.col("e.lexeme")).alias("word"), "item", "e.pos", "e.weight")
+
+
+def _words(laid: DataFrame) -> DataFrame:
+    """The distinct words of each item, one row each."""
+    return laid.select(F.explode(F.array_distinct(F.transform("tsv", lambda e: F.concat("tenant_id", F.lit(END), e["lexeme"])))).alias("word"))
+
+
+def _grams(laid: DataFrame) -> DataFrame:
+    return laid.select("tenant_id", "item", F.explode("probe_keys").alias("gram")).select(word("gram").alias("word"), "item").withColumn("slab", gram_slab())
+
+
+def _write_slabs(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "slab", "word").sortWithinPartitions("slab", "word").write.mode("overwrite").partitionBy("slab").parquet(path)
+
+
 def write_postings(items: DataFrame, path: str, mode: str = "simple") -> None:
     """Full build below ``path``. Items without a tenant are found by no query and have no rows."""
     spark = items.sparkSession
     laid = with_search_columns(items, mode).where("tenant_id is not null")
     laid.withColumn("item", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/items")
     laid = spark.read.parquet(f"{path}/items")
-    entries = laid.select("tenant_id", "item", F.explode("tsv").alias("e")).select(word(F.col("e.lexeme")).alias("word"), "item", "e.pos", "e.weight")
-    # items per word: an item counts once
-    words = laid.select(F.explode(F.array_distinct(F.transform("tsv", lambda e: F.concat("tenant_id", F.lit(END), e["lexeme"])))).alias("word"))
-    (words.groupBy("word").agg(F.count("*").alias("n_items")).repartitionByRange("word").sortWithinPartitions("word")
+    (_words(laid).groupBy("word").agg(F.count("*").alias("n_items")).repartitionByRange("word").sortWithinPartitions("word")
      .withColumn("nth", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/sorted_words"))
     placed = spark.read.parquet(f"{path}/sorted_words").selectExpr("word", "n_items", "shiftright(nth, 33) as part", f"(nth & ((1L << 33) - 1)) div {PAGE_WORDS} as page_here")
     # one row per range
@@ -71,17 +106,47 @@ def write_postings(items: DataFrame, path: str, mode: str = "simple") -> None:
               .select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier")))
     numbered = placed.join(F.broadcast(before), "part").select("word", "n_items", (F.col("page_here") + F.col("earlier")).alias("page"))
     n_pages = (numbered.agg(F.max("page")).first()[0] or 0) + 1
-    slab = F.expr(f"int(page * {SLABS} div {n_pages})")
-    numbered.withColumn("slab", slab).sortWithinPartitions("page").write.mode("overwrite").parquet(f"{path}/dictionary")
+    numbered.withColumn("slab", F.expr(f"int(page * {SLABS} div {n_pages})")).sortWithinPartitions("page").write.mode("overwrite").parquet(f"{path}/dictionary")
     dictionary = spark.read.parquet(f"{path}/dictionary")
-    dictionary.groupBy("page").agg(F.min("word").alias("first")).write.mode("overwrite").parquet(f"{path}/pages")
-    (entries.join(dictionary.select("word", "slab"), "word").hint("rebalance", "slab", "word").sortWithinPartitions("slab", "word")
-     .write.mode("overwrite").partitionBy("slab").parquet(f"{path}/lexemes"))
-    grams = laid.select("tenant_id", "item", F.explode("probe_keys").alias("gram")).select(word("gram").alias("word"), "item")
-    (grams.withColumn("slab", gram_slab()).hint("rebalance", "slab", "word").sortWithinPartitions("slab", "word")
-     .write.mode("overwrite").partitionBy("slab").parquet(f"{path}/grams"))
+    dictionary.groupBy("page").agg(F.min("word").alias("first"), F.first("slab").alias("slab")).write.mode("overwrite").parquet(f"{path}/pages")
+    _write_slabs(_entries(laid).join(dictionary.select("word", "slab"), "word"), f"{path}/lexemes")
+    _write_slabs(_grams(laid), f"{path}/grams")
     spark.read.parquet(f"{path}/grams").groupBy("word").agg(F.count("*").alias("n_items")).write.mode("overwrite").parquet(f"{path}/gram_counts")
 
 
-def read_postings(spark: SparkSession, path: str) -> Postings:
-    return Postings(*[spark.read.parquet(f"{path}/{t}") for t in ("items", "lexemes", "dictionary", "pages", "grams", "gram_counts")])
+def write_delta(spark: SparkSession, path: str, batch: str, earlier: Sequence[str], last: DataFrame, mode: str = "simple") -> None:
+    """Write the changes of one batch: ``last`` has one row per item key with action, title and
+    subtitle. ``earlier`` names the batches that it comes after."""
+    out = f"{path}/deltas/{batch}"
+    now = read_postings(spark, path, earlier)
+    gone = now.items.select(*ITEM_KEY, "item", "tsv", "probe_keys").join(last.select(*ITEM_KEY), ITEM_KEY, "left_semi")
+    gone.write.mode("overwrite").parquet(f"{out}/gone")
+    fresh = with_search_columns(last.where("action = 'UPSERT' and tenant_id is not null").select(*ITEM_KEY, "title", "subtitle"), mode)
+    # numbers of a batch never meet those of the base or of another batch
+    fresh.withColumn("item", F.monotonically_increasing_id() + F.lit(len(earlier) + 1) * F.lit(1 << 56)).write.mode("overwrite").parquet(f"{out}/items")
+    gone, fresh = spark.read.parquet(f"{out}/gone"), spark.read.parquet(f"{out}/items")
+    words = (_words(gone).withColumn("d", F.lit(-1)).unionByName(_words(fresh).withColumn("d", F.lit(1)))
+             .groupBy("word").agg(F.sum("d").cast("long").alias("n_items")))
+    words = materialized(words, "delta-words")
+    placed = page_of(words.select("word"), now.pages).join(now.pages.select("page", "slab"), "page", "left").withColumn("slab", F.coalesce("slab", F.lit(0)))
+    words.join(placed, "word").select("word", "n_items", "page", "slab").write.mode("overwrite").parquet(f"{out}/dictionary")
+    _write_slabs(_entries(fresh).join(spark.read.parquet(f"{out}/dictionary").select("word", "slab"), "word"), f"{out}/lexemes")
+    _write_slabs(_grams(fresh), f"{out}/grams")
+    (_grams(gone).withColumn("d", F.lit(-1)).unionByName(_grams(fresh).withColumn("d", F.lit(1)))
+     .groupBy("word").agg(F.sum("d").cast("long").alias("n_items")).write.mode("overwrite").parquet(f"{out}/gram_counts"))
+
+
+def read_postings(spark: SparkSession, path: str, batches: Sequence[str] = ()) -> Postings:
+    """The base with the changes of ``batches``. Dictionary and gram counts hold a row per word and
+    batch, which add up; postings of retracted numbers find no item."""
+    def read(name: str) -> DataFrame:
+        base = spark.read.parquet(f"{path}/{name}")
+        for b in batches:
+            more = spark.read.schema(base.schema).parquet(f"{path}/deltas/{b}/{name}")
+            base = base.unionByName(more)
+        return base
+
+    items = read("items")
+    for b in batches:
+        items = items.join(spark.read.parquet(f"{path}/deltas/{b}/gone").select("item"), "item", "left_anti")
+    return Postings(items, read("lexemes"), read("dictionary"), spark.read.parquet(f"{path}/pages"), read("grams"), read("gram_counts"))

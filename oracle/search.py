@@ -70,3 +70,15 @@ CTES["queries"] = CTES["customer_queries"]
 for _name in ("typeahead_shuffled", "typeahead_with_stats", "typeahead_layout"):
     oracle(_name, _answer(), "typed", "queries")
 CTES["queries"] = _saved
+# the same queries over the items after four batches of events, batch by batch
+CTES["items_before"] = CTES["items"]
+CTES["batched"] = (["acts"], """
+  select * from acts qualify row_number() over (partition by tenant_id, entity_id order by event_id % 4 desc, event_id desc) = 1""")
+_saved = CTES["items"]
+CTES["items"] = (["items_before", "batched"], """
+  select i.* from items_before i anti join batched b using (tenant_id, entity_type, entity_id)
+  union all select tenant_id, entity_type, entity_id, title, subtitle from batched where action = 'UPSERT'""")
+oracle("layout_after_events", """
+select tenant_id, lexeme, count(distinct entity_type || '/' || entity_id) n_items from lex group by 1, 2""", "lex")
+oracle("postings_after_events", f"select {K}, score, position from capped", "capped")
+CTES["items"] = _saved
