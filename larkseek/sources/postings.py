@@ -31,6 +31,8 @@ from larkseek.session import shared_dir
 
 PAGE_WORDS = 64
 SLABS = 32
+#: Schemas of the folders; a table without rows has no file to name them.
+SLABBED = {"lexemes": "word string, item bigint, pos int, weight string, slab int", "grams": "word string, item bigint, slab int"}
 #: Stands between tenant and text in a word; sorts before everything else.
 END = "\x00"
 
@@ -111,7 +113,7 @@ def write_postings(items: DataFrame, path: str, mode: str = "simple") -> None:
     dictionary.groupBy("page").agg(F.min("word").alias("first"), F.first("slab").alias("slab")).write.mode("overwrite").parquet(f"{path}/pages")
     _write_slabs(_entries(laid).join(dictionary.select("word", "slab"), "word"), f"{path}/lexemes")
     _write_slabs(_grams(laid), f"{path}/grams")
-    spark.read.parquet(f"{path}/grams").groupBy("word").agg(F.count("*").alias("n_items")).write.mode("overwrite").parquet(f"{path}/gram_counts")
+    spark.read.schema(SLABBED["grams"]).parquet(f"{path}/grams").groupBy("word").agg(F.count("*").alias("n_items")).write.mode("overwrite").parquet(f"{path}/gram_counts")
 
 
 def write_delta(spark: SparkSession, path: str, batch: str, earlier: Sequence[str], last: DataFrame, mode: str = "simple") -> None:
@@ -140,7 +142,8 @@ def read_postings(spark: SparkSession, path: str, batches: Sequence[str] = ()) -
     """The base with the changes of ``batches``. Dictionary and gram counts hold a row per word and
     batch, which add up; postings of retracted numbers find no item."""
     def read(name: str) -> DataFrame:
-        base = spark.read.parquet(f"{path}/{name}")
+        reader = spark.read.schema(SLABBED[name]) if name in SLABBED else spark.read
+        base = reader.parquet(f"{path}/{name}")
         for b in batches:
             more = spark.read.schema(base.schema).parquet(f"{path}/deltas/{b}/{name}")
             base = base.unionByName(more)
