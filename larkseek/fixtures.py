@@ -226,3 +226,25 @@ def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 != 0, F.col("price") + F.lit("0.005").cast("decimal(19,3)")).alias("price"),
         F.when(n % 3 != 0, F.lit(" eur ")).alias("currency"),
         F.when(n % 31 == 0, F.lit("nobody")).when(n % 2 == 0, F.col("contact_id")).alias("contact_id"))
+
+
+def transaction_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five changes of one transaction: an update that gives some fields, a bulk delete, a delete
+    that names the version after the update, an insert of a taken id, and changes without an id."""
+    n, none = F.col("id").try_cast("long"), F.lit(None)
+    t = transactions(spark, sf_dir)
+    live = F.col("deleted_at").isNull()
+    first = (F.col("version") + ((n % 5 != 0) & live).cast("long")).alias("expected_version")
+
+    def step(k: int, op: str, cond: Column, expected: Column, **given: Column) -> DataFrame:
+        return t.where(cond).select((n * 10 + k).alias("seq"), F.lit(op).alias("op"), "tenant_id", (none if k == 5 else F.col("id")).cast("string").alias("id"),
+                                    expected.cast("long").alias("expected_version"), *[given.get(c, none).cast(kind).alias(c) for c, kind in (
+                                        ("title", "string"), ("subtitle", "string"), ("total", "decimal(19,3)"), ("currency", "string"), ("status", "string"),
+                                        ("contact_id", "string"), ("listing_id", "string"))])
+
+    out = step(1, "update", n % 2 == 0, F.col("version") + (n % 5 == 0).cast("long"), title=F.when(n % 4 == 0, F.concat("title", F.lit(" new"))),
+               total=F.when(n % 3 != 0, F.col("total") + F.lit("0.005").cast("decimal(19,3)")), currency=F.when(n % 3 != 0, F.lit(" eur ")), status=F.when(n % 7 == 0, F.lit("DONE")))
+    out = out.unionByName(step(2, "bulk_delete", n % 13 == 0, none))
+    out = out.unionByName(step(3, "delete", n % 4 == 0, first))
+    out = out.unionByName(step(4, "insert", n % 17 == 0, none, title=F.col("title"), total=F.lit(1)))
+    return out.unionByName(step(5, "insert", n % 19 == 0, none, title=F.col("title"), total=F.lit(1)))

@@ -6,6 +6,7 @@ expected_version`` and the entity's columns (null = not given). ``seq`` orders t
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from larkseek.functions.text import is_blank
 from larkseek.operators.change_fold import make_fold
 from larkseek.operators.events import bulk_delete_payload, outbox_rows
 from larkseek.operators.reads import live_rows
+from larkseek.session import shared_dir
 
 KEY = ["tenant_id", "id"]
 AUDIT = ["version", "created_at", "updated_at", "deleted_at"]
@@ -159,8 +161,16 @@ def _several(rows: DataFrame, rules: EntityRules, like: DataFrame) -> DataFrame:
     return rows.drop("_n").repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(fold, like.schema)
 
 
+def _missing(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Outcome of changes that name no row: rejected, with nothing to show."""
+    known = {*KEY, "seq", "op", "expected_version"}
+    return rows.select(*[(F.col(c) if c in known else F.lit("missing_id") if c == "reject_reason" else F.lit(None)).cast(like.schema[c].dataType).alias(c)
+                         for c in like.columns])
+
+
 def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Column) -> DataFrame:
-    """One outcome row per change.
+    """One outcome row per change; a change without tenant or id is rejected as ``missing_id`` (give
+    inserts theirs by :func:`assign_ids`).
 
     Counting changes per key combines before the shuffle and carries the only change of a key along,
     so keys with one change, nearly all of them, never enter Python or a sort. The changes of other
@@ -168,27 +178,31 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     by key, so every outcome, a rejected one too, shows the row as it stands then.
     """
     rules = RULES[entity]
-    ready = _prepared(changes, rules, now)
+    every = _prepared(changes, rules, now)
+    keyed = F.col("tenant_id").isNotNull() & F.col("id").isNotNull()
+    ready = every.where(keyed)
     one = F.struct(*[F.col(c) for c in ready.columns])
     per_key = ready.groupBy(*KEY).agg(F.count("*").alias("_n"), F.max_by(one, "seq").alias("_only"))
     single = _single(_with_current(per_key.where("_n = 1").select("_only.*"), current, rules), rules)
     many = _with_current(ready.join(per_key.where("_n > 1").select(*KEY, "_n"), KEY), current, rules)
-    return single.unionByName(_several(many, rules, single))
+    nameless = _missing(every.where(~keyed), single)
+    return single.unionByName(_several(many, rules, single)).unionByName(nameless)
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, entity: str, now: Column,
                   materialize_to: str | None = None) -> ChangeResult:
     """Fold a change set into an entity table.
 
-    With ``materialize_to`` (a path in the shared folder, named after the batch) the outcomes are
-    written once and snapshot, rejects and events are all derived from that one written table, so a
-    retried batch overwrites itself and the three always agree.
+    The outcomes are written once, and snapshot, rejects and events all derive from that one written
+    table, so they always agree and the change set is read once. ``materialize_to`` names its path in
+    the shared folder, after the batch, so that a retried batch overwrites itself; without it the path
+    is a fresh one.
     """
     rules = RULES[entity]
     out = change_outcomes(current, changes, entity, now)
-    if materialize_to:
-        out.write.mode("overwrite").parquet(materialize_to)
-        out = current.sparkSession.read.schema(out.schema).parquet(materialize_to)
+    path = materialize_to or f"{shared_dir(current.sparkSession)}/outcomes-{uuid.uuid4().hex}"
+    out.write.mode("overwrite").parquet(path)
+    out = current.sparkSession.read.schema(out.schema).parquet(path)
     accepted = out.where("reject_reason is null")
     row = F.struct(*rules.fields, *AUDIT)
     fresh = accepted.groupBy(*KEY).agg(F.max_by(row, "seq").alias("_r")).select(*KEY, "_r.*")

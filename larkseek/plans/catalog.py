@@ -752,6 +752,42 @@ def apply_listing_update(s, d):
                              "contact_id", "version")
 
 
+def _transactions_applied(s, d, *ops):
+    ch = X.transaction_changes(s, d)
+    return CH.apply_changes(X.transactions(s, d), ch.where(F.col("op").isin(list(ops))) if ops else ch, "TRANSACTION", _now())
+
+
+def _transaction_state(df, *more):
+    return df.select(*more, "tenant_id", "id", "title", "status", dbl("total").alias("total"), "currency", "version", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query
+def apply_outcomes(s, d):
+    """Outcome of every change of a transaction change set, with the row as it stands after it."""
+    return _transaction_state(_transactions_applied(s, d).outcomes, "seq", "op", "reject_reason")
+
+
+@query
+def apply_transaction_update(s, d):
+    """Transactions after updates that keep what is not given."""
+    return _transaction_state(_transactions_applied(s, d, "update").snapshot)
+
+
+@query
+def apply_transaction_bulk_delete(s, d):
+    """Affected rows per requested transaction."""
+    out = _transactions_applied(s, d, "bulk_delete").outcomes
+    return out.select("tenant_id", "id", F.when(F.col("reject_reason").isNull(), 1).otherwise(0).cast("long").alias("affected"))
+
+
+@query
+def change_events_bulk(s, d):
+    """Bulk-delete events of the accepted bulk deletes, read as the indexer does."""
+    ev = CH.change_events(_transactions_applied(s, d).accepted, "TRANSACTION", _now())
+    acts = EV.bulk_delete_actions(ev.select(OB.topic_of("aggregate_type").alias("topic"), F.col("payload").alias("value")))
+    return acts.select("entity_type", "tenant_id", "entity_id", "action")
+
+
 @query
 def validate_changes(s, d):
     n = F.col("id").cast("long")

@@ -63,3 +63,34 @@ select id, op, case when op = 'update' and n % 29 = 0 then 'missing_title'
     when op = 'update' and n % 2 = 0 and not exists (select 1 from contacts c where c.tenant_id = l.tenant_id and c.id = l.contact_id and not c.deleted)
     then 'contact_missing' end bad_relation
 from (select *, id::bigint n, case when id::bigint % 7 = 0 then 'undelete' else 'update' end op from listings) l""", "listings", "contacts")
+
+# transactions: state after each step of the change set
+_TX = """t0 as (select *, id::bigint n, id::bigint % 2 = 0 has1, id::bigint % 2 = 0 and id::bigint % 5 <> 0 and not deleted ok1,
+    version + (id::bigint % 5 <> 0 and not deleted)::bigint expected3 from transactions),
+t1 as (select * exclude (title, total, currency, status), version + ok1::bigint v1, case when ok1 and n % 4 = 0 then title || ' new' else title end title,
+    case when ok1 and n % 3 <> 0 then round((total + 0.005)::decimal(19,3), 2) else total end::double total,
+    case when ok1 and n % 3 <> 0 then 'EUR' else currency end currency, case when ok1 and n % 7 = 0 then 'DONE' else status end status from t0),
+t2 as (select *, n % 13 = 0 and not deleted ok2, v1 + (n % 13 = 0 and not deleted)::bigint v2, deleted or n % 13 = 0 d2 from t1),
+t3 as (select *, n % 4 = 0 and v2 = expected3 and not d2 ok3, v2 + (n % 4 = 0 and v2 = expected3 and not d2)::bigint v3,
+    d2 or (n % 4 = 0 and v2 = expected3 and not d2) d3 from t2)"""
+
+
+def _tx(body: str) -> str:
+    from oracle.base import sql
+    return sql("", "transactions").rstrip() + "," + _TX + "\n" + body
+
+
+def _put_tx(name: str, body: str) -> None:
+    from oracle.base import ORACLES
+    ORACLES[name] = _tx(body)
+
+
+_put_tx("apply_outcomes", """
+select n * 10 + 1 seq, 'update' op, case when not ok1 then 'stale_version' end reject_reason, tenant_id, id, title, status, total, currency, v1 as version, deleted from t3 where has1
+union all select n * 10 + 2, 'bulk_delete', case when not ok2 then 'not_live' end, tenant_id, id, title, status, total, currency, v2, d2 from t3 where n % 13 = 0
+union all select n * 10 + 3, 'delete', case when not ok3 then 'stale_version' end, tenant_id, id, title, status, total, currency, v3, d3 from t3 where n % 4 = 0
+union all select n * 10 + 4, 'insert', 'duplicate_key', tenant_id, id, title, status, total, currency, v3, d3 from t3 where n % 17 = 0
+union all select n * 10 + 5, 'insert', 'missing_id', tenant_id, null, null, null, null, null, null, false from t3 where n % 19 = 0""")
+_put_tx("apply_transaction_update", "select tenant_id, id, title, status, total, currency, v1 as version, deleted from t3")
+_put_tx("apply_transaction_bulk_delete", "select tenant_id, id, (not deleted)::bigint affected from t3 where n % 13 = 0")
+_put_tx("change_events_bulk", "select 'TRANSACTION' entity_type, tenant_id, id entity_id, 'DELETE' as action from t3 where ok2")

@@ -126,3 +126,15 @@ def test_rejected_changes_show_the_row_as_it_stands(spark):
                                 (3, "update", "t", "1", 5, "D", None, None, None)], CHANGES)
     got = {r.seq: (r.reject_reason, r.full_name, r.version) for r in CH.apply_changes(cur, ch, "CONTACT", now()).outcomes.collect()}
     assert got == {1: (None, "B", 6), 2: ("stale_version", "B", 6), 3: ("stale_version", "B", 6)}
+
+
+def test_changes_without_an_id_have_an_outcome(spark):
+    """Several per tenant, a null tenant, and one key beside them."""
+    cur = spark.createDataFrame([contact(1)], CONTACTS)
+    ch = spark.createDataFrame([(1, "insert", "t", None, None, "a", None, None, None), (2, "insert", "t", None, None, "b", None, None, None), (3, "delete", None, "1", 0, *[None] * 4),
+                                (4, "insert", None, None, None, "c", None, None, None), (5, "update", "t", "1", 0, "d", None, None, None)], CHANGES)
+    r = CH.apply_changes(cur, ch, "CONTACT", now())
+    assert {o.seq: (o.reject_reason, o.version) for o in r.outcomes.collect()} == {k: ("missing_id", None) for k in (1, 2, 3, 4)} | {5: (None, 1)}
+    assert [(x.id, x.full_name) for x in r.snapshot.collect()] == [("1", "d")]
+    named = CH.apply_changes(cur, CH.assign_ids(ch), "CONTACT", now())
+    assert named.snapshot.count() == 3 and {x.seq for x in named.rejected.collect()} == {3, 4}

@@ -37,7 +37,7 @@ def test_prefixes_are_ranges_of_the_dictionary(spark, built):
     words = [r["word"] for r in index.dictionary.select("word").collect()]
     asked = [f"t{t}{END}{p}" for t in (0, 9) for p in ("", "c", "order", "0000", "zzz", "é", "a" * 50)]
     got = rows(PO.prefix_words(spark.createDataFrame([(p,) for p in asked], "prefix string"), index).select("prefix", "word"))
-    assert got == sorted((p, w) for p in asked for w in words if w.startswith(p)) and len(got) > len(words) / 3
+    assert got == sorted((p, w) for p in asked for w in words if w.startswith(p)) and len(got) > 100
     pages = index.dictionary.groupBy("page").agg(F.count("*"), F.min("word"), F.max("word")).orderBy("page").collect()
     assert [r[0] for r in pages] == list(range(len(pages))) and all(r[1] <= 64 for r in pages)
     assert all(a[3] < b[2] for a, b in zip(pages, pages[1:], strict=False))
