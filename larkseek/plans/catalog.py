@@ -37,6 +37,7 @@ from larkseek.sources.postings import END, Postings, read_postings, write_delta,
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
 from larkseek.streaming.index_stream import start_index_stream
 from larkseek.streaming.outbox_stream import start_outbox_stream
+from larkseek.streaming.versioned_stream import start_versioned_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -881,6 +882,19 @@ def replay_idempotent(s, d):
     return store.current()
 
 
+@query
+def replay_by_version(s, d):
+    """Item table after the contact records in mixed order, in two runs from one checkpoint; the
+    newest version of each key counts, whichever run brought it."""
+    store = _store(s, "versions").create(item_table(s, d))
+    records = X.contact_events(s, d)
+    for run in range(2):
+        for k in range(2):
+            records.where(F.pmod(F.xxhash64("offset"), F.lit(4)) == 2 * run + k).write.mode("append").parquet(f"{store.path}-in")
+        start_versioned_stream(file_records(s, f"{store.path}-in"), store, f"{store.path}/checkpoint", available_now=True, state_partitions=8).awaitTermination()
+    return store.current()
+
+
 @query
 def outbox_stream(s, d):
     """Outbox rows published through the stream to topic files, read back by topic."""

@@ -77,6 +77,8 @@ CTES: dict[str, tuple[list[str], str]] = {
       from ev where skip_reason is null"""),
     "last": (["acts"], """
       select * from acts qualify row_number() over (partition by tenant_id, entity_id order by event_id desc) = 1"""),
+    "newest": (["acts"], """
+      select * from acts qualify row_number() over (partition by tenant_id, entity_id order by version desc, event_id desc) = 1"""),
     "outbox": (["contacts", "listings", "transactions"], """
       select *, id % 3 = 0 as published, case when id % 101 = 0 then 'CAMPAIGN' else entity end aggregate_type from (
         select id::bigint * 4 id, tenant_id, id aggregate_id, 'CONTACT' entity, 'ContactUpdated' "type" from contacts

@@ -221,6 +221,7 @@ select {IK}, title, subtitle from items i where not exists (select 1 from last l
 union all select {IK}, title, subtitle from last where action = 'UPSERT'"""
 for _name in ("stream_replay", "replay_idempotent", "apply_actions"):
     oracle(_name, _FOLDED, "items", "last")
+oracle("replay_by_version", _FOLDED.replace("from last", "from newest").replace("join last", "join newest"), "items", "newest")
 oracle("outbox_stream", """
 select id, case aggregate_type when 'CONTACT' then 'contact.events.v1' when 'LISTING' then 'listing.events.v1'
     when 'TRANSACTION' then 'transaction.events.v1' else 'rejected' end topic, tenant_id || ':' || aggregate_id as key

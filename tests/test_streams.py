@@ -96,3 +96,27 @@ def test_half_written_batches_are_not_read(spark, tmp_path):
     assert rows(store.current()) == [("t", "CONTACT", "a", "x", None)] and store.compact() == 0
     store.append_batch(_actions(spark, ("b", "UPSERT", "z", None)), 1)
     assert rows(store.current()) == [("t", "CONTACT", "a", "x", None), ("t", "CONTACT", "b", "z", None)]
+
+
+def test_versions_order_records_over_runs(spark, tmp_path):
+    """Late older records, a tombstone, equal versions and a restart from the checkpoint."""
+    from larkseek.streaming.versioned_stream import start_versioned_stream
+
+    def record(offset, key, version, kind="ContactUpdated"):
+        number = "" if version is None else f',"version":{version}'
+        body = f'{{"type":"{kind}","tenantId":"t","contactId":"{key}","title":"{key} {offset}","visible":true{number}}}'
+        return ("contact.events.v1", 0, offset, f"t:{key}", body)
+
+    runs = [[record(1, "a", 5), record(2, "a", 3), record(3, "b", 2, "ContactDeleted"), record(4, "c", None), record(5, "d", 7), record(6, "d", 7)],
+            [record(7, "a", 4), record(8, "b", 1), record(9, "c", 0), record(10, "d", 9_007_199_254_740_993), record(11, "d", 9_007_199_254_740_992), record(12, "e", 1, "ContactDeleted")],
+            [record(13, "b", 3), record(14, "e", 0), record(15, "a", 6, "ContactDeleted")]]
+    store = ItemStore(spark, str(tmp_path / "store")).create()
+    schema = "topic string, partition int, offset bigint, key string, value string"
+    states = []
+    for run in runs:
+        spark.createDataFrame(run, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        start_versioned_stream(EL.file_records(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), available_now=True, state_partitions=2).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        states.append({r["entity_id"]: r["title"] for r in store.current().collect()})
+    assert states == [{"a": "a 1", "c": "c 4", "d": "d 6"}, {"a": "a 1", "c": "c 9", "d": "d 10"}, {"b": "b 13", "c": "c 9", "d": "d 10"}]
