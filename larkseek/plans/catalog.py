@@ -33,6 +33,7 @@ from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 from larkseek.session import shared_dir
 from larkseek.sources.event_log import file_records
 from larkseek.sources.item_store import ItemStore
+from larkseek.sources.page_index import page_at, write_paged
 from larkseek.sources.postings import END, Postings, read_postings, write_delta, write_postings
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
 from larkseek.streaming.index_stream import start_index_stream
@@ -331,6 +332,18 @@ def entity_page(s, d):
     return co.unionByName(li).unionByName(tx)
 
 
+@query
+def entity_page_at(s, d):
+    """Deep pages of transactions from the page index, the last one past the end."""
+    path = f"{shared_dir(s)}/pages-{uuid.uuid4().hex}"
+    write_paged(X.transactions(s, d), path, run_rows=256)
+    out = None
+    for tenant, offset in (("t0", 0), ("t1", 250), ("t2", 3000), ("t3", 3300), ("t0", 10_000), ("t1", 10 ** 9)):
+        page = page_at(s, path, tenant, offset, 60).select("tenant_id", "id", "title", "position")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 @query
 def entity_page_after(s, d):
     """Keyset page after a given id."""
@@ -463,6 +476,15 @@ def latency_percentiles(s, d):
     return ME.latency_percentiles(X.query_log(s, d), (0.95, 0.99))
 
 
+@query
+def latency_sketch_rank_error(s, d):
+    """Whether percentiles from merged hourly sketches lie within two per cent of the exact rank."""
+    log = X.query_log(s, d)
+    sketches = PO.materialized(ME.latency_sketches(log), "sketches")
+    found = ME.rank_errors(log, PO.materialized(ME.latency_quantiles(sketches), "quantiles"))
+    return found.select("tenant_id", "result", "n", "p", (F.col("rank_error") <= 0.02).alias("within"))
+
+
 @query
 def query_log_masked(s, d):
     return ME.masked_log(X.query_log(s, d)).select("event_id", "q", "reject_reason")

@@ -185,6 +185,13 @@ select tenant_id, result, max(n) n, min(latency_ms) filter (rn >= ceil(round(0.9
   min(latency_ms) filter (rn >= ceil(round(0.99 * n, 9))) p99_ms
 from (select *, row_number() over (partition by tenant_id, result order by latency_ms) rn,
         count(*) over (partition by tenant_id, result) n from log) group by 1, 2""", "log")
+oracle("latency_sketch_rank_error", """
+select tenant_id, result, count(*) n, p, true as within from log, (values (0.95::double), (0.99::double)) v(p) group by 1, 2, 4""", "log")
+oracle("entity_page_at", """
+select t.tenant_id, id, title, position from (
+  select *, row_number() over (partition by tenant_id order by id) - 1 as position from transactions where not deleted) t
+join (values ('t0', 0), ('t1', 250), ('t2', 3000), ('t3', 3300), ('t0', 10000), ('t1', 1000000000)) v(tenant_id, o)
+  on t.tenant_id = v.tenant_id and position >= o and position < o + 60""", "transactions")
 oracle("query_log_masked", """
 select event_id, case when user_id % 2 = 0 then '' else 'find ' end || '<email> or <phone>'
     || case when user_id % 7 = 0 then ' ' || repeat('x', 100) else '' end as q,
