@@ -7,53 +7,59 @@ tokens of loss under the target minus loss under the background (nats); lower is
     p1(w)   = (c(w) + 1) / (N + size of the vocabulary)
     p(w|h)  = (c(h, w) + MU * p1(w)) / (c(h) + MU)
 
-Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. The vocabulary is
-the ``vocabulary`` most frequent words of all documents (of at most 64 bytes; ties by word), an
-unknown word, and a boundary that opens and ends each document. Its size bounds what is broadcast:
-word list and word counts. Counts and scores cover every token of every document.
-
-1. One scan counts words, in each task first.
-2. A second scan turns each block of documents into sorted (bigram, document, count) entries, packed
-   per bucket of bigrams.
-3. A bucket gets all entries of its bigrams: it sums both models' counts and scores every entry at
-   once. A bigram that every document holds is one entry per document, so no bucket is hot.
-4. Sums per document return to their block.
-
+Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII, of any length. The
+vocabulary is every word of all documents and a boundary that opens and ends each document; it
+follows the corpus and is nowhere held whole. A word is known by a 64-bit digest, a bigram by a
+64-bit mix of two; different words of one digest would count as one (about n * n / 2**65 pairs).
+
+1. One scan turns the documents into blocks of about BLOCK_TOKENS tokens. A block keeps its own
+   (bigram, document, count) entries and word digests, and names each of its distinct words and
+   bigrams once, with its counts, in the bucket of their digest.
+2. A word's or bigram's bucket sums both models' counts and answers each block in the order asked.
+   What one bigram sends to its bucket is at most one number pair per block, whatever documents hold it.
+3. A block meets its answers, computes the loss of each distinct bigram and sums it per document.
+
+Rows (block, bucket) are never empty, so there are at most as many as distinct bigrams of blocks.
 Losses are rounded to millionths of a nat per distinct bigram, so sums do not depend on order.
 
 Defined cases: null and empty texts have one token, the boundary; a target without documents leaves
-the smoothed uniform target model; repeated rows count and are scored as often as they occur.
+the smoothed uniform target model; repeated rows count and are scored as often as they occur, null
+ids among them; a document of more than BLOCK_TOKENS tokens is a block of its own; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, positions, scratch, shuffle_partitions, slices, stored, text_bytes
+from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, scratch, shuffle_partitions, slices, stored, text_bytes
 
-VOCABULARY = 65_533
-MAX_WORD = 64
 MU = 4.0
 MICRO = 1_000_000
-#: Bigram entries per bucket, tokens and documents per block.
-BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 1_000_000, 60_000
+#: Words or bigrams of blocks per bucket on average, tokens and documents per block.
+BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 500_000, 1_000_000, 60_000
 #: Target ids up to this number are broadcast to mark documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-UNKNOWN = 0
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+HISTORY, NEXT, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
+#: The digest of no word.
+BOUNDARY = xxhash.xxh64_intdigest(b"")
+ENTRY = [np.uint32, np.uint32, np.uint32, np.uint32]  # history (as a step from the one before), word, document, count
+ASKED = [np.uint64, np.uint32, np.uint32]  # digest, count in target documents, count in all
+ANSWER = [np.int64, np.int64]  # the models' counts
+ROWS = "block long, bucket long, data binary, words binary, doc_ids array<long>, n_tokens array<long>"
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
@@ -82,67 +88,6 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _word_counts(docs: DataFrame, held: int = 150_000) -> DataFrame:
-    """(word, target, background) counts; null is the boundary, ``''`` a word beyond MAX_WORD."""
-    schema = pa.schema([("word", pa.string()), ("target", pa.int64()), ("background", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, ends = (Counter(), Counter()), [0, 0]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(both[0].keys() | both[1].keys())
-            for at in range(0, len(words), 50_000):
-                some = words[at:at + 50_000]
-                t = [both[1].get(w, 0) for w in some]
-                yield output_batch(schema, [[w.decode("utf-8", "replace") if len(w) <= MAX_WORD else "" for w in some], t, [a + both[0].get(w, 0) for a, w in zip(t, some, strict=True)]])
-            both[0].clear()
-            both[1].clear()
-
-        for batch in batches:
-            for part in slices(batch):
-                for text, target in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    ends[target] += 1
-                    for words in _words(text):
-                        both[target].update(words)
-                if len(both[0]) + len(both[1]) > held:
-                    yield from flush()
-        yield from flush()
-        yield output_batch(schema, [[None], [ends[1]], [ends[0] + ends[1]]])
-
-    return docs.mapInArrow(run, "word string, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Model:
-    """The shared vocabulary with both models' word counts: at most VOCABULARY + 2 rows."""
-
-    def __init__(self, words: list[str], target: list[int], background: list[int], unknown: tuple[int, int], documents: tuple[int, int]):
-        self.ids = {w.encode(): k + 1 for k, w in enumerate(words)}
-        self.boundary = len(words) + 1
-        self.counts = np.array([[u, *own, d] for u, own, d in zip(unknown, (target, background), documents, strict=True)], np.float64)
-        total = self.counts.sum(axis=1)
-        self.tokens = int(total[1])
-        self.single = (self.counts + 1) / (total + self.counts.shape[1])[:, None]
-
-    def loss_difference(self, bigram: np.ndarray, target: np.ndarray, background: np.ndarray) -> np.ndarray:
-        """Millionths of a nat, one per distinct bigram."""
-        h, w = bigram >> 16, bigram & 0xFFFF
-        logs = [np.log((c + MU * self.single[k, w]) / (self.counts[k, h] + MU)) for k, c in enumerate((target, background))]
-        return np.rint((logs[1] - logs[0]) * MICRO).astype(np.int64)
-
-
-def fit_vocabulary(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    with short_batches(docs.sparkSession):
-        counts = stored(_word_counts(docs), scratch(docs.sparkSession, "word-counts"))
-    # ranks by ranges: a top-k query would send this many rows of every task to the driver
-    known = counts.where("word is not null and word <> ''").select(F.lit(0).alias("all"), (-F.col("background")).alias("rarity"), "word", "target", "background")
-    ranked = positions(known, "all", ["rarity", "word"], "place", "word-ranks")
-    top = sorted(ranked.where(F.col("place") < vocabulary).select("place", "word", "target", "background").collect())
-    total = counts.agg(*[F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col(c))), F.lit(0)) for c in ("target", "background")],
-                       *[F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col(c))), F.lit(0)) for c in ("target", "background")]).first()
-    target, background = [r["target"] for r in top], [r["background"] for r in top]
-    return Model([r["word"] for r in top], target, background, (total[0] - sum(target), total[1] - sum(background)), (total[2], total[3]))
-
-
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Arrays of one length as byte planes, which compress well."""
     return len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
@@ -157,92 +102,160 @@ def _unpacked(data: bytes, types: list[type]) -> list[np.ndarray]:
     return out
 
 
-ENTRY = [np.uint32, np.uint16, np.uint32]  # bigram (as a step from the one before), document, 2 * count + target
+def _bucket_order(digests: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bucket of each place): digests by bucket, otherwise as they stand."""
+    bucket = ((digests * MIX) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order].astype(np.int64)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins; at least one value."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+class _Block:
+    """Tokens of whole documents; words are numbered as they come."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.tokens, self.targets, self.sequences, self.size = [], [], [], [], 0
 
+    def add(self, doc: int | None, target: bool, words: list[np.ndarray], n: int) -> None:
+        self.ids.append(doc)
+        self.targets.append(target)
+        self.tokens.append(n + 1)
+        self.sequences.append(np.concatenate([np.zeros(1, np.uint32), *words, np.zeros(1, np.uint32)]))
+        self.size += n + 1
 
-def _entries(docs: DataFrame, model, buckets: int) -> DataFrame:
-    """Rows (block, bucket, data); bucket -1 holds the ids and token numbers of the block."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """Numbers from 1; 0 is the boundary."""
+        get, numbers = self.numbers.setdefault, self.numbers
+        return np.fromiter((get(w, len(numbers) + 1) for w in words), np.uint32, len(words))
 
-    def flush(block: int, ids: list, tokens: list[int], targets: list[bool], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate(keys)  # bigram << 16 | document
+    def rows(self, block: int, word_buckets: int, buckets: int) -> pa.RecordBatch:
+        """The block's own row (bucket null) and what it asks: words in buckets below zero."""
+        digests = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
+        digests = np.concatenate([np.array([BOUNDARY], np.uint64), digests])
+        doc_bits = np.uint64(16 if len(self.ids) > 1 else 0)  # numbers of a block of many documents stay below 2**24
+        half = (np.uint64(64) - doc_bits) // np.uint64(2)
+        key = np.concatenate([((s[:-1].astype(np.uint64) << half | s[1:].astype(np.uint64)) << doc_bits) | np.uint64(k) for k, s in enumerate(self.sequences)])
+        self.sequences = []
         key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = _starts(key)
         count = np.diff(np.append(first, len(key)))
         key = key[first]
-        bigram, doc = (key >> np.uint64(16)).astype(np.uint32), (key & np.uint64(0xFFFF)).astype(np.uint16)
-        value = (2 * count + np.array(targets)[doc]).astype(np.uint32)
-        bucket = ((bigram.astype(np.uint64) * MIX) >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        name, at = np.unique(bucket[order], return_index=True)
-        cuts = np.append(at, len(order))
-        data = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            who = order[a:b]
-            data.append(_packed([np.diff(bigram[who], prepend=np.uint32(0)), doc[who], value[who]]))
-        n = len(data)
-        yield output_batch(schema, [[block] * (n + 1), [*name.astype(np.int64).tolist(), -1], [*data, None], [*[None] * n, ids], [*[None] * n, tokens]])
+        doc = (key & ((np.uint64(1) << doc_bits) - np.uint64(1))).astype(np.uint32)
+        both = key >> doc_bits
+        h, w = (both >> half).astype(np.uint32), (both & ((np.uint64(1) << half) - np.uint64(1))).astype(np.uint32)
+        in_target = count * np.array(self.targets)[doc]
+        starts = _starts(both)
+        buckets_of, data = [], []
+        for digest, target, every, n, sign in (
+                (digests, np.bincount(w, in_target, len(digests)), np.bincount(w, count, len(digests)), word_buckets, -1),
+                (_bigrams(digests, h[starts], w[starts]), np.add.reduceat(in_target, starts), np.add.reduceat(count, starts), buckets, 1)):
+            order, bucket = _bucket_order(digest, n)
+            cuts = np.append(_starts(bucket), len(bucket))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                who = order[a:b]
+                buckets_of.append(-1 - int(bucket[a]) if sign < 0 else int(bucket[a]))
+                data.append(_packed([digest[who], target[who].astype(np.uint32), every[who].astype(np.uint32)]))
+        own = _packed([np.diff(h, prepend=np.uint32(0)), w, doc, count.astype(np.uint32)])
+        n, none = len(data), [None] * len(data)
+        return output_batch(SCHEMA, [[block] * (n + 1), [*buckets_of, None], [*data, own], [*none, _packed([digests])], [*none, self.ids], [*none, self.tokens]])
+
+
+SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("words", pa.binary()),
+                    ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
+
+
+def _bigrams(digests: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    mixed = digests[h] * HISTORY + digests[w] * NEXT
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _blocks(docs: DataFrame, word_buckets: int, buckets: int) -> DataFrame:
+    block_tokens, block_docs = BLOCK_TOKENS, BLOCK_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, block = model.value, TaskContext.get().partitionId() << 24
-        get, edge = m.ids.get, np.array([m.boundary], np.uint64)
-        ids, tokens, targets, keys, size = [], [], [], [], 0
+        name, block = TaskContext.get().partitionId() << 24, _Block()
         for batch in batches:
             for part in slices(batch):
                 for doc, text, target in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    w = np.concatenate([edge, *(np.array([get(x, UNKNOWN) for x in words], np.uint64) for words in _words(text)), edge])
-                    keys.append(((w[:-1] << np.uint64(16) | w[1:]) << np.uint64(16)) | np.uint64(len(ids)))
-                    ids.append(doc)
-                    tokens.append(len(w) - 1)
-                    targets.append(target)
-                    size += len(w)
-                    if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                        yield from flush(block, ids, tokens, targets, keys)
-                        ids, tokens, targets, keys, size, block = [], [], [], [], 0, block + 1
-        if ids:
-            yield from flush(block, ids, tokens, targets, keys)
-
-    return docs.mapInArrow(run, "block long, bucket long, data binary, doc_ids array<long>, n_tokens array<long>")
-
-
-def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+                    n_letters = len(text or "")
+                    if block.ids and (block.size + n_letters // 2 + 1 > block_tokens and block.size + sum(map(len, _words(text))) + 1 > block_tokens or len(block.ids) >= block_docs):
+                        yield block.rows(name, word_buckets, buckets)
+                        name, block = name + 1, _Block()
+                    words = [block.numbered(some) for some in _words(text)]
+                    block.add(doc, target, words, sum(map(len, words)))
+        if block.ids:
+            yield block.rows(name, word_buckets, buckets)
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def _in_bucket(group: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a bucket's digests, given back to each block in the order it asked; a row without
+    block holds the bucket's totals: distinct digests, tokens of target documents and of all."""
+    parts = [_unpacked(d, ASKED) for d in group["data"]]
+    digest, target, every = (np.concatenate(c) for c in zip(*parts, strict=True))
+    distinct, which = np.unique(digest, return_inverse=True)
+    target, every = (np.bincount(which, c).astype(np.int64) for c in (target, every))
+    cuts = np.cumsum([len(p[0]) for p in parts])
+    data = [_packed([target[some], every[some]]) for some in np.split(which, cuts[:-1])]
+    totals = _packed([np.array([len(distinct), target.sum(), every.sum()], np.int64)])
+    bucket = group["bucket"].iloc[0]
+    return pd.DataFrame({"block": pd.array([*group["block"], None], "Int64"), "bucket": bucket, "data": [*data, totals]})
+
+
+def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_difference (millionths of a nat, summed) and score (nats per token) of
     every row of ``docs``. ``target_ids`` (column doc_id) names the target documents."""
     spark = docs.sparkSession
     known = marked(docs, target_ids, doc_id, text)
-    fitted = fit_vocabulary(known, vocabulary)
-    model = spark.sparkContext.broadcast(fitted)
-    buckets = max(shuffle_partitions(spark), math.ceil(fitted.tokens / BUCKET_ENTRIES))
+    letters = docs.select(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(spark), math.ceil(letters / 6 / BUCKET_ENTRIES))
+    word_buckets = max(shuffle_partitions(spark), math.ceil(buckets / 4))
     with short_batches(spark):
-        rows = stored(_entries(known, model, buckets), scratch(spark, "bigram-entries"))
-
-    def in_bucket(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(d, ENTRY) for d in group["data"]]
-        bigram = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
-        doc = np.concatenate([p[1] for p in parts])
-        value = np.concatenate([p[2] for p in parts])
-        block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        distinct, which = np.unique(bigram, return_inverse=True)
-        count, target = value >> 1, value & 1
-        loss = model.value.loss_difference(distinct.astype(np.int64), np.bincount(which, count * target), np.bincount(which, count))[which] * count
-        out = []
-        for k, name in enumerate(group["block"].tolist()):
-            own = block == k
-            who, where = np.unique(doc[own], return_inverse=True)
-            total = np.zeros(len(who), np.int64)
-            np.add.at(total, where, loss[own])
-            out.append((name, _packed([who, total])))
-        return pd.DataFrame(out, columns=["block", "sums"])
-
-    sums = rows.where("bucket >= 0").select("bucket", "block", "data").groupBy("bucket").applyInPandas(in_bucket, "block long, sums binary")
-
-    def in_block(sums: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        ids, tokens = names["doc_ids"].iloc[0], np.asarray(names["n_tokens"].iloc[0], np.int64)
-        total = np.zeros(len(tokens), np.int64)
-        for data in sums["sums"]:
-            who, part = _unpacked(data, [np.uint16, np.int64])
-            total[who] += part
-        return pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "n_tokens": tokens, "loss_difference": total, "score": total / (MICRO * tokens)})
-
-    return (sums.groupBy("block").cogroup(rows.where("bucket < 0").select("block", "doc_ids", "n_tokens").groupBy("block"))
+        rows = stored(_blocks(known, word_buckets, buckets), scratch(spark, "bigram-blocks"))
+    summed = "block long, bucket long, data binary"
+
+    def sums(side: str) -> DataFrame:
+        return rows.where(side).select("block", "bucket", "data").groupBy("bucket").applyInPandas(_in_bucket, summed)
+
+    words = stored(sums("bucket < 0"), scratch(spark, "word-sums"))
+    size, target_tokens, tokens = 0, 0, 0
+    for r in words.where("block is null").select("data").toLocalIterator():
+        own = _unpacked(bytes(r["data"]), [np.int64])[0].tolist()
+        size, target_tokens, tokens = size + own[0], target_tokens + own[1], tokens + own[2]
+
+    def in_block(answers: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        answers = answers.sort_values("bucket")
+        digests, = _unpacked(names["words"].iloc[0], [np.uint64])
+        h, w, doc, count = _unpacked(names["data"].iloc[0], ENTRY)
+        h = np.cumsum(h, dtype=np.uint32)
+        starts = _starts(h.astype(np.uint64) << np.uint64(32) | w)
+        bigram = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        h, w = h[starts], w[starts]
+
+        def counts(some: pd.DataFrame, asked: np.ndarray, n: int) -> list[np.ndarray]:
+            order, _ = _bucket_order(asked, n)
+            out = []
+            for column in zip(*(_unpacked(d, ANSWER) for d in some["data"]), strict=True):
+                out.append(np.empty(len(asked), np.float64))
+                out[-1][order] = np.concatenate(column)
+            return out
+
+        # words ask in buckets -1, -2, ..., so their order is turned round
+        single = counts(answers[answers["bucket"] < 0][::-1], digests, word_buckets)
+        pair = counts(answers[answers["bucket"] >= 0], _bigrams(digests, h, w), buckets)
+        logs = [np.log((c + MU * ((s[w] + 1) / (total + size))) / (s[h] + MU)) for c, s, total in zip(pair, single, (target_tokens, tokens), strict=True)]
+        loss = np.rint((logs[1] - logs[0]) * MICRO).astype(np.int64)[bigram] * count
+        n_tokens = np.asarray(names["n_tokens"].iloc[0], np.int64)
+        total = np.zeros(len(n_tokens), np.int64)
+        np.add.at(total, doc, loss)
+        return pd.DataFrame({"doc_id": pd.array(list(names["doc_ids"].iloc[0]), "Int64"), "n_tokens": n_tokens, "loss_difference": total, "score": total / (MICRO * n_tokens)})
+
+    answers = words.where("block is not null").unionByName(sums("bucket >= 0").where("block is not null"))
+    return (answers.groupBy("block").cogroup(rows.where("bucket is null").select("block", "data", "words", "doc_ids", "n_tokens").groupBy("block"))
             .applyInPandas(in_block, "doc_id long, n_tokens long, loss_difference long, score double"))

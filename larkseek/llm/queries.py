@@ -127,12 +127,10 @@ WITH d AS (
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 tok AS (SELECT r, target, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
-top AS (SELECT word FROM tok WHERE strlen(word) <= 64 GROUP BY word ORDER BY count(*) DESC, word LIMIT 65533),
-known AS (SELECT r, target, i, CASE WHEN t.word IS NULL THEN '?' ELSE t.word END AS word FROM tok LEFT JOIN top t USING (word)),
-seq AS (SELECT r, target, i, word FROM known UNION ALL SELECT r, target, len(w) + 1, '.' FROM d),
+seq AS (SELECT r, target, i, word FROM tok UNION ALL SELECT r, target, len(w) + 1, '.' FROM d),
 pairs AS (SELECT r, target, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '.') AS h FROM seq),
 uni AS (SELECT word, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS b FROM seq GROUP BY word),
-alls AS (SELECT coalesce(sum(t), 0) AS nt, coalesce(sum(b), 0) AS nb, (SELECT count(*) FROM top) + 2 AS v FROM uni),
+alls AS (SELECT coalesce(sum(t), 0) AS nt, coalesce(sum(b), 0) AS nb, count(*) AS v FROM uni),
 bi AS (SELECT h, word, CAST(count(*) FILTER (target) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS b FROM pairs GROUP BY h, word),
 loss AS (SELECT bi.h, bi.word, CAST(round((ln((bi.b + 4.0 * ((w.b + 1) / (nb + v))) / (c.b + 4.0)) - ln((bi.t + 4.0 * ((w.t + 1) / (nt + v))) / (c.t + 4.0))) * 1000000) AS BIGINT) AS diff
   FROM bi JOIN uni w ON bi.word = w.word JOIN uni c ON bi.h = c.word, alls),

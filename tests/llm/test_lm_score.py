@@ -2,7 +2,6 @@ import math
 import re
 from collections import Counter
 
-import pytest
 from llm_cases import LONG, clashing, empty, odd_docs, odd_rows
 
 from larkseek.llm import lm_score
@@ -14,17 +13,15 @@ def words(t):
     return re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").encode().translate(lower))
 
 
-def brute(docs, target, vocabulary=65_533):
-    counts = Counter(w for _, t in docs for w in words(t) if len(w) <= 64)
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
-    seqs = [(i, [".", *(w if w in known else "?" for w in words(t)), "."]) for i, t in docs]
+def brute(docs, target):
+    seqs = [(i, [".", *words(t), "."]) for i, t in docs]
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
     for i, s in seqs:
         for k in (0, 1):
             if k == 1 or i in target:
                 uni[k].update(s[1:])
                 bi[k].update(zip(s, s[1:], strict=False))
-    total, size = [sum(u.values()) for u in uni], len(known) + 2
+    total, size = [sum(u.values()) for u in uni], len(uni[1])
 
     def loss(k, h, w):
         p1 = (uni[k][w] + 1) / (total[k] + size)
@@ -36,19 +33,19 @@ def brute(docs, target, vocabulary=65_533):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("vocabulary", [65_533, 40])
-def test_against_brute_force(spark, sf, vocabulary):
+def test_against_brute_force(spark, sf):
     docs = table(spark, sf, "documents").where("length(text) < 3000")
     data = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     target = {i for i, _ in data if i % 3 == 0}
-    got = lm_score.score(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), vocabulary=vocabulary).collect()
-    assert sorted((tuple(r)[:3] for r in got), key=repr) == brute(data, target, vocabulary)
+    got = lm_score.score(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=repr) == brute(data, target)
     assert all(r["score"] == r["loss_difference"] / (1_000_000 * r["n_tokens"]) for r in got)
 
 
 def test_many_buckets_and_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 500)
     monkeypatch.setattr(lm_score, "BUCKET_ENTRIES", 3000)
+    monkeypatch.setattr(lm_score, "BLOCK_DOCS", 7)
     monkeypatch.setattr(lm_score, "BROADCAST_IDS", 0)
     docs = table(spark, sf, "documents").where("length(text) < 1500")
     data = [tuple(r) for r in docs.select("doc_id", "text").collect()]
@@ -57,6 +54,20 @@ def test_many_buckets_and_blocks(spark, sf, monkeypatch):
     assert sorted((tuple(r)[:3] for r in got), key=repr) == brute(data, target)
 
 
+def test_rows_grow_with_the_tokens(spark, monkeypatch):
+    """Every word is counted, a common bigram asks once per block, and rows stay below the words of blocks."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 300)
+    asked = {}
+    for n in (200, 800):
+        docs = spark.createDataFrame([(i, f"shared start w{i} x{i} y{i}", i % 2 == 0) for i in range(n)], "doc_id long, text string, target boolean").repartition(2, "doc_id")
+        rows = lm_score._blocks(docs, 50, 200).where("bucket is not null").select("block", "bucket", "data").collect()
+        asked[n] = sum(len(lm_score._unpacked(bytes(r["data"]), lm_score.ASKED)[0]) for r in rows)
+        assert len(rows) <= asked[n]
+        digests = {int(d) for r in rows if r["bucket"] < 0 for d in lm_score._unpacked(bytes(r["data"]), lm_score.ASKED)[0]}
+        assert len(digests) == 3 * n + 3
+    assert asked[800] < 4.2 * asked[200]
+
+
 def test_odd_rows(spark):
     data = [r[:2] for r in odd_rows()]
     got = lm_score.score(clashing(odd_docs(spark)), spark.createDataFrame([(1,), (None,), (6,)], "doc_id long")).collect()
