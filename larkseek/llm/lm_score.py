@@ -48,7 +48,7 @@ from larkseek.llm.common import ASCII_LOWER, blocks, output_batch, scratch, shuf
 MU = 4.0
 MICRO = 1_000_000
 #: Words or bigrams of blocks per bucket on average, tokens and documents per block.
-BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 500_000, 1_000_000, 60_000
+BUCKET_ENTRIES, BLOCK_TOKENS, BLOCK_DOCS = 300_000, 600_000, 60_000
 #: Target ids up to this number are broadcast to mark documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -57,7 +57,7 @@ HISTORY, NEXT, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F
 #: The digest of no word.
 BOUNDARY = xxhash.xxh64_intdigest(b"")
 ENTRY = [np.uint32, np.uint32, np.uint32, np.uint32]  # history (as a step from the one before), word, document, count
-ASKED = [np.uint64, np.uint32, np.uint32]  # digest, count in target documents, count in all
+ASKED = [np.uint64, np.uint32, np.uint32]  # digest (as a step from the one before), count in target documents, count in all
 ANSWER = [np.int64, np.int64]  # the models' counts
 ROWS = "block long, bucket long, data binary, words binary, doc_ids array<long>, n_tokens array<long>"
 
@@ -89,24 +89,25 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    """Arrays of one length as byte planes, which compress well."""
-    return len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    """Arrays of one length as compressed byte planes."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, types: list[type]) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    n, at, out = int.from_bytes(data[:8], "little"), 0, []
+    planes = pa.decompress(data[8:], n * sum(np.dtype(t).itemsize for t in types), "zstd")
     for t in types:
         size = np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
         at += n * size
     return out
 
 
 def _bucket_order(digests: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bucket of each place): digests by bucket, otherwise as they stand."""
-    bucket = ((digests * MIX) >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order].astype(np.int64)
+    """(order, bucket of each place): digests in ascending order, cut into equal ranges."""
+    order = np.argsort(digests, kind="stable")
+    return order, (((digests[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ class _Block:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 who = order[a:b]
                 buckets_of.append(-1 - int(bucket[a]) if sign < 0 else int(bucket[a]))
-                data.append(_packed([digest[who], target[who].astype(np.uint32), every[who].astype(np.uint32)]))
+                data.append(_packed([np.diff(digest[who], prepend=np.uint64(0)), target[who].astype(np.uint32), every[who].astype(np.uint32)]))
         own = _packed([np.diff(h, prepend=np.uint32(0)), w, doc, count.astype(np.uint32)])
         n, none = len(data), [None] * len(data)
         return output_batch(SCHEMA, [[block] * (n + 1), [*buckets_of, None], [*data, own], [*none, _packed([digests])], [*none, self.ids], [*none, self.tokens]])
@@ -170,8 +171,9 @@ SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.b
 
 
 def _bigrams(digests: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Mixed so that the digests of bigrams lie evenly in all ranges."""
     mixed = digests[h] * HISTORY + digests[w] * NEXT
-    return mixed ^ (mixed >> np.uint64(29))
+    return (mixed ^ (mixed >> np.uint64(29))) * MIX
 
 
 def _blocks(docs: DataFrame, word_buckets: int, buckets: int) -> DataFrame:
@@ -198,7 +200,8 @@ def _in_bucket(group: pd.DataFrame) -> pd.DataFrame:
     """Sums of a bucket's digests, given back to each block in the order it asked; a row without
     block holds the bucket's totals: distinct digests, tokens of target documents and of all."""
     parts = [_unpacked(d, ASKED) for d in group["data"]]
-    digest, target, every = (np.concatenate(c) for c in zip(*parts, strict=True))
+    digest = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    target, every = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     distinct, which = np.unique(digest, return_inverse=True)
     target, every = (np.bincount(which, c).astype(np.int64) for c in (target, every))
     cuts = np.cumsum([len(p[0]) for p in parts])
