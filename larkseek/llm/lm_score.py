@@ -12,11 +12,11 @@ vocabulary is every word of all documents and a boundary that opens and ends eac
 follows the corpus and is nowhere held whole. A word is known by a 64-bit digest, a bigram by a
 64-bit mix of two; different words of one digest would count as one (about n * n / 2**65 pairs).
 
-1. One scan turns the documents into blocks of about BLOCK_TOKENS tokens. A block keeps its own
-   (bigram, document, count) entries and word digests, and names each of its distinct words and
-   bigrams once, with its counts, in the bucket of their digest.
-2. A word's or bigram's bucket sums both models' counts and answers each block in the order asked.
-   What one bigram sends to its bucket is at most one number pair per block, whatever documents hold it.
+1. One scan turns the documents into blocks of about BLOCK_TOKENS tokens: a list of the block's
+   words and the documents as numbers of that list.
+2. A block asks for each of its distinct words, then bigrams, once, with its counts, in the bucket of
+   their digest. The bucket sums both models' counts and answers each block in the order asked. What
+   one bigram sends to its bucket is at most one pair of counts per block, whatever documents hold it.
 3. A block meets its answers, computes the loss of each distinct bigram and sums it per document.
 
 Rows (block, bucket) are never empty, so there are at most as many as distinct bigrams of blocks.
@@ -56,10 +56,13 @@ GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
 HISTORY, NEXT, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
 #: The digest of no word.
 BOUNDARY = xxhash.xxh64_intdigest(b"")
-ENTRY = [np.uint32, np.uint32, np.uint32, np.uint32]  # history (as a step from the one before), word, document, count
 ASKED = [np.uint64, np.uint32, np.uint32]  # digest (as a step from the one before), count in target documents, count in all
 ANSWER = [np.int64, np.int64]  # the models' counts
-ROWS = "block long, bucket long, data binary, words binary, doc_ids array<long>, n_tokens array<long>"
+BLOCK = "block long, words binary, tokens binary, doc_ids array<long>, n_tokens array<long>, targets array<boolean>"
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+                          ("n_tokens", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_()))])
+BUCKET = "block long, bucket long, data binary"
+BUCKET_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
@@ -116,67 +119,28 @@ def _starts(values: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """Tokens of whole documents; words are numbered as they come."""
+    """Tokens of whole documents; words are numbered from 1 as they come, 0 is the boundary."""
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
-        self.ids, self.tokens, self.targets, self.sequences, self.size = [], [], [], [], 0
+        self.ids, self.lengths, self.targets, self.sequences, self.size = [], [], [], [], 0
 
-    def add(self, doc: int | None, target: bool, words: list[np.ndarray], n: int) -> None:
+    def add(self, doc: int | None, target: bool, text: str | None) -> None:
+        get, numbers = self.numbers.setdefault, self.numbers
+        own = [np.fromiter((get(w, len(numbers) + 1) for w in words), np.uint32, len(words)) for words in _words(text)]
+        self.sequences += [*own, np.zeros(1, np.uint32)]
         self.ids.append(doc)
         self.targets.append(target)
-        self.tokens.append(n + 1)
-        self.sequences.append(np.concatenate([np.zeros(1, np.uint32), *words, np.zeros(1, np.uint32)]))
-        self.size += n + 1
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        """Numbers from 1; 0 is the boundary."""
-        get, numbers = self.numbers.setdefault, self.numbers
-        return np.fromiter((get(w, len(numbers) + 1) for w in words), np.uint32, len(words))
-
-    def rows(self, block: int, word_buckets: int, buckets: int) -> pa.RecordBatch:
-        """The block's own row (bucket null) and what it asks: words in buckets below zero."""
-        digests = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
-        digests = np.concatenate([np.array([BOUNDARY], np.uint64), digests])
-        doc_bits = np.uint64(16 if len(self.ids) > 1 else 0)  # numbers of a block of many documents stay below 2**24
-        half = (np.uint64(64) - doc_bits) // np.uint64(2)
-        key = np.concatenate([((s[:-1].astype(np.uint64) << half | s[1:].astype(np.uint64)) << doc_bits) | np.uint64(k) for k, s in enumerate(self.sequences)])
-        self.sequences = []
-        key.sort()
-        first = _starts(key)
-        count = np.diff(np.append(first, len(key)))
-        key = key[first]
-        doc = (key & ((np.uint64(1) << doc_bits) - np.uint64(1))).astype(np.uint32)
-        both = key >> doc_bits
-        h, w = (both >> half).astype(np.uint32), (both & ((np.uint64(1) << half) - np.uint64(1))).astype(np.uint32)
-        in_target = count * np.array(self.targets)[doc]
-        starts = _starts(both)
-        buckets_of, data = [], []
-        for digest, target, every, n, sign in (
-                (digests, np.bincount(w, in_target, len(digests)), np.bincount(w, count, len(digests)), word_buckets, -1),
-                (_bigrams(digests, h[starts], w[starts]), np.add.reduceat(in_target, starts), np.add.reduceat(count, starts), buckets, 1)):
-            order, bucket = _bucket_order(digest, n)
-            cuts = np.append(_starts(bucket), len(bucket))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                who = order[a:b]
-                buckets_of.append(-1 - int(bucket[a]) if sign < 0 else int(bucket[a]))
-                data.append(_packed([np.diff(digest[who], prepend=np.uint64(0)), target[who].astype(np.uint32), every[who].astype(np.uint32)]))
-        own = _packed([np.diff(h, prepend=np.uint32(0)), w, doc, count.astype(np.uint32)])
-        n, none = len(data), [None] * len(data)
-        return output_batch(SCHEMA, [[block] * (n + 1), [*buckets_of, None], [*data, own], [*none, _packed([digests])], [*none, self.ids], [*none, self.tokens]])
-
-
-SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("words", pa.binary()),
-                    ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
-
+        self.lengths.append(sum(map(len, own)) + 1)
+        self.size += self.lengths[-1]
 
-def _bigrams(digests: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Mixed so that the digests of bigrams lie evenly in all ranges."""
-    mixed = digests[h] * HISTORY + digests[w] * NEXT
-    return (mixed ^ (mixed >> np.uint64(29))) * MIX
+    def row(self, name: int) -> pa.RecordBatch:
+        words = b"\n".join([b"", *self.numbers])
+        return output_batch(BLOCK_SCHEMA, [[name], [len(words).to_bytes(8, "little") + pa.compress(words, "zstd", asbytes=True)],
+                                           [_packed([np.concatenate(self.sequences)])], [self.ids], [self.lengths], [self.targets]])
 
 
-def _blocks(docs: DataFrame, word_buckets: int, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame) -> DataFrame:
     block_tokens, block_docs = BLOCK_TOKENS, BLOCK_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,16 +148,61 @@ def _blocks(docs: DataFrame, word_buckets: int, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 for doc, text, target in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    n_letters = len(text or "")
-                    if block.ids and (block.size + n_letters // 2 + 1 > block_tokens and block.size + sum(map(len, _words(text))) + 1 > block_tokens or len(block.ids) >= block_docs):
-                        yield block.rows(name, word_buckets, buckets)
+                    # a text has at most one word per two characters; only near the end it is counted
+                    full = block.size + len(text or "") // 2 + 2 > block_tokens and block.size + sum(map(len, _words(text))) + 1 > block_tokens
+                    if block.ids and (full or len(block.ids) >= block_docs):
+                        yield block.row(name)
                         name, block = name + 1, _Block()
-                    words = [block.numbered(some) for some in _words(text)]
-                    block.add(doc, target, words, sum(map(len, words)))
+                    block.add(doc, target, text)
         if block.ids:
-            yield block.rows(name, word_buckets, buckets)
+            yield block.row(name)
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+def _opened(words: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digests by word number, history of each token, tokens) of a block."""
+    names = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True).split(b"\n")
+    digests = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
+    sequence, = _unpacked(tokens, [np.uint32])
+    return digests, np.concatenate([np.zeros(1, np.uint32), sequence[:-1]]), sequence
+
+
+def _bigrams(digests: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Mixed so that the digests of bigrams lie evenly in all ranges."""
+    mixed = digests[h] * HISTORY + digests[w] * NEXT
+    return (mixed ^ (mixed >> np.uint64(29))) * MIX
+
+
+def _asked_words(digests: np.ndarray, h: np.ndarray, w: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return digests, np.bincount(w[target], minlength=len(digests)), np.bincount(w, minlength=len(digests))
 
-    return docs.mapInArrow(run, ROWS)
+
+def _asked_bigrams(digests: np.ndarray, h: np.ndarray, w: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = h.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64) << np.uint64(1) | target
+    key.sort()
+    starts = _starts(key >> np.uint64(1))
+    in_target = np.add.reduceat(key & np.uint64(1), starts)
+    count, key = np.diff(np.append(starts, len(key))), key[starts]
+    return _bigrams(digests, key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)) >> np.uint64(1)), in_target, count
+
+
+def _asks(rows: DataFrame, asked, buckets: int) -> DataFrame:
+    """Rows (block, bucket, data) of what the blocks ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, tokens, lengths, targets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest, *counts = asked(*_opened(words, tokens), np.repeat(np.array(targets), lengths))
+                order, bucket = _bucket_order(digest, buckets)
+                cuts = np.append(_starts(bucket), len(bucket))
+                data = []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    who = order[a:b]
+                    data.append(_packed([np.diff(digest[who], prepend=np.uint64(0)), *(c[who].astype(np.uint32) for c in counts)]))
+                yield output_batch(BUCKET_SCHEMA, [[block] * len(data), bucket[cuts[:-1]], data])
+
+    return rows.select("block", "words", "tokens", "n_tokens", "targets").mapInArrow(run, BUCKET)
 
 
 def _in_bucket(group: pd.DataFrame) -> pd.DataFrame:
@@ -220,45 +229,37 @@ def score(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text:
     buckets = max(shuffle_partitions(spark), math.ceil(letters / 6 / BUCKET_ENTRIES))
     word_buckets = max(shuffle_partitions(spark), math.ceil(buckets / 4))
     with short_batches(spark):
-        rows = stored(_blocks(known, word_buckets, buckets), scratch(spark, "bigram-blocks"))
-    summed = "block long, bucket long, data binary"
-
-    def sums(side: str) -> DataFrame:
-        return rows.where(side).select("block", "bucket", "data").groupBy("bucket").applyInPandas(_in_bucket, summed)
-
-    words = stored(sums("bucket < 0"), scratch(spark, "word-sums"))
+        rows = stored(_blocks(known), scratch(spark, "token-blocks"))
+    with short_batches(spark, 4):
+        words = stored(_asks(rows, _asked_words, word_buckets).groupBy("bucket").applyInPandas(_in_bucket, BUCKET), scratch(spark, "word-sums"))
+        pairs = stored(_asks(rows, _asked_bigrams, buckets).groupBy("bucket").applyInPandas(_in_bucket, BUCKET), scratch(spark, "bigram-sums"))
     size, target_tokens, tokens = 0, 0, 0
     for r in words.where("block is null").select("data").toLocalIterator():
         own = _unpacked(bytes(r["data"]), [np.int64])[0].tolist()
         size, target_tokens, tokens = size + own[0], target_tokens + own[1], tokens + own[2]
 
-    def in_block(answers: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    def in_block(answers: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("bucket")
-        digests, = _unpacked(names["words"].iloc[0], [np.uint64])
-        h, w, doc, count = _unpacked(names["data"].iloc[0], ENTRY)
-        h = np.cumsum(h, dtype=np.uint32)
-        starts = _starts(h.astype(np.uint64) << np.uint64(32) | w)
-        bigram = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-        h, w = h[starts], w[starts]
-
-        def counts(some: pd.DataFrame, asked: np.ndarray, n: int) -> list[np.ndarray]:
+        digests, h, w = _opened(own["words"].iloc[0], own["tokens"].iloc[0])
+        key, which = np.unique(h.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
+        h, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+
+        def counts(some: pd.Series, asked: np.ndarray, n: int) -> list[np.ndarray]:
             order, _ = _bucket_order(asked, n)
             out = []
-            for column in zip(*(_unpacked(d, ANSWER) for d in some["data"]), strict=True):
+            for column in zip(*(_unpacked(d, ANSWER) for d in some), strict=True):
                 out.append(np.empty(len(asked), np.float64))
                 out[-1][order] = np.concatenate(column)
             return out
 
-        # words ask in buckets -1, -2, ..., so their order is turned round
-        single = counts(answers[answers["bucket"] < 0][::-1], digests, word_buckets)
-        pair = counts(answers[answers["bucket"] >= 0], _bigrams(digests, h, w), buckets)
+        single = counts(answers["data"][~answers["pair"]], digests, word_buckets)
+        pair = counts(answers["data"][answers["pair"]], _bigrams(digests, h, w), buckets)
         logs = [np.log((c + MU * ((s[w] + 1) / (total + size))) / (s[h] + MU)) for c, s, total in zip(pair, single, (target_tokens, tokens), strict=True)]
-        loss = np.rint((logs[1] - logs[0]) * MICRO).astype(np.int64)[bigram] * count
-        n_tokens = np.asarray(names["n_tokens"].iloc[0], np.int64)
-        total = np.zeros(len(n_tokens), np.int64)
-        np.add.at(total, doc, loss)
-        return pd.DataFrame({"doc_id": pd.array(list(names["doc_ids"].iloc[0]), "Int64"), "n_tokens": n_tokens, "loss_difference": total, "score": total / (MICRO * n_tokens)})
-
-    answers = words.where("block is not null").unionByName(sums("bucket >= 0").where("block is not null"))
-    return (answers.groupBy("block").cogroup(rows.where("bucket is null").select("block", "data", "words", "doc_ids", "n_tokens").groupBy("block"))
+        loss = np.rint((logs[1] - logs[0]) * MICRO).astype(np.int64)[which]
+        n_tokens = np.asarray(own["n_tokens"].iloc[0], np.int64)
+        total = np.add.reduceat(loss, np.cumsum(n_tokens) - n_tokens)
+        return pd.DataFrame({"doc_id": pd.array(list(own["doc_ids"].iloc[0]), "Int64"), "n_tokens": n_tokens, "loss_difference": total, "score": total / (MICRO * n_tokens)})
+
+    answers = (words.withColumn("pair", F.lit(False)).unionByName(pairs.withColumn("pair", F.lit(True)))).where("block is not null")
+    return (answers.groupBy("block").cogroup(rows.drop("targets").groupBy("block"))
             .applyInPandas(in_block, "doc_id long, n_tokens long, loss_difference long, score double"))

@@ -60,10 +60,12 @@ def test_rows_grow_with_the_tokens(spark, monkeypatch):
     asked = {}
     for n in (200, 800):
         docs = spark.createDataFrame([(i, f"shared start w{i} x{i} y{i}", i % 2 == 0) for i in range(n)], "doc_id long, text string, target boolean").repartition(2, "doc_id")
-        rows = lm_score._blocks(docs, 50, 200).where("bucket is not null").select("block", "bucket", "data").collect()
+        blocks = lm_score._blocks(docs).persist()
+        pairs, words = (lm_score._asks(blocks, how, 200).collect() for how in (lm_score._asked_bigrams, lm_score._asked_words))
+        rows = [*pairs, *words]
         asked[n] = sum(len(lm_score._unpacked(bytes(r["data"]), lm_score.ASKED)[0]) for r in rows)
         assert len(rows) <= asked[n]
-        digests = {int(d) for r in rows if r["bucket"] < 0 for d in lm_score._unpacked(bytes(r["data"]), lm_score.ASKED)[0].cumsum(dtype="uint64")}
+        digests = {int(d) for r in words for d in lm_score._unpacked(bytes(r["data"]), lm_score.ASKED)[0].cumsum(dtype="uint64")}
         assert len(digests) == 3 * n + 3
     assert asked[800] < 4.2 * asked[200]
 
