@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkseek.functions.money import CURRENCY_PATTERN, money, money_amount, normalize_currency, valid_currency
@@ -27,6 +27,36 @@ def assert_no_rows(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {n} rows")
 
 
+class GateError(ValueError):
+    """A checked write was refused; ``counts`` holds the rows that failed each check."""
+
+    def __init__(self, counts: Mapping[str, int]):
+        super().__init__("write refused: " + ", ".join(f"{k}: {v} rows" for k, v in counts.items() if v and k != "n_rows"))
+        self.counts = dict(counts)
+
+
+def gated_write(df: DataFrame, path: str, bad: Mapping[str, Column], allowed: Mapping[str, int] | None = None) -> dict[str, int]:
+    """Write ``df`` to the new folder ``path`` and count, in the same scan, the rows for which each
+    condition of ``bad`` is true (null: not). Returns the counts and ``n_rows``.
+
+    With more than ``allowed`` rows (default none) of a check, what was written is removed and
+    :class:`GateError` is raised. An existing folder is never touched. The counts are taken while
+    rows pass by, so nothing is read twice; a check across rows (a duplicate) needs a query of its own.
+    """
+    if "n_rows" in bad:
+        raise ValueError("n_rows is the number of all rows")
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(k) for k, c in bad.items()])
+    counted.write.mode("errorifexists").parquet(path)
+    counts = {k: int(v) for k, v in seen.get.items()}
+    if any(counts[k] > (allowed or {}).get(k, 0) for k in bad):
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        raise GateError(counts)
+    return counts
+
+
 def clean_email(df: DataFrame) -> DataFrame:
     """Trim spaces around e-mails."""
     return df.withColumn("email", F.trim("email"))

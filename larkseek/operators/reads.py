@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkseek.functions.money import money
-from larkseek.functions.text import sql_literal_like
+from larkseek.functions.text import control_trim, like_pattern, sql_literal_like
 
 # Argument guards.
 SEARCH_DEFAULT, SEARCH_MAX = 20, 100
@@ -113,6 +113,42 @@ def contact_prefix_search(df: DataFrame, tenant: str, q: str | None, first: int
     return _entity_search(df, tenant, q, first, ["full_name", "email", "phone"], "full_name", True, escape_wildcards)
 
 
+def contact_prefix_batch(df: DataFrame, searches: DataFrame, escape_wildcards: bool = False) -> DataFrame:
+    """Many contact searches at once: ``searches`` has search, tenant_id, q and first (see
+    :func:`contact_prefix_search`, whose rows and order each search gets). Returns search, position
+    (from 1), id, full_name and email.
+
+    Contacts are scanned once. Each offers the beginnings of its fields in the lengths that its
+    tenant's terms have, and an equi join on (tenant, beginning) finds the terms, so that no term
+    meets a contact that does not begin like it, however long a beginning all contacts share. Equal
+    searches are answered once. A wildcard term is joined by what stands before its first wildcard
+    and then verified. The first rows are taken per task before the shuffle. Blank terms and
+    searches without tenant find nothing.
+    """
+    # Spark's lower and Python's agree but for a few letters outside the usual alphabets
+    term = F.lower(control_trim("q"))
+    asked = (searches.where("tenant_id is not null and trim(tenant_id) <> ''")
+             .select("search", F.col("tenant_id").alias("tenant"), term.alias("term"),
+                     F.when((F.col("first") > 0) & (F.col("first") <= SEARCH_MAX), F.col("first")).otherwise(SEARCH_DEFAULT).cast("int").alias("upto"))
+             .where("term <> ''"))
+    wild = F.lit(False) if escape_wildcards else F.col("term").rlike("[%_\\\\]")
+    terms = (asked.select("tenant", "term", "upto").distinct()
+             .withColumn("pattern", F.when(wild, like_pattern(F.concat("term", F.lit("%")))))
+             .withColumn("beginning", F.when(wild, F.regexp_extract("term", "^[^%_\\\\]*", 0)).otherwise(F.col("term"))))
+    lengths = terms.groupBy("tenant").agg(F.collect_set(F.char_length("beginning")).alias("lengths"))
+    offered = (live_rows(df).join(lengths, F.col("tenant_id") == F.col("tenant"))
+               .select("tenant", "id", "full_name", "email",
+                       F.expr("transform(array(full_name, email, phone), x -> lower(coalesce(x, '')))").alias("fields"), "lengths")
+               .withColumn("beginning", F.explode(F.expr(
+                   "array_distinct(flatten(transform(fields, x -> transform(filter(lengths, n -> n <= char_length(x)), n -> left(x, n)))))"))))
+    hits = (offered.drop("lengths").join(terms, ["tenant", "beginning"])
+            .where("pattern is null or exists(fields, x -> x like pattern)"))
+    w = Window.partitionBy("tenant", "term", "upto").orderBy(F.lower("full_name"), "id")
+    top = hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= SEARCH_MAX).where("position <= upto")
+    return (asked.join(top.select("tenant", "term", "upto", "position", "id", "full_name", "email"), ["tenant", "term", "upto"])
+            .select("search", "position", "id", "full_name", "email"))
+
+
 def listing_search(df: DataFrame, tenant: str, q: str | None, first: int | None = None,
                    escape_wildcards: bool = False) -> DataFrame:
     """Listings whose title, subtitle or MLS id contains the term."""

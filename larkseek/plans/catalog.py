@@ -300,6 +300,23 @@ def contact_prefix_search(s, d):
     return out
 
 
+def _typed_searches(s, d):
+    """One search per customer, every third as the whole e-mail's beginning, and some with wildcards."""
+    k = F.col("query_id") - 10_000_000_000
+    typed = X.customer_queries(s, d).select(
+        k.alias("search"), "tenant_id", F.when(k % 3 == 0, F.replace("q", F.lit("#"), F.lit("."))).otherwise(F.col("q")).alias("q"),
+        (k % 7).cast("int").alias("first"))
+    more = s.createDataFrame([(-1, "t3", "%5", 0), (-2, "t3", " +48 1", 100), (-3, "t1", "Customer#00", 30), (-4, "t2", " ", 5),
+                              (-5, "t0", "cust_mer.%4", 50), (-6, None, "customer", 5)], "search long, tenant_id string, q string, first int")
+    return typed.unionByName(more)
+
+
+@query
+def contact_prefix_batch(s, d):
+    """All of them in one job."""
+    return RD.contact_prefix_batch(X.contacts(s, d), _typed_searches(s, d)).withColumn("position", big("position"))
+
+
 @query
 def listing_search(s, d):
     li = X.listings(s, d)
@@ -409,6 +426,27 @@ def duplicate_keys(s, d):
             .unionByName(c.withColumn("t", F.lit("items"))))
 
 
+@query
+def gated_write(s, d):
+    """Raw and cleaned tables written behind their checks: counts, and whether the folder stands."""
+    n = F.col("currency")
+    raw = X.listings_raw(s, d)
+    jobs = {"contacts": (X.contacts_raw(s, d), {"a": F.col("email").isNull(), "b": F.col("email") != F.trim("email")}),
+            "contacts_clean": (QU.clean_email(X.contacts_raw(s, d).where("email is not null")), {"a": F.col("email").isNull(), "b": F.col("email") != F.trim("email")}),
+            "listings": (raw, {"a": F.col("mls_id").isNull(), "b": n.isNull() | ~n.rlike(MO.CURRENCY_PATTERN)}),
+            "listings_filled": (QU.currency_normalize(QU.backfill_mls(raw)), {"a": F.col("mls_id").isNull(), "b": ~n.rlike(MO.CURRENCY_PATTERN)})}
+    out = []
+    for name, (df, bad) in jobs.items():
+        path, written = f"{shared_dir(s)}/gated-{name}-{uuid.uuid4().hex}", True
+        try:
+            counts = QU.gated_write(df, path, bad)
+        except QU.GateError as e:
+            counts, written = e.counts, False
+        stands = s.read.parquet(path).count() if written else 0
+        out.append((name, counts["n_rows"], counts["a"], counts["b"], stands))
+    return s.createDataFrame(out, "t string, n_rows long, a long, b long, written_rows long")
+
+
 @query
 def clean_email(s, d):
     return QU.clean_email(X.contacts_raw(s, d)).select("id", "email", T.control_trim(F.concat(F.lit("\t"), "email")).alias("hard_trim"))

@@ -110,6 +110,17 @@ def _search(frm: str, cols: list[str], order: str, out: str, calls: list[tuple[s
 oracle("contact_prefix_search", _search(
     "contacts", ["full_name", "email", "phone"], "full_name", "id, full_name, email",
     [("t1", "customer#00", 30), ("t2", "customer.0000001", 20), ("t3", "%5", 20), ("t3", "+48 1", 100)], True), "contacts")
+oracle("contact_prefix_batch", """
+select search, position, id, full_name, email from (
+  select q.search, row_number() over (partition by q.search order by lower(c.full_name), c.id) as position, q.n, c.id, c.full_name, c.email
+  from (
+    select c_custkey as search, 't' || (c_custkey % 4) as tenant_id,
+      case when c_custkey % 3 = 0 then replace(typed, '#', '.') else typed end as term, case when c_custkey % 7 = 0 then 20 else c_custkey % 7 end as n
+    from (select c_custkey, substr(lower(c_name), 1, cast(length(c_name) - case when c_custkey % 2 = 0 then 0 when c_custkey % 4 = 1 then 1 else 4 end as bigint)) as typed from customer)
+    union all values (-1, 't3', '%5', 20), (-2, 't3', '+48 1', 100), (-3, 't1', 'customer#00', 30), (-5, 't0', 'cust_mer.%4', 50)) q
+  join contacts c on c.tenant_id = q.tenant_id and not c.deleted
+    and (lower(c.full_name) like q.term || '%' or lower(c.email) like q.term || '%' or lower(coalesce(c.phone, '')) like q.term || '%'))
+where position <= n""", "contacts")
 oracle("listing_search", _search(
     "listings", ["title", "subtitle", "mls_id"], "title", "id, title, mls_id",
     [("t1", "ring", 100), ("t2", "brand#2", 20), ("t0", "s_all", 7), ("t3", "-1", 20)], False), "listings")
@@ -153,6 +164,12 @@ union all select tenant_id, 'm' || (case when id::bigint % 10 = 8 then id::bigin
 from listings group by 1, 2 having count(*) > 1
 union all select tenant_id, entity_type || '/' || entity_id, count(*) + count(*) filter (entity_type = 'REFERRAL'), 'items'
 from items group by tenant_id, entity_type, entity_id having count(*) + count(*) filter (entity_type = 'REFERRAL') > 1""", "contacts_raw", "listings", "items")
+oracle("gated_write", """
+select t, n_rows, a, b, case when a + b = 0 then n_rows else 0 end written_rows from (
+  select 'contacts' t, count(*) n_rows, count(*) filter (email is null) a, count(*) filter (email <> trim(email)) b from contacts_raw
+  union all select 'contacts_clean', count(email), 0, 0 from contacts_raw
+  union all select 'listings', count(*), count(*) filter (mls_id is null), count(*) filter (currency is null or not regexp_full_match(currency, '[A-Z]{3}')) from listings_raw
+  union all select 'listings_filled', count(*), 0, count(*) filter (not regexp_full_match(upper(coalesce(nullif(trim(currency), ''), 'USD')), '[A-Z]{3}')) from listings_raw) checks""", "contacts_raw", "listings_raw")
 oracle("clean_email", "select id, trim(email) email, trim(email) hard_trim from contacts_raw", "contacts_raw")
 oracle("backfill_mls", "select id, coalesce(mls_id, id) mls_id from listings_raw", "listings_raw")
 oracle("currency_normalize", """
