@@ -858,6 +858,21 @@ def validate_changes(s, d):
     return v.select("id", "op", "invalid", "bad_relation")
 
 
+@query
+def validate_changes_others(s, d):
+    """The same checks on contact changes that lack names or versions, and on transaction changes that
+    name contacts and listings."""
+    seq, n = F.col("seq"), F.col("id").cast("long")
+    co = (X.contact_changes(s, d).withColumn("full_name", F.when(seq % 30 == 1, " ").otherwise(F.col("full_name")))
+          .withColumn("expected_version", F.when(seq % 70 != 2, F.col("expected_version"))))
+    co = CH.validate_changes(co, "CONTACT").withColumn("bad_relation", F.lit(None).cast("string"))
+    named = X.transactions(s, d).select("tenant_id", "id", F.when(n % 47 == 0, "nobody").otherwise(F.col("contact_id")).alias("contact_id"), "listing_id")
+    tx = X.transaction_changes(s, d).drop("contact_id", "listing_id").join(named, ["tenant_id", "id"], "left")
+    tx = CH.validate_relations(CH.validate_changes(tx, "TRANSACTION"), "TRANSACTION", X.contacts(s, d), X.listings(s, d))
+    out = [v.select(F.lit(e).alias("entity"), "seq", "op", "invalid", "bad_relation") for e, v in (("CONTACT", co), ("TRANSACTION", tx))]
+    return out[0].unionByName(out[1])
+
+
 @query
 def change_events(s, d):
     """Events of the accepted changes, read back from the payload."""

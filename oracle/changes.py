@@ -64,6 +64,26 @@ select id, op, case when op = 'update' and n % 29 = 0 then 'missing_title'
     then 'contact_missing' end bad_relation
 from (select *, id::bigint n, case when id::bigint % 7 = 0 then 'undelete' else 'update' end op from listings) l""", "listings", "contacts")
 
+oracle("validate_changes_others", """
+select 'CONTACT' entity, seq, op, invalid, cast(null as varchar) bad_relation from (
+  select id::bigint * 10 + 1 seq, 'update' op, case when id::bigint % 3 = 0 then 'missing_full_name' end invalid from contacts where id::bigint % 2 = 0
+  union all select id::bigint * 10 + 2, 'update', case when id::bigint % 7 = 0 then 'missing_expected_version' end from contacts where id::bigint % 4 = 0
+  union all select id::bigint * 10 + 3, 'delete', null from contacts where id::bigint % 3 = 0
+  union all select id::bigint * 10 + 4, 'undelete', null from contacts where id::bigint % 85 = 0
+  union all select id::bigint * 10 + 5, 'bulk_delete', null from contacts where id::bigint % 13 = 0
+  union all select s_suppkey * 10, 'insert', null from supplier
+  union all select s_suppkey * 10 + 1, 'insert', case when s_suppkey % 3 = 0 then 'missing_full_name' end from supplier where s_suppkey % 10 = 0) c
+union all
+select 'TRANSACTION', n * 10 + 1, 'update', case when n % 4 <> 0 then 'missing_title' when n % 3 = 0 then 'missing_total' end,
+  case when n % 47 = 0 or not exists (select 1 from contacts c where c.tenant_id = t.tenant_id and c.id = t.contact_id and not c.deleted) then 'contact_missing'
+    when listing_id is not null and not exists (select 1 from listings l where l.tenant_id = t.tenant_id and l.id = t.listing_id and not l.deleted) then 'listing_missing'
+    when listing_id is not null and not exists (select 1 from listings l where l.tenant_id = t.tenant_id and l.id = t.listing_id and l.contact_id = t.contact_id) then 'listing_not_linked' end
+from (select *, id::bigint n from transactions) t where n % 2 = 0
+union all select 'TRANSACTION', id::bigint * 10 + 2, 'bulk_delete', null, null from transactions where id::bigint % 13 = 0
+union all select 'TRANSACTION', id::bigint * 10 + 3, 'delete', null, null from transactions where id::bigint % 4 = 0
+union all select 'TRANSACTION', id::bigint * 10 + 4, 'insert', case when listing_id is null then 'missing_listing_id' end, null from transactions where id::bigint % 17 = 0
+union all select 'TRANSACTION', id::bigint * 10 + 5, 'insert', 'missing_contact_id', null from transactions where id::bigint % 19 = 0""", "contacts", "listings", "transactions")
+
 # transactions: state after each step of the change set
 _TX = """t0 as (select *, id::bigint n, id::bigint % 2 = 0 has1, id::bigint % 2 = 0 and id::bigint % 5 <> 0 and not deleted ok1,
     version + (id::bigint % 5 <> 0 and not deleted)::bigint expected3 from transactions),
