@@ -33,6 +33,7 @@ from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
 from larkseek.session import shared_dir
 from larkseek.sources.event_log import file_records
 from larkseek.sources.item_store import ItemStore
+from larkseek.sources.outbox_poll import polled_outbox
 from larkseek.sources.page_index import page_at, write_paged
 from larkseek.sources.postings import END, Postings, read_postings, write_delta, write_postings
 from larkseek.sources.tables import read_gram_stats, read_search_layout, write_gram_stats, write_search_layout
@@ -982,6 +983,25 @@ def outbox_stream(s, d):
     return good.unionByName(bad)
 
 
+@query
+def outbox_polled(s, d):
+    """Outbox rows published by polls of at most 500 rows in id order, over two runs from one
+    checkpoint; the second finds the transactions' rows appended. ``batch`` counts the polls."""
+    base = f"{shared_dir(s)}/outbox-{uuid.uuid4().hex}"
+    # ids grow over time: the transactions' events come after all others
+    rows = outbox_table(s, d).withColumn("late", F.col("type") == "TransactionDeleted").withColumn(
+        "id", F.col("id") + F.when(F.col("late"), 1_000_000_000_000).otherwise(0))
+    for late in (False, True):
+        rows.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{base}/table")
+        run = start_outbox_stream(polled_outbox(s, f"{base}/table"), base, f"{base}/checkpoint")
+        run.processAllAvailable()
+        run.stop()
+    batch = big("batch_id").alias("batch")
+    good = s.read.parquet(f"{base}/topics").select("id", "topic", "key", batch)
+    bad = s.read.parquet(f"{base}/rejected").select("id", F.lit("rejected").alias("topic"), "key", batch)
+    return good.unionByName(bad)
+
+
 @query
 def apply_actions(s, d):
     """All contact events folded into the item table in one batch."""

@@ -250,3 +250,8 @@ oracle("outbox_stream", """
 select id, case aggregate_type when 'CONTACT' then 'contact.events.v1' when 'LISTING' then 'listing.events.v1'
     when 'TRANSACTION' then 'transaction.events.v1' else 'rejected' end topic, tenant_id || ':' || aggregate_id as key
 from outbox where not published""", "outbox")
+oracle("outbox_polled", """
+select id + late::bigint * 1000000000000 id, topic, "key", case when late then first_polls else 0 end + (row_number() over (partition by late order by id) - 1) // 500 as batch
+from (select id, "type" = 'TransactionDeleted' late, case aggregate_type when 'CONTACT' then 'contact.events.v1' when 'LISTING' then 'listing.events.v1'
+    when 'TRANSACTION' then 'transaction.events.v1' else 'rejected' end topic, tenant_id || ':' || aggregate_id as "key" from outbox where not published) o,
+  (select (count(*) + 499) // 500 first_polls from outbox where not published and "type" <> 'TransactionDeleted')""", "outbox")
