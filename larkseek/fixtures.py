@@ -214,6 +214,30 @@ def contact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(fresh.drop("twice")).unionByName(again.drop("twice"))
 
 
+def unique_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact updates that want each other's e-mails, in blocks of four contacts of a tenant (places
+    0 to 3): place 2 takes a new one or, in odd blocks, that of place 3; then 1 takes what 2 had, 0
+    what 1 had; 0 tries another one, which works if the first try did not; and 3 wants that one too."""
+    k = F.col("id").cast("long")
+    block, place = F.floor(k / 16), F.floor(k % 16 / 4)
+    theirs = F.concat(F.lit("CUSTOMER."), F.lpad((k + 4).cast("string"), 9, "0"), F.lit("@example.com"))
+
+    def fresh(n: Column) -> Column:
+        return F.concat(F.lit("other"), n.cast("string"), F.lit("@example.com"))
+
+    def step(number: int, at: int, email: Column) -> DataFrame:
+        return contacts(spark, sf_dir).where(place == at).select(
+            (k + number * 1_000_000_000_000).alias("seq"), F.lit("update").alias("op"), "tenant_id", "id", F.col("version").alias("expected_version"),
+            "full_name", email.alias("email"), "phone", "label")
+
+    steps = [step(1, 2, F.when(block % 2 == 0, fresh(k)).otherwise(theirs)), step(2, 1, theirs), step(3, 0, theirs),
+             step(4, 0, fresh(k)), step(5, 3, fresh(k - 12))]
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing updates: some keep the subtitle, some keep the price, some name a wrong version or lack
     a required field; transactions of unsupported kind included."""

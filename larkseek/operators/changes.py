@@ -168,9 +168,13 @@ def _missing(rows: DataFrame, like: DataFrame) -> DataFrame:
                          for c in like.columns])
 
 
-def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Column) -> DataFrame:
+#: Stands before the operation of a change that is refused whatever its row's state.
+REFUSED = "refused:"
+
+
+def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Column, refused: DataFrame | None = None) -> DataFrame:
     """One outcome row per change; a change without tenant or id is rejected as ``missing_id`` (give
-    inserts theirs by :func:`assign_ids`).
+    inserts theirs by :func:`assign_ids`), one whose ``seq`` is in ``refused`` as ``not_unique``.
 
     Counting changes per key combines before the shuffle and carries the only change of a key along,
     so keys with one change, nearly all of them, never enter Python or a sort. The changes of other
@@ -178,6 +182,9 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     by key, so every outcome, a rejected one too, shows the row as it stands then.
     """
     rules = RULES[entity]
+    if refused is not None:
+        changes = (changes.join(refused.select("seq", F.lit(True).alias("_no")), "seq", "left")
+                   .withColumn("op", F.when(F.col("_no"), F.concat(F.lit(REFUSED), "op")).otherwise(F.col("op"))).drop("_no"))
     every = _prepared(changes, rules, now)
     keyed = F.col("tenant_id").isNotNull() & F.col("id").isNotNull()
     ready = every.where(keyed)
@@ -186,11 +193,16 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     single = _single(_with_current(per_key.where("_n = 1").select("_only.*"), current, rules), rules)
     many = _with_current(ready.join(per_key.where("_n > 1").select(*KEY, "_n"), KEY), current, rules)
     nameless = _missing(every.where(~keyed), single)
-    return single.unionByName(_several(many, rules, single)).unionByName(nameless)
+    out = single.unionByName(_several(many, rules, single)).unionByName(nameless)
+    if refused is None:
+        return out
+    no = F.startswith("op", F.lit(REFUSED))
+    return out.withColumns({"reject_reason": F.when(no, "not_unique").otherwise(F.col("reject_reason")),
+                            "op": F.when(no, F.substring("op", len(REFUSED) + 1, 100)).otherwise(F.col("op"))})
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, entity: str, now: Column,
-                  materialize_to: str | None = None) -> ChangeResult:
+                  materialize_to: str | None = None, refused: DataFrame | None = None) -> ChangeResult:
     """Fold a change set into an entity table.
 
     The outcomes are written once, and snapshot, rejects and events all derive from that one written
@@ -199,7 +211,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, entity: str, now: Colu
     is a fresh one.
     """
     rules = RULES[entity]
-    out = change_outcomes(current, changes, entity, now)
+    out = change_outcomes(current, changes, entity, now, refused)
     path = materialize_to or f"{shared_dir(current.sparkSession)}/outcomes-{uuid.uuid4().hex}"
     out.write.mode("overwrite").parquet(path)
     out = current.sparkSession.read.schema(out.schema).parquet(path)

@@ -27,6 +27,7 @@ from larkseek.operators import quality as QU
 from larkseek.operators import ranking as RK
 from larkseek.operators import reads as RD
 from larkseek.operators import relations as RL
+from larkseek.operators import uniqueness as UN
 from larkseek.plans import postings as PO
 from larkseek.plans import typeahead as TA
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
@@ -806,6 +807,13 @@ def apply_mixed(s, d):
     return _contact_state(_applied(s, d).snapshot)
 
 
+@query
+def apply_unique(s, d):
+    """Outcomes of updates that want each other's e-mails, in chains of three and more."""
+    out = UN.apply_unique(X.contacts(s, d), X.unique_changes(s, d), "CONTACT", _now()).outcomes
+    return out.select("seq", "tenant_id", "id", "reject_reason", "email", "version")
+
+
 @query
 def apply_listing_update(s, d):
     """Listing updates keep the old value where none is given."""

@@ -114,3 +114,28 @@ union all select n * 10 + 5, 'insert', 'missing_id', tenant_id, null, null, null
 _put_tx("apply_transaction_update", "select tenant_id, id, title, status, total, currency, v1 as version, deleted from t3")
 _put_tx("apply_transaction_bulk_delete", "select tenant_id, id, (not deleted)::bigint affected from t3 where n % 13 = 0")
 _put_tx("change_events_bulk", "select 'TRANSACTION' entity_type, tenant_id, id entity_id, 'DELETE' as action from t3 where ok2")
+
+# Who moved: place 2 in even blocks or without a place 3; 1 and 0 if the next place moved or is not there.
+_CHAIN = """
+k0 as (select *, id::bigint k, id::bigint // 16 block, id::bigint % 16 // 4 place from contacts),
+m2 as (select *, block % 2 = 0 or k + 4 not in (select k from k0) moved from k0 where place > 1),
+m1 as (select a.*, b.k is null or b.moved moved from k0 a left join m2 b on b.k = a.k + 4 where a.place = 1 union all select * from m2),
+m0 as (select a.*, b.k is null or b.moved moved from k0 a left join m1 b on b.k = a.k + 4 where a.place = 0 union all select * from m1),
+asked as (select step, c.*, f.k first_k, f.moved first_moved,
+    case when step in (2, 3) or step = 1 and c.block % 2 = 1 then 'CUSTOMER.' || lpad((c.k + 4)::varchar, 9, '0')
+      when step = 5 then 'other' || (c.k - 12) else 'other' || c.k end || '@example.com' wish
+  from m0 c join (values (1, 2), (2, 1), (3, 0), (4, 0), (5, 3)) s(step, who) on c.place = who
+  left join m0 f on f.k = c.k - 12 and c.place = 3)"""
+
+
+def _put_chain(name: str, body: str) -> None:
+    from oracle.base import ORACLES, sql
+    ORACLES[name] = sql("", "contacts").rstrip() + "," + _CHAIN + "\n" + body
+
+
+_put_chain("apply_unique", """
+select step * 1000000000000 + k seq, tenant_id, id, reason reject_reason,
+  case when reason is null then wish when step = 4 then 'CUSTOMER.' || lpad((k + 4)::varchar, 9, '0') || '@example.com' else email end email,
+  version + (reason is null or step = 4)::bigint as version
+from (select *, case when step < 4 then case when not moved then 'not_unique' end when step = 4 then case when moved then 'stale_version' end
+    when first_k is not null and not first_moved then 'not_unique' end reason from asked)""")
