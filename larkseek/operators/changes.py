@@ -174,7 +174,7 @@ REFUSED = "refused:"
 
 def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Column, refused: DataFrame | None = None) -> DataFrame:
     """One outcome row per change; a change without tenant or id is rejected as ``missing_id`` (give
-    inserts theirs by :func:`assign_ids`), one whose ``seq`` is in ``refused`` as ``not_unique``.
+    inserts theirs by :func:`assign_ids`), one that ``refused(seq, reason)`` names for that reason.
 
     Counting changes per key combines before the shuffle and carries the only change of a key along,
     so keys with one change, nearly all of them, never enter Python or a sort. The changes of other
@@ -183,8 +183,8 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     """
     rules = RULES[entity]
     if refused is not None:
-        changes = (changes.join(refused.select("seq", F.lit(True).alias("_no")), "seq", "left")
-                   .withColumn("op", F.when(F.col("_no"), F.concat(F.lit(REFUSED), "op")).otherwise(F.col("op"))).drop("_no"))
+        changes = (changes.join(refused.select("seq", F.col("reason").alias("_no")), "seq", "left")
+                   .withColumn("op", F.coalesce(F.concat(F.lit(REFUSED), "_no", F.lit(":"), "op"), "op")).drop("_no"))
     every = _prepared(changes, rules, now)
     keyed = F.col("tenant_id").isNotNull() & F.col("id").isNotNull()
     ready = every.where(keyed)
@@ -196,9 +196,8 @@ def change_outcomes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     out = single.unionByName(_several(many, rules, single)).unionByName(nameless)
     if refused is None:
         return out
-    no = F.startswith("op", F.lit(REFUSED))
-    return out.withColumns({"reject_reason": F.when(no, "not_unique").otherwise(F.col("reject_reason")),
-                            "op": F.when(no, F.substring("op", len(REFUSED) + 1, 100)).otherwise(F.col("op"))})
+    no, parts = F.startswith("op", F.lit(REFUSED)), F.split("op", ":")
+    return out.withColumns({"reject_reason": F.when(no, parts[1]).otherwise(F.col("reject_reason")), "op": F.when(no, parts[2]).otherwise(F.col("op"))})
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, entity: str, now: Column,

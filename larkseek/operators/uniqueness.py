@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkseek.operators.changes import KEY, ChangeResult, apply_changes, change_outcomes
+from larkseek.operators.changes import KEY, ChangeResult, apply_changes, change_outcomes, validate_changes, validate_relations
 from larkseek.sources.postings import materialized
 
 # The unique column of an entity, as its index sees it.
@@ -82,7 +82,7 @@ def _intervals(current: DataFrame, outcomes: DataFrame, value: str) -> DataFrame
 
 
 def refused_changes(current: DataFrame, changes: DataFrame, entity: str, now: Column) -> DataFrame:
-    """(seq) of the changes that the unique rule refuses."""
+    """(seq, reason) of the changes that the unique rule refuses."""
     spark, value = current.sparkSession, UNIQUE[entity]
     keyed = changes.where("tenant_id is not null and id is not null")
     claims = keyed.where("op in ('insert', 'update')").select("seq", *KEY, F.expr(value).alias("value")).where("value is not null")
@@ -90,7 +90,7 @@ def refused_changes(current: DataFrame, changes: DataFrame, entity: str, now: Co
     holders = current.select(*KEY, F.expr(value).alias("value")).join(wanted, VALUE, "left_semi")
     links = materialized(claims.select(*KEY, "value").unionByName(holders.select(*KEY, "value")).distinct(), "claims")
     contested = materialized(links.groupBy(*VALUE).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(*VALUE), "contested")
-    refused = spark.createDataFrame([], "seq bigint")
+    refused = spark.createDataFrame([], "seq bigint, reason string")
     if not contested.limit(1).count():
         return refused
     labels = components(materialized(links.join(contested, VALUE), "edges"))
@@ -111,7 +111,7 @@ def refused_changes(current: DataFrame, changes: DataFrame, entity: str, now: Co
             return refused
         risky = F.coalesce(F.col("since") < F.col("last_claim"), F.lit(False)) | F.col("wanted").isNotNull()
         stops = doubts.groupBy("tenant_id", "label").agg(F.min(F.when(risky, F.col("since"))).alias("stop"))
-        settled = doubts.join(stops, ["tenant_id", "label"]).where("sure and (stop is null or since <= stop)").select(F.col("since").alias("seq"))
+        settled = doubts.join(stops, ["tenant_id", "label"]).where("sure and (stop is null or since <= stop)").select(F.col("since").alias("seq"), F.lit("not_unique").alias("reason"))
         refused = materialized(refused.unionByName(settled), "refused")
         # components without doubts are done
         open_rows = materialized(rows.join(stops, ["tenant_id", "label"], "left_semi").select(*KEY), "open-rows")
@@ -123,3 +123,18 @@ def apply_unique(current: DataFrame, changes: DataFrame, entity: str, now: Colum
     """:func:`larkseek.operators.changes.apply_changes` under the unique rule: changes that it refuses
     have the outcome ``not_unique`` and leave their row and its version as they are."""
     return apply_changes(current, changes, entity, now, materialize_to, refused_changes(current, changes, entity, now))
+
+
+def apply_checked(current: DataFrame, changes: DataFrame, entity: str, now: Column, contacts: DataFrame | None = None,
+                  listings: DataFrame | None = None, materialize_to: str | None = None) -> ChangeResult:
+    """A change set with every check: required fields and currency, relations to live contacts and
+    listings (as they stand before the change set), then the unique rule among what is left. An
+    outcome carries the first reason found; such changes leave their row as it is."""
+    seen = validate_changes(changes, entity).withColumn("reason", F.col("invalid"))
+    if contacts is not None and entity != "CONTACT":
+        seen = validate_relations(seen, entity, contacts, listings).withColumn("reason", F.coalesce("reason", "bad_relation"))
+    refused = materialized(seen.where("reason is not null").select(F.col("seq").cast("long").alias("seq"), "reason"), "bad-requests")
+    if entity in UNIQUE:
+        fine = changes.join(refused.select("seq"), "seq", "left_anti")
+        refused = refused.unionByName(refused_changes(current, fine, entity, now))
+    return apply_changes(current, changes, entity, now, materialize_to, refused)

@@ -139,3 +139,18 @@ select step * 1000000000000 + k seq, tenant_id, id, reason reject_reason,
   version + (reason is null or step = 4)::bigint as version
 from (select *, case when step < 4 then case when not moved then 'not_unique' end when step = 4 then case when moved then 'stale_version' end
     when first_k is not null and not first_moved then 'not_unique' end reason from asked)""")
+
+
+def _checked() -> None:
+    from oracle.base import ORACLES
+    oracle("apply_checked", f"""
+select n as seq, id, op, case when reason is null and wants and n <> first then 'not_unique' else reason end reject_reason,
+  case when reason is null and n = first then 'shared-' || tenant_id else mls_id end mls_id,
+  version + (reason is null and not (wants and n <> first))::bigint as version
+from (select *, min(case when reason is null and wants then n end) over (partition by tenant_id) as first
+  from (select l.*, l.id::bigint n, v.op, l.id::bigint % 10 = 8 wants, coalesce(v.invalid, v.bad_relation,
+      case when v.op = 'undelete' then 'unsupported_op' when l.id::bigint % 23 = 0 or l.id::bigint % 5 = 0 or deleted then 'stale_version' end) reason
+    from listings l join ({ORACLES["validate_changes"]}) v on v.id = l.id))""", "listings")
+
+
+_checked()
