@@ -152,13 +152,18 @@ def _single(rows: DataFrame, rules: EntityRules) -> DataFrame:
 
 
 def _several(rows: DataFrame, rules: EntityRules, like: DataFrame) -> DataFrame:
-    """Outcome of keys with several changes: sorted and streamed, one key at a time."""
+    """Outcome of keys with several changes: sorted and streamed, one key at a time.
+
+    The rows are shuffled by a hash column and not by the key itself: that would be the partitioning of
+    the joins before, so the shuffle would be left out, and adaptive execution, which sees no need
+    of the fold for whole keys, might then read the joins' shuffles in pieces that part a key.
+    """
     types = dict(rows.dtypes)
     from decimal import Decimal
     defaults = {f: Decimal(v) if types[f].startswith("decimal") else v for f, v in rules.defaults.items()}
     fold = make_fold(list(rules.fields), set(rules.coalesced), defaults, rules.live_update, rules.can_undelete,
                      to_arrow_schema(like.schema))
-    return rows.drop("_n").repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(fold, like.schema)
+    return rows.drop("_n").repartition(F.xxhash64(*KEY)).sortWithinPartitions(*KEY, "seq").mapInArrow(fold, like.schema)
 
 
 def _missing(rows: DataFrame, like: DataFrame) -> DataFrame:

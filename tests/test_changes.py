@@ -138,3 +138,22 @@ def test_changes_without_an_id_have_an_outcome(spark):
     assert [(x.id, x.full_name) for x in r.snapshot.collect()] == [("1", "d")]
     named = CH.apply_changes(cur, CH.assign_ids(ch), "CONTACT", now())
     assert named.snapshot.count() == 3 and {x.seq for x in named.rejected.collect()} == {3, 4}
+
+
+def test_keys_stay_whole_when_a_join_turns_into_a_broadcast_one(spark):
+    """Planned as a shuffled join, run as a broadcast one: all changes of a key still meet in one task."""
+    n, conf = 400, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "300KB",
+               "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    # changes too wide for a broadcast, so that their shuffle is the one read in pieces
+    current = spark.createDataFrame([contact(i) for i in range(n)], CONTACTS).repartition(4)
+    rows = [(k * n + i, "update", "t", str(i), k, f"name {k}", "x" * 2000, None, None) for k in range(4) for i in range(n)]
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rules = CH.RULES["CONTACT"]
+        met = CH._with_current(CH._prepared(spark.createDataFrame(rows, CHANGES).repartition(4), rules, now()), current, rules).withColumn("_n", F.lit(4))
+        got = CH._several(met, rules, CH._single(met.drop("_n"), rules)).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 4 * n and [r.id for r in got if r.reject_reason is not None or r.version != r.expected_version + 1] == []
