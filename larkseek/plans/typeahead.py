@@ -16,24 +16,40 @@ from larkseek.operators.reads import group_limit
 from larkseek.plans.postings import candidate_pairs
 from larkseek.functions.text import normalize_query
 from larkseek.schemas import ENTITY_TYPES, ITEM_KEY
-from larkseek.sources.postings import Postings
+from larkseek.sources.postings import Postings, materialized
 
 # Largest probe side that is broadcast; beyond it the candidate join shuffles.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 16
-# Most distinct (tenant, window) pairs that are broadcast to thin out postings before a shuffle.
-KEY_ROWS = 500_000
+# Most distinct (tenant, window) pairs that are broadcast, as 64-bit hashes, to thin out postings before a shuffle.
+KEY_ROWS = 2_000_000
+# Size of the long windows, by which a long query finds few items however many there are.
+LONG = 8
+BUCKETS = 1 << 16
+#: All windows of an item: the stored short ones and the long ones.
+_ALL_KEYS = f"array_distinct(concat(probe_keys, {qgrams_sql('title_lc', LONG)}, {qgrams_sql("coalesce(subtitle_lc, '')", LONG)}))"
 
 
 def gram_stats(items: DataFrame, mode: str = "simple") -> DataFrame:
     """Item count per (tenant, window): lets every query probe with its rarest window. Written next
-    to the items by the index build; counts combine before the shuffle."""
+    to the items by the index build; counts combine before the shuffle. Long windows, nearly as many as
+    there are texts, are counted together by the bucket of their hash, so the table stays small."""
     laid = R.with_search_columns(items, mode)
-    return (laid.select("tenant_id", F.explode_outer("probe_keys").alias("key"))
+    return (laid.selectExpr("tenant_id", f"explode_outer(transform({_ALL_KEYS}, k -> if(length(k) = {LONG}, {_bucket('k')}, k))) as key")
             .groupBy("tenant_id", "key").agg(F.count("*").alias("n_items")))
 
 
+def _bucket(key: str) -> str:
+    """SQL for what a long window is counted as; longer than any short window."""
+    return f"concat('long ', pmod(xxhash64({key}), {BUCKETS}))"
+
+
+def _long_windows(parts: str) -> str:
+    """SQL for the long windows of the parts; none if all are shorter."""
+    return f"array_distinct(flatten(transform({parts}, p -> {qgrams_sql('p', LONG)})))"
+
+
 def _windows(parts: str) -> str:
     """SQL for the windows of the longest usable size (3, 2, 1) in the parts; the empty key if none."""
     def of(q: int) -> str:
@@ -48,14 +64,18 @@ def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str =
 
     A substring match implies every window of the literal parts of the term; a full-text match
     implies every window of each term (in english mode: the head of each term). One shared window
-    serves both branches; only when there is none are two probes needed.
+    serves both branches; only when there is none are two probes needed. Long windows are taken where
+    one serves all branches: of short ones even the rarest is held by a fixed share of all items, so that
+    queries which grow with the items would meet ever more of them.
     """
     fts = "array_distinct(transform(terms, t -> substring(t, 1, 3)))" if mode == "english" else _windows("terms")
     q = queries.selectExpr("*", r"split(term, r'\\.|[%_\\]') as _literals").selectExpr(
         "*", f"{_windows('_literals')} as _like", f"if(is_short or size(terms) = 0, null, {fts}) as _fts")
-    q = q.selectExpr("*", "array_intersect(_like, _fts) as _both").selectExpr(
-        "*", "if(_fts is null or size(_both) = 0, _like, _both) as _first",
-        "if(_fts is not null and size(_both) = 0, _fts, null) as _second")
+    long_fts = "array()" if mode == "english" else _long_windows("terms")
+    q = q.selectExpr("*", "array_intersect(_like, _fts) as _both", f"if(_fts is null, {_long_windows('_literals')}, "
+                     f"array_intersect({_long_windows('_literals')}, {long_fts})) as _long").selectExpr(
+        "*", "case when size(_long) > 0 then _long when _fts is null or size(_both) = 0 then _like else _both end as _first",
+        "if(_fts is not null and size(_both) = 0 and size(_long) = 0, _fts, null) as _second")
     if stats is None:
         # Without counts take the last window: endings (digits of a number, a second word) tell
         # entities apart better than shared beginnings.
@@ -69,11 +89,13 @@ def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str =
 
 
 def _rarest(q: DataFrame, stats: DataFrame) -> DataFrame:
-    """Pick the window with the fewest items for each slot; unknown windows count zero."""
+    """Pick the window with the fewest items for each slot; unknown windows count zero. A long
+    windows are counted by buckets."""
     options = q.selectExpr(
         *R.QUERY_KEY, "inline_outer(concat(transform(_first, k -> struct(1 as slot, k as key)), "
-        "coalesce(transform(_second, k -> struct(2 as slot, k as key)), array())))")
-    counted = options.join(stats.select("tenant_id", "key", "n_items"), ["tenant_id", "key"], "left")
+        "coalesce(transform(_second, k -> struct(2 as slot, k as key)), array())))").selectExpr(
+        "*", f"if(length(key) = {LONG}, {_bucket('key')}, key) as counted_as")
+    counted = options.join(stats.select("tenant_id", F.col("key").alias("counted_as"), "n_items"), ["tenant_id", "counted_as"], "left")
     cost = F.struct(F.coalesce("n_items", F.lit(0)), "key")
     best = counted.groupBy(*R.QUERY_KEY).agg(
         F.min_by(F.col("key"), F.when(F.col("slot") == 1, cost)).alias("_k1"),
@@ -92,28 +114,33 @@ def fits_broadcast(queries: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes
 _ITEM_SEARCH = ["title", "subtitle", "title_lc", "subtitle_lc", "tsv", "lexeme_line", "title_tg", "subtitle_tg"]
 
 
-def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_rows: int = KEY_ROWS) -> DataFrame:
+def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_rows: int = KEY_ROWS, mode: str = "simple") -> DataFrame:
     """(query, item) pairs that share a probe key, each pair once.
 
     Broadcast: one pass over the items, no shuffle of them. Otherwise slim (key, item id) postings
-    are shuffled against the probes on a salted key, so that a window held by a large share of all
-    items spreads over many tasks, and the surviving pairs fetch their item by id. Postings of
-    windows nobody asks for are dropped before that shuffle when the asked windows are few enough
-    to broadcast (there are far fewer windows than queries).
+    are shuffled against the slim probes on a salted key, so that a window held by a large share of all
+    items spreads over many tasks. Postings of windows nobody asks for are dropped before that
+    shuffle when the asked windows are few enough to broadcast their hashes. The pairs are written once;
+    only the texts of items are shuffled to them, and search columns are made for items that have a pair.
     """
+    keyed = laid_items.selectExpr(*ITEM_KEY, *_ITEM_SEARCH, f"{_ALL_KEYS} as probe_keys")
     fresh = F.col("skip_if").isNull() | ~F.array_contains("probe_keys", F.col("skip_if"))
     if broadcast:
-        exploded = laid_items.select(*ITEM_KEY, *_ITEM_SEARCH, "probe_keys", F.explode_outer("probe_keys").alias("key"))
+        exploded = keyed.withColumn("key", F.explode_outer("probe_keys"))
         return exploded.join(F.broadcast(probes), ["tenant_id", "key"]).where(fresh).drop("probe_keys", "key", "skip_if")
+    probes = materialized(probes, "probes")
     salt = F.pmod(F.xxhash64("entity_id"), F.lit(JOIN_SALTS)).cast("int")
-    postings = laid_items.select(*ITEM_KEY, salt.alias("_salt"), F.explode_outer("probe_keys").alias("key"))
-    asked = probes.select("tenant_id", "key").distinct()
+    postings = keyed.select(*ITEM_KEY, salt.alias("_salt"), F.explode_outer("probe_keys").alias("key"))
+    asked = probes.select(F.xxhash64("tenant_id", "key").alias("_hash")).distinct()
     if asked.limit(key_rows + 1).count() <= key_rows:
-        postings = postings.join(F.broadcast(asked), ["tenant_id", "key"], "left_semi")
-    spread = probes.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    pairs = postings.join(spread, ["tenant_id", "key", "_salt"]).drop("key", "_salt")
-    items = laid_items.select(*ITEM_KEY, *_ITEM_SEARCH, "probe_keys")
-    return pairs.join(items, ITEM_KEY).where(fresh).drop("probe_keys", "skip_if")
+        postings = postings.withColumn("_hash", F.xxhash64("tenant_id", "key")).join(F.broadcast(asked), "_hash", "left_semi").drop("_hash")
+    slim = probes.select(*R.QUERY_KEY, "key", "skip_if")
+    spread = slim.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    pairs = materialized(postings.join(spread, ["tenant_id", "key", "_salt"]).drop("_salt"), "candidate-pairs")
+    texts = laid_items.select(*ITEM_KEY, "title", "subtitle").join(pairs.select(*ITEM_KEY).distinct(), ITEM_KEY, "left_semi")
+    items = R.with_search_columns(texts, mode).selectExpr(*ITEM_KEY, *_ITEM_SEARCH, f"{_ALL_KEYS} as probe_keys")
+    met = pairs.join(items, ITEM_KEY).where(fresh).drop("probe_keys", "skip_if")
+    return met.join(probes.drop("skip_if"), [*R.QUERY_KEY, "key"]).drop("key")
 
 
 def matches(queries: DataFrame, items: DataFrame | None, stats: DataFrame | None = None, mode: str = "simple",
@@ -127,7 +154,7 @@ def matches(queries: DataFrame, items: DataFrame | None, stats: DataFrame | None
         if broadcast is None:
             broadcast = fits_broadcast(asked)
         probes = query_probes(asked, stats, mode)
-        pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast))
+        pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast, mode=mode))
     return R.scored(pairs).select(
         *R.QUERY_KEY, "is_short", "entity_type", "entity_id", "title", "subtitle", "fts_score", "trigram", "score")
 

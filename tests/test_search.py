@@ -150,3 +150,16 @@ def test_argument_guards(spark):
     assert [RD.api_group_limit(x) for x in (None, 0, 21)] == [5, 1, 20]
     with pytest.raises(ValueError):
         RD.require_tenant(" ")
+
+
+def test_long_queries_meet_few_items_however_many_there_are(spark):
+    """Whole names share their last three digits with many items, yet are met by their own one."""
+    rows = [("t0", "CONTACT", str(i), f"Customer#{i:09d}", "x") for i in range(300)]
+    rows += [("t0", "TRANSACTION", str(i), f"Order {i}", "x") for i in range(1000, 16000)]
+    laid = R.with_search_columns(spark.createDataFrame(rows, SEARCH_ITEMS))
+    asked = R.distinct_queries(spark.createDataFrame([(i, "t0", f"customer#{i:09d}", 5) for i in range(0, 300, 7)],
+                                                     "query_id bigint, tenant_id string, q string, limit_per_group int"))
+    for stats in (None, TA.gram_stats(laid)):
+        for broadcast in (True, False):
+            met = TA.candidates(TA.query_probes(asked, stats), laid, broadcast)
+            assert met.where("entity_type = 'CONTACT'").count() >= asked.count() and met.count() <= 4 * asked.count()
