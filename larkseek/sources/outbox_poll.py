@@ -1,8 +1,9 @@
 """A streaming source that polls an outbox table in id order, a bounded number of rows a batch.
 
-Its offset is the last id taken, so the checkpoint of the query is the published mark: a restarted
+A batch is one poll, or up to ``polls`` of them to drain a backlog: a batch costs about a second whatever
+its rows. Its offset is the last id taken, so the checkpoint of the query is the published mark: a restarted
 query goes on after it, and a batch that was planned but not finished is read again between the same
-ids. Every read is one micro-batch of at most ``rows`` rows, oldest first.
+ids. Every read is one micro-batch of at most ``rows`` rows a poll, oldest first.
 
 The table is parquet files that writers append to. The smallest and largest id of each row group come
 from the files' footers, each read once; a poll opens only the row groups that can hold the next ids
@@ -53,7 +54,8 @@ class OutboxPoller(SimpleDataSourceStreamReader):
                 self.groups.append([ids.min if known else None, ids.max if known else None, part, None])
         self.seen.update(new)
 
-    def _rows_of(self, group: list, after: int | None) -> list[tuple]:
+    def _rows_of(self, group: list, after: int | None):
+        """The unpublished rows of a row group as an Arrow table in id order, and their ids."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -64,11 +66,13 @@ class OutboxPoller(SimpleDataSourceStreamReader):
             table = group[2].to_table(columns=self.columns, filter=wanted).sort_by("id")
             # stored times are UTC, in whatever unit the writer chose
             utc = [table[c].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC")) if pa.types.is_timestamp(table[c].type) else table[c] for c in self.columns]
-            group[3] = list(zip(*[c.to_pylist() for c in utc], strict=True))
+            table = pa.table(utc, names=self.columns).combine_chunks()
+            group[3] = (table, table["id"].to_numpy())
         return group[3]
 
     def _between(self, after: int | None, upto: int | None, most: int | None) -> list[tuple]:
-        """Rows with after < id <= upto in id order, the first ``most`` of them."""
+        """Rows with after < id <= upto in id order, the first ``most`` of them. Only they are made
+        Python rows; a row group is searched, not walked through, for its share."""
         at = self.columns.index("id")
         if after is not None:
             self.groups = [g for g in self.groups if g[1] is None or g[1] > after]
@@ -77,9 +81,14 @@ class OutboxPoller(SimpleDataSourceStreamReader):
             low = group[0]
             if low is not None and (upto is not None and low > upto or most is not None and len(out) >= most and out[most - 1][at] <= low):
                 break
-            out += [r for r in self._rows_of(group, after) if (after is None or r[at] > after) and (upto is None or r[at] <= upto)]
+            table, ids = self._rows_of(group, after)
+            first = 0 if after is None else int(ids.searchsorted(after, "right"))
+            end = len(ids) if upto is None else int(ids.searchsorted(upto, "right"))
+            part = table.slice(first, max(0, end - first if most is None else min(most, end - first)))
+            out += zip(*[part[c].to_pylist() for c in self.columns], strict=True)
             out.sort(key=lambda r: r[at])
-        return out if most is None else out[:most]
+            out = out if most is None else out[:most]
+        return out
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         self._find_groups()
@@ -105,10 +114,10 @@ class OutboxSource(DataSource):
         return OutboxPoller(self.options["path"], int(self.options.get("rows", POLL_ROWS)), schema.fieldNames())
 
 
-def polled_outbox(spark: SparkSession, path: str, rows: int = POLL_ROWS) -> DataFrame:
-    """Stream of the unpublished rows of the outbox table at ``path``."""
+def polled_outbox(spark: SparkSession, path: str, rows: int = POLL_ROWS, polls: int = 1) -> DataFrame:
+    """Stream of the unpublished rows of the outbox table at ``path``, up to ``polls`` polls a batch."""
     spark.dataSource.register(OutboxSource)
-    return spark.readStream.format(FORMAT).option("path", path).option("rows", str(rows)).load()
+    return spark.readStream.format(FORMAT).option("path", path).option("rows", str(rows * polls)).load()
 
 
 # The source's worker may not have this package on its path; ship it by value.

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larkseek.operators import outbox as OB
@@ -15,15 +16,20 @@ POLL_EVERY = "200 milliseconds"
 
 
 def start_outbox_stream(outbox: DataFrame, path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None,
-                        available_now: bool = False) -> StreamingQuery:
+                        available_now: bool = False, poll_rows: int | None = None) -> StreamingQuery:
     """Publish appended outbox rows; the checkpoint is the published mark.
 
     Rows go to ``publish`` (for example a broker writer) or to files under ``path/topics``. The
     batch is marked done only after the write returned. Unsupported types land in ``path/rejected``
-    and do not hold up the others.
+    and do not hold up the others. With ``poll_rows`` the written rows name, as ``poll``, the poll of
+    that many rows in id order, counted from 0 in each batch, that they belong to; such a batch is small.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        routed = OB.route(OB.unpublished(batch, limit=None)).persist()
+        routed = OB.route(OB.unpublished(batch, limit=None))
+        if poll_rows is not None:
+            # a batch holds a bounded number of polls
+            routed = routed.withColumn("poll", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / poll_rows))
+        routed = routed.persist()
         good = OB.routable(routed)
         if publish is not None:
             publish(good)

@@ -98,3 +98,14 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert [[r[0] for r in b] for b in batches] == [[1, 2, 3], [5, 6, 7, 8], [9, 10, 11], [20, 21]]
     assert batches[0][0] == (1, "t:1", "payload 1")
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == [4]
+
+
+def test_a_backlog_is_drained_by_many_polls_a_batch(spark, tmp_path):
+    """Polls keep their rows and order; a batch takes several, and a rejected row has its poll too."""
+    path, out = str(tmp_path / "box"), str(tmp_path / "out")
+    append(spark, path, [row(i, "CAMPAIGN" if i == 4 else "LISTING") for i in range(1, 24)], files=3)
+    q = start_outbox_stream(polled_outbox(spark, path, rows=4, polls=3), out, str(tmp_path / "cp"), poll_rows=4)
+    q.processAllAvailable()
+    q.stop()
+    sent = [(r.id, r.batch_id, r.poll) for kind in ("topics", "rejected") for r in spark.read.parquet(f"{out}/{kind}").collect()]
+    assert sorted(sent) == [(i, (i - 1) // 12, (i - 1) % 12 // 4) for i in range(1, 24)]
