@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkseek.session import spread
+
 CREATED = "2024-01-01 00:00:00"
 DELETED = "2024-02-01 00:00:00"
 
@@ -110,7 +112,7 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contact_records(table(spark, sf_dir, "events"))
+    return contact_records(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def contact_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

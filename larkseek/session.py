@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -38,3 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="larkseek-")
         spark.conf.set("larkseek.shared.dir", path)
     return path.rstrip("/")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table that lies in few files over as many tasks as shuffles have, before costly work per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
