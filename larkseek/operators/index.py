@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkseek.functions.text import blank_to_null, has_text
 from larkseek.operators.reads import live_rows
 from larkseek.schemas import ITEM_KEY
+from larkseek.session import materialized
 
 
 def item_rows(df: DataFrame, entity: str, title: str, subtitle: Column | None = None, id_col: str = "id") -> DataFrame:
@@ -53,23 +54,25 @@ def latest_by_version(actions: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Insert or replace rows on (tenant, type, id). ``changes`` has one row per key."""
+    """Insert or replace rows on (tenant, type, id). ``changes`` has one row per key and is written once:
+    the anti join is pushed into every table that ``current`` unites, and each would make them anew."""
+    changes = materialized(changes, "changes")
     return (current.join(changes.select(*ITEM_KEY), ITEM_KEY, "left_anti")
             .unionByName(changes.select(*ITEM_KEY, "title", blank_to_null("subtitle").alias("subtitle"))))
 
 
 def delete(current: DataFrame, keys: DataFrame) -> DataFrame:
-    return current.join(keys.select(*ITEM_KEY), ITEM_KEY, "left_anti")
+    return current.join(materialized(keys.select(*ITEM_KEY), "keys"), ITEM_KEY, "left_anti")
 
 
 def delete_count(current: DataFrame, keys: DataFrame) -> DataFrame:
     """One row: how many rows the delete affects."""
-    return current.join(keys.select(*ITEM_KEY), ITEM_KEY, "left_semi").agg(F.count("*").alias("deleted"))
+    return current.join(materialized(keys.select(*ITEM_KEY), "keys"), ITEM_KEY, "left_semi").agg(F.count("*").alias("deleted"))
 
 
 def apply_actions(current: DataFrame, actions: DataFrame) -> DataFrame:
-    """Fold a batch of classified events into the item table: one aggregation, one anti join."""
-    last = latest_actions(actions)
+    """Fold a batch of classified events into the item table: one aggregation, written once, one anti join."""
+    last = materialized(latest_actions(actions), "latest")
     kept = current.select(*ITEM_KEY, "title", "subtitle").join(last.select(*ITEM_KEY), ITEM_KEY, "left_anti")
     fresh = last.where(F.col("action") == "UPSERT").select(*ITEM_KEY, "title", "subtitle")
     return kept.unionByName(fresh)

@@ -18,7 +18,6 @@ the batches they want; a batch written again replaces itself. A new full build e
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkseek.operators.ranking import with_search_columns
 from larkseek.schemas import ITEM_KEY
-from larkseek.session import shared_dir
+from larkseek.session import materialized
 
 PAGE_WORDS = 64
 SLABS = 32
@@ -47,14 +46,6 @@ class Postings:
     gram_counts: DataFrame
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: it runs once, and its size is known to
-    the joins above it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word(text: str | Column) -> Column:
     return F.concat("tenant_id", F.lit(END), text)
 
