@@ -1,8 +1,8 @@
 """Index maintenance that trusts the version in the payload, over any number of batches and restarts.
 
-The state store keeps the last place (version, then arrival) of every item key, of deleted ones too,
-as a tombstone. A record that is older than that changes nothing, however late it comes; so the table
-does not depend on how records are cut into batches. State is spread by key and lives in the
+A streaming aggregate keeps the newest record (by version, then arrival) of every item key, of deleted
+ones too, as a tombstone, and combines before its shuffle. A record that is older than that changes
+nothing, however late it comes; so the table does not depend on how records are cut into batches. State is spread by key and lives in the
 checkpoint; a run that ends and starts again from it goes on where it was.
 """
 
@@ -11,47 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from larkseek.operators import events as EV
 from larkseek.schemas import ITEM_KEY
+from larkseek.session import spread
 from larkseek.sources.item_store import ItemStore
 
-_PLACE = "version bigint, partition int, offset bigint"
-NET = f"tenant_id string, entity_type string, entity_id string, action string, title string, subtitle string, {_PLACE}"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class LastByVersion(StatefulProcessor):
-    """Of each key, the newest record of a batch, if it is newer than all before it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"{_PLACE}, deleted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, row = (tuple(self.last.get()[:3]) if self.last.exists() else None), None
-        for part in rows:
-            top = part.sort_values(["version", "partition", "offset"]).iloc[-1]
-            place = (int(top["version"]), int(top["partition"]), int(top["offset"]))
-            if newest is None or place > newest:
-                newest, row = place, top
-        if row is not None:
-            self.last.update((*newest, row["action"] == "DELETE"))
-            yield pd.DataFrame([[*key, row["action"], row["title"], row["subtitle"], *newest]],
-                               columns=[*ITEM_KEY, "action", "title", "subtitle", "version", "partition", "offset"])
-
-    def close(self) -> None:
-        pass
-
-
-# Executors may not have this package on their path; ship the processor by value.
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
-
-
 @contextmanager
 def _settings(spark: SparkSession, **wanted: str | None) -> Iterator[None]:
     """Session settings that a query takes over when it starts."""
@@ -68,10 +39,15 @@ def _settings(spark: SparkSession, **wanted: str | None) -> Iterator[None]:
 
 
 def newest_actions(records: DataFrame) -> DataFrame:
-    """The records of a stream that change their key, at most one per key and batch."""
-    actions = EV.effective(EV.event_actions(records)).select(
-        *ITEM_KEY, "action", "title", "subtitle", F.coalesce("version", F.lit(-1)).cast("long").alias("version"), F.col("partition").cast("int").alias("partition"), "offset")
-    return actions.groupBy(*ITEM_KEY).transformWithStateInPandas(LastByVersion(), NET, "Update", "None")
+    """The records of a stream that change their key, at most one per key and batch. The state gives
+    every key that a batch names; those whose newest record came with an earlier batch are left out."""
+    actions = EV.effective(EV.event_actions(spread(records))).select(
+        *ITEM_KEY, "action", "title", "subtitle", F.coalesce("version", F.lit(-1)).cast("long").alias("version"), F.col("partition").cast("int").alias("partition"), "offset",
+        # the time of a batch, the same in all of its rows
+        F.current_timestamp().alias("seen"))
+    value = F.struct("action", "title", "subtitle", "version", "partition", "offset", "seen")
+    newest = actions.groupBy(*ITEM_KEY).agg(F.max_by(value, F.struct("version", "partition", "offset")).alias("_last"))
+    return newest.select(*ITEM_KEY, "_last.*").where(F.col("seen") == F.current_timestamp()).drop("seen")
 
 
 def start_versioned_stream(records: DataFrame, store: ItemStore, checkpoint: str, available_now: bool = False, every: str = "1 second",
