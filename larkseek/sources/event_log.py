@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkseek.operators.events import KINDS
 from larkseek.schemas import EVENT_RECORD, TOPICS
+from larkseek.session import spread
 
 # Fixed value: the consumer's group.
 GROUP = "search-indexer"
@@ -33,6 +34,12 @@ def file_records(spark: SparkSession, path: str, fmt: str = "parquet", files_per
     return reader.load(path)
 
 
+def spread_records(records: DataFrame) -> DataFrame:
+    """Records, which may lie in few files or partitions, over tasks before they are parsed; by their place,
+    as rows without a key would be sorted first."""
+    return spread(records, *[c for c in ("topic", "partition", "offset") if c in records.columns])
+
+
 def write_kafka(routed: DataFrame, servers: str, **options: str) -> None:
     """Publish routed outbox rows (topic, key, value)."""
     (routed.select("topic", "key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers)

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from larkseek.operators import events as EV
 from larkseek.operators.index import merge_into_table
+from larkseek.sources.event_log import spread_records
 from larkseek.sources.item_store import ItemStore
 
 
@@ -22,11 +23,12 @@ def start_index_stream(records: DataFrame, store: ItemStore, checkpoint: str, av
     Bad records never stop the stream. Batches run one after another and each key comes from one
     source partition, so arrival order per key holds. Both outputs are named after the stream's id
     and the batch: replaying a batch after a failure changes nothing, and a stream with a new
-    checkpoint has a new id. After ``compact_every`` batches the store is compacted.
+    checkpoint has a new id. After ``compact_every`` batches the store is compacted. A batch's records,
+    which may lie in few files or partitions, are spread over tasks before they are parsed.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         stream = _query_id(batch)
-        actions = EV.event_actions(batch).persist()
+        actions = EV.event_actions(spread_records(batch)).persist()
         store.append_batch(actions, batch_id, stream)
         write_dead_letters(actions, f"{store.path}/dead", stream, batch_id)
         actions.unpersist()
@@ -40,7 +42,7 @@ def start_table_merge(records: DataFrame, table: str, checkpoint: str, dead: str
                       every: str = "1 second") -> StreamingQuery:
     """The same into a table whose format supports MERGE; skipped records go to the folder ``dead``."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        actions = EV.event_actions(batch).persist()
+        actions = EV.event_actions(spread_records(batch)).persist()
         merge_into_table(actions, table)
         write_dead_letters(actions, dead, _query_id(batch), batch_id)
         actions.unpersist()

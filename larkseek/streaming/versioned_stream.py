@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from larkseek.operators import events as EV
 from larkseek.schemas import ITEM_KEY
-from larkseek.session import spread
+from larkseek.sources.event_log import spread_records
 from larkseek.sources.item_store import ItemStore
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -41,7 +41,7 @@ def _settings(spark: SparkSession, **wanted: str | None) -> Iterator[None]:
 def newest_actions(records: DataFrame) -> DataFrame:
     """The records of a stream that change their key, at most one per key and batch. The state gives
     every key that a batch names; those whose newest record came with an earlier batch are left out."""
-    actions = EV.effective(EV.event_actions(spread(records))).select(
+    actions = EV.effective(EV.event_actions(spread_records(records))).select(
         *ITEM_KEY, "action", "title", "subtitle", F.coalesce("version", F.lit(-1)).cast("long").alias("version"), F.col("partition").cast("int").alias("partition"), "offset",
         # the time of a batch, the same in all of its rows
         F.current_timestamp().alias("seen"))

@@ -137,3 +137,13 @@ def test_versions_late_records_write_nothing(spark, tmp_path):
     assert sorted(r["title"] for r in store.current().collect()) == ["a 1", "b 3"]
     plan = newest_actions(stream)._jdf.queryExecution().analyzed().toString()
     assert "InPandas" not in plan and "InPySpark" not in plan
+
+
+def test_records_of_one_file_are_spread(spark, tmp_path):
+    """The dead letters of a batch come from more tasks than the batch has files."""
+    records = [("contact.events.v1", 0, i, "k", "{broken") for i in range(200)]
+    spark.createDataFrame(records, "topic string, partition int, offset bigint, key string, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = ItemStore(spark, str(tmp_path / "store")).create()
+    start_index_stream(EL.file_records(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    dead = spark.read.parquet(f"{store.path}/dead")
+    assert dead.count() == 200 and len(dead.inputFiles()) > 1
