@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.functions.english import stem_words
+from larkseek.functions.english import STOP_WORDS, stem_word, stem_words
 
 # The default weight of each label, and the constant of the single-term sum.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -72,6 +72,19 @@ def with_item_tsv(items: DataFrame, mode: str = "simple") -> DataFrame:
     return words.selectExpr("*", f"{_vector_sql([('_t', 'A'), ('_s', 'B')])} as tsv").drop("_t", "_s")
 
 
+def lexeme_counts(texts: DataFrame, text: str, mode: str = "simple") -> DataFrame:
+    """(lexeme, n): how often each lexeme stands in a text column. Words are counted before they are
+    stemmed, so Python sees each distinct word of the table once and never a row's text."""
+    words = texts.selectExpr(f"explode({lexemes_sql(text)}) as lexeme").groupBy("lexeme").agg(F.count("*").alias("n"))
+    if mode == "simple":
+        return words
+    if mode != "english":
+        raise ValueError(f"unknown text mode {mode!r}")
+    # by a filter on the stem, which is pushed below the count, every occurrence would be stemmed
+    stems = words.where(~F.col("lexeme").isin(STOP_WORDS)).select(stem_word(F.col("lexeme")).alias("lexeme"), "n")
+    return stems.groupBy("lexeme").agg(F.sum("n").alias("n"))
+
+
 def with_query_terms(queries: DataFrame, mode: str = "simple", reference_compat: bool = False) -> DataFrame:
     """Add ``terms``, the distinct sorted prefix terms of ``norm``.
 

@@ -131,3 +131,18 @@ def test_json_access(spark):
 def test_mask(spark):
     got = one(spark, T.mask_pii("q"), q="sam\x07 sam@example.com +48 600 000 001")
     assert got == "sam <email> <phone>"
+
+
+def test_lexeme_counts_stem_distinct_words(spark):
+    """Equal to the entries of the vectors, and Python sees no arrays of words; null and empty texts have none."""
+    from larkseek.functions import fulltext as FT
+    texts = ["Running runs the ÉTÉS and 12 skies", "the running, cats' cat", "", None, "of the", "news 12"]
+    df = spark.createDataFrame([(t, None) for t in texts], "title string, subtitle string")
+    want = FT.with_item_tsv(df, "english").selectExpr("explode(tsv) as e").groupBy("e.lexeme").count()
+    got = FT.lexeme_counts(df, "title", "english")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.rindex("Aggregate")
+    lists = spark.createDataFrame([(["the", "cats", None],), (None,), ([],), (["skies"],)], "w array<string>")
+    from larkseek.functions.english import stem_words
+    assert [r[0] for r in lists.select(stem_words(F.col("w"))).collect()] == [[None, "cat", None], None, [], ["sky"]]
