@@ -96,9 +96,11 @@ def dead_letters(actions: DataFrame) -> DataFrame:
 
 
 def bulk_delete_actions(records: DataFrame) -> DataFrame:
-    """The DELETE actions of bulk-delete records alone."""
+    """The DELETE actions of bulk-delete records alone. Only records that may name one of the bulk keys
+    are parsed: those whose text holds one, or an escape that could spell it."""
     place = [c for c in ("topic", "partition", "offset") if c in records.columns]
-    return (event_actions(records).where(f"event_type = '{BULK_DELETE}' and action = 'DELETE'")
+    keys = " or ".join(f"contains(value, '{k.bulk_key}')" for k in KINDS)
+    return (event_actions(records.where(f"{keys} or contains(value, r'\\')")).where(f"event_type = '{BULK_DELETE}' and action = 'DELETE'")
             .select(*place, "entity_type", "tenant_id", "entity_id", "action"))
 
 

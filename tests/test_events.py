@@ -112,3 +112,13 @@ def test_changes_are_made_once_for_a_united_table(spark, sf):
     from larkseek.plans import catalog as C
     for name in ("index_upsert", "index_delete", "index_delete_count", "apply_actions"):
         assert "max_by" not in C.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_bulk_deletes_parse_only_records_that_may_be_bulk(spark):
+    """Escaped keys are found, and other records are dropped by a plain test of the text."""
+    body = ['{"tenantId":"t","contactIds":["a","b"]}', '{"tenantId":"t","contact\\u0049ds":["c"]}', '{"type":"ContactDeleted","tenantId":"t","contactId":"d"}',
+            None, '{"type":"ContactDeleted","tenantId":"t","contactId":"e","contactIds":["f"]}']
+    records = spark.createDataFrame([("contact.events.v1", 0, i, "k", v) for i, v in enumerate(body)], "topic string, partition int, offset bigint, key string, value string")
+    found = EV.bulk_delete_actions(records)
+    assert sorted((r["offset"], r["entity_id"]) for r in found.collect()) == [(0, "a"), (0, "b"), (1, "c")]
+    assert "Contains(value" in found._jdf.queryExecution().optimizedPlan().toString()
