@@ -72,6 +72,11 @@ def with_item_tsv(items: DataFrame, mode: str = "simple") -> DataFrame:
     return words.selectExpr("*", f"{_vector_sql([('_t', 'A'), ('_s', 'B')])} as tsv").drop("_t", "_s")
 
 
+def item_vector_sql() -> str:
+    """SQL for the simple-mode ``tsv`` of a search item, from its texts."""
+    return _vector_sql([(lexemes_sql("title"), "A"), (lexemes_sql("subtitle"), "B")])
+
+
 def lexeme_counts(texts: DataFrame, text: str, mode: str = "simple") -> DataFrame:
     """(lexeme, n): how often each lexeme stands in a text column. Words are counted before they are
     stemmed, so Python sees each distinct word of the table once and never a row's text."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A padded word carries two blanks on its left and one on its right, so these are the shapes a
-# three-character window can take inside one word; windows across two words match none of them.
-_GRAM = "(?=( {2}[^ ]| [^ ]{2}|[^ ]{3}|[^ ]{2} | [^ ] ))"
+# A padded word carries two blanks on its left and one on its right, and at least three stand between two
+# words, so a three-character window lies inside one word unless it ends in two blanks.
+_GRAM = "(?s)(?=(..[^ ]|.[^ ].))"
 
 
 def trigram_sql(text: str) -> str:
@@ -19,7 +19,11 @@ def trigram_sql(text: str) -> str:
 def jaccard_sql(a: str, b: str) -> str:
     """SQL for |a∩b| / |a∪b| of two distinct-element array columns; null if either is null, 0 if
     both are empty."""
-    common = f"size(array_intersect({a}, {b}))"
+    return jaccard_of_sql(a, b, f"size(array_intersect({a}, {b}))")
+
+
+def jaccard_of_sql(a: str, b: str, common: str) -> str:
+    """The same, given the size of what both hold."""
     return (f"(case when {a} is null or {b} is null then null when size({a}) + size({b}) = 0 then 0D "
             f"else {common} / double(size({a}) + size({b}) - {common}) end)")
 

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkseek.functions.fulltext import (lexeme_line_sql, matches_all_sql, rank_sql, term_hits_sql, with_item_tsv,
-                                         with_query_terms)
+from larkseek.functions.fulltext import (item_vector_sql, lexeme_line_sql, lexemes_sql, matches_all_sql, rank_sql, term_hits_sql,
+                                         with_item_tsv, with_query_terms)
 from larkseek.functions.text import contains_like_sql, normalize_query, staged, with_like_columns
-from larkseek.functions.trigrams import jaccard_sql, qgrams_sql, trigram_sql
+from larkseek.functions.trigrams import jaccard_of_sql, qgrams_sql, trigram_sql
 from larkseek.schemas import ENTITY_TYPES, HIT_PREFIX
 
 # Candidate cap, short-query length, score weights.
@@ -63,7 +63,14 @@ def verified(pairs: DataFrame) -> DataFrame:
     """
     like = f"{contains_like_sql('title_lc')} or {contains_like_sql('subtitle_lc')}"
     tested = staged(pairs, *pairs.columns, is_like=like)
-    return tested.where(f"is_like or (not is_short and {matches_all_sql()})").drop("is_like")
+    if "lexeme_line" in pairs.columns:
+        words = matches_all_sql()
+    else:
+        # words are cut only where both texts hold all terms somewhere
+        line = f"concat_ws(' ', '', {lexemes_sql('title')}, {lexemes_sql('subtitle')})"
+        words = (f"forall(terms, t -> contains(title_lc, t) or contains(coalesce(subtitle_lc, ''), t)) "
+                 f"and exists(array({line}), l -> {matches_all_sql('l')})")
+    return tested.where(f"is_like or (not is_short and {words})").drop("is_like")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -72,14 +79,18 @@ def scored(pairs: DataFrame) -> DataFrame:
     Long queries: 0.9 rank + 0.3 title similarity. Short ones: 0.3 best similarity, rank 0. Scores
     are rounded to six digits, so the tie order never hangs on the last bit of a double.
     """
-    parts = pairs.selectExpr(
-        "*", f"{jaccard_sql('title_tg', 'term_tg')} as _title_sim", f"{jaccard_sql('subtitle_tg', 'term_tg')} as _sub_sim",
-        f"if(is_short, null, {term_hits_sql()}) as _hits")
+    # without a vector it is made here, for matches of long queries only
+    hits = term_hits_sql() if "tsv" in pairs.columns else f"transform(array({item_vector_sql()}), v -> {term_hits_sql('v')})[0]"
+    # what both hold is counted once, outside the branches that use it
+    met = pairs.selectExpr("*", "size(array_intersect(term_tg, title_tg)) as _title_n", "size(array_intersect(term_tg, subtitle_tg)) as _sub_n")
+    parts = met.selectExpr(
+        "*", f"{jaccard_of_sql('title_tg', 'term_tg', '_title_n')} as _title_sim", f"{jaccard_of_sql('subtitle_tg', 'term_tg', '_sub_n')} as _sub_sim",
+        f"if(is_short, null, {hits}) as _hits")
     ranked = parts.selectExpr("*", f"{rank_sql('_hits')} as _rank")
     return ranked.selectExpr(
         "*", f"round(greatest(_title_sim, _sub_sim), {SCORE_DIGITS}) as trigram", f"round(_rank, {SCORE_DIGITS}) as fts_score",
         f"round(if(is_short, greatest(_title_sim, _sub_sim) * {TRIGRAM_WEIGHT}D, _rank * {RANK_WEIGHT}D + "
-        f"greatest(0D, _title_sim) * {TRIGRAM_WEIGHT}D), {SCORE_DIGITS}) as score").drop("_title_sim", "_sub_sim", "_hits", "_rank")
+        f"greatest(0D, _title_sim) * {TRIGRAM_WEIGHT}D), {SCORE_DIGITS}) as score").drop("_title_n", "_sub_n", "_title_sim", "_sub_sim", "_hits", "_rank")
 
 
 def _order() -> list[Column]:

@@ -7,10 +7,12 @@ verified exactly. Nothing pairs all queries with all items.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkseek.functions.trigrams import qgrams_sql
+from larkseek.functions.trigrams import qgrams_sql, trigram_sql
 from larkseek.operators import ranking as R
 from larkseek.operators.reads import group_limit
 from larkseek.plans.postings import candidate_pairs
@@ -27,6 +29,10 @@ KEY_ROWS = 2_000_000
 # Size of the long windows, by which a long query finds few items however many there are.
 LONG = 8
 BUCKETS = 1 << 16
+#: Texts are cut into pieces of so many places before their windows are.
+PIECE = 256
+#: Up to so many keys of one size a tenant, texts are tested for each key instead of being cut into windows.
+FEW_KEYS = 16
 #: All windows of an item: the stored short ones and the long ones.
 _ALL_KEYS = f"array_distinct(concat(probe_keys, {qgrams_sql('title_lc', LONG)}, {qgrams_sql("coalesce(subtitle_lc, '')", LONG)}))"
 
@@ -143,18 +149,61 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_ro
     return met.join(probes.drop("skip_if"), [*R.QUERY_KEY, "key"]).drop("key")
 
 
+def window_rows(items: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """One row per window of the given sizes in ``title_lc`` and ``subtitle_lc``: ``key``, ``size``, its place ``at`` and
+    ``in_sub``; size 0 is the empty key, once per item. Repeats are left in.
+
+    Only generators and substrings, all in generated code and without arrays of windows. Texts are cut into
+    overlapping pieces first, as a substring is found by counting from the beginning.
+    """
+    longest = max(sizes, default=0)
+    texts = items.where("title_lc is not null").selectExpr(
+        "*", "inline(array(struct(title_lc as _text, false as in_sub), struct(coalesce(subtitle_lc, '') as _text, true as in_sub)))")
+    pieces = (texts.where("not in_sub or _text <> ''").selectExpr("*", f"explode(sequence(0, greatest(length(_text) - 1, 0) div {PIECE})) as _piece")
+              .selectExpr("*", f"substring(_text, int(_piece * {PIECE} + 1), {PIECE + max(longest - 1, 0)}) as _part"))
+    places = pieces.selectExpr("*", f"explode(sequence(if(in_sub or _piece > 0, 1, 0), least({PIECE}, length(_part)))) as _i")
+    cut = ", ".join(f"struct({q} as size, {f'substring(_part, _i, {q})' if q else "''"} as key)" for q in sorted(sizes))
+    return (places.selectExpr("*", f"inline(array({cut}))").where("if(_i = 0, size = 0, size > 0 and _i + size - 1 <= length(_part))")
+            .selectExpr(*items.columns, "key", "size", "in_sub", f"int(_piece * {PIECE} + _i) as at"))
+
+
+def scanned(probes: DataFrame, items: DataFrame) -> DataFrame:
+    """:func:`candidates` of items without a layout, simple mode: one pass over their texts, no shuffle. A tenant's keys of
+    a size are looked up by the windows of the texts or, if they are few, each text is tested for them."""
+    probes = materialized(probes, "probes")
+    per_tenant = probes.groupBy("tenant_id", F.length("key").alias("size")).agg(F.count_distinct("key").alias("n"))
+    sizes = [r["size"] for r in per_tenant.groupBy("size").agg(F.max("n").alias("n")).collect() if r["size"] and r["n"] > FEW_KEYS]
+    via = F.when(F.length("key").isin(sizes), F.col("key")).otherwise("")
+    # by one long key; different windows of one hash are told apart by the condition
+    asked = probes.withColumns({"_via": F.xxhash64("tenant_id", via), "by_window": F.length("key").isin(sizes)}).withColumnsRenamed({"tenant_id": "asker", "key": "probe"})
+    texts = items.selectExpr(*ITEM_KEY, "title", "subtitle", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc").selectExpr(
+        "*", f"{trigram_sql('title_lc')} as title_tg", f"{trigram_sql('subtitle_lc')} as subtitle_tg")
+    rows = window_rows(texts, [0, *sizes]).withColumn("_via", F.xxhash64("tenant_id", "key"))
+    sub = "coalesce(subtitle_lc, '')"
+    # a window counts where it stands first in its item
+    first = f"if(in_sub, instr({sub}, probe) = at and not contains(title_lc, probe), instr(title_lc, probe) = at)"
+    met = (f"if(size = 0, not by_window and asker = tenant_id and (contains(title_lc, probe) or contains({sub}, probe)), "
+           f"by_window and asker = tenant_id and probe = key and {first})")
+    fresh = f"(skip_if is null or not (contains(title_lc, skip_if) or contains({sub}, skip_if)))"
+    return rows.join(F.broadcast(asked), "_via").where(f"{met} and {fresh}").select(*texts.columns, *[c for c in probes.columns if c not in ("tenant_id", "key", "skip_if")])
+
+
 def matches(queries: DataFrame, items: DataFrame | None, stats: DataFrame | None = None, mode: str = "simple",
-            broadcast: bool | None = None, reference_compat: bool = False, postings: Postings | None = None) -> DataFrame:
+            broadcast: bool | None = None, reference_compat: bool = False, postings: Postings | None = None,
+            only: str = "true") -> DataFrame:
     """All verified and scored (distinct query, item) pairs. With ``postings`` candidates come from
-    the written index and ``items`` is not read."""
-    asked = R.distinct_queries(queries, mode, reference_compat)
+    the written index and ``items`` is not read. ``only`` is a condition on the distinct queries."""
+    asked = R.distinct_queries(queries, mode, reference_compat).where(only)
     if postings is not None:
         pairs = R.verified(candidate_pairs(asked, postings))
     else:
         if broadcast is None:
             broadcast = fits_broadcast(asked)
         probes = query_probes(asked, stats, mode)
-        pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast, mode=mode))
+        if broadcast and mode == "simple" and "probe_keys" not in items.columns:
+            pairs = R.verified(scanned(probes, items))
+        else:
+            pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast, mode=mode))
     return R.scored(pairs).select(
         *R.QUERY_KEY, "is_short", "entity_type", "entity_id", "title", "subtitle", "fts_score", "trigram", "score")
 

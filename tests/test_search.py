@@ -163,3 +163,22 @@ def test_long_queries_meet_few_items_however_many_there_are(spark):
         for broadcast in (True, False):
             met = TA.candidates(TA.query_probes(asked, stats), laid, broadcast)
             assert met.where("entity_type = 'CONTACT'").count() >= asked.count() and met.count() <= 4 * asked.count()
+
+
+@pytest.mark.parametrize("few", [0, 16])
+@pytest.mark.parametrize("piece", [5, 256])
+def test_scanned_texts_meet_what_their_windows_meet(spark, items, queries, monkeypatch, few, piece):
+    """Keys tested one by one or found by windows, in whole texts or in pieces of long ones: the same pairs, each once."""
+    monkeypatch.setattr(TA, "FEW_KEYS", few)
+    monkeypatch.setattr(TA, "PIECE", piece)
+    more = spark.createDataFrame([("t0", "MAILING", "long", "red widget é " * 40 + "ring small", "ge" * 300), ("t0", "MAILING", "blank", "", None)], SEARCH_ITEMS)
+    texts = items[0].unionByName(more)
+    probes = TA.query_probes(R.distinct_queries(queries))
+    cols = ["tenant_id", "norm", "entity_type", "entity_id"]
+    got = sorted(map(tuple, TA.scanned(probes, texts).select(*cols).collect()))
+    assert got == sorted(map(tuple, TA.candidates(probes, R.with_search_columns(texts), True).select(*cols).collect())) and len(got) == len(set(got))
+
+
+def test_a_scan_makes_no_arrays_of_windows(items, queries):
+    plan = TA.matches(queries, items[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" in plan and "probe_keys" not in plan and plan.count("regexp_extract_all(title") <= 8
