@@ -23,11 +23,12 @@ SCORE_DIGITS = 6
 QUERY_KEY = ["tenant_id", "norm"]
 
 
-def with_search_columns(items: DataFrame, mode: str = "simple") -> DataFrame:
+def with_search_columns(items: DataFrame, mode: str = "simple", windows: bool = True) -> DataFrame:
     """Everything a query needs of an item, computed once per item.
 
     ``probe_keys`` are the raw 1-, 2- and 3-character windows of both texts (plus the heads of the
-    lexemes when stemming can change a word, plus the empty key every item has).
+    lexemes when stemming can change a word, plus the empty key every item has); without ``windows``
+    they are left out.
     """
     if "probe_keys" in items.columns:
         return items
@@ -35,10 +36,10 @@ def with_search_columns(items: DataFrame, mode: str = "simple") -> DataFrame:
     keys = ["array('')"] + [qgrams_sql(t, q) for t in ("title_lc", sub) for q in (1, 2, 3)]
     if mode == "english":
         keys += [f"transform(tsv, e -> substring(e.lexeme, 1, {q}))" for q in (1, 2, 3)]
+    probe_keys = {"probe_keys": f"array_distinct(concat({', '.join(keys)}))"} if windows else {}
     out = with_item_tsv(items, mode).selectExpr("*", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc")
-    return staged(out, *items.columns, "title_lc", "subtitle_lc", "tsv",
-                  lexeme_line=lexeme_line_sql(), title_tg=trigram_sql("title_lc"), subtitle_tg=trigram_sql("subtitle_lc"),
-                  probe_keys=f"array_distinct(concat({', '.join(keys)}))")
+    return staged(out, *items.columns, "title_lc", "subtitle_lc", "tsv", lexeme_line=lexeme_line_sql(),
+                  title_tg=trigram_sql("title_lc"), subtitle_tg=trigram_sql("subtitle_lc"), **probe_keys)
 
 
 def distinct_queries(queries: DataFrame, mode: str = "simple", reference_compat: bool = False) -> DataFrame:

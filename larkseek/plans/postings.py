@@ -54,13 +54,21 @@ def substring_candidates(asked: DataFrame, index: Postings) -> DataFrame:
     from larkseek.plans.typeahead import _windows
     options = (asked.selectExpr(*R.QUERY_KEY, r"split(term, r'\\.|[%_\\]') as _literals").selectExpr(*R.QUERY_KEY, f"explode({_windows('_literals')}) as gram")
                .withColumn("word", F.concat("tenant_id", F.lit(END), "gram")))
-    counted = options.join(index.gram_counts, "word", "left").groupBy(*R.QUERY_KEY, "word").agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n"))
+    # the stored words that hold a window: itself, or those that begin with one of one or two characters
+    size = f"length(word) - instr(word, '{END}')"
+    held = index.gram_counts.groupBy("word").agg(F.sum("n_items").alias("n_items")).where("n_items > 0")
+    stored = held.selectExpr("word as stored", "n_items", f"explode(if({size} = 0, array(word), array(left(word, length(word) - 2), left(word, length(word) - 1), word))) as word")
+    stored = materialized(stored.join(options.select("word").distinct(), "word", "left_semi"), "stored-windows")
+    cost = stored.groupBy("word").agg(F.sum("n_items").alias("n"))
+    counted = options.join(cost, "word", "left").groupBy(*R.QUERY_KEY, "word").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     # a query has at most as many windows as characters
     picked = counted.groupBy(*R.QUERY_KEY).agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("g")).selectExpr(
         *R.QUERY_KEY, f"filter(slice(g, 1, {MERGED}), x -> x.n <= {LONGER} * g[0].n) as g")
-    chosen = materialized(picked.selectExpr(*R.QUERY_KEY, "size(g) as need", "explode(g.word) as word").withColumn("slab", gram_slab()), "chosen-windows")
+    wanted = picked.selectExpr(*R.QUERY_KEY, "shiftleft(1, size(g)) - 1 as need", "posexplode(g.word) as (nth, word)")
+    chosen = wanted.join(stored.select("word", "stored"), "word").selectExpr(*R.QUERY_KEY, "need", "shiftleft(1, nth) as bit", "stored as word")
+    chosen = materialized(chosen.withColumn("slab", gram_slab()), "chosen-windows")
     return (_asked_slabs(index.grams, chosen).select("word", "item").join(chosen.drop("slab"), "word")
-            .groupBy(*R.QUERY_KEY, "item", "need").agg(F.count("*").alias("n")).where("n = need").select(*R.QUERY_KEY, "item"))
+            .groupBy(*R.QUERY_KEY, "item", "need").agg(F.bit_or("bit").alias("met")).where("met = need").select(*R.QUERY_KEY, "item"))
 
 
 def candidate_pairs(asked: DataFrame, index: Postings) -> DataFrame:

@@ -31,6 +31,8 @@ LONG = 8
 BUCKETS = 1 << 16
 #: Texts are cut into pieces of so many places before their windows are.
 PIECE = 256
+#: SQL: a row of :func:`window_rows` is the first of its key in its item.
+FIRST_PLACE = "(size = 0 or if(in_sub, instr(subtitle_lc, key) = at and not contains(title_lc, key), instr(title_lc, key) = at))"
 #: Up to so many keys of one size a tenant, texts are tested for each key instead of being cut into windows.
 FEW_KEYS = 16
 #: All windows of an item: the stored short ones and the long ones.

@@ -97,3 +97,27 @@ def test_deltas_follow_the_batch(spark, sf, built, tmp_path):
 def test_empty_table(spark, sf, tmp_path):
     write_postings(C.item_table(spark, sf).where("false"), str(tmp_path))
     assert TA.matches(C.all_queries(spark, sf), None, postings=read_postings(spark, str(tmp_path))).collect() == []
+
+
+def test_windows_are_stored_once_a_place(spark, tmp_path):
+    """One row for each distinct window of three characters from a place, and the empty one, of short and of long
+    texts; shorter windows are found as beginnings of them, at the end of a text too."""
+    rows = [("t0", "CONTACT", "1", "abcab", None), ("t0", "CONTACT", "2", "xa", "ab"), ("t0", "CONTACT", "3", "q\x00b", ""), ("t0", "MAILING", "4", "zabab " * 200, "end")]
+    items = spark.createDataFrame(rows, "tenant_id string, entity_type string, entity_id string, title string, subtitle string")
+    write_postings(items, str(tmp_path))
+    index = read_postings(spark, str(tmp_path))
+    got = {}
+    for r in index.grams.join(index.items.select("item", "entity_id"), "item").collect():
+        got.setdefault(r["entity_id"], []).append(r["word"].split(END, 1)[1])
+    for _, _, i, title, subtitle in rows:
+        want = {""} | {(t + "\x01\x01")[k:k + 3] for t in (title, subtitle or "") for k in range(len(t))}
+        assert sorted(got[i]) == sorted(want)
+    asked = spark.createDataFrame([(k, "t0", q, 5) for k, q in enumerate(("a", "b", "ab", "xa", "bc", "%", "q\x00", "d", "ba", "zab", "nd"))],
+                                  "query_id long, tenant_id string, q string, limit_per_group int")
+    parsed = R.distinct_queries(asked)
+    met = {}
+    for r in PO.substring_candidates(parsed, index).join(index.items.select("item", "entity_id"), "item").collect():
+        met.setdefault(r["norm"], []).append(r["entity_id"])
+    for q in [r["norm"] for r in parsed.collect()]:
+        want = [i for _, _, i, title, subtitle in rows if q == "%" or q in title or q in (subtitle or "")]
+        assert sorted(met.get(q, [])) == want
