@@ -10,6 +10,8 @@ from larkseek.schemas import TOPICS
 
 # Fixed value: rows one poll takes.
 POLL_ROWS = 500
+# Polls a batch takes at most to drain a backlog: its rows are read by tasks, its ids (8 bytes each) by the driver.
+DRAIN_POLLS = 4096
 
 
 def unpublished(outbox: DataFrame, limit: int | None = POLL_ROWS) -> DataFrame:
@@ -27,16 +29,16 @@ def topic_of(aggregate_type: Column | str) -> Column:
     return out
 
 
-def route(outbox: DataFrame) -> DataFrame:
+def route(outbox: DataFrame, *more: str) -> DataFrame:
     """Add topic, record key ``tenant:id`` and value; unsupported types get a reject reason
-    instead of stopping the batch."""
+    instead of stopping the batch. Columns named in ``more`` are kept."""
     topic = topic_of("aggregate_type")
     return outbox.select(
         "id", topic.alias("topic"),
         entity_key("tenant_id", F.coalesce("aggregate_id", F.lit("null"))).alias("key"),
         F.col("payload").alias("value"),
         F.when(topic.isNull(), F.concat(F.lit("unsupported_type:"), F.coalesce("aggregate_type", F.lit("null"))))
-        .alias("reject_reason"))
+        .alias("reject_reason"), *more)
 
 
 def routable(routed: DataFrame) -> DataFrame:

@@ -22,12 +22,13 @@ def start_outbox_stream(outbox: DataFrame, path: str, checkpoint: str, publish:
     Rows go to ``publish`` (for example a broker writer) or to files under ``path/topics``. The
     batch is marked done only after the write returned. Unsupported types land in ``path/rejected``
     and do not hold up the others. With ``poll_rows`` the written rows name, as ``poll``, the poll of
-    that many rows in id order, counted from 0 in each batch, that they belong to; such a batch is small.
+    that many rows in id order, counted from 0 in each batch, that they belong to: the source's own number if its
+    rows have one, else they are counted in one task.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        routed = OB.route(OB.unpublished(batch, limit=None))
-        if poll_rows is not None:
-            # a batch holds a bounded number of polls
+        numbered = "poll" in batch.columns
+        routed = OB.route(OB.unpublished(batch, limit=None), *["poll"] if poll_rows is not None and numbered else [])
+        if poll_rows is not None and not numbered:
             routed = routed.withColumn("poll", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / poll_rows))
         routed = routed.persist()
         good = OB.routable(routed)

@@ -3,7 +3,8 @@
 import datetime as dt
 
 from larkseek.schemas import OUTBOX
-from larkseek.sources.outbox_poll import OutboxPoller, polled_outbox
+from larkseek.sources import outbox_poll
+from larkseek.sources.outbox_poll import OutboxDrain, OutboxPoller, polled_outbox
 from larkseek.streaming.outbox_stream import start_outbox_stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -109,3 +110,51 @@ def test_a_backlog_is_drained_by_many_polls_a_batch(spark, tmp_path):
     q.stop()
     sent = [(r.id, r.batch_id, r.poll) for kind in ("topics", "rejected") for r in spark.read.parquet(f"{out}/{kind}").collect()]
     assert sorted(sent) == [(i, (i - 1) // 12, (i - 1) % 12 // 4) for i in range(1, 24)]
+
+
+def drain(path, rows, polls):
+    return OutboxDrain(path, rows, polls, [*[c.strip().split(" ")[0] for c in OUTBOX.split(",")], "poll"])
+
+
+def drained(reader):
+    """(id, poll) of every batch, read task by task, and the ids the batches end at."""
+    out, at = [], reader.initialOffset()
+    while True:
+        end = reader.latestOffset()
+        if end == at:
+            return out
+        parts = reader.partitions(at, end)
+        out.append(sorted((r["id"], r["poll"]) for p in parts for b in reader.read(p) for r in b.to_pylist()))
+        # a new reader reads the same between the same ids, and goes on after them
+        again = drain(reader.path, reader.rows, reader.polls)
+        assert again.partitions(end, end) == [] and again.at == end
+        assert sorted((r["id"], r["poll"]) for p in again.partitions(at, end) for b in again.read(p) for r in b.to_pylist()) == out[-1]
+        at = end
+
+
+def test_a_backlog_is_read_by_tasks_poll_by_poll(spark, tmp_path, monkeypatch):
+    """Ids scattered over files or in order: the same rows and polls, and no row is read on the driver."""
+    monkeypatch.setattr(outbox_poll, "TASK_ROWS", 10)
+    ids = [i for i in range(-20, 200) if i % 5]
+    want = [[(i, k // 7) for k, i in enumerate(ids[at:at + 21])] for at in range(0, len(ids), 21)]
+    scattered, ordered = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = [row(i, published=i % 5 == 0) for i in range(-20, 200)] + [row(None)]
+    append(spark, scattered, rows, files=7)
+    for k in range(0, 220, 10):
+        append(spark, ordered, rows[k:k + 10])
+    for path in (scattered, f"file://{ordered}"):
+        r = drain(path, 7, 3)
+        assert drained(r) == want
+    r = drain(ordered, 7, 3)
+    parts = r.partitions(r.initialOffset(), r.latestOffset())
+    assert len(parts) == 2 and sum(g[3] is not None for g in r.groups) <= 4
+    assert all(len(part) == 4 for p in parts for part in p.value[2])
+
+
+def test_repeated_ids_are_drained_together(spark, tmp_path):
+    path = str(tmp_path / "box")
+    append(spark, path, [row(i) for i in (1, 2, 2, 3, 4)])
+    append(spark, path, [row(i) for i in (4, 4, 5)])
+    assert drained(drain(path, 2, 2)) == [[(1, 0), (2, 0), (2, 1), (3, 1)], [(4, 0), (4, 0), (4, 1), (5, 1)]]
+    # a batch that ends in a repeated id has one more poll
+    assert drained(drain(path, 5, 1)) == [[(1, 0), (2, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 1)], [(5, 0)]]
