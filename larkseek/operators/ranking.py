@@ -74,6 +74,11 @@ def verified(pairs: DataFrame) -> DataFrame:
     return tested.where(f"is_like or (not is_short and {words})").drop("is_like")
 
 
+def with_trigrams(pairs: DataFrame) -> DataFrame:
+    """Trigrams of the texts of (query, item) pairs that came without them."""
+    return staged(pairs, *pairs.columns, title_tg=trigram_sql("title_lc"), subtitle_tg=trigram_sql("subtitle_lc"))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Add ``fts_score``, ``trigram`` and ``score``.
 

@@ -24,10 +24,13 @@ from larkseek.sources.postings import Postings, materialized
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 16
-# Most distinct (tenant, window) pairs that are broadcast, as 64-bit hashes, to thin out postings before a shuffle.
-KEY_ROWS = 2_000_000
-# Size of the long windows, by which a long query finds few items however many there are.
+# Most words of 64 bits that are broadcast to thin out postings before a shuffle; up to four asked (tenant, window) pairs
+# a word about one posting in a hundred passes unasked, with more pairs more do.
+KEY_ROWS = 1 << 21
+# Size of the long windows, by which a long query finds few items however many there are, and the least size of a whole
+# term that may stand in for one.
 LONG = 8
+MIDDLE = 4
 BUCKETS = 1 << 16
 #: Texts are cut into pieces of so many places before their windows are.
 PIECE = 256
@@ -35,8 +38,8 @@ PIECE = 256
 FIRST_PLACE = "(size = 0 or if(in_sub, instr(subtitle_lc, key) = at and not contains(title_lc, key), instr(title_lc, key) = at))"
 #: Up to so many keys of one size a tenant, texts are tested for each key instead of being cut into windows.
 FEW_KEYS = 16
-#: All windows of an item: the stored short ones and the long ones.
-_ALL_KEYS = f"array_distinct(concat(probe_keys, {qgrams_sql('title_lc', LONG)}, {qgrams_sql("coalesce(subtitle_lc, '')", LONG)}))"
+#: All windows of an item: the stored short ones and the longer ones.
+_ALL_KEYS = f"array_distinct(concat(probe_keys, {', '.join(qgrams_sql(t, q) for t in ('title_lc', "coalesce(subtitle_lc, '')") for q in range(MIDDLE, LONG + 1))}))"
 
 
 def gram_stats(items: DataFrame, mode: str = "simple") -> DataFrame:
@@ -74,20 +77,24 @@ def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str =
     implies every window of each term (in english mode: the head of each term). One shared window
     serves both branches; only when there is none are two probes needed. Long windows are taken where
     one serves all branches: of short ones even the rarest is held by a fixed share of all items, so that
-    queries which grow with the items would meet ever more of them.
+    queries which grow with the items would meet ever more of them. As a long window may be a word that all items hold
+    (``customer``), the query's other terms of ``MIDDLE`` and more characters are whole windows beside it.
     """
     fts = "array_distinct(transform(terms, t -> substring(t, 1, 3)))" if mode == "english" else _windows("terms")
     q = queries.selectExpr("*", r"split(term, r'\\.|[%_\\]') as _literals").selectExpr(
         "*", f"{_windows('_literals')} as _like", f"if(is_short or size(terms) = 0, null, {fts}) as _fts")
     long_fts = "array()" if mode == "english" else _long_windows("terms")
+    middle = f"filter(terms, t -> length(t) >= {MIDDLE} and length(t) < {LONG} and exists(_literals, p -> contains(p, t)))"
     q = q.selectExpr("*", "array_intersect(_like, _fts) as _both", f"if(_fts is null, {_long_windows('_literals')}, "
-                     f"array_intersect({_long_windows('_literals')}, {long_fts})) as _long").selectExpr(
+                     f"array_intersect({_long_windows('_literals')}, {long_fts})) as _eight").selectExpr(
+        "*", f"if(_fts is null or size(_eight) = 0, _eight, concat(_eight, {middle})) as _long").selectExpr(
         "*", "case when size(_long) > 0 then _long when _fts is null or size(_both) = 0 then _like else _both end as _first",
         "if(_fts is not null and size(_both) = 0 and size(_long) = 0, _fts, null) as _second")
     if stats is None:
         # Without counts take the last window: endings (digits of a number, a second word) tell
         # entities apart better than shared beginnings.
-        q = q.selectExpr("*", "element_at(_first, -1) as _k1", "element_at(_second, -1) as _k2")
+        last = "array_max(transform(_long, k -> struct(instr(term, k) + length(k) as upto, k as key))).key"
+        q = q.selectExpr("*", f"if(size(_long) > 0, {last}, element_at(_first, -1)) as _k1", "element_at(_second, -1) as _k2")
     else:
         q = _rarest(q, stats)
     return q.selectExpr(
@@ -97,15 +104,18 @@ def query_probes(queries: DataFrame, stats: DataFrame | None = None, mode: str =
 
 
 def _rarest(q: DataFrame, stats: DataFrame) -> DataFrame:
-    """Pick the window with the fewest items for each slot; unknown windows count zero. A long
-    windows are counted by buckets."""
+    """Pick the window with the fewest items for each slot; unknown windows count zero. Long windows are counted by
+    buckets; a whole term between the sizes counts as the rarest short window in it."""
     options = q.selectExpr(
         *R.QUERY_KEY, "inline_outer(concat(transform(_first, k -> struct(1 as slot, k as key)), "
         "coalesce(transform(_second, k -> struct(2 as slot, k as key)), array())))").selectExpr(
-        "*", f"if(length(key) = {LONG}, {_bucket('key')}, key) as counted_as")
+        "*", f"explode(case when length(key) = {LONG} then array({_bucket('key')}) when length(key) >= {MIDDLE} then {qgrams_sql('key', 3)} "
+        "else array(key) end) as counted_as")
     counted = options.join(stats.select("tenant_id", F.col("key").alias("counted_as"), "n_items"), ["tenant_id", "counted_as"], "left")
-    cost = F.struct(F.coalesce("n_items", F.lit(0)), "key")
-    best = counted.groupBy(*R.QUERY_KEY).agg(
+    known = counted.groupBy(*R.QUERY_KEY, "slot", "key").agg(F.min(F.coalesce("n_items", F.lit(0))).alias("n_items"))
+    # of windows counted alike the longer one meets fewer items
+    cost = F.struct("n_items", -F.length("key"), "key")
+    best = known.groupBy(*R.QUERY_KEY).agg(
         F.min_by(F.col("key"), F.when(F.col("slot") == 1, cost)).alias("_k1"),
         F.min_by(F.col("key"), F.when(F.col("slot") == 2, cost)).alias("_k2"))
     return q.join(best, R.QUERY_KEY)
@@ -127,9 +137,9 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_ro
 
     Broadcast: one pass over the items, no shuffle of them. Otherwise slim (key, item id) postings
     are shuffled against the slim probes on a salted key, so that a window held by a large share of all
-    items spreads over many tasks. Postings of windows nobody asks for are dropped before that
-    shuffle when the asked windows are few enough to broadcast their hashes. The pairs are written once;
-    only the texts of items are shuffled to them, and search columns are made for items that have a pair.
+    items spreads over many tasks. Postings of windows nobody asks for are dropped before that shuffle
+    (:func:`thinned`). The pairs are written once; only the texts of items are shuffled to them, and search
+    columns are made for items that have a pair.
     """
     keyed = laid_items.selectExpr(*ITEM_KEY, *_ITEM_SEARCH, f"{_ALL_KEYS} as probe_keys")
     fresh = F.col("skip_if").isNull() | ~F.array_contains("probe_keys", F.col("skip_if"))
@@ -137,20 +147,51 @@ def candidates(probes: DataFrame, laid_items: DataFrame, broadcast: bool, key_ro
         exploded = keyed.withColumn("key", F.explode_outer("probe_keys"))
         return exploded.join(F.broadcast(probes), ["tenant_id", "key"]).where(fresh).drop("probe_keys", "key", "skip_if")
     probes = materialized(probes, "probes")
-    salt = F.pmod(F.xxhash64("entity_id"), F.lit(JOIN_SALTS)).cast("int")
-    postings = keyed.select(*ITEM_KEY, salt.alias("_salt"), F.explode_outer("probe_keys").alias("key"))
-    asked = probes.select(F.xxhash64("tenant_id", "key").alias("_hash")).distinct()
-    if asked.limit(key_rows + 1).count() <= key_rows:
-        postings = postings.withColumn("_hash", F.xxhash64("tenant_id", "key")).join(F.broadcast(asked), "_hash", "left_semi").drop("_hash")
-    slim = probes.select(*R.QUERY_KEY, "key", "skip_if")
-    spread = slim.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    pairs = materialized(postings.join(spread, ["tenant_id", "key", "_salt"]).drop("_salt"), "candidate-pairs")
+    pairs = _pairs(thinned(keyed.select(*ITEM_KEY, F.explode_outer("probe_keys").alias("key")), probes, key_rows), probes)
     texts = laid_items.select(*ITEM_KEY, "title", "subtitle").join(pairs.select(*ITEM_KEY).distinct(), ITEM_KEY, "left_semi")
     items = R.with_search_columns(texts, mode).selectExpr(*ITEM_KEY, *_ITEM_SEARCH, f"{_ALL_KEYS} as probe_keys")
     met = pairs.join(items, ITEM_KEY).where(fresh).drop("probe_keys", "skip_if")
     return met.join(probes.drop("skip_if"), [*R.QUERY_KEY, "key"]).drop("key")
 
 
+def thinned(postings: DataFrame, probes: DataFrame, most_words: int = KEY_ROWS, counts: str = "true") -> DataFrame:
+    """Postings without most of those that no probe asks for, and where the condition ``counts`` holds. Each asked (tenant,
+    window) sets up to four bits of one word of 64, so what is broadcast is bounded however many are asked. With
+    ``most_words`` 0 nothing is thinned."""
+    if not most_words:
+        return postings.where(counts)
+    bits = " | ".join(f"shiftleft(1L, int(shiftrightunsigned(_hash, {at}) & 63))" for at in (40, 46, 52, 58))
+    words = min(most_words, 1 << max(10, (probes.count() // 4).bit_length()))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hash", F.xxhash64("tenant_id", "key")).selectExpr("*", f"pmod(_hash, {words}L) as _word", f"{bits} as _bits").drop("_hash")
+    asked = hashed(probes.select("tenant_id", "key")).groupBy("_word").agg(F.expr("bit_or(_bits)").alias("_asked"))
+    # one condition, as ``counts`` alone would be tested for every posting, below the join
+    return hashed(postings).join(F.broadcast(asked), "_word").where(f"if((_asked & _bits) = _bits, {counts}, false)").select(*postings.columns)
+
+
+def _pairs(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """Written (item, query, key, skip_if) rows of postings that share a probe key, joined on a salted key."""
+    salt = F.pmod(F.xxhash64("entity_id"), F.lit(JOIN_SALTS)).cast("int")
+    slim = probes.select(*R.QUERY_KEY, "key", "skip_if")
+    spread = slim.withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return materialized(postings.select(*ITEM_KEY, salt.alias("_salt"), "key").join(spread, ["tenant_id", "key", "_salt"]).drop("_salt"), "candidate-pairs")
+
+
+def shuffled(probes: DataFrame, items: DataFrame, most_words: int = KEY_ROWS) -> DataFrame:
+    """:func:`candidates` beyond the broadcast, simple mode: windows only of sizes that are asked are cut from the texts, in
+    generated code, and no column larger than the texts is shuffled. Search columns are left to the matches."""
+    probes = materialized(probes, "probes")
+    sizes = [r[0] for r in probes.select(F.length("key")).distinct().collect()]
+    lower = ["lower(title) as title_lc", "lower(subtitle) as subtitle_lc"]
+    windows = window_rows(items.selectExpr(*ITEM_KEY, *lower), sizes)
+    pairs = _pairs(thinned(windows, probes, most_words, FIRST_PLACE).select(*ITEM_KEY, "key"), probes)
+    texts = items.select(*ITEM_KEY, "title", "subtitle").join(pairs.select(*ITEM_KEY).distinct(), ITEM_KEY, "left_semi")
+    # the joins shuffle the texts as they are
+    met = pairs.join(texts, ITEM_KEY).join(probes.drop("skip_if"), [*R.QUERY_KEY, "key"]).selectExpr("*", *lower)
+    return met.where("skip_if is null or not (contains(title_lc, skip_if) or contains(coalesce(subtitle_lc, ''), skip_if))").drop("key", "skip_if")
+
+
 def window_rows(items: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """One row per window of the given sizes in ``title_lc`` and ``subtitle_lc``: ``key``, ``size``, its place ``at`` and
     ``in_sub``; size 0 is the empty key, once per item. Repeats are left in.
@@ -170,7 +211,7 @@ def window_rows(items: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 
 def scanned(probes: DataFrame, items: DataFrame) -> DataFrame:
-    """:func:`candidates` of items without a layout, simple mode: one pass over their texts, no shuffle. A tenant's keys of
+    """:func:`candidates` with a broadcast, simple mode: one pass over the items' texts, no shuffle. A tenant's keys of
     a size are looked up by the windows of the texts or, if they are few, each text is tested for them."""
     probes = materialized(probes, "probes")
     per_tenant = probes.groupBy("tenant_id", F.length("key").alias("size")).agg(F.count_distinct("key").alias("n"))
@@ -178,8 +219,8 @@ def scanned(probes: DataFrame, items: DataFrame) -> DataFrame:
     via = F.when(F.length("key").isin(sizes), F.col("key")).otherwise("")
     # by one long key; different windows of one hash are told apart by the condition
     asked = probes.withColumns({"_via": F.xxhash64("tenant_id", via), "by_window": F.length("key").isin(sizes)}).withColumnsRenamed({"tenant_id": "asker", "key": "probe"})
-    texts = items.selectExpr(*ITEM_KEY, "title", "subtitle", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc").selectExpr(
-        "*", f"{trigram_sql('title_lc')} as title_tg", f"{trigram_sql('subtitle_lc')} as subtitle_tg")
+    grams = ["title_tg", "subtitle_tg"] if "title_tg" in items.columns else [f"{trigram_sql(t)} as {t}_tg" for t in ("title", "subtitle")]
+    texts = items.selectExpr(*ITEM_KEY, "title", "subtitle", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc", *grams)
     rows = window_rows(texts, [0, *sizes]).withColumn("_via", F.xxhash64("tenant_id", "key"))
     sub = "coalesce(subtitle_lc, '')"
     # a window counts where it stands first in its item
@@ -202,8 +243,8 @@ def matches(queries: DataFrame, items: DataFrame | None, stats: DataFrame | None
         if broadcast is None:
             broadcast = fits_broadcast(asked)
         probes = query_probes(asked, stats, mode)
-        if broadcast and mode == "simple" and "probe_keys" not in items.columns:
-            pairs = R.verified(scanned(probes, items))
+        if mode == "simple":
+            pairs = R.verified(scanned(probes, items)) if broadcast else R.with_trigrams(R.verified(shuffled(probes, items)))
         else:
             pairs = R.verified(candidates(probes, R.with_search_columns(items, mode), broadcast, mode=mode))
     return R.scored(pairs).select(

@@ -182,3 +182,38 @@ def test_scanned_texts_meet_what_their_windows_meet(spark, items, queries, monke
 def test_a_scan_makes_no_arrays_of_windows(items, queries):
     plan = TA.matches(queries, items[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(" in plan and "probe_keys" not in plan and plan.count("regexp_extract_all(title") <= 8
+
+
+@pytest.mark.parametrize("laid", [False, True])
+@pytest.mark.parametrize("words", [0, 1, 1 << 21])
+def test_shuffled_texts_meet_what_their_windows_meet(items, queries, words, laid):
+    """However few words thin the postings out: the same pairs, each once."""
+    texts = R.with_search_columns(items[0]) if laid else items[0]
+    probes = TA.query_probes(R.distinct_queries(queries))
+    cols = ["tenant_id", "norm", "entity_type", "entity_id"]
+    got = sorted(map(tuple, TA.shuffled(probes, texts, words).select(*cols).collect()))
+    assert got == sorted(map(tuple, TA.candidates(probes, R.with_search_columns(items[0]), True).select(*cols).collect())) and len(got) == len(set(got))
+
+
+def test_postings_nobody_asks_for_are_dropped_however_many_are_asked(spark):
+    """More asked windows than words are broadcast: few others pass, and all that are asked."""
+    keys = spark.range(40_000).selectExpr("'t0' as tenant_id", "lpad(id, 8, '0') as key")
+    met = TA.thinned(keys, keys.where("key % 4 = 0"), 2048)
+    assert met.where("key % 4 = 0").count() == 10_000 and met.count() < 12_000
+    assert TA.thinned(keys, keys.where("key % 4 = 0")).count() < 10_600
+
+
+def test_shuffled_candidates_make_no_arrays_of_windows(items, queries):
+    plan = TA.matches(queries, items[0], broadcast=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "probe_keys" not in plan and plan.count("regexp_extract_all(title") <= 8
+
+
+def test_a_word_that_all_items_hold_is_no_probe(spark):
+    """Names cut short share their long word with all items, yet meet only those that hold their digits."""
+    rows = [("t0", "CONTACT", str(i), f"Customer#{i:09d}", "x") for i in range(0, 100_000, 50)]
+    texts = spark.createDataFrame(rows, SEARCH_ITEMS)
+    asked = R.distinct_queries(spark.createDataFrame([(i, "t0", f"customer#0000{i}", 5) for i in range(10)],
+                                                     "query_id bigint, tenant_id string, q string, limit_per_group int"))
+    for stats in (None, TA.gram_stats(R.with_search_columns(texts))):
+        met = TA.shuffled(TA.query_probes(asked, stats), texts)
+        assert met.where("startswith(title_lc, term)").count() == len(rows) and met.count() <= 1.5 * len(rows)
