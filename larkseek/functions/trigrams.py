@@ -28,9 +28,14 @@ def jaccard_of_sql(a: str, b: str, common: str) -> str:
             f"else {common} / double(size({a}) + size({b}) - {common}) end)")
 
 
+def windows_sql(text: str, q: int) -> str:
+    """SQL for all q-character windows of the text as it stands, with repeats."""
+    return f"regexp_extract_all({text}, r'(?s)(?=(.{{{q}}}))', 1)"
+
+
 def qgrams_sql(text: str, q: int) -> str:
     """SQL for all distinct q-character windows of the text as it stands."""
-    return f"array_distinct(regexp_extract_all({text}, r'(?s)(?=(.{{{q}}}))', 1))"
+    return f"array_distinct({windows_sql(text, q)})"
 
 
 def trigram_set(text: str) -> Column:

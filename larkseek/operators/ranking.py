@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkseek.functions.fulltext import (item_vector_sql, lexeme_line_sql, lexemes_sql, matches_all_sql, rank_sql, term_hits_sql,
                                          with_item_tsv, with_query_terms)
 from larkseek.functions.text import contains_like_sql, normalize_query, staged, with_like_columns
-from larkseek.functions.trigrams import jaccard_of_sql, qgrams_sql, trigram_sql
+from larkseek.functions.trigrams import jaccard_of_sql, trigram_sql, windows_sql
 from larkseek.schemas import ENTITY_TYPES, HIT_PREFIX
 
 # Candidate cap, short-query length, score weights.
@@ -33,7 +33,7 @@ def with_search_columns(items: DataFrame, mode: str = "simple", windows: bool =
     if "probe_keys" in items.columns:
         return items
     sub = "coalesce(subtitle_lc, '')"
-    keys = ["array('')"] + [qgrams_sql(t, q) for t in ("title_lc", sub) for q in (1, 2, 3)]
+    keys = ["array('')"] + [windows_sql(t, q) for t in ("title_lc", sub) for q in (1, 2, 3)]
     if mode == "english":
         keys += [f"transform(tsv, e -> substring(e.lexeme, 1, {q}))" for q in (1, 2, 3)]
     probe_keys = {"probe_keys": f"array_distinct(concat({', '.join(keys)}))"} if windows else {}

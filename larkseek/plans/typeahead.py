@@ -46,9 +46,13 @@ def gram_stats(items: DataFrame, mode: str = "simple") -> DataFrame:
     """Item count per (tenant, window): lets every query probe with its rarest window. Written next
     to the items by the index build; counts combine before the shuffle. Long windows, nearly as many as
     there are texts, are counted together by the bucket of their hash, so the table stays small."""
-    laid = R.with_search_columns(items, mode)
-    return (laid.selectExpr("tenant_id", f"explode_outer(transform({_ALL_KEYS}, k -> if(length(k) = {LONG}, {_bucket('k')}, k))) as key")
-            .groupBy("tenant_id", "key").agg(F.count("*").alias("n_items")))
+    short = R.with_search_columns(items, mode).select("tenant_id", F.explode_outer("probe_keys").alias("key"))
+    texts = items.selectExpr("tenant_id", "lower(title) as title_lc", "lower(subtitle) as subtitle_lc")
+    # each kind is counted by itself: the short ones as they are stored, the long ones cut in generated code
+    buckets = (window_rows(texts, [LONG]).where(FIRST_PLACE).selectExpr("tenant_id", f"pmod(xxhash64(key), {BUCKETS}) as _bucket")
+               .groupBy("tenant_id", "_bucket").agg(F.count("*").alias("n_items")))
+    return short.groupBy("tenant_id", "key").agg(F.count("*").alias("n_items")).unionByName(
+        buckets.selectExpr("tenant_id", "concat('long ', _bucket) as key", "n_items"))
 
 
 def _bucket(key: str) -> str:

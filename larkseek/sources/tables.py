@@ -29,9 +29,10 @@ def write_by_tenant(df: DataFrame, path: str, *more: str, mode: str = "overwrite
 
 def write_search_layout(items: DataFrame, path: str, mode: str = "simple") -> None:
     """Full index build: items with vectors, trigrams and probe windows, ready for queries. The texts are
-    spread over the folders before those columns, many times their size, are made."""
-    spread = items.hint("rebalance", "tenant_id", "entity_type")
-    with_search_columns(spread, mode).write.mode("overwrite").partitionBy("tenant_id", "entity_type").parquet(f"{path}/items")
+    spread over the folders before those columns, many times their size, are made: in ranges of as many items each, so
+    that tasks share that work evenly and a folder gets files by its size."""
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_search_columns(items.repartitionByRange(n, "tenant_id", "entity_type", "entity_id"), mode).write.mode("overwrite").partitionBy("tenant_id", "entity_type").parquet(f"{path}/items")
 
 
 def write_gram_stats(spark: SparkSession, path: str) -> None:

@@ -2,14 +2,20 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from larkseek.functions.english import STOP_WORDS, stem
 from larkseek.operators import ranking as R
 from larkseek.operators import reads as RD
 from larkseek.plans import typeahead as TA
 from larkseek.schemas import SEARCH_ITEMS
+from larkseek.sources.tables import read_search_layout, write_search_layout
+
+SEARCH_COLUMNS = ["tenant_id", "entity_type", "entity_id", "title", "subtitle"]
 
 QS = ["re wi", "red", "r", "ge", "a_b", "%", "50%", "b\\_c", "x\\y", "brand#2", "wi re", "é", "Émile zo", "--", "_", "redd",
       "houses", "the house", "running", "of", "", "  ", "happy", "ring small", "customer#000", "0001"]
@@ -217,3 +223,31 @@ def test_a_word_that_all_items_hold_is_no_probe(spark):
     for stats in (None, TA.gram_stats(R.with_search_columns(texts))):
         met = TA.shuffled(TA.query_probes(asked, stats), texts)
         assert met.where("startswith(title_lc, term)").count() == len(rows) and met.count() <= 1.5 * len(rows)
+
+
+def test_a_layout_is_made_by_all_tasks_evenly(spark, tmp_path):
+    """One large folder is no single task's work, and the rows are all there."""
+    rows = [("t0", "TRANSACTION", str(i), f"Order {i}", "5-LOW") for i in range(4000)] + [("t1", "CONTACT", "1", "Sam", None), (None, "CONTACT", "2", "Sam", None)]
+    write_search_layout(spark.createDataFrame(rows, SEARCH_ITEMS), str(tmp_path))
+    laid = read_search_layout(spark, str(tmp_path))
+    files = [r[0] for r in laid.where("tenant_id = 't0'").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(files) >= 4 and max(files) < 2000
+    assert sorted(map(str, laid.select(*SEARCH_COLUMNS).collect())) == sorted(str(Row(**dict(zip(SEARCH_COLUMNS, r)))) for r in rows)
+
+
+def test_window_counts_of_a_layout(spark, items, tmp_path):
+    """Counted as stored, the long ones without arrays of them."""
+    df, rows = items
+    write_search_layout(df, str(tmp_path))
+    stats = TA.gram_stats(read_search_layout(spark, str(tmp_path)))
+    assert "regexp_extract_all" not in stats._jdf.queryExecution().optimizedPlan().toString()
+
+    def windows(title, sub, sizes):
+        return {t[i:i + q] for t in (title.lower(), (sub or "").lower()) for q in sizes for i in range(len(t) - q + 1 if q else 1)}
+    short, long = Counter(), Counter()
+    for tenant, _, _, title, sub in rows:
+        short.update((tenant, w) for w in windows(title, sub, (0, 1, 2, 3)))
+        long[tenant] += len(windows(title, sub, (TA.LONG,)))
+    got = stats.collect()
+    assert {(r.tenant_id, r.key): r.n_items for r in got if not r.key.startswith("long ")} == short
+    assert {t: sum(r.n_items for r in got if r.tenant_id == t and r.key.startswith("long ")) for t in long} == long
